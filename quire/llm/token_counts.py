@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 #: Code points to a chunk.
 CHUNK = 1 << 16
 #: Words, states and pairs that a task remembers before it starts again.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Unicode's White_Space, which the vocabulary's pre-tokenizer drops.
@@ -216,11 +216,11 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048, id_co
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = word_counts(vocabulary_path)
         for batch in batches:
-            yield batch.assign(n=[total(scan([(p["head"], p["n"], p["tail"]) for p in parts], counts), counts) for parts in batch.parts])[["doc_id", "n_bytes", "n"]]
+            many = [total(scan([(p["head"], p["n"], p["tail"]) for p in parts], counts), counts) if len(parts) else 0 for parts in batch.parts]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "n_bytes": batch.n_bytes, "n_tokens": batch.n + pd.Series(many, batch.index)})
 
     mapped = parts.select("row", "doc_id", "n_bytes", "chunks", "k", piece.cast("binary").alias("piece")).mapInArrow(map_chunks, "row long, doc_id long, n_bytes long, n long, part struct<k int, head binary, n long, tail binary>")
     # only long texts have parts, and at most their length / chunk of them
-    joined = mapped.groupBy("row", "doc_id", "n_bytes").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("part")).alias("parts"))
-    short = joined.filter(F.size("parts") == 0).select("doc_id", "n_bytes", "n")
-    long = joined.filter(F.size("parts") > 0).select("doc_id", "n_bytes", "parts").mapInPandas(finish, "doc_id long, n_bytes long, n long")
-    return short.unionAll(long).select("doc_id", "n_bytes", F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))
+    joined = mapped.groupBy("row", "doc_id", "n_bytes").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.sort_array(F.collect_list("part")).alias("parts"))
+    counted = joined.select("doc_id", "n_bytes", "n", "parts").mapInPandas(finish, "doc_id long, n_bytes long, n_tokens long")
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
