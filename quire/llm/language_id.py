@@ -22,7 +22,8 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,18 +172,26 @@ def labelled_sample(docs: DataFrame, held_out: Column, id_col: str, text_col: st
     return sorted((r["lang"], r["text"].encode()) for r in found)
 
 
+def _predictor(model: Broadcast):  # noqa: ANN202
+    @F.pandas_udf("lang string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(UNKNOWN, 0.0) if t is None else model.value.predict(t) for t in batch], columns=["lang", "score"])
+
+    return predict
+
+
+def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Column:
+    """A column for docs: struct of lang and score, by a model fitted on the documents that are not held out."""
+    model = fit(labelled_sample(docs, id_bucket(id_col, 5) == 0, id_col, text_col, lang_col))
+    text = F.when(has_letter(F.col(text_col)), F.col(text_col).cast("binary"))
+    return _predictor(docs.sparkSession.sparkContext.broadcast(model))(text)
+
+
 def predict_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred and a score from 0 to 1.
 
     Held out is every document whose id's crc32 is a multiple of 5.
     """
-    held_out = id_bucket(id_col, 5) == 0
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, held_out, id_col, text_col, lang_col)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.when(has_letter(F.col(text_col)), F.col(text_col).cast("binary")).alias("text"))
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(UNKNOWN, 0.0) if t is None else model.value.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (id_bucket(id_col, 5) == 0).alias("held_out"), language_of(docs, id_col, text_col, lang_col).alias("p"))
+    return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

@@ -54,18 +54,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
     )
 
 
-def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: int = 0,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """One row per document: its size, its source's size and target, and the words taken from it.
+def document_hash(id_col: str, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 64 - HASH_BITS)
+
+
+def mixing_plan(sized: DataFrame, weights: tuple[int, ...], max_repeats: int) -> tuple[DataFrame, int]:
+    """From (source, size, hash): one row per source with its `target`, whole `passes` and hash `threshold`; and their number.
 
     A source takes whole passes first, floor(target / size), then one partial
     pass up to its hash threshold; the threshold's last step is taken only if
     that brings the sum nearer to the target.
     """
-    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 64 - HASH_BITS)
-    sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("hash")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = checkpointed(
@@ -88,8 +87,36 @@ def mix_sources(
             crossed.groupBy("source").agg(F.min_by(F.struct("prefix", (F.col("budget") - F.col("upto") + F.col("held")).alias("budget"), "held"), "prefix").alias("b")).select("source", "b.budget", "b.prefix", "b.held")
         )
         used += bits
-    # all bits are used: the last bucket is one hash value, taken if more than half of it is wanted
-    threshold = opened.select("source", F.when(F.col("budget") * 2 >= F.col("held"), F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
-    plan = plan.withColumnRenamed("source", "s").join(small(threshold, n_sources), F.col("s").eqNullSafe(F.col("source")), "left").select("s", "source_size", "target", "passes", F.when(F.col("budget") > 0, F.coalesce("threshold", F.lit(2**HASH_BITS - 1))).otherwise(-1).alias("threshold"))
-    repeats = F.col("passes") + (F.col("hash") <= F.col("threshold")).cast("long")
-    return sized.join(small(plan, n_sources), F.col("s").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.least(repeats, F.lit(max_repeats))).alias("taken"))
+    # all bits are used: the last bucket is one hash value, taken if at least half of it is wanted
+    last = opened.select(F.col("source").alias("s"), F.when(F.col("budget") * 2 >= F.col("held"), F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
+    threshold = F.when(F.col("budget") > 0, F.coalesce("threshold", F.lit(2**HASH_BITS - 1))).otherwise(-1)
+    return checkpointed(plan.join(small(last, n_sources), F.col("s").eqNullSafe(F.col("source")), "left").select("source", "source_size", "target", "passes", threshold.alias("threshold"))), n_sources
+
+
+def with_plan(docs: DataFrame, plan: DataFrame, n_sources: int, source_col: str, hashed: Column, max_repeats: int) -> DataFrame:
+    """docs with the columns of their source's plan, and how often each document is taken; neither sorts nor moves the documents."""
+    renamed = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
+    repeats = F.least(F.col("__passes") + (hashed <= F.col("__threshold")).cast("long"), F.lit(max_repeats).cast("long"))
+    return docs.join(small(renamed, n_sources), F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__repeats", repeats)
+
+
+def mix_sources(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: int = 0,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """One row per document: its size, its source's size and target, and the words taken from it."""
+    sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), document_hash(id_col, seed).alias("hash")))
+    plan, n_sources = mixing_plan(sized.select("source", "size", "hash"), weights, max_repeats)
+    mixed = with_plan(sized, plan, n_sources, "source", F.col("hash"), max_repeats)
+    return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__repeats")).alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: int = 0,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The documents that the mix takes, all columns, and `repeats`, how often it takes each."""
+    sized = checkpointed(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), document_hash(id_col, seed).alias("hash")))
+    plan, n_sources = mixing_plan(sized, weights, max_repeats)
+    mixed = with_plan(docs, plan, n_sources, source_col, document_hash(id_col, seed), max_repeats).filter(F.col("__repeats") > 0)
+    return mixed.select(*[F.col(c) for c in docs.columns if c != "repeats"], F.col("__repeats").alias("repeats"))
