@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,42 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def id_bucket(col: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo `mod`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Regroup a partition sorted by `key` so that no group is cut: a batch's last group is held until the next shows that it has ended."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = (batch[key] == batch[key].iloc[-1]).all(axis=1).to_numpy()
+        start = 0 if last.all() else len(last) - int(last[::-1].argmin())
+        if start or (held and (held[-1][key].iloc[-1] != batch[key].iloc[0]).any()):
+            held.append(batch.iloc[:start])
+            yield pd.concat(held)
+            held = []
+        held.append(batch.iloc[start:])
+    if held:
+        yield pd.concat(held)
+
+
+class Forest:
+    """Union-find over the ids of one batch."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, v: int) -> int:
+        parent = self.parent
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    def join(self, u: int, v: int) -> bool:
+        """Whether u and v were apart."""
+        u, v = self.root(u), self.root(v)
+        self.parent[max(u, v)] = min(u, v)
+        return u != v
+
+    def links(self) -> list[tuple[int, int]]:
+        return [(v, r) for v in self.parent if (r := self.root(v)) != v]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed
+from quire.llm.common import Forest, checkpointed, whole_groups
 from quire.llm.components import connected_components
 
 #: Tables, hashes to a bucket, probes to a vector and table; recall is measured in the tests.
@@ -153,32 +153,10 @@ def linked_pairs(x: np.ndarray, codes: np.ndarray, code: np.ndarray, group: np.n
             yield keep(p[ok], q[ok])
 
 
-class Forest:
-    """Union-find over the ids of one batch."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-
-    def root(self, v: int) -> int:
-        parent = self.parent
-        while parent.setdefault(v, v) != v:
-            parent[v] = v = parent[parent[v]]
-        return v
-
-    def join(self, p: np.ndarray, q: np.ndarray) -> None:
-        for u, v in zip(p.tolist(), q.tolist(), strict=True):
-            u, v = self.root(u), self.root(v)
-            if u != v:
-                self.parent[max(u, v)] = min(u, v)
-
-    def links(self) -> list[tuple[int, int]]:
-        return [(v, r) for v in self.parent if (r := self.root(v)) != v]
-
-
 def _met(dealt: DataFrame, kind: type, threshold: float) -> DataFrame:
     """Rows (id, links, other): additions to a class's number of linked vectors, and links that join it to others.
 
-    The rows of a group lie together; a batch holds back its last group until the next shows that it has ended.
+    The rows of a group lie together.
     """
 
     def judge(part: pd.DataFrame) -> pd.DataFrame:
@@ -191,24 +169,14 @@ def _met(dealt: DataFrame, kind: type, threshold: float) -> DataFrame:
                 p, q = r[p], r[q]
                 np.add.at(counts, p, n[q])
                 np.add.at(counts, q, n[p])
-                forest.join(ids[p], ids[q])
+                for u, v in zip(ids[p].tolist(), ids[q].tolist(), strict=True):
+                    forest.join(u, v)
         counted = pd.DataFrame({"id": ids, "links": counts, "other": -1})[counts > 0]
         return pd.concat([counted, pd.DataFrame(forest.links(), columns=["id", "other"]).assign(links=0)])[["id", "links", "other"]].astype("int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = ["label", "length", "code", "i", "j"], []
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = (batch[key] == batch[key].iloc[-1]).all(axis=1).to_numpy()
-            start = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-            if start or (held and (held[-1][key].iloc[-1] != batch[key].iloc[0]).any()):
-                held.append(batch.iloc[:start])
-                yield judge(pd.concat(held))
-                held = []
-            held.append(batch.iloc[start:])
-        if held:
-            yield judge(pd.concat(held))
+        for part in whole_groups(batches, ["label", "length", "code", "i", "j"]):
+            yield judge(part)
 
     return dealt.mapInPandas(run, "id long, links long, other long")
 

@@ -4,9 +4,10 @@ Texts become sets of hashed word shingles. Equal sets form a class at once and
 only one document of each class goes on. Its signature is cut into bands;
 documents that share a band's bucket are candidates. In each bucket all
 members are first compared with three centres, which joins nearly all groups
-with a number of pairs linear in the bucket. Only then are members that lie in
-different components so far compared with each other, so no candidate link
-between components is lost and none inside one is paid for.
+with a number of pairs linear in the bucket. Buckets whose members still lie
+in different components are then compared in blocks on the full sets, and only
+links that join components come back: no candidate link between components is
+lost, none inside one is paid for, and no task holds more than two blocks.
 
 A candidate pair is verified in two steps. Batches of its signatures are
 compared one after another, and after each batch the pair is dropped if the
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed
+from quire.llm.common import Forest, checkpointed, whole_groups
 from quire.llm.components import connected_components
 
 #: At similarity 0.8 all bands miss a pair with probability (1 - 0.8**ROWS)**BANDS, about 1e-7.
@@ -40,6 +41,10 @@ BANDS, ROWS = 40, 5
 #: Signature values compared before each decision, and the accepted probability of dropping a pair that reaches the threshold.
 BATCH, MISS = 40, 1e-7
 CENTRES, SEED = 3, 11
+#: Members of a bucket to a block, and distinct shingles up to which two blocks are compared as one matrix.
+BLOCK, COLUMNS = 1024, 20_000
+#: Bits for each document in the filter of those whose sets are needed, and its most bits.
+FILTER_BITS, MAX_FILTER_BITS = 8, 1 << 28
 #: Word hashes that a task remembers.
 REMEMBERED = 500_000
 
@@ -122,13 +127,81 @@ def _fingerprints(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, print binary, keys array<long>")
 
 
-def _sets(rows: DataFrame, size: int) -> DataFrame:
+def _id_filter(ids: DataFrame) -> tuple[bytearray, int]:
+    """A bitmap of hashed ids, of bounded size: which documents are certainly not among ids. Too full, it only stops to save work."""
+    bits = 1 << 16
+    while bits < min(ids.count() * FILTER_BITS, MAX_FILTER_BITS):
+        bits *= 2
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    # the bitmap functions count from 1, and a bucket has 32,768 bits
+    parts = ids.select((F.bitmap_bucket_number(at + 1) - 1).alias("part"), F.bitmap_bit_position(at + 1).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    out = bytearray(bits // 8)
+    for r in parts.toLocalIterator():
+        out[r["part"] * 4096 : r["part"] * 4096 + 4096] = r["bitmap"]
+    return out, bits
+
+
+def _sets(rows: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """Signature and shingle set of the needed documents and a few others; the texts are not shuffled."""
+    bitmap, bits = _id_filter(needed)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
+            at = batch.column("at").to_numpy()
+            batch = batch.filter(pa.array(held[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "sig", "shingles"])
 
-    return rows.mapInArrow(run, "id long, sig binary, shingles binary")
+    kept = rows.filter(F.col("doc_id").isNotNull()).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"), "text")
+    return kept.mapInArrow(run, "id long, sig binary, shingles binary")
+
+
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y."""
+    both = np.concatenate((*x, *y))
+    _, column = np.unique(both, return_inverse=True)
+    columns = int(column.max()) + 1 if len(column) else 0
+    if columns > COLUMNS:
+        return np.array([[len(np.intersect1d(s, t, assume_unique=True)) for t in y] for s in x])
+    dense = np.zeros((len(x) + len(y), columns), np.float32)
+    dense[np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)]), column] = 1
+    return np.rint(dense[: len(x)] @ dense[len(x) :].T).astype(np.int64)
+
+
+def _joining(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components inside a bucket. mixed: key, doc_id, component, outside (of the bucket's main component), n (its members)."""
+
+    def judge(part: pd.DataFrame) -> list[tuple[int, int]]:
+        if not part.outside.any():
+            return []
+        sets = [np.frombuffer(s, np.uint64) for s in part.shingles]
+        ids, comp, block, size = part.doc_id.to_numpy(), part.component.to_numpy(), part.block.to_numpy(), np.array([len(s) for s in sets])
+        crossed, forest, links = bool((part.i != part.j).iloc[0]), Forest(), []
+        outside = np.flatnonzero(part.outside.to_numpy())
+        for k in range(0, len(outside), 256):
+            rows = outside[k : k + 256]
+            common = intersections([sets[i] for i in rows.tolist()], sets)
+            linked = (100 * common >= percent * (size[rows][:, None] + size[None, :] - common)) & (comp[rows][:, None] != comp[None, :])
+            if crossed:
+                linked &= block[rows][:, None] != block[None, :]
+            for i, j in zip(*(v.tolist() for v in np.nonzero(linked)), strict=True):
+                if forest.join(int(comp[rows[i]]), int(comp[j])):
+                    links.append((int(ids[rows[i]]), int(ids[j])))
+        return links
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = ["key", "i", "j"]
+        for part in whole_groups(batches, key):
+            found = [link for _, group in part.groupby(key, sort=False) for link in judge(group)]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = mixed.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", "doc_id", "component", "outside", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.join(sets.select(F.col("id").alias("doc_id"), "shingles"), "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInPandas(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,33 +236,30 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     prints = checkpointed(_fingerprints(rows, shingle_words))
     # one class per set of shingles; its copies need no comparison
     classes = prints.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("rep"))
-    labelled = prints.join(classes, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"))
-    labelled = checkpointed(labelled)
+    labelled = checkpointed(prints.join(classes, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
 
     bands = labelled.filter(F.col("keys").isNotNull()).select("doc_id", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    members = checkpointed(bands.join(shared, "key"))
+    names = [f"c{k}" for k in range(CENTRES)]
     centres = [F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")) if k else F.min("doc_id") for k in range(CENTRES)]
-    buckets = bands.groupBy("key").agg(*[c.alias(f"c{k}") for k, c in enumerate(centres)], F.count("*").alias("n")).filter(F.col("n") > 1)
-    members = checkpointed(bands.join(buckets, "key"))
-    starred = members.select(F.col("doc_id").alias("x"), F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("y")).filter(F.col("x") != F.col("y"))
+    buckets = members.groupBy("key", "n").agg(*[c.alias(name) for c, name in zip(centres, names, strict=True)]).select("key", F.array_distinct(F.array(*names)).alias("centres"))
+    starred = members.join(buckets, "key").select(F.col("doc_id").alias("x"), F.explode("centres").alias("y")).filter(F.col("x") != F.col("y"))
     pairs = starred.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    # signatures and sets of the documents in any bucket with others
-    active = members.select("doc_id").distinct()
-    sets = checkpointed(_sets(rows.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle_words))
+    sets = checkpointed(_sets(rows, members.select("doc_id").distinct(), shingle_words))
     links = checkpointed(_verified(pairs, sets, percent))
 
     joined = connected_components(links)
-    placed = members.select("key", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # a bucket with at most one member besides its centres has been compared whole
+    large = members.join(buckets.select("key", F.size("centres").alias("centres")), "key").filter(F.col("n") - F.col("centres") > 1)
+    placed = large.select("key", "n", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     # the component that most members of a bucket lie in; only pairs with a member outside it can be new
-    held = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = held.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
-    mixed = checkpointed(placed.join(main.select("key", "main"), "key"))
-    outside = mixed.filter(F.col("component") != F.col("main")).select("key", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    every = mixed.select("key", F.col("doc_id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("inside"))
-    across = outside.join(every, "key").filter((F.col("cx") != F.col("cy")) & (F.col("inside") | (F.col("x") < F.col("y"))))
-    rest = across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionAll(_verified(rest, sets, percent))
+    held = placed.groupBy("key", "component").agg(F.count("*").alias("held"))
+    main = held.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
+    mixed = placed.join(main.select("key", "main"), "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("outside"), "n")
+    links = links.unionAll(_joining(mixed, sets, percent))
 
     final = connected_components(links).withColumnRenamed("id", "rep")
-    out = labelled.join(final, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
+    out = labelled.select("doc_id", "n_shingles", "rep").join(final, "rep", "left")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
