@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, embedding_dedup, html_text, language_id, minhash, mixing, pii, token_counts, url_filter
+from quire.llm import decontaminate, embedding_dedup, html_text, language_id, lm, minhash, mixing, pii, token_counts, url_filter
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +59,12 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_url_filter, op4_source_mix, op5_token_counts, op6_decontaminate, op7_pii, op8_html_text, op9_minhash_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_url_filter, op4_source_mix, op5_token_counts, op6_decontaminate, op7_pii, op8_html_text, op9_minhash_dedup, op10_lm_score)}
 
 
 OP3_SQL = r"""
