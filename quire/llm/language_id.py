@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import id_bucket
 
-#: Bounds of the fit: texts per language, code points of each, and languages.
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES = 400, 3000, 500
+#: Bounds of the fit: texts per language and in all, code points of each, and languages.
+SAMPLE_PER_LANGUAGE, SAMPLE, SAMPLE_CHARS, MAX_LANGUAGES = 400, 2000, 3000, 200
 #: Families are merged while their mean profiles are more alike than this.
 FAMILY_LINK = 0.75
-HASH_BITS, EPOCHS, L2, SEED = 15, 12, 1e-4, 5
+HASH_BITS, EPOCHS, L2, SEED = 14, 12, 1e-4, 5
 UNKNOWN = "und"
 
 #: Lower case for ASCII letters; all else that is no letter or high byte becomes a blank.
@@ -56,26 +56,23 @@ def profile(text: bytes) -> np.ndarray:
     return x / max(x.sum(), 1.0)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """A linear machine on the squared hinge loss, by averaged stochastic gradient steps in small batches."""
+def train_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """A linear machine between the rows of x with y = 1 and y = -1, on the squared hinge loss, by averaged gradient steps in small batches."""
     rnd = np.random.default_rng(SEED)
-    # rare features weigh more: profiles are sums of few large and many small shares
-    scale = 1 / np.sqrt(x.mean(0) + 1e-6)
-    xs = x * scale
-    xs_norm = float((xs**2).sum(1).mean())
-    w, b, total, total_b, n = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, 0
+    norm = float(np.mean([x[r] @ x[r] for r in rows.tolist()]))
+    w, b, total, total_b, n = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0, 0
     weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9))
     for epoch in range(EPOCHS):
         order = rnd.permutation(len(y))
+        rate = 1 / (1 + 0.3 * epoch)
         for part in np.array_split(order, max(1, len(y) // 16)):
-            margin = y[part] * (xs[part] @ w + b)
-            slack = np.maximum(0, 1 - margin) * y[part] * weight[part]
-            rate = 1 / (1 + 0.3 * epoch)
-            w = w * (1 - L2 * rate) + rate * (slack @ xs[part]) / (len(part) * xs_norm)
+            xs = x[rows[part]]
+            slack = np.maximum(0, 1 - y[part] * (xs @ w + b)) * y[part] * weight[part]
+            w = w * np.float32(1 - L2 * rate) + (rate / (len(part) * norm)) * (slack.astype(np.float32) @ xs)
             b += rate * float(slack.mean()) * 0.1
             if epoch >= EPOCHS // 3:
                 total, total_b, n = total + w, total_b + b, n + 1
-    return (total / n * scale).astype(np.float32), total_b / n
+    return total / n, total_b / n
 
 
 @dataclass
@@ -136,17 +133,22 @@ def families_of(means: np.ndarray) -> list[list[int]]:
 def fit(samples: list[tuple[str, bytes]]) -> Model:
     languages = sorted({lang for lang, _ in samples})
     y = np.array([languages.index(lang) for lang, _ in samples], int)
-    x = np.stack([profile(t) for _, t in samples]) if samples else np.zeros((0, 1 << HASH_BITS), np.float32)
+    x = np.zeros((len(samples), 1 << HASH_BITS), np.float32)
+    for row, (_, t) in zip(x, samples, strict=True):
+        row[:] = profile(t)
     groups = families_of(np.stack([x[y == k].mean(0) for k in range(len(languages))])) if languages else []
-    machines, pairs = [], []
-    for g in groups if len(groups) > 1 else groups[:1]:
-        machines.append(train_svm(x, np.where(np.isin(y, g), 1.0, -1.0)) if len(groups) > 1 else (np.zeros(x.shape[1], np.float32), 0.0))
+    # rare n-grams weigh more: profiles are sums of few large and many small shares
+    scale = (1 / np.sqrt(x.mean(0) + 1e-6)).astype(np.float32) if len(x) else np.ones(x.shape[1], np.float32)
+    x *= scale
+    every, machines, pairs = np.arange(len(y)), [], []
+    for g in groups if len(groups) > 1 else []:
+        machines.append(train_svm(x, every, np.where(np.isin(y, g), 1.0, -1.0)))
     for g in groups:
         for a, b in combinations(g, 2):
-            rows = (y == a) | (y == b)
+            rows = np.flatnonzero((y == a) | (y == b))
             pairs.append((len(machines), a, b))
-            machines.append(train_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0)))
-    weights = np.stack([w for w, _ in machines], 1) if machines else np.zeros((1 << HASH_BITS, 0), np.float32)
+            machines.append(train_svm(x, rows, np.where(y[rows] == a, 1.0, -1.0)))
+    weights = np.stack([w * scale for w, _ in machines], 1) if machines else np.zeros((1 << HASH_BITS, 0), np.float32)
     return Model(languages, groups, weights, np.array([b for _, b in machines]), pairs)
 
 
@@ -155,7 +157,7 @@ def has_letter(text: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, held_out: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes]]:
-    """At most SAMPLE_PER_LANGUAGE rows of each language, those with the smallest hash, cut to SAMPLE_CHARS.
+    """At most SAMPLE_PER_LANGUAGE rows of each language and about SAMPLE in all, those with the smallest hash, cut to SAMPLE_CHARS.
 
     Hashes are thinned per language first, by the language's row count, so the texts that are
     ranked number a few times the sample.
@@ -164,10 +166,11 @@ def labelled_sample(docs: DataFrame, held_out: Column, id_col: str, text_col: st
     counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return []
+    each = min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE // len(counts)))
     hashed = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1 << 30))
-    bound = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1 << 30, int(2 * SAMPLE_PER_LANGUAGE / r["count"] * (1 << 30)) + 1))])
+    bound = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1 << 30, int((2 * each + 20) / r["count"] * (1 << 30)) + 1))])
     thin = rows.select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text")).filter(F.col("h") < bound[F.col("lang")])
-    kept = thin.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, SAMPLE_PER_LANGUAGE).alias("sample"))
+    kept = thin.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, each).alias("sample"))
     found = kept.select("lang", F.explode("sample.text").alias("text")).collect()
     return sorted((r["lang"], r["text"].encode()) for r in found)
 
