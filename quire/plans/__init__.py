@@ -1,0 +1 @@
+"""Whole plans: driver queries with their SQL, and the extract pipeline."""

@@ -1,0 +1,11 @@
+"""Explicit schemas of the document tables; sources never infer them."""
+
+from __future__ import annotations
+
+RUNS = "doc_id long, page int, run_no int, str string, x double, y double, w double, h double, baseline_y double, em double, advance double, font_key string, bold boolean, italic boolean, mono boolean, skewed boolean, mcid string, conf double, script string"
+TEXT_ITEMS = "doc_id long, page int, seq int, type string, str string, transform array<double>, width double, height double, font_name string, mc_id string, mc_tag string"
+FONT_STYLES = "doc_id long, page int, font_name string, font_family string"
+LINES = "doc_id long, page int, line_no int, x double, y double, w double, h double, baseline_y double, em double, text string, bold boolean, n_runs long"
+BLOCKS = "doc_id long, ord int, page int, kind string, level int, text string, x double, y double, w double, h double"
+PACKAGE_FILES = "doc_id long, ord int, path string, data binary"
+ISSUES = "doc_id long, severity string, code string, message string, path string"
