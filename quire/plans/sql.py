@@ -1,2 +1,175 @@
-def oracle_sql():
-    return {}
+"""The driver queries in SQL, written apart from the DataFrame code they check."""
+
+from __future__ import annotations
+
+WS = r"[\x09-\x0D\x20\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+MARKER = r"(?i)^(\d+[.)]|[a-z][.)]|\([a-z0-9]+\)|[•·▪◦‣–—*])[\t\n\v\f\r ]+"
+
+RUNS = """
+para AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(len(string_split(text, chr(10))))) AS para FROM documents),
+words AS (SELECT doc_id, para, unnest(t) AS str, unnest(range(len(t))) AS k, len(t) AS para_len FROM (SELECT doc_id, para, list_filter(string_split(p, ' '), lambda x: x <> '') AS t FROM para)),
+laid AS (SELECT *, row_number() OVER o - 1 AS run_no, sum(CASE WHEN k % 12 = 0 THEN 1 ELSE 0 END) OVER o - 1 AS line, CASE WHEN para_len <= 6 THEN 14 ELSE 10 END AS em, length(str) * 6 AS advance
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY para, k)),
+runs AS (SELECT doc_id, (line // 40)::INT AS page, run_no::INT AS run_no, str,
+  (72 + coalesce(sum(advance + CASE WHEN em = 14 THEN 4 ELSE 3 END) OVER (PARTITION BY doc_id, line ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS x,
+  (72 + 14 * (line % 40))::INT AS baseline_y, em, advance::INT AS advance, para_len <= 6 AS bold, line::INT AS laid_line FROM laid)"""
+
+
+def islands(source: str) -> str:
+    return f"""
+isl AS (SELECT *, (sum(st) OVER (PARTITION BY doc_id, page ORDER BY baseline_y, x, run_no) - 1)::INT AS line_no FROM (
+  SELECT *, CASE WHEN lag(run_no) OVER w IS NULL OR abs(baseline_y - lag(baseline_y) OVER w) * 10 >= greatest(em, lag(em) OVER w) * 4 THEN 1 ELSE 0 END AS st
+  FROM {source} WINDOW w AS (PARTITION BY doc_id, page ORDER BY baseline_y, x, run_no)))"""
+
+
+GAPS = """
+gaps AS (SELECT *, (x - lag(x) OVER w - lag(advance) OVER w) / greatest(em, lag(em) OVER w)::DOUBLE AS gap, lag(str) OVER w AS bef, lag(advance) OVER w AS adv_bef, greatest(em, lag(em) OVER w)::DOUBLE AS em_max
+  FROM isl WINDOW w AS (PARTITION BY doc_id, page, line_no ORDER BY x, run_no))"""
+MODAL = """
+ems AS (SELECT doc_id, page, line_no, em, sum(length(str)) AS chars, min(x) AS x, min(run_no) AS run FROM isl GROUP BY doc_id, page, line_no, em),
+modal AS (SELECT doc_id, page, line_no, em FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line_no ORDER BY chars DESC, x, run) AS r FROM ems) WHERE r = 1)"""
+
+
+def joined(ratio: str, source: str = "gaps") -> str:
+    return f"""
+texts AS (SELECT doc_id, page, line_no, string_agg(CASE WHEN gap >= 1.2 THEN chr(31) WHEN gap >= greatest({ratio}, 0.16) AND NOT (ends_with(bef, ' ') OR starts_with(str, ' ')) THEN ' ' ELSE '' END || str, '' ORDER BY x, run_no) AS text FROM {source} GROUP BY ALL)"""
+
+
+FACTS = """
+facts AS (SELECT doc_id, page, line_no, min(x)::BIGINT AS x, (max(x + advance) - min(x))::BIGINT AS w, min(baseline_y - em)::BIGINT AS y, (max(baseline_y) - min(baseline_y - em))::BIGINT AS h,
+  median(baseline_y)::DOUBLE AS baseline_y, sum(CASE WHEN bold THEN length(str) ELSE 0 END) > sum(length(str)) * 0.6 AS bold, count(*) AS n_runs FROM isl GROUP BY ALL)"""
+LINES = ",".join([RUNS, islands("runs"), GAPS, MODAL, joined("0.25"), FACTS]) + """,
+lines AS (SELECT * FROM facts JOIN modal USING (doc_id, page, line_no) JOIN texts USING (doc_id, page, line_no))"""
+
+
+def squeezed(text: str) -> str:
+    return f"trim(regexp_replace(translate({text}, chr(31), ' '), '{WS}+', ' ', 'g'))"
+
+
+CANDIDATES = LINES + rf""",
+plains AS (SELECT *, {squeezed("text")} AS plain FROM lines),
+doc_ems AS (SELECT doc_id, em, sum(length(plain)) AS chars, min(page * 1000 + line_no) AS spot FROM plains GROUP BY doc_id, em),
+bodies AS (SELECT doc_id, em AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, spot) AS r FROM doc_ems) WHERE r = 1),
+cand AS (SELECT *, length(plain) BETWEEN 1 AND 120 AND NOT regexp_matches(plain, '[.!?:;,]\z') AND (em >= body * 1.12 OR (bold AND length(plain) <= 80 AND em >= body * 0.95)
+  OR (length(plain) <= 60 AND regexp_matches(plain, '^[^\p{{Ll}}]+\z') AND regexp_matches(plain, '\p{{Lu}}') AND em >= body * 0.9)) AS candidate FROM plains JOIN bodies USING (doc_id))"""
+DEPTH = r"CASE WHEN regexp_extract({t}, '^(\d+(?:\.\d+)*)[\t\n\v\f\r ]+[^\t\n\v\f\r ]', 1) <> '' THEN len(string_split(regexp_extract({t}, '^(\d+(?:\.\d+)*)[\t\n\v\f\r ]+[^\t\n\v\f\r ]', 1), '.')) END"
+# the layout has two sizes, 29 % apart, so every size of a page is a level of its own
+HEADINGS = CANDIDATES + f""",
+ranks AS (SELECT doc_id, page, em, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY em DESC) AS lev FROM (SELECT DISTINCT doc_id, page, em FROM cand WHERE candidate)),
+numbered AS (SELECT doc_id, count(*) FILTER (candidate AND ({DEPTH.format(t="plain")}) IS NOT NULL) >= 3 AS numbered FROM cand GROUP BY doc_id),
+heads AS (SELECT cand.*, CASE WHEN NOT candidate THEN 0 ELSE least(4, greatest(1, coalesce(CASE WHEN numbered THEN {DEPTH.format(t="plain")} END, lev, 1))) END::INT AS heading_level
+  FROM cand JOIN numbered USING (doc_id) LEFT JOIN ranks USING (doc_id, page, em))"""
+BREAKS = HEADINGS + rf""",
+edges AS (SELECT doc_id, page, min(x) AS le, max(x + w) AS re FROM heads GROUP BY ALL),
+prev AS (SELECT *, baseline_y - pb AS gap FROM (SELECT *, lag(plain) OVER o AS pt, lag(x + w) OVER o AS pend, lag(em) OVER o AS pem, lag(bold) OVER o AS pbold, lag(baseline_y) OVER o AS pb, lag(heading_level) OVER o AS ph, lag(page) OVER o AS pp, lag(line_no) OVER o AS pl
+  FROM heads WINDOW o AS (PARTITION BY doc_id ORDER BY page, line_no))),
+lead AS (SELECT doc_id, page, coalesce(median(gap) FILTER (pp = page AND gap > 0), 0) AS ldg FROM prev GROUP BY ALL),
+style AS (SELECT doc_id, page, count(*) FILTER (ok) > 0 AND count(*) FILTER (ok AND x - le > em * 0.5) / greatest(count(*) FILTER (ok), 1)::DOUBLE > 0.5 AS indents
+  FROM (SELECT *, pp = page AND NOT (ldg > 0 AND gap > ldg * 1.35) AS ok FROM prev JOIN lead USING (doc_id, page) JOIN edges USING (doc_id, page)) GROUP BY ALL),
+broken AS (SELECT *, pl IS NULL OR ((heading_level <> 0 OR ph <> 0) AND NOT (heading_level <> 0 AND heading_level = ph AND (ldg <= 0 OR (gap > 0 AND gap <= ldg * 1.35)))) OR
+  CASE WHEN regexp_matches(pt, '[-\x{{2010}}\x{{00AD}}]\z') OR length(replace(pt, ')', '')) > length(replace(pt, '(', '')) OR length(replace(pt, ']', '')) > length(replace(pt, '[', '')) THEN false
+       WHEN ldg > 0 AND gap > ldg * 1.35 THEN true
+       WHEN indents AND x - le > em * 0.5 THEN true
+       WHEN regexp_matches(plain, '{MARKER}') THEN true
+       WHEN pend < re - em * 2.5 AND regexp_matches(pt, '[.!?"''”’)\]]\z') THEN true
+       WHEN abs(em - pem) / em > 0.1 THEN true ELSE bold <> pbold END AS breaks
+  FROM prev JOIN lead USING (doc_id, page) JOIN edges USING (doc_id, page) JOIN style USING (doc_id, page))"""
+TRACKED = ",".join([RUNS, """
+cut AS (SELECT *, row_number() OVER w - 1 AS word, coalesce(sum(length(str)) OVER (PARTITION BY doc_id, laid_line ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars
+  FROM runs WHERE doc_id % 10 = 0 AND laid_line < 5 WINDOW w AS (PARTITION BY doc_id, laid_line ORDER BY run_no)),
+tracked AS (SELECT doc_id, page, (run_no * 1000 + k)::INT AS run_no, substr(str, k::INT + 1, 1) AS str, (72 + 9 * (chars + k) + 6 * word)::INT AS x, baseline_y, em, 6 AS advance
+  FROM (SELECT *, unnest(range(length(str))) AS k FROM cut))""", islands("tracked"), GAPS])
+OTSU = """
+sorted AS (SELECT doc_id, page, line_no, gap, row_number() OVER (PARTITION BY doc_id, page, line_no ORDER BY gap) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page, line_no) AS n, sum(gap) OVER (PARTITION BY doc_id, page, line_no) AS total FROM gaps WHERE gap BETWEEN -0.05 AND 3),
+cum AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, page, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM sorted),
+scored AS (SELECT *, low / i AS ml, (total - low) / (n - i) AS mh, (i / n::DOUBLE) * (1 - i / n::DOUBLE) * pow(low / i - (total - low) / (n - i), 2) AS v FROM cum WHERE i > 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line_no ORDER BY v DESC, i) AS r FROM scored) WHERE r = 1 AND v > 0),
+cluster AS (SELECT doc_id, page, line_no, least(greatest((ml + mh) / 2, 0.16), 1.0) AS ratio FROM best WHERE n >= 6 AND mh - ml >= 0.2 AND i / n::DOUBLE >= 0.4)"""
+BLOCKS = """
+blocks AS (SELECT doc_id, ord::INT AS ord, text, CASE WHEN length(text) < 60 THEN 'h' WHEN length(text) % 11 = 0 THEN 'rule' ELSE 'p' END AS kind, CASE WHEN length(text) < 60 THEN length(text) % 3 + 1 ELSE 0 END::INT AS level
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents) WHERE trim(text) <> '')"""
+SPLIT = BLOCKS + """,
+counts AS (SELECT doc_id, count(*) FILTER (kind = 'h' AND level = 1) AS h1, count(*) FILTER (kind = 'h' AND level = 2) AS h2 FROM blocks GROUP BY doc_id),
+split AS (SELECT *, CASE WHEN h1 >= 3 THEN 1 WHEN h2 >= 3 THEN 2 END::INT AS split_level FROM counts)"""
+MERGED = SPLIT + """,
+grouped AS (SELECT blocks.*, sum(CASE WHEN kind = 'h' AND level = split_level THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord)::INT AS grp FROM blocks JOIN split USING (doc_id)),
+sizes AS (SELECT doc_id, grp, count(*) FILTER (kind NOT IN ('pagebreak', 'rule')) AS substantive FROM grouped GROUP BY ALL),
+numbered AS (SELECT *, sum(CASE WHEN first OR substantive >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY grp)::INT AS chapter FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp) = 1 AS first FROM sizes)),
+merged AS (SELECT grouped.*, substantive, chapter FROM grouped JOIN numbered USING (doc_id, grp))"""
+PARTS = """(SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10)))))::INT AS k FROM documents)"""
+GLYPHS = r"list_transform(string_split(t, ' '), lambda x: CASE WHEN length(x) = 1 AND regexp_matches(x, '[\p{L}\p{N}]') THEN 1 WHEN length(x) = 1 THEN 0 ELSE -1 END)"
+
+SQL: dict[str, str] = {
+    "runs_layout": f"WITH {RUNS} SELECT doc_id, page, run_no, str, x, baseline_y, em, advance, bold FROM runs",
+    "w2_line_islands": f"WITH {RUNS}, {islands('runs')} SELECT doc_id, page, line_no, count(*) AS n_runs, min(run_no) AS first_run FROM isl GROUP BY ALL",
+    "a1_line_modal_em": f"WITH {RUNS}, {islands('runs')}, {MODAL} SELECT doc_id, page, line_no, em::DOUBLE AS em FROM modal",
+    "a3_line_facts": f"WITH {RUNS}, {islands('runs')}, {FACTS} SELECT * FROM facts",
+    "a2_body_em": f"WITH {CANDIDATES} SELECT doc_id, body::DOUBLE AS body FROM bodies",
+    "a5_leading": f"WITH {LINES} SELECT doc_id, page, coalesce(median(gap) FILTER (gap > 0), 0)::DOUBLE AS leading FROM (SELECT doc_id, page, baseline_y - lag(baseline_y) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS gap FROM lines) GROUP BY ALL",
+    "f4_scanned_pages": f"WITH {RUNS} SELECT doc_id, page, sum(length(trim(str)))::BIGINT AS chars FROM runs GROUP BY ALL HAVING sum(length(trim(str))) < 40",
+    "g2_join_fixed": f"WITH {RUNS}, {islands('runs')}, {GAPS}, {joined('0.25')} SELECT * FROM texts",
+    "g3_space_calibration": f"""WITH {RUNS}, {islands('runs')}, spaced AS (SELECT doc_id, page, line_no, run_no * 2 AS run_no, str, x, em, advance FROM isl WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, page, line_no, run_no * 2 + 1, ' ', x + advance, em, 3 FROM isl WHERE doc_id % 10 = 0),
+g AS (SELECT *, lag(str) OVER w AS bef, lag(advance) OVER w AS ab, x - lag(x) OVER w - lag(advance) OVER w AS d, greatest(em, lag(em) OVER w)::DOUBLE AS m FROM spaced WINDOW w AS (PARTITION BY doc_id, page, line_no ORDER BY x, run_no)),
+f AS (SELECT doc_id, page, line_no, median(CASE WHEN bef = ' ' THEN ab WHEN str = ' ' THEN advance END / m) AS space, median(CASE WHEN bef <> ' ' AND str <> ' ' THEN d / m END) AS tracking FROM g WHERE bef IS NOT NULL GROUP BY ALL)
+SELECT doc_id, page, line_no, round(least(greatest(greatest(0, coalesce(tracking, 0)) + 0.45 * space, 0.16), 1.0), 6)::DOUBLE AS ratio FROM f WHERE space IS NOT NULL""",
+    "g4_cluster_calibration": f"WITH {TRACKED}, {OTSU} SELECT doc_id, page, line_no, round(ratio, 6)::DOUBLE AS ratio FROM cluster",
+    "g1_calibrated_text": f"WITH {TRACKED}, {OTSU}, rated AS (SELECT gaps.*, coalesce(ratio, 0.25) AS ratio FROM gaps LEFT JOIN cluster USING (doc_id, page, line_no)), {joined('ratio', 'rated')} SELECT * FROM texts",
+    "f5_heading_candidates": f"WITH {CANDIDATES} SELECT doc_id, page, line_no, candidate FROM cand",
+    "h1_headings": f"WITH {HEADINGS} SELECT doc_id, page, line_no, heading_level FROM heads",
+    "a9_numbering": f"WITH {LINES.replace('lines AS (SELECT * FROM facts', 'base AS (SELECT * FROM facts')}, lines AS (SELECT * REPLACE (CASE WHEN bold AND doc_id % 3 = 0 THEN (page + 1) || '.' || (line_no + 1) || ' ' || text ELSE text END AS text) FROM base){CANDIDATES[len(LINES):]} SELECT doc_id, count(*) FILTER (candidate AND ({DEPTH.format(t='plain')}) IS NOT NULL) AS n_numbered, count(*) FILTER (candidate AND ({DEPTH.format(t='plain')}) IS NOT NULL) >= 3 AS numbered FROM cand GROUP BY doc_id",
+    "b2_breaks": f"WITH {BREAKS} SELECT doc_id, page, line_no, breaks FROM broken",
+    "b1_blocks": f"""WITH {BREAKS}, numbered_lines AS (SELECT *, (sum(CASE WHEN breaks THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page, line_no) - 1)::INT AS ord FROM broken),
+b AS (SELECT doc_id, ord, min(page)::INT AS page, arg_min(heading_level, page * 1000 + line_no)::INT AS level, count(*) AS n_lines, string_agg(text, ' ' ORDER BY page, line_no) AS text FROM numbered_lines GROUP BY ALL),
+k AS (SELECT *, CASE WHEN level > 0 THEN 'h' WHEN regexp_matches(text, '{MARKER}') THEN 'list' ELSE 'p' END AS kind FROM b WHERE trim(text) <> '')
+SELECT doc_id, ord, page, kind, level, n_lines, length(CASE WHEN kind = 'list' THEN regexp_replace(text, '{MARKER}', '') ELSE text END)::BIGINT AS n_chars FROM k""",
+    "x_text_checks": rf"""WITH p AS (SELECT *, list_reduce(list_prepend(0, {GLYPHS}), lambda a, c: CASE WHEN c = 0 THEN a WHEN c = -1 THEN a % 100000 ELSE (a // 100000 + 1) * 100000 + greatest(a % 100000, a // 100000 + 1) END) % 100000 AS best,
+  list_filter(string_split_regex(translate(t, chr(31), ' '), '{WS}+'), lambda x: x <> '') AS tokens FROM {PARTS}),
+q AS (SELECT *, best >= 4 AND NOT list_has_any(string_split(t, ' '), ['=', '+', '*', '/', '<', '>', '±', '×', '÷', '≤', '≥', '≠']) AS tracked, length(regexp_replace(t, '{WS}', '', 'g')) AS letters FROM p)
+SELECT doc_id, k, tracked, CASE WHEN len(tokens) >= 4 AND (letters / len(tokens)::DOUBLE < 2 OR len(list_filter(tokens, lambda x: length(x) = 1)) / len(tokens)::DOUBLE > 0.6) THEN 'too-low' WHEN NOT contains(t, ' ') AND letters > 40 THEN 'too-high' ELSE 'ok' END AS verdict,
+  length(replace(t, ')', '')) > length(replace(t, '(', '')) OR length(replace(t, ']', '')) > length(replace(t, '[', '')) AS unclosed, ({DEPTH.format(t='t')})::INT AS depth, length(CASE WHEN tracked THEN replace(t, ' ', '') ELSE t END)::BIGINT AS n_detracked FROM q""",
+    "x11_list_markers": rf"""WITH m AS (SELECT doc_id, ['1. ', '2) ', '(b) ', '• ', '- ', ''][doc_id % 6 + 1] || string_split(text, chr(10))[1] AS line FROM documents)
+SELECT doc_id, regexp_matches(line, '{MARKER}') AS listed, nullif(regexp_extract(line, '^(\d+)[.)][\t\n\v\f\r ]+', 1), '')::INT AS list_start FROM m""",
+    "x12_dehyphenate": r"""WITH w AS (SELECT doc_id, list_slice(list_filter(string_split(regexp_replace(text, '[^\p{L} ]', ' ', 'g'), ' '), lambda x: length(x) > 3), 1, 40) AS w FROM documents)
+SELECT doc_id, coalesce(array_to_string(list_transform(w, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND (lower(left(x, 2)) IN ('co', 're', 'ex') OR NOT regexp_matches(substr(x, 3), '^\p{Ll}')) THEN left(x, 2) || '- ' || substr(x, 3) ELSE x END), ' '), '') AS text FROM w""",
+    "x1_xml_escape": r"""SELECT page_id, md5(replace(replace(replace(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{009F}\x{FFFE}\x{FFFF}]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS body,
+  replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS attribute FROM pages""",
+    "x15_normalize_path": r"""SELECT page_id, array_to_string(list_reduce(list_transform(list_prepend('', string_split('OEBPS/./text/../' || regexp_extract(url, '://[^/]*/?([^?#]*)', 1) || '//img/../c.xhtml', '/')), lambda x: CASE WHEN x IN ('', '.') THEN []::VARCHAR[] ELSE [x] END),
+  lambda a, x: CASE WHEN x = ['..'] THEN list_slice(a, 1, len(a) - 1) ELSE list_concat(a, x) END), '/') AS path FROM pages""",
+    "x16_split_fragment": "SELECT page_id, string_split(url, '#')[1] AS path, CASE WHEN contains(url, '#') THEN substr(url, instr(url, '#') + 1) END AS fragment FROM pages",
+    "k4_filename": rf"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE left(text, 150) END AS t, CASE WHEN doc_id % 3 = 0 THEN ' .a: "' || source || chr(9) || '?  b. ' ELSE '' END AS a, CASE WHEN doc_id % 2 = 0 THEN source ELSE '..' END AS s FROM documents),
+c AS (SELECT doc_id, {{t}} AS t, {{a}} AS a, {{s}} AS s FROM f),
+st AS (SELECT *, CASE WHEN t <> '' AND a <> '' THEN t || ' - ' || a ELSE t END AS stem FROM c)
+SELECT doc_id, CASE WHEN coalesce(nullif(stem, ''), nullif(s, '')) IS NULL THEN 'converted.epub' ELSE rtrim(left(coalesce(nullif(stem, ''), s), 120), '. ') || '.epub' END AS filename FROM st""",
+    "m4_hue": "SELECT doc_id, list_reduce(list_prepend(0, list_transform(string_split(left(text, 40), ''), lambda c: unicode(c))), lambda h, c: (h * 31 + c) % 360)::INT AS hue FROM documents",
+    "t1_toc": f"""WITH RECURSIVE {BLOCKS}, h AS (SELECT doc_id, ord, least(level - min(level) OVER (PARTITION BY doc_id) + 1, 3) AS cap, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM blocks WHERE kind = 'h'),
+d(doc_id, ord, rn, depth, p1, p2) AS (SELECT doc_id, ord, rn, 1, ord, NULL::INT FROM h WHERE rn = 1
+  UNION ALL SELECT h.doc_id, h.ord, h.rn, least(cap, depth + 1), CASE WHEN least(cap, depth + 1) = 1 THEN h.ord ELSE p1 END, CASE WHEN least(cap, depth + 1) = 2 THEN h.ord ELSE p2 END FROM d JOIN h ON h.doc_id = d.doc_id AND h.rn = d.rn + 1)
+SELECT doc_id, ord, depth::INT AS depth, CASE depth WHEN 2 THEN p1 WHEN 3 THEN p2 END::INT AS parent_ord, (rn + 1)::INT AS play_order FROM d""",
+    "c1_split_level": f"WITH {SPLIT} SELECT doc_id, h1, h2, split_level FROM split",
+    "c3_merge": f"WITH {MERGED} SELECT doc_id, ord, grp, substantive, chapter FROM merged",
+    "c4_size_guard": f"""WITH RECURSIVE {MERGED}, s AS (SELECT doc_id, chapter, ord, length(text) + 32 AS w, row_number() OVER (PARTITION BY doc_id, chapter ORDER BY ord) AS rn FROM merged),
+g(doc_id, chapter, ord, rn, held, part) AS (SELECT doc_id, chapter, ord, rn, w, 0 FROM s WHERE rn = 1
+  UNION ALL SELECT s.doc_id, s.chapter, s.ord, s.rn, CASE WHEN held + w > 900 THEN w ELSE held + w END, CASE WHEN held + w > 900 THEN part + 1 ELSE part END FROM g JOIN s ON s.doc_id = g.doc_id AND s.chapter = g.chapter AND s.rn = g.rn + 1)
+SELECT doc_id, chapter, ord, part::INT AS part FROM g""",
+    "j6_marked_content": f"""WITH {RUNS}, o AS (SELECT *, run_no - run_no % 9 AS b FROM runs WHERE doc_id % 5 = 0),
+m AS (SELECT o.doc_id, o.page, (o.run_no * 3 + 1)::INT AS seq, CASE WHEN o.run_no % 9 <= 4 AND s.run_no IS NOT NULL THEN 'm' || o.b END AS mcid, o.run_no % 9 <= 4 AND s.run_no IS NOT NULL AND o.b % 45 = 0 AS artifact
+  FROM o LEFT JOIN o s ON s.doc_id = o.doc_id AND s.page = o.page AND s.run_no = o.b)
+SELECT doc_id, page, seq, mcid FROM m WHERE NOT artifact""",
+    "n3_merge_adjacent": "SELECT conv_id, island::BIGINT AS island, role, count(*) AS n_turns, sum(length(text))::BIGINT AS n_chars FROM (SELECT *, sum(CASE WHEN role IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)) GROUP BY ALL",
+    "j10_dangling_links": """SELECT page_id, count(*) AS n_dangling FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) h
+WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE regexp_extract(p.url, '://[^/]*(/[^?#]*)', 1) = h.href) GROUP BY page_id""",
+    "a16_exactly_one": """SELECT *, n_title = 1 AND n_nav = 1 AS ok FROM (SELECT page_id, len(regexp_extract_all(html, '<title[ >]'))::INT AS n_title, len(regexp_extract_all(html, '<h1[ >]'))::INT AS n_h1, len(regexp_extract_all(html, '<nav[ >]'))::INT AS n_nav FROM pages)""",
+    "v_page_checks": r"""SELECT page_id, 'xhtml-no-xml-encoding' AS code FROM pages WHERE NOT regexp_matches(html, '^<\?xml[^>]*encoding="') UNION ALL SELECT page_id, 'xhtml-no-meta-charset' FROM pages WHERE NOT regexp_matches(html, '(?i)<meta[^>]*charset') UNION ALL SELECT page_id, 'xhtml-large' FROM pages WHERE strlen(html) > 20000""",
+    "a10_doc_stats": f"WITH {BLOCKS} SELECT doc_id, headings, paragraphs, rules, quality, toxic FROM (SELECT doc_id, count(*) FILTER (kind = 'h') AS headings, count(*) FILTER (kind = 'p') AS paragraphs, count(*) FILTER (kind = 'rule') AS rules FROM blocks GROUP BY doc_id) LEFT JOIN labels USING (doc_id)",
+    "o7_title_fallback": f"""WITH {BLOCKS}, first AS (SELECT doc_id, nullif(trim(arg_min(text, ord)), '') AS heading FROM blocks WHERE kind = 'h' GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Title ' || doc_id WHEN heading IS NOT NULL THEN heading ELSE source END AS title, CASE WHEN doc_id % 10 = 0 THEN 'override' WHEN heading IS NOT NULL THEN 'heading' ELSE 'filename' END AS title_source FROM documents LEFT JOIN first USING (doc_id)""",
+    "rel_segment_revenue": "SELECT c_mktsegment AS segment, year(o_orderdate)::INT AS year, count(*) AS n_lines, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment, year(o_orderdate)::INT)",
+    "rel_event_sessions": "SELECT user_id, session::BIGINT AS session, count(*) AS n_events, min(event_id) AS first_event FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)) GROUP BY ALL",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    def stem(c: str) -> str:
+        return rf"""trim(trim(regexp_replace(regexp_replace({c}, '[/\\?%*:|"<>\x00-\x1F\x7F]', '', 'g'), '{WS}+', ' ', 'g'), '. '))"""
+
+    return SQL | {"k4_filename": SQL["k4_filename"].format(t=stem("t"), a=stem("a"), s=stem("s"))}
