@@ -129,8 +129,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def text(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
     base = F.filter("spans", lambda s: s["kind"] < 4)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     return grouped.select("doc_id", *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
