@@ -158,7 +158,7 @@ class Index:
                 for d in hits:
                     if all(self._holds(part, words[s:e], held) for part in self.parts[d]):
                         found.add(d)
-        return sorted(self.ids[d] for d in found)
+        return sorted({self.ids[d] for d in found})
 
     @staticmethod
     def _holds(part: set[tuple[bytes, ...]], words: list[bytes], held: dict[int, set]) -> bool:

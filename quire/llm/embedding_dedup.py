@@ -53,7 +53,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def bucket_codes(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
     """For unit rows: the codes of each row's probes, tables x PROBES of them, distinct within a row."""
-    size = max(2, 1 << (x.shape[1] - 1).bit_length())
+    size = max(4, 1 << (x.shape[1] - 1).bit_length())
     padded = np.zeros((len(x), size), np.float32)
     padded[:, : x.shape[1]] = x
     rnd, out = np.random.default_rng(SEED), []
@@ -72,7 +72,7 @@ def bucket_codes(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
         cost = np.stack([sum(loss[i][:, c[i]] for i in range(HASHES)) for c in combos], 1)
         best = np.argsort(cost, 1, kind="stable")[:, :PROBES]
         code = np.stack([sum((vertices[i][:, c[i]].astype(np.int64)) * (2 * size) ** i for i in range(HASHES)) for c in combos], 1)
-        out.append(np.take_along_axis(code, best, 1) * tables + t)
+        out.append((np.take_along_axis(code, best, 1) * tables + t) % (2**31 - 1))
     return np.stack(out, 1).reshape(len(x), -1) if len(x) else np.zeros((0, tables * PROBES), np.int64)
 
 

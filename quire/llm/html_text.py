@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 TRAIN_PAGES, TREES, DEPTH, BINS, RATE = 500, 40, 4, 32, 0.3
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+UNENDED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -134,7 +135,7 @@ def parse(html: str) -> list[Node]:
         if not m[3].endswith("/") or tag not in INLINE:
             stack.append(tag)
     if at < len(html):
-        node.parts.append(html[at:])
+        node.parts.append(UNENDED.sub("", html[at:]))
     for n in reversed(nodes):
         text = "".join(p for p in n.parts if isinstance(p, str))
         n.own = len(text.strip())
