@@ -6,10 +6,10 @@ both from the recurrent state. All other words are the tail, one more class,
 in which a word's share follows its count over all training texts. The state
 is carried from window to window through a whole document.
 
-Counts cover all training texts. The network is trained by truncated
-backpropagation on a fixed fraction of them (more of a small corpus), in shards
-whose number grows with the sample: each shard starts a round from the same
-weights, and the rounds' weights are averaged.
+Counts and network cover all training texts. The network is trained by
+truncated backpropagation in shards whose number grows with the corpus: each
+shard starts a round from the same weights, and the rounds' weights are
+averaged.
 
 Edge cases: a null or blank text is its end token alone; a word that no
 training text holds counts 0; without training texts every token has the same
@@ -33,14 +33,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, id_bucket
+from quire.llm.common import checkpointed, id_bucket, whole_groups
 
 #: Words that every task knows the counts of, words of the head, and words to a class.
 HOT, HEAD, CLASS = 100_000, 2048, 64
 #: Inputs for tail words, by their last two bytes; units; steps of a window; lanes of a batch.
 ENDINGS, UNITS, STEPS, LANES = 64, 32, 32, 512
-#: Share of the training texts, least tokens, tokens to a shard, rounds and step size of the training.
-FRACTION, LEAST_TOKENS, SHARD_TOKENS, ROUNDS, RATE = 1 / 16, 1_500_000, 400_000, 4, 0.06
+#: Tokens to a shard, rounds and step size of the training.
+SHARD_TOKENS, ROUNDS, RATE = 400_000, 4, 0.06
 #: Tokens scored together, words counted before they are handed on, models averaged at once.
 BATCH_TOKENS, FLUSH, AVERAGED = 1_500_000, 400_000, 8
 END, SEED = b"", 7
@@ -298,31 +298,36 @@ def _average(models: DataFrame) -> bytes | None:
     return mean(pd.Series([bytes(r["data"]) for r in rows]), pd.Series([r["n"] for r in rows])) if rows else None
 
 
-def _trainer(shared: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Trains a copy of the shared model on one shard."""
+def _trainer(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Trains a copy of the shared model on each shard of a partition sorted by shard; gives the copies' average, by their tokens."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        own = copy(shared.value)
-        own.w = {k: v.copy() for k, v in own.w.items()}
-        docs = [own.ids(tokens(t))[0] for t in sorted(part["text"])]
-        train(own, docs)
-        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "n": [sum(map(len, docs))], "data": [own.pack()]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n, least = 0.0, 0, 0
+        for part in whole_groups(batches, ["shard"]):
+            for shard, rows in part.groupby("shard"):
+                own = copy(shared.value)
+                own.w = {k: v.copy() for k, v in own.w.items()}
+                docs = [own.ids(tokens(t))[0] for t in sorted(rows["text"])]
+                train(own, docs)
+                least = least if n else int(shard)
+                k = sum(map(len, docs))
+                total, n = total + np.frombuffer(own.pack(), np.float32) * np.float64(k), n + k
+        if n:
+            yield pd.DataFrame({"shard": [least], "n": [n], "data": [(total / n).astype(np.float32).tobytes()]})
 
     return run
 
 
 def trained(texts: DataFrame, n_tokens: int, hot: list[tuple[bytes, int]], tail_weight: float) -> Model:
-    """texts: doc_id, text (bytes) of the training documents, n_tokens in all."""
+    """texts: doc_id, text (bytes) of the training documents, n_tokens in all; each is trained on in one round."""
     model = Model(hot, tail_weight)
-    share = min(1.0, max(FRACTION, LEAST_TOKENS / max(n_tokens, 1)))
-    shards = max(2, round(share * n_tokens / SHARD_TOKENS))
-    hashed = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30))
-    sample = texts.withColumn("h", hashed).filter(F.col("h") < int(share * (1 << 30)))
+    shards = max(2, round(n_tokens / SHARD_TOKENS))
     deal = F.xxhash64(F.lit(SEED + 1), "doc_id", "text")
-    sample = checkpointed(sample.select("text", F.pmod(deal, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(deal, 32), F.lit(ROUNDS)).alias("round")))
+    dealt = checkpointed(texts.select("text", F.pmod(deal, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(deal, 32), F.lit(ROUNDS)).alias("round")))
     for k in range(ROUNDS):
         shared = texts.sparkSession.sparkContext.broadcast(model)
-        data = _average(sample.filter(F.col("round") == k).groupBy("shard").applyInPandas(_trainer(shared), "shard long, n long, data binary"))
+        sorted_shards = dealt.filter(F.col("round") == k).select("text", "shard").repartition("shard").sortWithinPartitions("shard")
+        data = _average(sorted_shards.mapInPandas(_trainer(shared), "shard long, n long, data binary"))
         if data is not None:
             model.unpack(data)
     return model

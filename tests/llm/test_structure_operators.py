@@ -240,6 +240,21 @@ def test_gradient_step_lowers_the_loss():
     assert lm.score(model, docs).sum() > 0.5 * before
 
 
+def test_network_trains_on_every_training_text(docs, monkeypatch):
+    average, seen = lm._average, []
+
+    def spy(models):
+        models = lm.checkpointed(models)
+        seen.extend(r["n"] for r in models.collect())
+        return average(models)
+
+    monkeypatch.setattr(lm, "_average", spy)
+    texts = docs([(i, f"some words of text {i}") for i in range(200)]).select("doc_id", F.col("text").cast("binary").alias("text"))
+    hot = [(w, 200) for w in (b"", b"of", b"some", b"text", b"words")]
+    lm.trained(texts, 30_000_000, hot, 201.0)  # told of a corpus so large, it once read a 16th
+    assert sum(seen) == 200 * 6
+
+
 def test_language_model_edges(docs):
     got = lm.score_documents(docs(EDGES)).collect()
     assert len(got) == len(EDGES) and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
