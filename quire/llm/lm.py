@@ -2,9 +2,11 @@
 
 The vocabulary's head, the most frequent words, is cut by rank into classes; a
 word's probability is that of its class times that of the word in its class,
-both from the recurrent state. All other words are the tail, one more class,
-in which a word's share follows its count over all training texts. The state
-is carried from window to window through a whole document.
+both from the recurrent state. All other words are the tail, in classes of their own
+by frequency: a band for each doubling of the rank, and one for the words that
+tasks do not know. The state gives a tail class's probability, and in it a
+word's share follows its count over all training texts. The state is carried
+from window to window through a whole document.
 
 Counts and network cover all training texts. The network is trained by
 truncated backpropagation in shards whose number grows with the corpus: each
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import checkpointed, id_bucket, whole_groups
 
 #: Words that every task knows the counts of, words of the head, and words to a class.
-HOT, HEAD, CLASS = 100_000, 2048, 64
-#: Inputs for tail words, by their last two bytes; units; steps of a window; lanes of a batch.
+HOT, HEAD, CLASS = 100_000, 4096, 64
+#: Inputs for the words of a tail class, by their last two bytes; units; steps of a window; lanes of a batch.
 ENDINGS, UNITS, STEPS, LANES = 64, 32, 32, 512
 #: Tokens to a shard, rounds and step size of the training.
 SHARD_TOKENS, ROUNDS, RATE = 400_000, 4, 0.06
@@ -58,36 +60,45 @@ def ending(word: bytes) -> int:
     return HEAD + (word[-1] * 31 + (word[-2] if len(word) > 1 else 0)) % ENDINGS if word else HEAD
 
 
+def band(rank: int) -> int:
+    """Tail class of a hot word outside the head, from 1 on; 0 is that of the words outside the hot ones."""
+    return (rank // HEAD).bit_length()
+
+
 class Model:
-    """Weights by name. hot: words and counts, most frequent first; the head is its beginning."""
+    """Weights by name. hot: words and counts, most frequent first; the head is its beginning. cold_weight: of the words outside."""
 
-    def __init__(self, hot: list[tuple[bytes, int]], tail_weight: float) -> None:
+    def __init__(self, hot: list[tuple[bytes, int]], cold_weight: float) -> None:
         rnd = np.random.default_rng(SEED)
         head = hot[:HEAD]
         self.rank = {w: i for i, (w, _) in enumerate(hot)}
-        self.input = np.array([i if i < HEAD else ending(w) for i, (w, _) in enumerate(hot)] or [0], np.int32)
+        self.input = np.array([i if i < HEAD else ending(w) + band(i) * ENDINGS for i, (w, _) in enumerate(hot)] or [0], np.int32)
         self.logs = np.log10(np.array([c for _, c in hot] or [0]) + 1.0)
         self.classes = max(1, -(-len(head) // CLASS))
+        bands = 1 + band(max(len(hot) - 1, 0))
         u = UNITS
         self.w = {
-            "x": (rnd.normal(size=(HEAD + ENDINGS, 3 * u)) * 0.1).astype(np.float32),
+            "x": (rnd.normal(size=(HEAD + bands * ENDINGS, 3 * u)) * 0.1).astype(np.float32),
             "u": (rnd.normal(size=(u, 3 * u)) / np.sqrt(u)).astype(np.float32),
-            "c": np.zeros((u, self.classes + 1), np.float32),
+            "c": np.zeros((u, self.classes + bands), np.float32),
             "o": np.zeros((self.classes, u, CLASS), np.float32),
-            "cb": np.zeros(self.classes + 1, np.float32),
+            "cb": np.zeros(self.classes + bands, np.float32),
             "ob": np.full((self.classes, CLASS), -1e4, np.float32),  # places without a word
         }
         # at first the network gives the counts' own distribution
-        share = np.zeros(self.classes + 1)
+        share = np.zeros(self.classes + bands)
         for i, (_, c) in enumerate(head):
             share[i // CLASS] += c + 1
             self.w["ob"][i // CLASS, i % CLASS] = np.log(c + 1)
-        share[-1] = max(tail_weight, 1)
+        for i, (_, c) in enumerate(hot[HEAD:], HEAD):
+            share[self.classes + band(i)] += c + 1
+        share[self.classes] = max(cold_weight, 1)
+        self.tail_logs = np.log10(share[self.classes :])
         self.w["cb"] = np.log(np.maximum(share, 1e-9)).astype(np.float32)
         self.filled = self.w["ob"] > -1e3
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Input ids (head words by their rank, others by their ending) and ranks among the hot words, -1 outside them."""
+        """Input ids (head words by their rank, others by their tail class and ending) and ranks among the hot words, -1 outside them."""
         ranks = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int32, len(words))
         ids = self.input[np.maximum(ranks, 0)]
         cold = np.flatnonzero(ranks < 0)
@@ -112,8 +123,8 @@ class Model:
         return n + z * (h - n), (h, hu[:, 2 * u :], z, r, n)
 
     def output(self, h: np.ndarray, ids: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each id from its state (of a tail word: of the tail); with grad, also the loss's gradient by state."""
-        target = np.where(ids < HEAD, ids // CLASS, self.classes)
+        """Natural log-probability of each id from its state (of a tail word: of its class); with grad, also the loss's gradient by state."""
+        target = np.where(ids < HEAD, ids // CLASS, self.classes + (ids - HEAD) // ENDINGS)
         logits = h @ self.w["c"] + self.w["cb"]
         logits -= logits.max(1, keepdims=True)
         np_exp = np.exp(logits)
@@ -183,7 +194,7 @@ def windows(docs: list[np.ndarray], most: int, mixed: bool = False) -> Iterator[
 
 
 def score(model: Model, docs: list[np.ndarray]) -> np.ndarray:
-    """Natural log-probability of each document, a tail word counting as the tail."""
+    """Natural log-probability of each document, a tail word counting as its class."""
     out, h = np.zeros(len(docs)), np.zeros((min(LANES, len(docs)), UNITS), np.float32)
     for ids, number, start in windows(docs, LANES):
         states = np.empty((len(ids), ids.shape[1], UNITS), np.float32)
@@ -318,9 +329,9 @@ def _trainer(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
     return run
 
 
-def trained(texts: DataFrame, n_tokens: int, hot: list[tuple[bytes, int]], tail_weight: float) -> Model:
+def trained(texts: DataFrame, n_tokens: int, hot: list[tuple[bytes, int]], cold_weight: float) -> Model:
     """texts: doc_id, text (bytes) of the training documents, n_tokens in all; each is trained on in one round."""
-    model = Model(hot, tail_weight)
+    model = Model(hot, cold_weight)
     shards = max(2, round(n_tokens / SHARD_TOKENS))
     deal = F.xxhash64(F.lit(SEED + 1), "doc_id", "text")
     dealt = checkpointed(texts.select("text", F.pmod(deal, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(deal, 32), F.lit(ROUNDS)).alias("round")))
@@ -343,11 +354,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = checkpointed(_counts(texts))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = _hot_words(counts)
-    head = hot[:HEAD]
-    tail_weight = float(n - sum(c for _, c in head) + v - len(head) + 1)
-    model = trained(texts, n, hot, tail_weight)
+    cold_weight = float(n - sum(c for _, c in hot) + v - len(hot) + 1)
+    model = trained(texts, n, hot, cold_weight)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    log_all, log_tail = float(np.log10(n + v + 1)), float(np.log10(tail_weight))
+    log_all = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -362,8 +372,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 logs = model.logs[known]
                 inner = float(logs[known >= HEAD].sum())
                 rest = Counter(words[i] for i in np.flatnonzero(ranks < 0).tolist())
-                out_head = len(words) - int((known < HEAD).sum())
-                found.append((row, doc_id, held_out, len(words), len(known), float(logs.sum()) - len(words) * log_all, inner - out_head * log_tail, [{"word": w, "f": f} for w, f in rest.items()]))
+                shares = float(model.tail_logs[(got[got >= HEAD] - HEAD) // ENDINGS].sum())
+                found.append((row, doc_id, held_out, len(words), len(known), float(logs.sum()) - len(words) * log_all, inner - shares, [{"word": w, "f": f} for w, f in rest.items()]))
             logs = score(model, ids) / np.log(10)
             cols = list(zip(*found, strict=True))
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("f", pa.int64())]))]

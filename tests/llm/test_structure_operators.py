@@ -255,6 +255,22 @@ def test_network_trains_on_every_training_text(docs, monkeypatch):
     assert sum(seen) == 200 * 6
 
 
+def test_tail_words_have_classes_that_follow_the_context():
+    """Two tail words of different frequency alternate; the network learns which comes next."""
+    hot = [(b"w%d" % i, 9000 - i) for i in range(9000)]
+    model = lm.Model(hot, 5.0)
+    ids, _ = model.ids([b"w2100", b"w4100", b"w8200", b"unseen"])
+    assert ids[0] == 2100 and len({(i - lm.HEAD) // lm.ENDINGS for i in ids[1:].tolist()}) == 3
+    total = np.exp(model.w["cb"]).astype(float)
+    assert total.sum() == pytest.approx(sum(c + 1 for _, c in hot) + 5, rel=1e-4)
+    assert total[model.classes + 1] == pytest.approx(sum(c + 1 for _, c in hot[4096:8192]), rel=1e-4)
+    docs = [ids[[1, 2] * 60] for _ in range(30)]
+    before = lm.score(model, docs).sum()
+    for _ in range(6):
+        lm.train(model, docs)
+    assert lm.score(model, docs).sum() > 0.5 * before
+
+
 def test_language_model_edges(docs):
     got = lm.score_documents(docs(EDGES)).collect()
     assert len(got) == len(EDGES) and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
