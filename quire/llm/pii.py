@@ -1,9 +1,9 @@
 """Personal data by fixed forms and by bootstrapped contextual patterns; DataFrame functions only.
 
 Base spans match the fixed forms of e-mail addresses, IP addresses, card and
-phone numbers. They seed a bootstrap: tokens that look like identifiers are
-instances, the word before one together with its shape is a lexical pattern,
-and the graph of patterns and instances is scored round by round. A pattern is
+phone numbers. All of them seed a bootstrap: tokens that look like identifiers and
+runs of digit groups are instances, the word before one together with its shape
+is a lexical pattern, and the graph of patterns and instances is scored round by round. A pattern is
 trusted by the share of its instances that are known, an instance by its best
 pattern, and what trusted patterns extract beyond the base becomes further
 spans, of kind `id`.
@@ -35,6 +35,9 @@ FORMS = (
 )
 #: A run of identifier characters that holds a digit or an at sign, from its start on.
 CANDIDATE = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
+#: Two or more groups of digits, joined by a dot or by spaces, brackets and hyphens; and the least digits of such a run.
+GROUPS = r"(?<![A-Za-z0-9@._%+-])\+?+\(?+[0-9]++(?![A-Za-z@_%])(?:(?:\.|\x20*+[()-]*+\x20*+)[0-9]++(?![A-Za-z@_%]))++"
+LEAST_DIGITS = 7
 
 #: The bootstrap: rounds, smoothing of a pattern's score, least score and least seeds of a trusted pattern.
 ROUNDS, SMOOTHING, TRUSTED, LEAST_SEEDS = 3, 2.0, 0.8, 3
@@ -56,21 +59,21 @@ def _luhn(digits: Column) -> Column:
 def _valid(kind: Column, match: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
     parts = F.forall(F.split(match, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))).between(0, 2) | (F.ltrim(p, F.lit("0")).between("100", "255") & (F.length(F.ltrim(p, F.lit("0"))) == 3)))
-    return F.when(kind == 1, parts).when(kind == 2, F.length(digits).between(12, 19) & _luhn(digits)).when(kind == 3, F.length(digits).between(9, 15)).otherwise(True)
+    return F.when(kind == 1, parts).when(kind == 2, F.length(digits).between(12, 19) & _luhn(digits)).when(kind == 3, F.length(digits).between(9, 15)).when(kind == 5, (F.length(digits) >= LEAST_DIGITS) & ~match.rlike("^" + FORMS[1] + r"\z")).otherwise(True)
 
 
 def _pieces(text: Column, form: str, kind: int, needs: str) -> Column:
     """Matches of a form with the gap before each; a text without the needed character is not searched."""
     zipped = F.arrays_zip(F.split(text, form, -1).alias("gap"), F.regexp_extract_all(text, F.lit(form), 0).alias("match"))
-    found = F.transform(zipped, lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(z["gap"]).alias("gap"), z["match"].alias("match"), (F.right(z["gap"], F.lit(CONTEXT)) if kind == 4 else F.lit(None).cast("string")).alias("before")))
+    found = F.transform(zipped, lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(z["gap"]).alias("gap"), z["match"].alias("match"), (F.right(z["gap"], F.lit(CONTEXT)) if kind >= 4 else F.lit(None).cast("string")).alias("before")))
     none = F.array().cast("array<struct<kind:int,i:int,gap:int,match:string,before:string>>")
     return F.filter(F.when(text.contains(needs) if len(needs) == 1 else text.rlike(needs), found).otherwise(none), lambda x: x["match"].isNotNull())
 
 
 def _matches(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, kind, start, end, match, before) of all matches of the forms and of candidates (kind 4), base ones valid."""
-    needs = ("@", r"[0-9]\.[0-9]", r"[0-9][\x20-]?[0-9]", "+", "[0-9@]")
-    pieces = F.concat(*[_pieces(F.col("text"), form, k, needs[k]) for k, form in enumerate((*FORMS, CANDIDATE))])
+    """(row, doc_id, kind, start, end, match, before) of all matches of the forms and of candidates (kind 4 tokens, kind 5 runs of digit groups), base ones valid."""
+    needs = ("@", r"[0-9]\.[0-9]", r"[0-9][\x20-]?[0-9]", "+", "[0-9@]", r"[0-9][\x20().-]")
+    pieces = F.concat(*[_pieces(F.col("text"), form, k, needs[k]) for k, form in enumerate((*FORMS, CANDIDATE, GROUPS))])
     each = rows.filter(F.col("text").rlike("[0-9@]")).select("row", "doc_id", F.explode(pieces).alias("p")).select("row", "doc_id", "p.*")
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("gap") + F.length("match")).over(before), F.lit(0)) + F.col("gap")
@@ -86,12 +89,20 @@ def _shape(match: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(F.length(match) < 20, F.length(match)).otherwise(20))
 
 
-def _discovered(candidates: DataFrame) -> DataFrame:
-    """(row, doc_id, start, end) of candidates that trusted patterns extract; seeds are those of a base form."""
+def _discovered(candidates: DataFrame, touched: DataFrame) -> DataFrame:
+    """(row, doc_id, start, end) of candidates that trusted patterns extract.
+
+    touched: r, s, e of the base spans. Seeds are tokens that hold a base span
+    and runs that overlap one, and tokens of a base form.
+    """
     m = F.col("match")
-    seed = m.rlike("^" + FORMS[0] + r"\z") | (m.rlike("^" + FORMS[1] + r"\z") & _valid(F.lit(1), m)) | (m.rlike(r"^[0-9]{12,19}\z") & _valid(F.lit(2), m))
+    form = m.rlike("^" + FORMS[0] + r"\z") | (m.rlike("^" + FORMS[1] + r"\z") & _valid(F.lit(1), m)) | (m.rlike(r"^[0-9]{12,19}\z") & _valid(F.lit(2), m))
+    meets = (F.col("start") < F.col("e")) & (F.col("s") < F.col("end")) & ((F.col("kind") == 5) | ((F.col("start") <= F.col("s")) & (F.col("e") <= F.col("end"))))
+    candidates = candidates.join(touched, (F.col("row") == F.col("r")) & meets, "left")
+    seed = F.col("r").isNotNull() | ((F.col("kind") == 4) & form)
+    shape = F.when(F.col("kind") == 5, "groups").otherwise(_shape(m))
     word = F.regexp_extract(F.regexp_replace(F.lower("before"), "[0-9]+", "9"), r"(\p{L}++[^\p{L}]*+)\z", 1)
-    known = candidates.select("row", "doc_id", "start", "end", "match", F.concat_ws(" ", word, _shape(m)).alias("pattern"), seed.alias("seed"))
+    known = candidates.select("row", "doc_id", "start", "end", "match", F.concat_ws(" ", word, shape).alias("pattern"), seed.alias("seed"))
     # one edge for a pattern and an instance, however often they meet
     edges = checkpointed(known.groupBy("pattern", F.xxhash64("match").alias("instance")).agg(F.max(F.col("seed").cast("double")).alias("seed")))
     scores = edges.select("pattern", "instance", "seed", F.col("seed").alias("score"))
@@ -101,15 +112,15 @@ def _discovered(candidates: DataFrame) -> DataFrame:
         scores = checkpointed(edges.join(believed, "instance").select("pattern", "instance", "seed", "score"))
     trusted = scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("trust"), F.sum("seed").alias("seeds")).filter((F.col("trust") >= TRUSTED) & (F.col("seeds") >= LEAST_SEEDS))
     fresh = known.filter(~F.col("seed") & (F.length("match") >= LEAST_LENGTH))
-    return fresh.join(trusted.select("pattern"), "pattern", "left_semi").select("row", "doc_id", "start", "end")
+    return fresh.join(trusted.select("pattern"), "pattern", "left_semi").select("row", "doc_id", "start", "end").distinct()
 
 
 def find_spans(rows: DataFrame) -> DataFrame:
     """rows: row (unique), doc_id, text (not null). Returns (row, doc_id, start, kind, end), kind as its number; starts and ends in code points, ends exclusive."""
     found = checkpointed(_matches(rows))
     base = found.filter(F.col("kind") < 4).select("row", "doc_id", "start", "kind", "end")
-    extra = _discovered(found.filter(F.col("kind") == 4))
     touched = base.select(F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
+    extra = _discovered(found.filter(F.col("kind") >= 4), touched)
     fresh = extra.join(touched, (F.col("row") == F.col("r")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end")), "left_anti")
     return base.unionAll(fresh.select("row", "doc_id", "start", F.lit(4).alias("kind"), "end"))
 

@@ -178,6 +178,27 @@ def test_bootstrap_finds_identifiers_in_trusted_contexts(docs):
     assert got[101]["spans"] == ""
 
 
+def test_bootstrap_learns_from_phones_and_spaced_cards(docs):
+    rnd = random.Random(6)
+
+    def digits(n):
+        return "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = "4" + digits(14)
+        d = next(d + c for c in "0123456789" if luhn(d + c))
+        return rnd.choice(" -").join(d[i : i + 4] for i in range(0, 16, 4))
+
+    rows = [(i, f"please call +1 ({digits(3)}) {digits(3)}-{digits(4)} at noon") for i in range(40)]
+    rows += [(50 + i, f"Paid with card number {card()} today") for i in range(40)]
+    bad = "4111 1111 1111 1112"  # fails the check
+    rows += [(200, "please call (555) 123 4567 at noon"), (201, "please call 555.123.4567 at noon"), (202, f"Paid with card number {bad} today"), (203, f"The total of page {bad} differs, like (555) 123 4567")]
+    got = {r["doc_id"]: r for r in pii.personal_data(docs(rows)).collect()}
+    assert [got[i]["spans"] for i in (200, 201, 202, 203)] == ["id:12:26", "id:12:24", "id:22:41", ""]
+    assert all(got[i]["n_phone"] == 1 and "id" not in got[i]["spans"] for i in range(40))
+    assert all(got[50 + i]["spans"] == "card:22:41" for i in range(40))
+
+
 def test_masking(docs):
     rows = [(1, "mail a@b.co or 1.2.3.4!"), (2, "none"), (3, None), (3, None)]
     got = pii.mask_personal_data(docs(rows))
