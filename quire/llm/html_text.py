@@ -37,7 +37,10 @@ ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title select svg iframe object button".split())
+#: Elements whose content is not markup, and elements whose subtree is dropped.
+RAW = frozenset("script style noscript textarea title iframe".split())
+DROPPED = frozenset("template select svg object button".split())
+HOLDS_DROPPED = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})\b", re.I)
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start tag in the key set ends an open element of the value set, up to the given bounds.
 CLOSES = {t: ({"p"}, set()) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
@@ -68,19 +71,44 @@ class Node:
         self.children: list[Node] = []
 
 
+def _raw_end(tag: str, html: str, at: int) -> int:
+    end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+    return end.end() if end else len(html)
+
+
+def _ended(html: str) -> set[int]:
+    """Where start tags of dropped elements are that have an end tag; one without holds nothing."""
+    open_at: dict[str, list[int]] = {t: [] for t in DROPPED}
+    ended, at = set(), 0
+    for m in TOKEN.finditer(html) if HOLDS_DROPPED.search(html) else ():
+        if m.start() < at:
+            continue
+        tag, closed = (m[2] or "").lower(), (m[3] or "").endswith("/")
+        if tag in DROPPED and m[1]:
+            if open_at[tag]:
+                ended.add(open_at[tag].pop())
+        elif tag in DROPPED and not (tag == "svg" and closed):
+            open_at[tag].append(m.start())
+        elif tag in RAW and not m[1] and not (closed and open_at["svg"]):
+            at = _raw_end(tag, html, m.end())
+    return ended
+
+
 def parse(html: str) -> list[Node]:
-    """The block elements in document order, the root first; inline elements only leave their text."""
+    """The block elements in document order, the root first; inline elements only leave their text, dropped ones nothing."""
     root = Node("root", None, 0, 0)
-    nodes, node, links, at, skip, size = [root], root, 0, 0, "", 0
+    nodes, node, links, at, hidden, size = [root], root, 0, 0, 0, 0
+    ended = _ended(html)
     stack: list[str] = []  # open tags below the root, inline ones too
     root.linked = 0
 
     def close(n: int) -> None:
-        nonlocal node, links
+        nonlocal node, links, hidden
         while len(stack) > n:
             tag = stack.pop()
             if tag == "a":
                 links -= 1
+            hidden -= tag in DROPPED
             if tag not in INLINE:
                 node = node.parent
 
@@ -92,7 +120,7 @@ def parse(html: str) -> list[Node]:
             node.parts.append(text)
             if links:
                 node.linked += len(text)
-            size += len(text)
+            size += 0 if hidden else len(text)
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -103,9 +131,10 @@ def parse(html: str) -> list[Node]:
                     close(i)
                     break
             continue
+        if m[3].endswith("/") and (tag == "svg" or "svg" in stack) or tag in DROPPED and m.start() not in ended:
+            continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            at = _raw_end(tag, html, at)
             continue
         if tag in CLOSES:
             ends, bounds = CLOSES[tag]
@@ -128,9 +157,11 @@ def parse(html: str) -> list[Node]:
                         groups |= 1 << g
             child = Node(tag, node, groups, size)
             child.linked = 0
-            node.parts.append(child)
-            node.children.append(child)
-            nodes.append(child)
+            hidden += tag in DROPPED
+            if not hidden:
+                node.parts.append(child)
+                node.children.append(child)
+                nodes.append(child)
             node = child
         if not m[3].endswith("/") or tag not in INLINE:
             stack.append(tag)

@@ -99,6 +99,18 @@ def test_extraction_of_the_table_and_edges(spark):
     assert html_text.extract_main_text(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("odd", ['<svg class="icon"/>', "<button>", "<object data=x>", "<select>", "<template>", "<div><button></div>", '<svg><title/><path d="1"/></svg>', "<svg><g><title>t</title></g></svg>", "<button><div>b</div></button>", "<object><object>b</object>", "<button><button>b</button>"])
+def test_dropped_elements_hold_only_their_subtree(odd):
+    def text(n):
+        return "".join(p if isinstance(p, str) else text(p) for p in n.parts)
+
+    for rest in ("", "<button>b</button>", "<svg>b</svg>"):
+        nodes = html_text.parse(f"<body>{odd}<article><p>all of it</p></article>{rest}</body>")
+        assert [n.tag for n in nodes if n.tag in ("article", "p")] == ["article", "p"]
+        assert text(nodes[0]) == "all of it" and nodes[0].size == 9
+        assert not {n.tag for n in nodes} & html_text.DROPPED
+
+
 def test_decoding_never_contradicts():
     rnd = np.random.default_rng(1)
     for seed in range(30):
