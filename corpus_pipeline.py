@@ -27,10 +27,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id; so does one of equal rows.
 
-    Documents without an id cannot be told apart and stay.
+    Documents without an id cannot be told apart and stay. Texts that share an
+    id are judged one by one.
     """
-    dropped = near_duplicates(docs, shingle_words=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    hashed = F.xxhash64("text")
+    shared = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min(hashed) != F.max(hashed)).alias("differ")).filter("differ")
+    if shared.isEmpty():
+        dropped = near_duplicates(docs, shingle_words=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
+        kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    else:
+        # keys in the order of the ids, one for each text of an id
+        texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).distinct().sort("doc_id", "text")
+        keyed = checkpointed(texts.withColumn("key", F.monotonically_increasing_id()))
+        dropped = near_duplicates(keyed, shingle_words=5, percent=80, id_col="key").filter(~F.col("kept")).select(F.col("doc_id").alias("key"))
+        gone = keyed.join(dropped, "key", "left_semi").select(F.col("doc_id").alias("gone_id"), F.col("text").alias("gone_text"))
+        kept = docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & F.col("text").eqNullSafe(F.col("gone_text")), "left_anti").select(docs.columns)
     again = checkpointed(kept.groupBy("doc_id").count().filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id"))
     if again.isEmpty():
         return kept

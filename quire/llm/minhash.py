@@ -15,8 +15,9 @@ posterior probability that its similarity reaches the threshold is below
 `MISS`. Survivors are confirmed on their full shingle sets.
 
 Edge cases: a null or blank text has an empty set and links with nothing; a
-text shorter than a shingle is one shingle of all its words; rows that share
-a doc_id share a component; a null doc_id links with nothing, keeps a null
+text shorter than a shingle is one shingle of all its words; rows that repeat
+a document share its component, but different texts need different ids (a row
+key as id_col, where ids repeat); a null doc_id links with nothing, keeps a null
 component and stays; an empty table gives an empty result.
 """
 

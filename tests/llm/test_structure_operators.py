@@ -318,3 +318,16 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark, docs, tmp_path
     assert frame.filter("doc_id = 53").first()["text"].endswith("call <PHONE>")
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert set(r["doc_id"] for r in final.select("doc_id").collect()) <= set(clean) | {53} and final.filter(F.col("repeats") < 1).isEmpty()
+
+
+def test_near_dedup_keeps_a_unique_text_whose_id_repeats(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    def text(i):
+        rnd = random.Random(i)
+        return " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+
+    a, b, c = text(1), text(2), text(3)
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, c), (7, b + " more"), (8, None), (None, a)]
+    left = corpus_pipeline.near_dedup(spark, docs(rows), str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted([(3, a), (5, b), (6, c), (8, ""), (0, a)])
