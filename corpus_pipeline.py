@@ -50,8 +50,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return docs.filter(F.size(overlapping_items(docs, table(spark, sf_dir, "benchmark"))) == 0)
+    """Documents that hold a benchmark item go, whatever its id, null included."""
+    items = table(spark, sf_dir, "benchmark").withColumn("item_id", F.lit(0))
+    return docs.filter(F.size(overlapping_items(docs, items)) == 0)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

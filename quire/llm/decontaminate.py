@@ -9,10 +9,11 @@ by their rarity in the training texts, counted over all of them. As an item's
 rarest words make up most of its score, a passage is searched only if it holds
 enough of those of some item; any other stays below the threshold. A retrieved
 item counts only if the passage holds enough of the five-word shingles of its
-question and of its answer.
+question and of its answer, or of the whole item if it has no answer.
 
 The index holds at most `BLOCK_ITEMS` items; more items make more indexes,
 which are searched one after another, so nothing of unbounded size is broadcast.
+Very long items have indexes of their own, as passages follow the longest item.
 
 Edge cases: a null or blank text holds no item, a null or blank item is in no
 text; repeated items are found together; an empty benchmark finds nothing;
@@ -33,14 +34,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Items in one index, and words to an item (longer ones are refused).
-BLOCK_ITEMS, MAX_ITEM_WORDS = 20_000, 20_000
+#: Items in one index, and words to an item of the common indexes (longer ones have their own).
+BLOCK_ITEMS, LONG_ITEM_WORDS = 20_000, 20_000
 #: BM25's saturation and length weight, postings to a block, and the share of its self-score at which an item is retrieved.
 K1, B, BLOCK, RETRIEVE = 1.2, 0.75, 32, 0.6
 #: Share of an item's self-score that its rarest words make up, of which a passage must hold all but 1 - RETRIEVE.
 RARE = 0.6
-#: Words to a shingle, the share of an item's question and answer that a passage must hold, the answer's share of an item without one.
-SHINGLE, OVERLAP, ANSWER = 5, 0.8, 0.25
+#: Words to a shingle, the share of an item's question and answer that a passage must hold.
+SHINGLE, OVERLAP = 5, 0.8
 
 _FOLD = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -171,12 +172,9 @@ class Index:
 
 
 def item_parts(text: str, answer: str | None) -> tuple[list[bytes], list[bytes]]:
-    """Question and answer of an item; without an answer of its own, the last quarter of its words is taken for one."""
+    """Question and answer of an item; without an answer, all its words are the question."""
     words = words_of((text or "").encode())
-    if answer is not None:
-        return words, words_of(answer.encode())
-    n = max(min(SHINGLE, len(words)), round(ANSWER * len(words)))
-    return words[: len(words) - n], words[len(words) - n :]
+    return words, words_of((answer or "").encode())
 
 
 def _searcher(shared: Broadcast):  # noqa: ANN202
@@ -214,12 +212,13 @@ def overlapping_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     for k in range(blocks):
         rows = sorted(items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect(), key=lambda r: (r["item"], r["text"], r["answer"] or ""))
         parts = [(r["item"], *item_parts(r["text"], r["answer"])) for r in rows]
-        if max((len(q) + len(a) for _, q, a in parts), default=0) > MAX_ITEM_WORDS:
-            raise ValueError(f"an item has more than {MAX_ITEM_WORDS} words")
-        terms = frozenset(w for _, q, a in parts for w in q + a)
-        index = Index(parts, *_texts_with(docs, text_col, sc.broadcast(terms)))
-        columns.append(_searcher(sc.broadcast(index))(F.col(text_col).cast("binary")))
-    return F.array_sort(F.array_distinct(F.concat(*columns))) if blocks > 1 else columns[0]
+        long = [p for p in parts if len(p[1]) + len(p[2]) > LONG_ITEM_WORDS]
+        short = [p for p in parts if len(p[1]) + len(p[2]) <= LONG_ITEM_WORDS]
+        for some in [short, long] if long else [short]:
+            terms = frozenset(w for _, q, a in some for w in q + a)
+            index = Index(some, *_texts_with(docs, text_col, sc.broadcast(terms)))
+            columns.append(_searcher(sc.broadcast(index))(F.col(text_col).cast("binary")))
+    return F.array_sort(F.array_distinct(F.concat(*columns))) if len(columns) > 1 else columns[0]
 
 
 def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None) -> DataFrame:

@@ -250,6 +250,22 @@ def test_decontamination_in_blocks_and_edges(spark, docs, monkeypatch):
     assert not decontaminate.benchmark_overlap(rows, bench.limit(0)).filter("contaminated").collect()
 
 
+def test_decontamination_of_long_changed_and_unnamed_items(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    def text(seed, n):
+        rnd = random.Random(seed)
+        return ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+
+    long, item, unnamed = text(1, 20_500), text(2, 30), text(3, 12)
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(item)), (None, " ".join(unnamed))], "item_id long, text string")
+    changed = " ".join([*item[:10], "other", *item[11:]])
+    rows = docs([(1, " ".join(["so", *long, "it", "is"])), (2, changed), (3, " ".join(unnamed)), (4, " ".join(text(4, 50)))])
+    assert {r["doc_id"]: r["items"] for r in decontaminate.benchmark_overlap(rows, bench).collect()} == {1: "1", 2: "2", 3: "", 4: ""}
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r["doc_id"] for r in corpus_pipeline.decontaminate(spark, rows, str(tmp_path)).collect()] == [4]
+
+
 # --- language ID
 
 
