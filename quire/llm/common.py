@@ -23,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the cluster's shared checkpoint folder.
 
-    `spark.checkpoint.dir` decides; only where it is unset (tests, one machine)
-    a folder of our own is used.
+    `spark.checkpoint.dir` decides; where it is unset, a folder of our own is
+    used in local mode and a cluster is refused, as its machines would not see it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -37,6 +40,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def lookup(rows: DataFrame, unique: DataFrame, key: str, large: Column) -> DataFrame:
+    """The inner join of rows with unique (one row per key). Keys with many rows, marked `large` in unique, are joined apart, by broadcast if there are few of them."""
+    hot = unique.filter(large)
+    n = hot.count()
+    if not n:
+        return rows.join(unique, key)
+    rest = rows.join(small(hot.select(key), n), key, "left_anti").join(unique.filter(~large), key)
+    return rows.join(small(hot, n), key).unionByName(rest)
+
+
 def id_bucket(col: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo `mod`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))

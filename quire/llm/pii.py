@@ -2,19 +2,25 @@
 
 Base spans match the fixed forms of e-mail addresses, IP addresses, card and
 phone numbers. All of them seed a bootstrap: tokens that look like identifiers and
-runs of digit groups are instances, the word before one together with its shape
-is a lexical pattern, and the graph of patterns and instances is scored round by round. A pattern is
+runs of digit groups are instances. The words around one, together with its shape,
+are its lexical patterns: one word before, two words before, and one word on each
+side. The graph of patterns and instances is scored round by round: a pattern is
 trusted by the share of its instances that are known, an instance by its best
-pattern, and what trusted patterns extract beyond the base becomes further
+pattern, and each round judges all patterns anew by the instances that the one
+before found. What trusted patterns extract beyond the base becomes further
 spans, of kind `id`.
 
 Positions come from the gaps between matches, which a split by the same
 expression returns, and running sums of lengths.
 
+A document is known by a digest of its id and text, which comes out the same
+however often and wherever Spark computes it; nothing hangs on the order of rows.
+
 Edge cases: a null or empty text has no spans (and the digest of the empty
-string); rows that repeat a document are searched one by one; overlapping
+string); equal rows have equal results, and rows that share only their id are
+searched one by one, null ids too; overlapping
 spans of different kinds all stay, found ones that touch a base span do not;
-an empty table gives an empty result.
+columns of docs may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed
+from quire.llm.common import checkpointed, small
 
 #: The base forms, in the order of their kinds. Possessive quantifiers and the
 #: checks at their start match the same spans as the plain forms, in linear time.
@@ -41,7 +47,7 @@ LEAST_DIGITS = 7
 
 #: The bootstrap: rounds, smoothing of a pattern's score, least score and least seeds of a trusted pattern.
 ROUNDS, SMOOTHING, TRUSTED, LEAST_SEEDS = 3, 2.0, 0.8, 3
-#: Code points before a candidate in which its context is looked for, and least length of a found identifier.
+#: Code points on each side of a candidate in which its context is looked for, and least length of a found identifier.
 CONTEXT, LEAST_LENGTH = 48, 6
 
 
@@ -64,21 +70,32 @@ def _valid(kind: Column, match: Column) -> Column:
 
 def _pieces(text: Column, form: str, kind: int, needs: str) -> Column:
     """Matches of a form with the gap before each; a text without the needed character is not searched."""
-    zipped = F.arrays_zip(F.split(text, form, -1).alias("gap"), F.regexp_extract_all(text, F.lit(form), 0).alias("match"))
-    found = F.transform(zipped, lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(z["gap"]).alias("gap"), z["match"].alias("match"), (F.right(z["gap"], F.lit(CONTEXT)) if kind >= 4 else F.lit(None).cast("string")).alias("before")))
-    none = F.array().cast("array<struct<kind:int,i:int,gap:int,match:string,before:string>>")
+    gaps = F.split(text, form, -1)
+    following = F.concat(F.slice(gaps, 2, F.size(gaps)), F.array(F.lit("")))
+    zipped = F.arrays_zip(gaps.alias("gap"), following.alias("next"), F.regexp_extract_all(text, F.lit(form), 0).alias("match"))
+
+    def context(side: Column) -> Column:
+        return side if kind >= 4 else F.lit(None).cast("string")
+
+    found = F.transform(zipped, lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(z["gap"]).alias("gap"), z["match"].alias("match"), context(F.right(z["gap"], F.lit(CONTEXT))).alias("before"), context(F.left(z["next"], F.lit(CONTEXT))).alias("after")))
+    none = F.array().cast("array<struct<kind:int,i:int,gap:int,match:string,before:string,after:string>>")
     return F.filter(F.when(text.contains(needs) if len(needs) == 1 else text.rlike(needs), found).otherwise(none), lambda x: x["match"].isNotNull())
 
 
 def _matches(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, kind, start, end, match, before) of all matches of the forms and of candidates (kind 4 tokens, kind 5 runs of digit groups), base ones valid."""
+    """(row, kind, start, end, match, before, after) of all matches of the forms and of candidates (kind 4 tokens, kind 5 runs of digit groups), base ones valid.
+
+    Equal rows give equal matches, of which one is kept.
+    """
     needs = ("@", r"[0-9]\.[0-9]", r"[0-9][\x20-]?[0-9]", "+", "[0-9@]", r"[0-9][\x20().-]")
     pieces = F.concat(*[_pieces(F.col("text"), form, k, needs[k]) for k, form in enumerate((*FORMS, CANDIDATE, GROUPS))])
-    each = rows.filter(F.col("text").rlike("[0-9@]")).select("row", "doc_id", F.explode(pieces).alias("p")).select("row", "doc_id", "p.*")
+    found = rows.filter(F.col("text").rlike("[0-9@]")).select("row", F.explode(pieces).alias("p")).select("row", "p.*")
+    # dealt as the windows need it, so the repeats of a row go without a second shuffle
+    each = found.repartition("row", "kind").dropDuplicates(["row", "kind", "i"])
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("gap") + F.length("match")).over(before), F.lit(0)) + F.col("gap")
     placed = each.withColumn("start", start).withColumn("end", F.col("start") + F.length("match"))
-    return placed.filter(_valid(F.col("kind"), F.col("match"))).select("row", "doc_id", "kind", "start", "end", "match", "before")
+    return placed.filter(_valid(F.col("kind"), F.col("match"))).select("row", "kind", "start", "end", "match", "before", "after")
 
 
 def _shape(match: Column) -> Column:
@@ -89,8 +106,21 @@ def _shape(match: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(F.length(match) < 20, F.length(match)).otherwise(20))
 
 
+def _patterns(shape: Column) -> Column:
+    """The patterns of an occurrence: its shape with one word before, with two, and with one on each side. Letters in lower case, digits as 9."""
+
+    def plain(side: str) -> Column:
+        return F.regexp_replace(F.lower(side), "[0-9]+", "9")
+
+    near = F.regexp_extract(plain("before"), r"(\p{L}++[^\p{L}]*+)\z", 1)
+    two = F.regexp_extract(plain("before"), r"(\p{L}++[^\p{L}]++\p{L}++[^\p{L}]*+)\z", 1)
+    after = F.regexp_extract(plain("after"), r"^([^\p{L}]*+\p{L}++)", 1)
+    # a blank in front of the shape tells the kinds of patterns apart
+    return F.array_compact(F.array(F.concat(near, F.lit(" <"), shape), F.when(two != "", F.concat(two, F.lit(" <<"), shape)), F.when((near != "") & (after != ""), F.concat(near, F.lit(" <>"), shape, F.lit("> "), after))))
+
+
 def _discovered(candidates: DataFrame, touched: DataFrame) -> DataFrame:
-    """(row, doc_id, start, end) of candidates that trusted patterns extract.
+    """(row, start, end) of candidates that trusted patterns extract.
 
     touched: r, s, e of the base spans. Seeds are tokens that hold a base span
     and runs that overlap one, and tokens of a base form.
@@ -101,40 +131,52 @@ def _discovered(candidates: DataFrame, touched: DataFrame) -> DataFrame:
     candidates = candidates.join(touched, (F.col("row") == F.col("r")) & meets, "left")
     seed = F.col("r").isNotNull() | ((F.col("kind") == 4) & form)
     shape = F.when(F.col("kind") == 5, "groups").otherwise(_shape(m))
-    word = F.regexp_extract(F.regexp_replace(F.lower("before"), "[0-9]+", "9"), r"(\p{L}++[^\p{L}]*+)\z", 1)
-    known = candidates.select("row", "doc_id", "start", "end", "match", F.concat_ws(" ", word, shape).alias("pattern"), seed.alias("seed"))
+    known = candidates.select("row", "start", "end", "match", seed.alias("seed"), F.explode(_patterns(shape)).alias("pattern"))
     # one edge for a pattern and an instance, however often they meet
     edges = checkpointed(known.groupBy("pattern", F.xxhash64("match").alias("instance")).agg(F.max(F.col("seed").cast("double")).alias("seed")))
     scores = edges.select("pattern", "instance", "seed", F.col("seed").alias("score"))
+    n_patterns = edges.select("pattern").distinct().count()
+
+    def trusts(scores: DataFrame) -> DataFrame:
+        believed = F.count_if(F.col("score") >= TRUSTED)
+        return scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("trust"), F.sum("seed").alias("seeds"), believed.alias("believed"))
+
     for _ in range(ROUNDS):
-        patterns = scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("trust"), F.sum("seed").alias("seeds"))
-        believed = edges.join(patterns, "pattern").groupBy("instance").agg(F.greatest(F.max("seed"), F.max("trust")).alias("score"))
-        scores = checkpointed(edges.join(believed, "instance").select("pattern", "instance", "seed", "score"))
-    trusted = scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("trust"), F.sum("seed").alias("seeds")).filter((F.col("trust") >= TRUSTED) & (F.col("seeds") >= LEAST_SEEDS))
+        # a frequent pattern has many edges: its one score is joined, never its edges collected
+        met = edges.join(small(trusts(scores).select("pattern", "trust"), n_patterns), "pattern").groupBy("instance").agg(F.greatest(F.max("seed"), F.max("trust")).alias("score"))
+        scores = checkpointed(edges.join(met, "instance").select("pattern", "instance", "seed", "score"))
+    trusted = trusts(scores).filter((F.col("trust") >= TRUSTED) & (F.col("believed") >= LEAST_SEEDS)).select("pattern")
     fresh = known.filter(~F.col("seed") & (F.length("match") >= LEAST_LENGTH))
-    return fresh.join(trusted.select("pattern"), "pattern", "left_semi").select("row", "doc_id", "start", "end").distinct()
+    return fresh.join(small(trusted, n_patterns), "pattern", "left_semi").select("row", "start", "end").distinct()
 
 
 def find_spans(rows: DataFrame) -> DataFrame:
-    """rows: row (unique), doc_id, text (not null). Returns (row, doc_id, start, kind, end), kind as its number; starts and ends in code points, ends exclusive."""
+    """rows: row, text (not null); rows with the same `row` are equal. Returns (row, start, kind, end), kind as its number; starts and ends in code points, ends exclusive."""
     found = checkpointed(_matches(rows))
-    base = found.filter(F.col("kind") < 4).select("row", "doc_id", "start", "kind", "end")
+    base = found.filter(F.col("kind") < 4).select("row", "start", "kind", "end")
     touched = base.select(F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
     extra = _discovered(found.filter(F.col("kind") >= 4), touched)
     fresh = extra.join(touched, (F.col("row") == F.col("r")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end")), "left_anti")
-    return base.unionAll(fresh.select("row", "doc_id", "start", F.lit(4).alias("kind"), "end"))
+    return base.unionAll(fresh.select("row", "start", F.lit(4).alias("kind"), "end"))
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """A digest of id and text; null ids and texts count as empty."""
+    return F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _spans_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__row, __spans): the sorted spans (start, kind, end) of each digest that has any."""
+    rows = docs.select(_key(id_col, text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return find_spans(rows).groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("__spans"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: base counts by kind, the digest of its base spans, and all spans as kind:start:end."""
-    rows = _rows(docs, id_col, text_col)
-    spans = find_spans(rows).select("row", "doc_id", F.struct("start", "kind", "end").alias("span"))
-    # documents without spans come in with a null, which collect_list leaves out
-    grouped = spans.unionAll(rows.select("row", "doc_id", F.lit(None).cast("struct<start:bigint,kind:int,end:bigint>"))).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    spans = _spans_of(docs, id_col, text_col)
+    named = docs.select(F.col(id_col).alias("doc_id"), _key(id_col, text_col).alias("__row"))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    grouped = named.join(spans, "__row", "left").select("doc_id", F.coalesce("__spans", none).alias("spans"))
     names = F.array(*map(F.lit, KINDS))
 
     def text(spans: Column) -> Column:
@@ -153,9 +195,7 @@ def mask_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Overlapping spans are masked together, under the kind of the first.
     """
-    named = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = named.select(F.col("__row").alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = find_spans(rows).groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("__spans"))
+    named = docs.withColumn("__row", _key(id_col, text_col))
     labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -165,6 +205,6 @@ def mask_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(span["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
 
     masked = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col(text_col), (s["at"] + 1).cast("int"), F.length(text_col))))
-    joined = named.join(spans, "__row", "left")
+    joined = named.join(_spans_of(docs, id_col, text_col), "__row", "left")
     text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked)
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
