@@ -8,8 +8,10 @@ bits of the hash. Documents are never sorted, and every level ships one row
 per source and bucket at most, pre-aggregated before the shuffle.
 
 Edge cases: a null or blank text has size 0 and takes nothing; a null source
-is a source of its own (last in order); rows that repeat a document share its
-hash and are taken together; an empty table gives an empty result.
+is a source of its own (last in order); a null id counts as empty; rows that
+share an id and differ in text, or the other way round, have hashes of their own;
+equal rows are numbered, so that any number of them can be taken; columns of
+docs may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,8 +56,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
     )
 
 
-def document_hash(id_col: str, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 64 - HASH_BITS)
+def document_hash(id_col: str, text_col: str, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - HASH_BITS)
+
+
+def spread_repeats(docs: DataFrame, hash_col: str, seed: int) -> DataFrame:
+    """docs (checkpointed or a scan), its hash renewed for rows that share one, by their number among these.
+
+    Equal rows cannot be told apart, so which of them has which number makes no
+    difference. They are numbered inside each partition, behind those of the
+    partitions before, so no task gathers all copies of a row.
+    """
+    repeated = checkpointed(docs.groupBy(F.col(hash_col).alias("__h")).count().filter("count > 1").select("__h"))
+    n = repeated.count()
+    if not n:
+        return docs
+    hashes = small(repeated, n)
+    single = docs.join(hashes, F.col(hash_col) == F.col("__h"), "left_anti")
+    many = checkpointed(docs.join(hashes, F.col(hash_col) == F.col("__h"), "left_semi").withColumn("__part", F.spark_partition_id()))
+    held = many.groupBy(F.col(hash_col).alias("__h"), F.col("__part").alias("__p")).count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("__h").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = held.select("__h", "__p", before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy(hash_col, "__part").orderBy(F.lit(0)))
+    numbered = many.withColumn("__place", place).join(offsets, (F.col(hash_col) == F.col("__h")) & (F.col("__part") == F.col("__p")))
+    fresh = F.shiftrightunsigned(F.xxhash64(F.lit(seed), hash_col, F.col("__before") + F.col("__place")), 64 - HASH_BITS)
+    return single.unionByName(numbered.withColumn(hash_col, fresh).select(docs.columns))
 
 
 def mixing_plan(sized: DataFrame, weights: tuple[int, ...], max_repeats: int) -> tuple[DataFrame, int]:
@@ -105,7 +130,9 @@ def mix_sources(
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """One row per document: its size, its source's size and target, and the words taken from it."""
-    sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), document_hash(id_col, seed).alias("hash")))
+    sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), document_hash(id_col, text_col, seed).alias("hash")))
+    spread = spread_repeats(sized, "hash", seed)
+    sized = sized if spread is sized else checkpointed(spread)
     plan, n_sources = mixing_plan(sized.select("source", "size", "hash"), weights, max_repeats)
     mixed = with_plan(sized, plan, n_sources, "source", F.col("hash"), max_repeats)
     return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__repeats")).alias("taken"))
@@ -116,7 +143,8 @@ def mixed_documents(
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """The documents that the mix takes, all columns, and `repeats`, how often it takes each."""
-    sized = checkpointed(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), document_hash(id_col, seed).alias("hash")))
+    named = spread_repeats(docs.withColumn("__hash", document_hash(id_col, text_col, seed)), "__hash", seed)
+    sized = checkpointed(named.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col("__hash").alias("hash")))
     plan, n_sources = mixing_plan(sized, weights, max_repeats)
-    mixed = with_plan(docs, plan, n_sources, source_col, document_hash(id_col, seed), max_repeats).filter(F.col("__repeats") > 0)
+    mixed = with_plan(named, plan, n_sources, source_col, F.col("__hash"), max_repeats).filter(F.col("__repeats") > 0)
     return mixed.select(*[F.col(c) for c in docs.columns if c != "repeats"], F.col("__repeats").alias("repeats"))
