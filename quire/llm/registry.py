@@ -67,7 +67,7 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_url_filter, op4_source_mix, op5_token_counts, op6_decontaminate, op7_pii, op8_html_text, op9_minhash_dedup, op10_lm_score)}
 
 
-OP3_SQL = r"""
+OP3_SQL = rf"""
 WITH parts AS (
   SELECT page_id,
          translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -81,7 +81,7 @@ fit AS (
     ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY host, path)
 SELECT page_id, parts.host, parts.path, rule,
-       coalesce(listed, CASE WHEN regexp_matches(parts.host || parts.path, '^([^/]*\.)?(spam-farm|cheap-pills|casino-win|free-bets|ads-track)\.') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(listed, CASE WHEN regexp_matches(parts.host || parts.path, '^([^/]*\.)?({"|".join(url_filter.SPAM_HOST_WORDS + url_filter.AD_HOST_LABELS)})\.|^[^/]*/({"|".join(url_filter.EMPTY_PATHS).replace(".", "[.]")})(/|\z)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fit USING (host, path)
 """
 
