@@ -8,14 +8,18 @@ the transducer's state. Its transitions read a byte and carry the change in
 the number of tokens; the last byte of a word has transitions of its own,
 since the vocabulary marks word ends. States are compiled when first met.
 
-Texts are cut into chunks. A chunk's state map is (head, count, tail): white
-space resets the transducer, so whatever state a chunk is entered in, all that
-depends on it is the head before its first white space; what it is left in is
-the tail after its last one. Maps compose associatively, which is a parallel
-prefix scan over the chunks of a long text.
-
-Edge cases: a null text counts as empty (0 bytes, 0 tokens); rows that repeat
-a document are counted one by one; an empty table gives an empty result.
+Texts are cut into chunks. A chunk's state map is (head, count, tail): at a
+reset, white space or a letter or digit before a mark that is none, the transducer
+starts again, so whatever state a chunk is entered in, all that
+depends on it is the head before its first reset; what it is left in is
+the tail after its last one. Maps compose associatively, `FAN` neighbours to a
+task and round, so a text of any length takes a logarithmic number of rounds: a
+parallel prefix scan over its chunks. Only a run of letters without any reset
+travels as it is.
+
+Edge cases: a null text counts as empty (0 bytes, 0 tokens); ids are passed on as they
+are, null and repeated ones too; equal rows are counted one by one; columns of
+docs may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,14 +35,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Code points to a chunk.
-CHUNK = 1 << 16
+from quire.llm.common import checkpointed, whole_groups
+
+#: Code points to a chunk, and chunks whose maps one task composes in a round.
+CHUNK, FAN = 1 << 16, 64
 #: Words, states and pairs that a task remembers before it starts again.
 REMEMBERED = 300_000
 
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Unicode's White_Space, which the vocabulary's pre-tokenizer drops.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
+#: Places where the pre-tokenizer always cuts and no form of normalization reaches across.
+RESET = regex.compile(r"(?<=[\p{L}\p{N}])(?=[.,;:!?()\"\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
+RESET_MARKS = '.,;:!?()"\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f'
 #: The pre-tokenizer's pieces; fixed values of the vocabulary file's format.
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 
@@ -134,6 +143,10 @@ class WordCounts(dict):
         self.pieces: dict[str, int] = {}
 
     def __missing__(self, word: bytes) -> int:
+        self[word] = n = self.count(word)
+        return n
+
+    def count(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
         n = len(self.special.findall(text)) if "<" in text else 0
         for part in self.special.split(text) if n else [text]:
@@ -145,7 +158,6 @@ class WordCounts(dict):
                 if (k := self.pieces.get(piece)) is None:
                     k = self.pieces[piece] = self.transducer.count(piece.encode())
                 n += k
-        self[word] = n
         return n
 
     def trim(self) -> None:
@@ -160,7 +172,7 @@ def word_counts(path: str) -> WordCounts:
         return WordCounts(Transducer(json.load(f)))
 
 
-#: A chunk's state map: (head, tokens, tail), or (text, None, None) if it holds no white space.
+#: A chunk's state map: (head, tokens, tail), or (text, None, None) if it holds no reset.
 Map = tuple[bytes, int | None, bytes | None]
 
 
@@ -168,7 +180,12 @@ def chunk_map(text: bytes, counts: WordCounts) -> Map:
     counts.trim()
     words = text.split()
     if not text or (len(words) == 1 and len(words[0]) == len(text)):
-        return text, None, None
+        plain = text.decode("utf-8", "replace")
+        cuts = [m.start() for m in RESET.finditer(plain)]
+        if not cuts or any(len(set(s[1:]) & set(RESET_MARKS)) for s in counts.transducer.specials):
+            return text, None, None
+        head, middle, tail = (p.encode() for p in (plain[: cuts[0]], plain[cuts[0] : cuts[-1]], plain[cuts[-1] :]))
+        return head, counts.count(middle) if middle else 0, tail
     head = words.pop(0) if words and text[:1] not in ASCII_SPACE else b""
     tail = words.pop() if words and text[-1:] not in ASCII_SPACE else b""
     return head, sum(map(counts.__getitem__, words)), tail
@@ -194,33 +211,59 @@ def scan(maps: list[Map], counts: WordCounts) -> Map:
     return maps[0]
 
 
+MAPS = "row long, k int, head binary, n long, tail binary"
+
+
+def _composed(maps: DataFrame, vocabulary_path: str) -> DataFrame:
+    """One round of the scan: FAN neighbouring maps of a text become one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = word_counts(vocabulary_path)
+        for part in whole_groups(batches, ["row", "g"]):
+            out = []
+            for (row, g), group in part.groupby(["row", "g"], sort=False):
+                counts.trim()
+                maps = [(h, None if pd.isna(n) else int(n), t) for h, n, t in zip(group["head"], group["n"], group["tail"], strict=True)]
+                out.append((row, g, *scan(maps, counts)))
+            yield pd.DataFrame(out, columns=["row", "k", "head", "n", "tail"]).astype({"n": "Int64"})
+
+    near = maps.withColumn("g", F.floor(F.col("k") / FAN).cast("int"))
+    return near.repartition("row", "g").sortWithinPartitions("row", "g", "k").mapInPandas(run, MAPS)
+
+
 def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per document: n_bytes, n_tokens, over_limit. The vocabulary file must lie at the path on every executor."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / chunk).cast("int")
-    # short texts, nearly all, are one chunk
-    parts = rows.select("row", "doc_id", "n_bytes", (last + 1).alias("chunks"), "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    piece = F.when(F.col("chunks") == 1, F.col("text")).otherwise(F.substr("text", F.col("k") * chunk + 1, F.lit(chunk)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+
+    def count_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = word_counts(vocabulary_path)
+        for batch in batches:
+            n = [total(chunk_map(t, counts), counts) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     def map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = word_counts(vocabulary_path)
         for batch in batches:
-            maps = [chunk_map(t, counts) for t in batch.column("piece").to_pylist()]
-            many = batch.column("chunks").to_pylist()
-            whole = [total(m, counts) if c == 1 else None for m, c in zip(maps, many, strict=True)]
-            part = [None if c == 1 else {"k": k, "head": m[0], "n": m[1], "tail": m[2]} for m, c, k in zip(maps, many, batch.column("k").to_pylist(), strict=True)]
-            kind = pa.struct([("k", pa.int32()), ("head", pa.binary()), ("n", pa.int64()), ("tail", pa.binary())])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n_bytes"), pa.array(whole, pa.int64()), pa.array(part, kind)], names=["row", "doc_id", "n_bytes", "n", "part"])
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            heads, n, tails = zip(*[chunk_map(t, counts) for t in batch.column("piece").to_pylist()], strict=True) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_bytes", "k")), pa.array(heads, pa.binary()), pa.array(n, pa.int64()), pa.array(tails, pa.binary())], names=["row", "doc_id", "n_bytes", "k", "head", "n", "tail"])
+
+    # nearly all texts are one chunk and stay where they are
+    whole = rows.filter(F.length("text") <= chunk).select("doc_id", "n_bytes", F.col("text").cast("binary").alias("text")).mapInArrow(count_whole, "doc_id long, n_bytes long, n_tokens long")
+    long = rows.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    last = F.floor((F.length("text") - 1) / chunk).cast("int")
+    pieces = long.select("row", "doc_id", "n_bytes", "text", F.explode(F.sequence(F.lit(0), last)).alias("k")).select("row", "doc_id", "n_bytes", "k", F.substr("text", F.col("k") * chunk + 1, F.lit(chunk)).cast("binary").alias("piece"))
+    # the written maps fix the row numbers
+    mapped = checkpointed(pieces.mapInArrow(map_chunks, "row long, doc_id long, n_bytes long, k int, head binary, n long, tail binary"))
+    maps, left = mapped.select("row", "k", "head", "n", "tail"), (mapped.agg(F.max("k")).first()[0] or 0) + 1
+    while left > 1:
+        maps, left = checkpointed(_composed(maps, vocabulary_path)), -(-left // FAN)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = word_counts(vocabulary_path)
         for batch in batches:
-            many = [total(scan([(p["head"], p["n"], p["tail"]) for p in parts], counts), counts) if len(parts) else 0 for parts in batch.parts]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "n_bytes": batch.n_bytes, "n_tokens": batch.n + pd.Series(many, batch.index)})
-
-    mapped = parts.select("row", "doc_id", "n_bytes", "chunks", "k", piece.cast("binary").alias("piece")).mapInArrow(map_chunks, "row long, doc_id long, n_bytes long, n long, part struct<k int, head binary, n long, tail binary>")
-    # only long texts have parts, and at most their length / chunk of them
-    joined = mapped.groupBy("row", "doc_id", "n_bytes").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.sort_array(F.collect_list("part")).alias("parts"))
-    counted = joined.select("doc_id", "n_bytes", "n", "parts").mapInPandas(finish, "doc_id long, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+            maps = zip(*(batch.column(c).to_pylist() for c in ("head", "n", "tail")), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([total(m, counts) for m in maps], pa.int64())], names=["row", "n_tokens"])
+
+    counted = mapped.filter("k = 0").select("row", "doc_id", "n_bytes").join(maps.mapInArrow(finish, "row long, n_tokens long"), "row").drop("row")
+    return whole.unionByName(counted).withColumn("over_limit", F.col("n_tokens") > limit)
