@@ -10,8 +10,12 @@ The model is trained here, on pages laid out at random by `sample_page`, whose
 labels are known; `pages` has none. The sample is bounded by `TRAIN_PAGES`.
 
 Edge cases: null or empty html, and a page without content, give an empty
-text with 0 code points; broken or unclosed markup is read as far as it goes;
-rows are read one by one, so repeated rows and an empty table need nothing special.
+text with 0 code points; a tag whose quote is never closed ends at its next
+bracket, one without a bracket at the end of the page is dropped, end tags
+without a start are passed over; the time to read a page grows with its length
+and that of its memory with its nodes, whatever it holds; ids and urls are
+passed on as they are, null and repeated ones too; columns of pages may have any
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,20 +23,24 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the fit.
 TRAIN_PAGES, TREES, DEPTH, BINS, RATE = 500, 40, 4, 32, 0.3
+#: Nodes whose features are in memory at once, and bytes of html to a batch.
+NODES, BATCH_BYTES = 8192, 4_000_000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-UNENDED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -40,10 +48,11 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Elements whose content is not markup, and elements whose subtree is dropped.
 RAW = frozenset("script style noscript textarea title iframe".split())
 DROPPED = frozenset("template select svg object button".split())
-HOLDS_DROPPED = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})\b", re.I)
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start tag in the key set ends an open element of the value set, up to the given bounds.
 CLOSES = {t: ({"p"}, set()) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
+#: These look past open inline elements only; the others past everything up to their bounds.
+PAST_INLINE = frozenset(CLOSES)
 CLOSES |= {"li": ({"p", "li"}, {"ul", "ol"}), "dt": ({"p", "dt", "dd"}, {"dl"}), "dd": ({"p", "dt", "dd"}, {"dl"}), "tr": ({"td", "th", "tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 TAGS = ["article", "main", "nav", "header", "footer", "aside", "form", "p", "h1", "h2", "ul", "li", "div", "section", "body", "table", "blockquote", "pre", "figure", "address"]
@@ -76,73 +85,134 @@ def _raw_end(tag: str, html: str, at: int) -> int:
     return end.end() if end else len(html)
 
 
-def _ended(html: str) -> set[int]:
+def _tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it ends an element, attributes) of each piece of markup; the name is empty for comments and declarations.
+
+    The content of raw elements is passed over. Every search starts where the
+    last one ended; quotes that lead nowhere are ignored from then on, so the
+    time is linear.
+    """
+    at, quoted, open_svg, n = 0, True, 0, len(html)
+    while (start := html.find("<", at)) >= 0:
+        after = html[start + 1 : start + 2]
+        if after in ("!", "?"):
+            comment = html.startswith("<!--", start)
+            end = html.find("-->" if comment else ">", start + (4 if comment else 2))
+            at = n if end < 0 else end + (3 if comment else 1)
+            yield start, at, "", False, ""
+            continue
+        m = NAME.match(html, start + 1)
+        if not m:
+            at = start + 1
+            continue
+        i = m.end()
+        while quoted:
+            i = PLAIN.match(html, i).end()
+            if html[i : i + 1] == ">":
+                break
+            close = html.find(html[i], i + 1) if i < n else -1
+            if close < 0:
+                quoted = False
+            i = close + 1
+        if not quoted:
+            i = html.find(">", m.end())
+        if i < 0:
+            yield start, n, "", False, ""
+            return
+        at = i + 1
+        name, ends, attributes = m[2].lower(), bool(m[1]), html[m.end() : i]
+        yield start, at, name, ends, attributes
+        open_svg += (-1 if ends else not attributes.endswith("/")) if name == "svg" else 0
+        if name in RAW and not ends and not (attributes.endswith("/") and open_svg > 0):
+            start, at = at, _raw_end(name, html, at)
+            yield start, at, "", False, ""
+
+
+def _ended(tags: list[tuple[int, int, str, bool, str]]) -> set[int]:
     """Where start tags of dropped elements are that have an end tag; one without holds nothing."""
     open_at: dict[str, list[int]] = {t: [] for t in DROPPED}
-    ended, at = set(), 0
-    for m in TOKEN.finditer(html) if HOLDS_DROPPED.search(html) else ():
-        if m.start() < at:
-            continue
-        tag, closed = (m[2] or "").lower(), (m[3] or "").endswith("/")
-        if tag in DROPPED and m[1]:
+    ended = set()
+    for start, _, tag, ends, attributes in tags:
+        if tag in DROPPED and ends:
             if open_at[tag]:
                 ended.add(open_at[tag].pop())
-        elif tag in DROPPED and not (tag == "svg" and closed):
-            open_at[tag].append(m.start())
-        elif tag in RAW and not m[1] and not (closed and open_at["svg"]):
-            at = _raw_end(tag, html, m.end())
+        elif tag in DROPPED and not (tag == "svg" and attributes.endswith("/")):
+            open_at[tag].append(start)
     return ended
 
 
+class Open:
+    """The open tags below the root, inline ones too, and where on the stack each kind lies."""
+
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []  # places of those that are not inline
+
+    def push(self, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.solid.append(len(self.stack))
+        self.stack.append(tag)
+
+    def pop(self) -> str:
+        tag = self.stack.pop()
+        self.places[tag].pop()
+        if tag not in INLINE:
+            self.solid.pop()
+        return tag
+
+    def last(self, tags: set[str] | tuple[str, ...]) -> int:
+        """The topmost place of any of the tags; -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def ended_by(self, tag: str) -> int:
+        """The place of an open element that a start tag ends, -1 if there is none."""
+        ends, bounds = CLOSES[tag]
+        at = self.last(ends)
+        if tag in PAST_INLINE:
+            return at if at >= 0 and self.solid[-1] == at else -1
+        return at if at > self.last(bounds) else -1
+
+
 def parse(html: str) -> list[Node]:
     """The block elements in document order, the root first; inline elements only leave their text, dropped ones nothing."""
     root = Node("root", None, 0, 0)
     nodes, node, links, at, hidden, size = [root], root, 0, 0, 0, 0
-    ended = _ended(html)
-    stack: list[str] = []  # open tags below the root, inline ones too
+    tags = list(_tags(html))
+    ended = _ended(tags)
+    held = Open()
     root.linked = 0
 
     def close(n: int) -> None:
         nonlocal node, links, hidden
-        while len(stack) > n:
-            tag = stack.pop()
+        while len(held.stack) > n:
+            tag = held.pop()
             if tag == "a":
                 links -= 1
             hidden -= tag in DROPPED
             if tag not in INLINE:
                 node = node.parent
 
-    for m in TOKEN.finditer(html):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            text = html[at : m.start()]
+    for start, end, tag, ends, attributes in tags:
+        if start > at:
+            text = html[at:start]
             node.parts.append(text)
             if links:
                 node.linked += len(text)
             size += 0 if hidden else len(text)
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = end
         if not tag:
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i] == tag:
-                    close(i)
-                    break
-            continue
-        if m[3].endswith("/") and (tag == "svg" or "svg" in stack) or tag in DROPPED and m.start() not in ended:
+        if ends:
+            if (place := held.last((tag,))) >= 0:
+                close(place)
             continue
-        if tag in RAW:
-            at = _raw_end(tag, html, at)
+        if attributes.endswith("/") and (tag == "svg" or held.places.get("svg")) or tag in DROPPED and start not in ended or tag in RAW:
             continue
         if tag in CLOSES:
-            ends, bounds = CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i] in ends:
-                    close(i)
-                elif stack[i] in bounds or (tag not in ("li", "dt", "dd", "tr", "td", "th") and stack[i] not in INLINE):
-                    break
+            while (place := held.ended_by(tag)) >= 0:
+                close(place)
         if tag in VOID:
             if tag not in ("wbr", "img"):
                 node.parts.append(" ")
@@ -151,7 +221,7 @@ def parse(html: str) -> list[Node]:
             links += tag == "a"
         else:
             groups = 0
-            for a in ATTRIBUTE.finditer(m[3]):
+            for a in ATTRIBUTE.finditer(attributes):
                 for w in WORDS.findall(a[1] or a[2] or a[3] or ""):
                     if (g := GROUP_OF.get(w.lower())) is not None:
                         groups |= 1 << g
@@ -163,10 +233,10 @@ def parse(html: str) -> list[Node]:
                 node.children.append(child)
                 nodes.append(child)
             node = child
-        if not m[3].endswith("/") or tag not in INLINE:
-            stack.append(tag)
+        if not attributes.endswith("/") or tag not in INLINE:
+            held.push(tag)
     if at < len(html):
-        node.parts.append(UNENDED.sub("", html[at:]))
+        node.parts.append(html[at:])
     for n in reversed(nodes):
         text = "".join(p for p in n.parts if isinstance(p, str))
         n.own = len(text.strip())
@@ -181,24 +251,23 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
-def features(nodes: list[Node]) -> list[list[float]]:
-    whole, rows, above = max(nodes[0].size, 1), [], {}
+def features(nodes: list[Node]) -> Iterator[list[float]]:
+    whole, above = max(nodes[0].size, 1), {}
     for n in nodes:
         p = n.parent
         groups, tags = above[id(p)] if p else (0, 0)
         code = TAGS.index(n.tag) if n.tag in TAGS else len(TAGS)
         siblings = p.children if p else nodes[:1]
         if p and (id(p), "s") not in above:
-            above[id(p), "s"] = (len(siblings), sum(c.size for c in siblings), {t: sum(c.tag == t for c in siblings) for t in {c.tag for c in siblings}})
+            above[id(p), "s"] = (len(siblings), sum(c.size for c in siblings), Counter(c.tag for c in siblings))
         count, held, same = above[id(p), "s"] if p else (1, n.size, {n.tag: 1})
         row = [n.depth, math.log1p(n.size), math.log1p(n.own), n.linked / max(n.size, 1), n.size / n.tags, math.log1p(n.paragraphs), n.stops / max(n.size, 1) * 100, n.start / whole, n.size / whole, count, same[n.tag], n.size / max(held, 1), held / count, p.linked / max(p.size, 1) if p else 0.0]
         row += [float(code == i) for i in range(len(TAGS))]
         row += [float(tags >> i & 1) for i in range(7)]  # below article, main, nav, header, footer, aside, form
         row += [float(n.groups >> i & 1) for i in range(len(TOKENS))]
         row += [float(groups >> i & 1) for i in range(len(TOKENS))]
-        rows.append(row)
+        yield row
         above[id(n)] = (groups | n.groups, tags | (1 << code if code < 7 else 0))
-    return rows
 
 
 # --- the model -------------------------------------------------------------
@@ -335,7 +404,7 @@ def trained() -> BoostedTrees:
     rnd, x, y = random.Random(8), [], []
     for _ in range(TRAIN_PAGES):
         nodes = parse(sample_page(rnd)[0])
-        x += features(nodes)
+        x += list(features(nodes))
         held: dict[int, bool] = {}
         for n in reversed(nodes):
             held[id(n)] = any(w[0] == "c" for p in n.parts if isinstance(p, str) for w in p.split()) or any(held[id(c)] for c in n.children)
@@ -381,12 +450,24 @@ def main_text(nodes: list[Node], chosen: set[int]) -> str:
 
 
 def extract(pages: list[str], model: BoostedTrees) -> list[str]:
-    trees = [parse(h) for h in pages]
-    logits = model.logits(np.array([row for t in trees for row in features(t)])) if trees else np.empty(0)
-    out, at = [], 0
-    for nodes in trees:
-        out.append(main_text(nodes, decode(nodes, logits[at : at + len(nodes)])))
-        at += len(nodes)
+    out: list[str] = []
+    waiting: list[list[Node]] = []
+
+    def judge() -> None:
+        rows = chain.from_iterable(map(features, waiting))
+        logits = np.concatenate([model.logits(np.array(part)) for part in iter(lambda: list(islice(rows, NODES)), [])])
+        at = 0
+        for nodes in waiting:
+            out.append(main_text(nodes, decode(nodes, logits[at : at + len(nodes)])))
+            at += len(nodes)
+        waiting.clear()
+
+    for html in pages:
+        waiting.append(parse(html))
+        if sum(map(len, waiting)) >= NODES:
+            judge()
+    if waiting:
+        judge()
     return out
 
 
@@ -394,11 +475,19 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """One row per page: page_id, url, the main text and its length in code points."""
     model = pages.sparkSession.sparkContext.broadcast(trained())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged(batch: pa.RecordBatch, html: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(extract(html, model.value), pa.string())], names=["page_id", "url", "text"])
+
         for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch[start : start + 64]
-                yield pd.DataFrame({"page_id": part.page_id, "url": part.url, "text": extract(list(part.html), model.value)})
+            start, held = 0, []
+            for k in range(batch.num_rows):
+                held.append(batch.column("html")[k].as_py())
+                if sum(map(len, held)) > BATCH_BYTES:
+                    yield judged(batch.slice(start, len(held)), held)
+                    start, held = k + 1, []
+            if held:
+                yield judged(batch.slice(start), held)
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    return rows.mapInPandas(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return rows.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
