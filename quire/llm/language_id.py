@@ -1,18 +1,24 @@
 """Language ID by hierarchical discrimination with linear support vector machines.
 
 First the family: languages whose sampled texts have similar byte n-grams are
-grouped (average linkage), and one linear machine per family scores a text.
+grouped by average linkage until there are about as many families as languages in
+one (the square root of their number), so that close languages share a family and
+no family is large; one linear machine per family scores a text.
 Then, inside the winning family, one-versus-one linear machines vote between
 the closely related languages. Texts are bags of hashed byte bigrams and
 trigrams; a machine is a table of weights, so a text of any length is scored
 whole by looking up and averaging the weights of its n-grams.
 
-Training reads a bounded sample of labelled rows (`SAMPLE_PER_LANGUAGE` each,
-the smallest of a hash of the id, per language), never a held-out row.
+Training reads a bounded sample of labelled rows (`SAMPLE_PER_LANGUAGE` for each
+language at most, about `SAMPLE` in all, at least one of each language; those
+with the smallest hash of id and text), never a held-out row. Tasks turn the whole
+texts of the sample into n-gram shares, so what comes to the driver is bounded by
+its rows. The model grows with the power 1.5 of the number of languages.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; so is
 everything if no labelled training row exists; one learned language is always
-predicted; repeated rows are predicted alike; an empty table stays empty.
+predicted; repeated rows are predicted alike and train once; a null id counts as
+an empty one; columns of docs may have any names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,19 +26,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import id_bucket
 
-#: Bounds of the fit: texts per language and in all, code points of each, and languages.
-SAMPLE_PER_LANGUAGE, SAMPLE, SAMPLE_CHARS, MAX_LANGUAGES = 400, 2000, 3000, 200
-#: Families are merged while their mean profiles are more alike than this.
-FAMILY_LINK = 0.75
+#: Bounds of the fit: texts per language and in all.
+SAMPLE_PER_LANGUAGE, SAMPLE = 400, 2000
 HASH_BITS, EPOCHS, L2, SEED = 14, 12, 1e-4, 5
 UNKNOWN = "und"
 
@@ -52,8 +58,9 @@ def ngrams(text: bytes) -> np.ndarray:
 
 
 def profile(text: bytes) -> np.ndarray:
-    x = np.bincount(ngrams(text), minlength=1 << HASH_BITS).astype(np.float32)
-    return x / max(x.sum(), 1.0)
+    """The n-grams' shares in a whole text."""
+    x = np.bincount(ngrams(text), minlength=1 << HASH_BITS)
+    return (x / max(x.sum(), 1.0)).astype(np.float32)
 
 
 def train_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -118,24 +125,24 @@ def sigmoid(x: float) -> float:
 
 
 def families_of(means: np.ndarray) -> list[list[int]]:
-    """Average linkage on the cosine of the languages' mean profiles (square roots damp the commonest n-grams)."""
+    """Average linkage on the cosine of the languages' mean profiles (square roots damp the commonest n-grams), down to the root of their number, none above twice that."""
     root = np.sqrt(means)
     alike = root @ root.T
-    groups = [[i] for i in range(len(means))]
-    while len(groups) > 1:
-        near, i, j = max((float(alike[np.ix_(groups[i], groups[j])].mean()), -i, -j) for i, j in combinations(range(len(groups)), 2))
-        if near < FAMILY_LINK:
+    groups, number = [[i] for i in range(len(means))], isqrt(len(means))
+    while len(groups) > number:
+        fits = [(i, j) for i, j in combinations(range(len(groups)), 2) if len(groups[i]) + len(groups[j]) <= 2 * number]
+        if not fits:
             break
+        _, i, j = max((float(alike[np.ix_(groups[i], groups[j])].mean()), -i, -j) for i, j in fits)
         groups[-i] += groups.pop(-j)
     return groups
 
 
-def fit(samples: list[tuple[str, bytes]]) -> Model:
+def fit(samples: list[tuple[str, np.ndarray]]) -> Model:
+    """samples: language and profile."""
     languages = sorted({lang for lang, _ in samples})
     y = np.array([languages.index(lang) for lang, _ in samples], int)
-    x = np.zeros((len(samples), 1 << HASH_BITS), np.float32)
-    for row, (_, t) in zip(x, samples, strict=True):
-        row[:] = profile(t)
+    x = np.stack([p for _, p in samples]) if samples else np.zeros((0, 1 << HASH_BITS), np.float32)
     groups = families_of(np.stack([x[y == k].mean(0) for k in range(len(languages))])) if languages else []
     # rare n-grams weigh more: profiles are sums of few large and many small shares
     scale = (1 / np.sqrt(x.mean(0) + 1e-6)).astype(np.float32) if len(x) else np.ones(x.shape[1], np.float32)
@@ -156,23 +163,40 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, held_out: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes]]:
-    """At most SAMPLE_PER_LANGUAGE rows of each language and about SAMPLE in all, those with the smallest hash, cut to SAMPLE_CHARS.
+def labelled_sample(docs: DataFrame, held_out: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray]]:
+    """Language and profile of the sampled rows.
 
     Hashes are thinned per language first, by the language's row count, so the texts that are
-    ranked number a few times the sample.
+    ranked number a few times the sample. Equal rows count once.
     """
     rows = docs.filter(~held_out & F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()
     if not counts:
         return []
     each = min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE // len(counts)))
-    hashed = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1 << 30))
+    hashed = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)), F.lit(1 << 30))
     bound = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1 << 30, int((2 * each + 20) / r["count"] * (1 << 30)) + 1))])
-    thin = rows.select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text")).filter(F.col("h") < bound[F.col("lang")])
-    kept = thin.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, each).alias("sample"))
-    found = kept.select("lang", F.explode("sample.text").alias("text")).collect()
-    return sorted((r["lang"], r["text"].encode()) for r in found)
+    thin = rows.select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.col(text_col).cast("binary").alias("text")).filter(F.col("h") < bound[F.col("lang")])
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, shares = [], []
+            for text in batch.column("text"):
+                p = profile(text.as_py())
+                used = np.flatnonzero(p)
+                grams.append(used.astype(np.uint16).tobytes())
+                shares.append(p[used].tobytes())
+            data = [pa.array(grams, pa.binary()), pa.array(shares, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), *data], names=["lang", "h", "grams", "shares"])
+
+    found = thin.mapInArrow(profiles, "lang string, h long, grams binary, shares binary").dropDuplicates(["lang", "h"])
+    kept = found.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "grams", "shares"))), 1, each).alias("sample"))
+    out = []
+    for r in sorted(kept.select("lang", F.explode("sample").alias("s")).select("lang", "s.*").collect(), key=lambda r: (r["lang"], r["h"])):
+        x = np.zeros(1 << HASH_BITS, np.float32)
+        x[np.frombuffer(r["grams"], np.uint16)] = np.frombuffer(r["shares"], np.float32)
+        out.append((r["lang"], x))
+    return out
 
 
 def _predictor(model: Broadcast):  # noqa: ANN202
