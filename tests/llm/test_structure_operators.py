@@ -42,9 +42,34 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in order) for r in got.collect()))) == sorted(map(str, want.select(*order).fetchall()))
 
 
+# --- ids
+
+
+def test_ids_come_back_as_they_are(spark):
+    """Beside a null id, ids above 2**53 keep their last digits; ids may repeat."""
+    ids, known = [9007199254740993, None, 9007199254740995, 5, 5], None
+    pages = spark.createDataFrame([(i, "http://a.net/es/x", "<p>a</p>", "h", "r", "v") for i in ids], "page_id long, url string, html string, host string, rule string, verdict string")
+    for out in (url_filter.judge_urls(pages, registry.URL_RULES), html_text.extract_main_text(pages)):
+        known = sorted(str(r["page_id"]) for r in out.collect())
+        assert known == sorted(map(str, ids))
+    assert html_text.extract_main_text(pages.limit(0)).collect() == []
+
+
 # --- URLs
 
 
+@pytest.mark.parametrize(
+    ("pattern", "literals"),
+    [
+        (r"^(?:[^/?#]*\.)?example\.com/en/", ("example", "com", "en")), (r"^(?:[^/?#]*\.)?example\.com/en", ("example", "com")), (r"^[^/?#]*/pixel(?:/|\Z)", ("pixel",)),
+        (r"foo\.bar/", ("bar",)), (r"^a+b/c/", ("c",)), (r"^(?:x|y)abc/", ()), (r"(?i)^Foo/kit/", ("foo",)), (r"^x?y/", ()), (r"^\w+/z/", ("z",)),
+    ],
+)
+def test_literals_are_read_off_the_pattern(pattern, literals):
+    assert url_filter.literals_of(pattern) == literals
+
+
+
 def test_index_gives_what_all_rules_give(spark):
     rnd = random.Random(1)
     hosts = ["com", "example.com", "a.example.com", "b.net", "net", "example-shop.com", "xexample.com", "café.org"]
@@ -111,6 +136,21 @@ def test_dropped_elements_hold_only_their_subtree(odd):
         assert not {n.tag for n in nodes} & html_text.DROPPED
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<p class="x>hello ' * 50_000, "<div>" * 30_000 + "</b>" * 60_000, "<b>" * 30_000 + "<p>x" * 30_000, "<b>" * 30_000 + "<li>x" * 30_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.parse(page)
+    assert time.process_time() - began < 3
+
+
+def test_unclosed_quotes_lose_no_text():
+    nodes = html_text.parse("<article><p class=\"x>one two</p><p>it's</p><title>no</title><svg><title/>no</svg><p>three</p></article>")
+    words = html_text.main_text(nodes, {id(n) for n in nodes})
+    assert words == "one two it's three"
+
+
 def test_decoding_never_contradicts():
     rnd = np.random.default_rng(1)
     for seed in range(30):
@@ -151,13 +191,18 @@ def test_near_duplicates_with_large_groups(docs, monkeypatch):
     rows += [(300 + i, " ".join(base).upper()) for i in range(30)]
     rows += [(400 + i, f"{a} {b}") for i, (a, b) in enumerate([("x", "y"), ("x", "y"), ("x", "z")])]
     monkeypatch.setattr(minhash, "BLOCK", 16)
-    for columns in (minhash.COLUMNS, 1):
-        monkeypatch.setattr(minhash, "COLUMNS", columns)
-        for size in (2, 5):
-            got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(rows), size, 80).collect()}
-            want, sets = exact_near_duplicates(rows, size, 80)
-            assert {d: r["component_id"] for d, r in got.items()} == want
-            assert all(r["n_shingles"] == len(sets[d]) and r["kept"] == (want[d] == d) for d, r in got.items())
+    for large, size in ((minhash.LARGE, 2), (8, 5)):
+        monkeypatch.setattr(minhash, "LARGE", large)
+        got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(rows), size, 80).collect()}
+        want, sets = exact_near_duplicates(rows, size, 80)
+        assert {d: r["component_id"] for d, r in got.items()} == want
+        assert all(r["n_shingles"] == len(sets[d]) and r["kept"] == (want[d] == d) for d, r in got.items())
+
+
+def test_texts_that_share_an_id_share_a_component(docs):
+    a, b, c = "one two three four five six", "seven eight nine ten", "eleven twelve thirteen"
+    got = minhash.near_duplicates(docs([(3, a), (7, a), (7, b), (9, b), (11, c), (7, b)]), 2, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(3, 3, True), (7, 3, False), (7, 3, False), (7, 3, False), (9, 3, False), (11, 11, True)]
 
 
 def test_near_duplicate_edges(docs):
