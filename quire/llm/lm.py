@@ -114,52 +114,73 @@ class Model:
             self.w[k] = flat[at : at + v.size].reshape(v.shape).copy()
             at += v.size
 
-    def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def step(self, h: np.ndarray, x: np.ndarray, gates: np.ndarray, cand: np.ndarray, recur: np.ndarray) -> np.ndarray:
+        """The next states (units x lanes) from the tokens' inputs; fills the gates (update, reset), the candidate and its recurrent part."""
         u = UNITS
-        x, hu = self.w["x"][ids], h @ self.w["u"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * u] + hu[:, : 2 * u])))
-        z, r = zr[:, :u], zr[:, u:]
-        n = np.tanh(x[:, 2 * u :] + r * hu[:, 2 * u :])
-        return n + z * (h - n), (h, hu[:, 2 * u :], z, r, n)
+        hu = self.recurrent @ h
+        np.add(x[: 2 * u], hu[: 2 * u], out=gates)
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        recur[:] = hu[2 * u :]
+        np.multiply(gates[u:], recur, out=cand)
+        cand += x[2 * u :]
+        np.tanh(cand, out=cand)
+        out = h - cand
+        out *= gates[:u]
+        out += cand
+        return out
+
+    @property
+    def recurrent(self) -> np.ndarray:
+        return self.w["u"].T
 
     def output(self, h: np.ndarray, ids: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of each id from its state (of a tail word: of its class); with grad, also the loss's gradient by state."""
         target = np.where(ids < HEAD, ids // CLASS, self.classes + (ids - HEAD) // ENDINGS)
-        logits = h @ self.w["c"] + self.w["cb"]
-        logits -= logits.max(1, keepdims=True)
-        np_exp = np.exp(logits)
-        total = np_exp.sum(1, keepdims=True)
-        every = np.arange(len(ids))
-        logp = (logits[every, target] - np.log(total[:, 0])).astype(np.float64)
+        prob, logp = softmax(h @ self.w["c"] + self.w["cb"], target)
         dh = None
         if grad is not None:
-            d = np_exp / total
-            d[every, target] -= 1
-            grad["c"] += h.T @ d
-            grad["cb"] += d.sum(0)
-            dh = d @ self.w["c"].T
+            prob[np.arange(len(ids)), target] -= 1
+            grad["c"] += h.T @ prob
+            grad["cb"] += prob.sum(0)
+            dh = prob @ np.ascontiguousarray(self.w["c"].T)
+        # the head's words, those of a class in a row
         order = np.argsort(target, kind="stable")
-        bounds = np.searchsorted(target[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[bounds[k] : bounds[k + 1]]
-            if not len(rows):
-                continue
-            hk, place = h[rows], ids[rows] % CLASS
-            inner = hk @ self.w["o"][k] + self.w["ob"][k]
-            inner -= inner.max(1, keepdims=True)
-            e = np.exp(inner)
-            s = e.sum(1, keepdims=True)
-            some = np.arange(len(rows))
-            logp[rows] += inner[some, place] - np.log(s[:, 0])
-            if grad is not None:
-                d = e / s
-                d[some, place] -= 1
-                grad["o"][k] += hk.T @ d
+        bounds = np.searchsorted(target[order], np.arange(self.classes + 1)).tolist()
+        order = order[: bounds[-1]]
+        used = [(k, bounds[k], bounds[k + 1]) for k in range(self.classes) if bounds[k] < bounds[k + 1]]
+        hs, place = h[order], ids[order] % CLASS
+        inner = np.empty((len(order), CLASS), np.float32)
+        for k, a, b in used:
+            np.matmul(hs[a:b], self.w["o"][k], out=inner[a:b])
+            inner[a:b] += self.w["ob"][k]
+        prob, logs = softmax(inner, place)
+        logp[order] += logs
+        if grad is not None:
+            prob[np.arange(len(order)), place] -= 1
+            back = np.empty_like(hs)
+            for k, a, b in used:
+                d = prob[a:b]
+                grad["o"][k] += hs[a:b].T @ d
                 grad["ob"][k] += d.sum(0)
-                dh[rows] += d @ self.w["o"][k].T
+                np.matmul(d, self.w["o"][k].T, out=back[a:b])
+            dh[order] += back
         return logp, dh
 
 
+def softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities, in place of the logits, and the natural log-probability of each row's target."""
+    every = np.arange(len(target))
+    logits -= logits.max(1, keepdims=True) if len(logits) else 0
+    picked = logits[every, target].astype(np.float64)
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    logits /= total[:, None]
+    return logits, picked - np.log(total)
+
+
 def lanes(docs: list[np.ndarray], most: int) -> list[list[int]]:
     """Documents dealt to lanes of about equal length, longest lanes first."""
     heap = [(0, k) for k in range(min(most, len(docs)))]
@@ -195,17 +216,18 @@ def windows(docs: list[np.ndarray], most: int, mixed: bool = False) -> Iterator[
 
 def score(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each document, a tail word counting as its class."""
-    out, h = np.zeros(len(docs)), np.zeros((min(LANES, len(docs)), UNITS), np.float32)
+    out, h = np.zeros(len(docs)), np.zeros((UNITS, min(LANES, len(docs))), np.float32)
     for ids, number, start in windows(docs, LANES):
-        states = np.empty((len(ids), ids.shape[1], UNITS), np.float32)
-        h = h[: ids.shape[1]].copy()
-        for t in range(len(ids)):
+        steps, live = ids.shape
+        states, h = np.empty((steps, UNITS, live), np.float32), h[:, :live].copy()
+        gates, cand, recur = (np.empty((k * UNITS, live), np.float32) for k in (2, 1, 1))
+        for t in range(steps):
             if start[t].any():
-                h[start[t]] = 0  # a fresh array of the step before
+                h[:, start[t]] = 0  # a fresh array of the step before
             states[t] = h
-            h, _ = model.step(h, np.maximum(ids[t], 0))
+            h = model.step(h, np.ascontiguousarray(model.w["x"][np.maximum(ids[t], 0)].T), gates, cand, recur)
         real = ids >= 0
-        logp, _ = model.output(states[real], ids[real])
+        logp, _ = model.output(states.transpose(0, 2, 1)[real], ids[real])
         out += np.bincount(number[real], logp, len(docs))
     return out
 
@@ -213,44 +235,64 @@ def score(model: Model, docs: list[np.ndarray]) -> np.ndarray:
 def train(model: Model, docs: list[np.ndarray]) -> None:
     """One pass of truncated backpropagation over the documents, by adaptive gradient steps."""
     squares = {k: np.full(v.shape, FIRST_SQUARES, np.float32) for k, v in model.w.items()}
-    most = min(64, len(docs))
-    h = np.zeros((most, UNITS), np.float32)
+    most, u = min(64, len(docs)), UNITS
+    h = np.zeros((u, most), np.float32)
     for ids, _, start in windows(docs, most, mixed=True):
-        h, saved, states = h[: ids.shape[1]].copy(), [], np.empty((len(ids), ids.shape[1], UNITS), np.float32)
-        for t in range(len(ids)):
-            if start[t].any():
-                h[start[t]] = 0  # a fresh array of the step before
-            states[t] = h
-            h, kept = model.step(h, np.maximum(ids[t], 0))
-            saved.append(kept)
-        real = ids >= 0
-        grad = {k: np.zeros_like(v) for k, v in model.w.items() if k != "x"}
-        _, dout = model.output(states[real], ids[real], grad)
-        given = np.zeros_like(states)
-        given[real] = dout
-        back, dx = np.zeros_like(h), np.zeros((len(ids), ids.shape[1], 3 * UNITS), np.float32)
-        for t in range(len(ids) - 1, -1, -1):
-            before, hun, z, r, n = saved[t]
-            dn = back * (1 - z) * (1 - n * n)
-            dz, dr = back * (before - n) * z * (1 - z), dn * hun * r * (1 - r)
-            dx[t] = np.concatenate((dz, dr, dn), 1)
-            du = np.concatenate((dz, dr, dn * r), 1)
-            grad["u"] += before.T @ du
-            back = back * z + du @ model.w["u"].T + given[t]
-            back[start[t]] = 0
+        grad, dx = gradient(model, h[:, : ids.shape[1]].copy(), ids, start)
+        h = grad.pop("h")
         count = most * STEPS  # a window with few lanes left takes a smaller step
         # inputs: the rows that the window used
-        flat, d = ids[real], dx[real]
+        real = ids >= 0
+        flat, d = ids[real], dx.transpose(0, 2, 1)[real]
         order = np.argsort(flat, kind="stable")
         used, first = np.unique(flat[order], return_index=True)
         g = np.add.reduceat(d[order], first) / count
-        squares["x"][used] += g * g
-        model.w["x"][used] -= RATE * g / np.sqrt(squares["x"][used])
+        held = squares["x"][used] + g * g
+        squares["x"][used] = held
+        model.w["x"][used] -= RATE * g / np.sqrt(held)
         for k, g in grad.items():
             g /= count
             squares[k] += g * g
-            step = RATE * g / np.sqrt(squares[k])
-            model.w[k] -= np.where(model.filled, step, 0) if k == "ob" else step
+            g /= np.sqrt(squares[k])
+            g *= RATE
+            model.w[k] -= np.where(model.filled, g, 0) if k == "ob" else g
+
+
+def gradient(model: Model, h: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The gradients of a window's loss from the states h it is entered with: by weight, and by each token's input; and the states it is left in, as `h`."""
+    (steps, live), u = ids.shape, UNITS
+    inputs = np.ascontiguousarray(model.w["x"][np.maximum(ids, 0)].transpose(0, 2, 1))
+    states, gates, cand, recur = (np.empty((steps, k * u, live), np.float32) for k in (1, 2, 1, 1))
+    starts = start.any(1).tolist()
+    for t in range(steps):
+        if starts[t]:
+            h[:, start[t]] = 0  # a fresh array of the step before
+        states[t] = h
+        h = model.step(h, inputs[t], gates[t], cand[t], recur[t])
+    real = ids >= 0
+    grad = {k: np.zeros_like(v) for k, v in model.w.items() if k != "x"}
+    _, dout = model.output(states.transpose(0, 2, 1)[real], ids[real], grad)
+    given = np.zeros((steps, live, u), np.float32)
+    given[real] = dout
+    given = np.ascontiguousarray(given.transpose(0, 2, 1))
+    z, r = gates[:, :u], gates[:, u:]
+    by_cand, by_update, by_reset = (1 - z) * (1 - cand * cand), (states - cand) * z * (1 - z), recur * r * (1 - r)
+    dx, d = np.empty((steps, 3 * u, live), np.float32), np.empty((3 * u, live), np.float32)
+    back = np.zeros_like(h)
+    for t in range(steps - 1, -1, -1):
+        dn = dx[t, 2 * u :]
+        np.multiply(back, by_cand[t], out=dn)
+        np.multiply(back, by_update[t], out=d[:u])
+        np.multiply(dn, by_reset[t], out=d[u : 2 * u])
+        np.multiply(dn, r[t], out=d[2 * u :])
+        dx[t, : 2 * u] = d[: 2 * u]
+        grad["u"] += states[t] @ d.T
+        back *= z[t]
+        back += model.w["u"] @ d
+        back += given[t]
+        if starts[t]:
+            back[:, start[t]] = 0
+    return grad | {"h": h}, dx
 
 
 # --- over the corpus ---------------------------------------------------------
