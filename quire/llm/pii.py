@@ -138,14 +138,15 @@ def _discovered(candidates: DataFrame, touched: DataFrame) -> DataFrame:
     n_patterns = edges.select("pattern").distinct().count()
 
     def trusts(scores: DataFrame) -> DataFrame:
-        believed = F.count_if(F.col("score") >= TRUSTED)
-        return scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("trust"), F.sum("seed").alias("seeds"), believed.alias("believed"))
+        """Trust of each pattern that is trusted: doubtful ones must not lend their instances the score that would lift them."""
+        found = scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("trust"), F.count_if(F.col("score") >= TRUSTED).alias("believed"))
+        return found.filter((F.col("trust") >= TRUSTED) & (F.col("believed") >= LEAST_SEEDS)).select("pattern", "trust")
 
     for _ in range(ROUNDS):
         # a frequent pattern has many edges: its one score is joined, never its edges collected
-        met = edges.join(small(trusts(scores).select("pattern", "trust"), n_patterns), "pattern").groupBy("instance").agg(F.greatest(F.max("seed"), F.max("trust")).alias("score"))
+        met = edges.join(small(trusts(scores), n_patterns), "pattern", "left").groupBy("instance").agg(F.greatest(F.max("seed"), F.max("trust")).alias("score"))
         scores = checkpointed(edges.join(met, "instance").select("pattern", "instance", "seed", "score"))
-    trusted = trusts(scores).filter((F.col("trust") >= TRUSTED) & (F.col("believed") >= LEAST_SEEDS)).select("pattern")
+    trusted = trusts(scores).select("pattern")
     fresh = known.filter(~F.col("seed") & (F.length("match") >= LEAST_LENGTH))
     return fresh.join(small(trusted, n_patterns), "pattern", "left_semi").select("row", "start", "end").distinct()
 
