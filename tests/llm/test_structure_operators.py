@@ -224,7 +224,12 @@ def test_bayesian_pruning_keeps_similar_pairs():
 # --- embeddings
 
 
-def test_embedding_links_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("filled", "broadcast"), [(4096, 50_000), (8, 0), (0, 50_000)])
+def test_embedding_links_equal_brute_force(spark, monkeypatch, filled, broadcast):
+    """With one to three hashes to a bucket, small blocks, and buckets found by broadcast and by join."""
+    monkeypatch.setattr(embedding_dedup, "FILLED", filled)
+    monkeypatch.setattr(embedding_dedup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(embedding_dedup, "LARGE", 20)
     rnd = np.random.default_rng(3)
     base = rnd.normal(size=(40, 24))
     rows = []
@@ -247,14 +252,27 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.link_embeddings(df.limit(0)).collect() == []
 
 
-def test_recall_at_the_threshold():
+def test_hashes_grow_with_the_labels():
+    assert [embedding_dedup.hashes_for(n, 64) for n in (1000, 100_000, 1_000_000, 100_000_000)] == [1, 1, 2, 3]
+
+
+def test_embeddings_with_repeated_and_null_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, a, 1), (7, a, 1), (7, b, 1), (9, b, 1), (None, c, 1), (11, c, 1), (None, None, 1), (12, a, 2)]
+    got = embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    found = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got)
+    assert found == sorted([("3", 1, "3", True), ("7", 1, "3", False), ("7", 1, "3", False), ("9", 1, "3", False), ("None", 1, "None", True), ("11", 1, "11", True), ("None", 0, "None", True), ("12", 0, "12", True)])
+
+
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_recall_at_the_threshold(hashes):
     rnd = np.random.default_rng(4)
     a = rnd.normal(size=(3000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     z = rnd.normal(size=a.shape)
     z -= (z * a).sum(1, keepdims=True) * a
     b = 0.93 * a + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    x, y = embedding_dedup.bucket_codes(a), embedding_dedup.bucket_codes(b)
+    x, y = embedding_dedup.bucket_codes(a, hashes), embedding_dedup.bucket_codes(b, hashes)
     assert np.mean([bool(set(p.tolist()) & set(q.tolist())) for p, q in zip(x, y, strict=True)]) > 0.999
 
 
@@ -288,6 +306,41 @@ def test_model_is_a_distribution_and_batches_agree():
     assert lm.score(model, docs) == pytest.approx([lm.score(model, [d])[0] for d in docs], rel=1e-4)
 
 
+def test_gradient_equals_differences_of_the_loss():
+    """Of the largest entries of each weight, over two windows' worth of documents that start inside the window."""
+    hot = [(b"w%d" % i, 200 - i) for i in range(150)]
+    model, rnd = lm.Model(hot, 5.0), np.random.default_rng(2)
+    model.w = {k: (v + rnd.normal(size=v.shape) * 0.2).astype(np.float32) if k != "ob" else v for k, v in model.w.items()}
+    ids = rnd.integers(0, 150, (12, 6)).astype(np.int32)
+    ids[:, 5] = lm.HEAD + rnd.integers(0, lm.ENDINGS, 12)
+    ids[9:, 4] = -1
+    start = rnd.random((12, 6)) < 0.2
+    start[0] = True
+
+    def loss():
+        h, total = np.zeros((lm.UNITS, 6), np.float32), 0.0
+        room = [np.empty((k * lm.UNITS, 6), np.float32) for k in (2, 1, 1)]
+        for t in range(12):
+            h[:, start[t]] = 0
+            real = ids[t] >= 0
+            total -= model.output(h.T[real], ids[t][real])[0].sum()
+            h = model.step(h, np.ascontiguousarray(model.w["x"][np.maximum(ids[t], 0)].T), *room)
+        return total
+
+    grad, dx = lm.gradient(model, np.zeros((lm.UNITS, 6), np.float32), ids, start)
+    grad["x"] = np.zeros_like(model.w["x"])
+    np.add.at(grad["x"], ids[ids >= 0], dx.transpose(0, 2, 1)[ids >= 0])
+    for k in model.w:
+        for at in np.argsort(-np.abs(grad[k]), axis=None)[:5].tolist():
+            place = np.unravel_index(at, grad[k].shape)
+            kept, ends = model.w[k][place], []
+            for step in (0.01, -0.01):
+                model.w[k][place] = kept + np.float32(step)
+                ends.append(loss())
+            model.w[k][place] = kept
+            assert (ends[0] - ends[1]) / 0.02 == pytest.approx(float(grad[k][place]), rel=0.03, abs=0.02), (k, place)
+
+
 def test_gradient_step_lowers_the_loss():
     hot = [(b"a", 50), (b"b", 50), (b"c", 50), (b"", 20)]
     model, docs = lm.Model(hot, 1.0), [np.array([0, 1, 2] * 40 + [3], np.int32) for _ in range(30)]

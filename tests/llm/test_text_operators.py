@@ -1,10 +1,12 @@
 """Mixing, token counts, personal data, decontamination and language ID against plain Python, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,26 @@ def test_mix_edges(docs):
     assert [r["repeats"] for r in kept] == [1, 1] and {r["text"] for r in kept} == {"a b", "c d e"}
 
 
+def test_mix_spreads_null_and_repeated_ids(docs):
+    """Texts under a null id have hashes of their own, and equal rows are taken in any number."""
+    unlike = [(None, f"a b c d {i}", "en", "p") for i in range(600)]
+    alike = [(None, "a b c d e", "en", "q")] * 900 + [(i, "v w", "en", "r") for i in range(50)]
+    for rows in (unlike + [(1, "x y z", "en", "q")] * 700, alike):
+        df = docs(rows).repartition(7)
+        got = mixing.mix_sources(df).collect()
+        assert len(got) == len(rows)
+        by = {}
+        for r in got:
+            assert r["taken"] in [k * r["size"] for k in range(4)]
+            target, taken = by.get(r["source_size"], (r["target"], 0))
+            by[r["source_size"]] = (target, taken + r["taken"])
+        assert all(abs(taken - target) <= 5 for target, taken in by.values())
+        again = mixing.mix_sources(docs(rows).repartition(3)).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, again)))
+        mixed = mixing.mixed_documents(df).collect()
+        assert sum(r["repeats"] * len(r["text"].split()) for r in mixed) == sum(r["taken"] for r in got)
+
+
 # --- token counts
 
 
@@ -96,6 +118,7 @@ def test_token_counts_equal_the_library(spark, docs, vocabulary):
 
     rnd = random.Random(2)
     odd = ["Hello <|endoftext|> WÖRLD's 123...!!! áb", "x<|endoftext|><|startoftext|>y don't i'd", "ΑΣ ΣΑΣ İ é ᰜ a\x1cb\x85c\xa0d", "😀😃 ½²³ Ⅷ", "日本語 中文", "<|endoftext|", "'s'S '''"]
+    odd += ["x" * 500 + ".", "中文，日本語。" * 60, "a,b;c(d)e!f?g:h" * 40]
     odd += ["".join(rnd.choice("abcdefghijklmnop'.!0 éü\n") for _ in range(rnd.randint(1, 80))) for _ in range(300)]
     rows = [(i, t) for i, t in enumerate(odd)] + [(1000 + i, r["text"]) for i, r in enumerate(documents(spark).limit(60).collect())]
     library = Tokenizer.from_file(vocabulary)
@@ -199,6 +222,37 @@ def test_bootstrap_learns_from_phones_and_spaced_cards(docs):
     assert all(got[50 + i]["spans"] == "card:22:41" for i in range(40))
 
 
+def test_masks_stay_with_their_rows(spark, docs):
+    """Whatever deals the rows: a shuffle below the operator, repeated rows, texts that share an id, null ids."""
+    rows = [(i, f"write to user{i}@mail.example.com now" if i % 2 else f"nothing {i} here") for i in range(400)]
+    rows += [(1, rows[1][1]), (1, "other text of one"), (None, "call +1 (555) 123-4567"), (None, "call nobody")]
+    df = docs(rows).repartition(5)
+    got = pii.personal_data(df).collect()
+    assert len(got) == len(rows)
+    assert sum(r["n_email"] for r in got) == sum("@" in t for _, t in rows) and sum(r["n_phone"] for r in got) == 1
+    want = sorted(str((d, re.sub(r"user\d+@mail.example.com", "<EMAIL>", t).replace("+1 (555) 123-4567", "<PHONE>"))) for d, t in rows)
+    assert sorted(str((r["doc_id"], r["text"])) for r in pii.mask_personal_data(df).collect()) == want
+
+
+def test_patterns_of_both_sides_and_of_two_words(docs):
+    """One word before does not tell cards from page numbers; two words, or the word after, do."""
+    rnd = random.Random(9)
+
+    def card():
+        d = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    def wrong():
+        d = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if not luhn(d + c))
+
+    rows = [(i, f"The card number {card()} expires soon") for i in range(40)]
+    rows += [(100 + i, f"A serial number {wrong()} follows") for i in range(40)]
+    rows += [(200, f"The card number {wrong()} expires soon"), (201, f"Her card number {wrong()} was lost"), (202, f"Some number {wrong()} expires soon"), (203, f"A serial number {wrong()} follows")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs(rows)).collect()}
+    assert [got[i] for i in (200, 201, 202, 203)] == ["id:16:32", "id:16:32", "id:12:28", ""]
+
+
 def test_masking(docs):
     rows = [(1, "mail a@b.co or 1.2.3.4!"), (2, "none"), (3, None), (3, None)]
     got = pii.mask_personal_data(docs(rows))
@@ -276,6 +330,43 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.95
 
 
+def test_pair_machines_decide_inside_families(spark):
+    sample = language_id.labelled_sample(documents(spark), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, "doc_id", "text", "lang")
+    model = language_id.fit(sample)
+    assert len(model.languages) == 4 and len(model.families) == 2 and sum(len(g) * (len(g) - 1) // 2 for g in model.families) == len(model.pairs) > 0
+    # without the pairs, a family's first language would be all of it
+    texts = [r["text"].encode() for r in documents(spark).filter("text IS NOT NULL").limit(60).collect()]
+    plain = language_id.Model(model.languages, model.families, model.weights, model.bias, [])
+    assert [model.predict(t)[0] for t in texts] != [plain.predict(t)[0] for t in texts]
+
+
+def test_families_are_of_bounded_size():
+    rnd = np.random.default_rng(1)
+    for n in (1, 2, 3, 4, 9, 30, 100):
+        means = rnd.random((n, 50)).astype(np.float32)
+        groups = language_id.families_of(means / means.sum(1, keepdims=True))
+        assert sorted(i for g in groups for i in g) == list(range(n)) and max(map(len, groups)) <= max(1, 2 * math.isqrt(n))
+
+
+def test_machine_comes_near_the_best_loss():
+    """Against plain full-batch descent on the same loss, many steps of it."""
+    rnd = np.random.default_rng(7)
+    x = rnd.random((120, 30)).astype(np.float32)
+    y = np.where(x @ rnd.normal(size=30) + 0.3 * rnd.normal(size=120) > 0.2, 1.0, -1.0)
+    w, b = language_id.train_svm(x, np.arange(120), y)
+    weight = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean())
+
+    def loss(w, b):
+        return (weight * np.maximum(0, 1 - y * (x @ w + b)) ** 2).mean()
+
+    v, c = np.zeros(30), 0.0
+    for _ in range(20_000):
+        slack = weight * np.maximum(0, 1 - y * (x @ v + c)) * y
+        v, c = v + 0.05 * (x.T @ slack) / 120, c + 0.05 * slack.mean()
+    assert loss(w, b) < loss(v, c) + 0.25 * (loss(v * 0, 0) - loss(v, c))
+    assert ((x @ w + b > 0) == (y > 0)).mean() > ((x @ v + c > 0) == (y > 0)).mean() - 0.05
+
+
 def test_language_never_reads_labels_of_the_held_out(spark):
     df = documents(spark)
     lost = df.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit("xx")).otherwise(F.col("lang")))
