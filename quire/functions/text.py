@@ -15,6 +15,7 @@ WS = "[\\x09-\\x0D\\x20\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F
 OPERATORS = ["=", "+", "*", "/", "<", ">", "±", "×", "÷", "≤", "≥", "≠"]
 #: Prefixes that keep their hyphen at a line's end. Fixed values.
 HYPHEN_PREFIXES = ["non", "self", "co", "pre", "re", "anti", "multi", "inter", "sub", "semi", "e", "x", "ex", "post", "pro", "quasi", "pseudo"]
+#: What a list item starts with. Fixed value.
 LIST_MARKER = r"(?i)^(\d+[.)]|[a-z][.)]|\([a-z0-9]+\)|[•·▪◦‣–—*])\s+"
 
 
@@ -56,6 +57,26 @@ def detrack(text: Column) -> Column:
     return F.when(looks_tracked(text), F.replace(text, F.lit(" "), F.lit(""))).otherwise(text)
 
 
+def detrack_runs(text: Column, least: int = 4) -> Column:
+    """Only the stretches of at least so many single-character tokens are joined, and only if the text is letter-spaced at all."""
+    tokens = F.split(text, " ")
+    start = F.struct(F.lit("").alias("out"), F.array().cast("array<string>").alias("run"), F.lit(True).alias("first"))
+
+    def flushed(s: Column) -> Column:
+        piece = F.when(F.size(s["run"]) >= least, F.array_join(s["run"], "")).otherwise(F.array_join(s["run"], " "))
+        return F.when(F.size(s["run"]) == 0, s["out"]).when(s["first"], piece).otherwise(F.concat(s["out"], F.lit(" "), piece))
+
+    def step(s: Column, t: Column) -> Column:
+        single = F.length(t) == 1
+        held = F.when(single, F.concat(s["run"], F.array(t))).otherwise(F.array().cast("array<string>"))
+        before = s["first"] & (F.size(s["run"]) == 0)
+        out = F.when(single, s["out"]).when(before, t).otherwise(F.concat(flushed(s), F.lit(" "), t))
+        return F.struct(out.alias("out"), held.alias("run"), (s["first"] & single).alias("first"))
+
+    joined = F.aggregate(tokens, start, step, flushed)
+    return F.when(looks_tracked(text, least), joined).otherwise(text)
+
+
 def join_verdict(text: Column) -> Column:
     """Whether a joined line has too many spaces (too-low threshold) or too few (too-high)."""
     plain = F.translate(text, "\x1f", " ")
@@ -86,14 +107,22 @@ def joins_without_hyphen(left: Column, right: Column) -> Column:
 
 
 def join_lines(lines: Column) -> Column:
-    """An array of lines as one text, split words joined; a fold, since a joined word may be split again."""
+    """An array of lines as one text, split words joined; a fold, since a joined word may be split again.
+
+    The fold keeps the last line, with what was joined to it, apart from the text before, which it only appends to.
+    """
+
+    def state(done: Column, last: Column) -> Column:
+        return F.struct(done.alias("done"), last.alias("last"))
 
-    def step(out: Column, line: Column) -> Column:
-        sep = F.when(out.endswith("\x1f") | line.startswith("\x1f"), "").otherwise(" ")
-        return F.when(joins_without_hyphen(squeeze(out), squeeze(line)), F.concat(F.regexp_replace(out, "[-\\u2010\\u00AD]\\z", ""), line)).otherwise(F.concat(out, sep, line))
+    def step(s: Column, line: Column) -> Column:
+        sep = F.when(s["last"].endswith("\x1f") | line.startswith("\x1f"), "").otherwise(" ")
+        joins = joins_without_hyphen(squeeze(s["last"]), squeeze(line))
+        return F.when(joins, state(s["done"], F.concat(F.regexp_replace(s["last"], "[-\\u2010\\u00AD]\\z", ""), line))).otherwise(state(F.concat(s["done"], s["last"], sep), line))
 
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    return F.when(F.size(lines) == 0, "").otherwise(F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), first, step))
+    rest = F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
+    return F.when(F.size(lines) == 0, "").otherwise(F.aggregate(rest, state(F.lit(""), first), step, lambda s: F.concat(s["done"], s["last"])))
 
 
 def filename_stem(raw: Column) -> Column:
@@ -102,10 +131,14 @@ def filename_stem(raw: Column) -> Column:
 
 
 def epub_filename(title: Column, author: Column, source: Column, most: int = 120) -> Column:
-    t, a = filename_stem(F.coalesce(title, F.lit(""))), filename_stem(F.coalesce(author, F.lit("")))
-    stem = F.when((t != "") & (a != ""), F.concat_ws(" - ", t, a)).otherwise(t)
-    stem = F.coalesce(F.nullif(stem, F.lit("")), F.nullif(filename_stem(F.regexp_replace(source, r"(?i)\.pdf\z", "")), F.lit("")))
-    return F.when(stem.isNull(), "converted.epub").otherwise(F.concat(F.rtrim(F.left(stem, F.lit(most)), F.lit(". ")), F.lit(".epub")))
+    stems = F.struct(*[filename_stem(F.coalesce(c, F.lit(""))).alias(n) for c, n in ((title, "t"), (author, "a"), (F.regexp_replace(source, r"(?i)\.pdf\z", ""), "s"))])
+
+    def name(s: Column) -> Column:
+        stem = F.when((s["t"] != "") & (s["a"] != ""), F.concat_ws(" - ", s["t"], s["a"])).when(s["t"] != "", s["t"]).otherwise(s["s"])
+        return F.when(stem == "", "converted.epub").otherwise(F.concat(F.rtrim(F.left(stem, F.lit(most)), F.lit(". ")), F.lit(".epub")))
+
+    # the stems of long titles are worked out once
+    return F.get(F.transform(F.array(stems), name), F.lit(0))
 
 
 def normalize_path(path: Column) -> Column:

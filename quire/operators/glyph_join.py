@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import join_verdict
+
 #: Fixed thresholds, as shares of an em.
 CELL_GAP, LEAST, MOST, DEFAULT = 1.2, 0.16, 1.0, 0.25
 CELL_BREAK = "\x1f"
@@ -27,7 +31,7 @@ def separator(gap: Column, before: Column, text: Column, ratio: Column) -> Colum
 def text_of(ratio: Column) -> Column:
     """Aggregate of a line's runs with their gaps: its text."""
     piece = F.concat(F.coalesce(separator(F.col("gap"), F.col("before"), F.col("str"), ratio), F.lit("")), "str")
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "run_no", piece.alias("piece")))), lambda s: s["piece"]), "")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "run_no", piece.alias("piece")))), lambda s: s["piece"]), "")
 
 
 def joined_text(placed: DataFrame, ratio: Column) -> DataFrame:
@@ -71,9 +75,49 @@ def cluster_calibration(placed: DataFrame) -> DataFrame:
     return found.select(*KEYS, clamp((F.col("mean_low") + F.col("mean_high")) / 2).alias("ratio"))
 
 
+def with_ratio(placed: DataFrame) -> DataFrame:
+    """The runs with their gaps and their line's own threshold: from space glyphs, else from clusters, else none. All windows have the line as partition."""
+    line, ranked = Window.partitionBy(*KEYS), Window.partitionBy(*KEYS).orderBy(F.col("v").isNull(), "v")
+    touches = (F.col("str") == " ") | (F.col("before") == " ")
+    advance = F.when(touches, F.when(F.col("before") == " ", F.col("advance_before")).otherwise(F.col("advance")) / F.col("em_max"))
+    space = F.median(F.when(F.col("before").isNotNull() & (advance > 0), advance)).over(line)
+    tracking = F.median(F.when(F.col("before").isNotNull() & ~touches, F.col("gap"))).over(line)
+    gaps = with_gaps(placed).withColumn("by_space", F.when(space.isNotNull(), clamp(F.greatest(F.lit(0.0), F.coalesce(tracking, F.lit(0.0))) + F.lit(0.45) * space)))
+    # the best split of the sorted gaps, the first of equals
+    sorted_gaps = gaps.withColumn("v", F.when(F.col("gap").between(-0.05, 3), F.col("gap"))).withColumn("i", F.row_number().over(ranked) - 1)
+    summed = sorted_gaps.withColumn("low", F.sum("v").over(ranked.rowsBetween(Window.unboundedPreceding, -1))).withColumn("n", F.count("v").over(line)).withColumn("total", F.sum("v").over(line))
+    mean_low, mean_high, share = F.col("low") / F.col("i"), (F.col("total") - F.col("low")) / (F.col("n") - F.col("i")), F.col("i") / F.col("n")
+    split = F.when(F.col("v").isNotNull() & (F.col("i") > 0), F.struct((share * (1 - share) * F.pow(mean_low - mean_high, 2)).alias("variance"), (-F.col("i")).alias("first"), mean_low.alias("low"), mean_high.alias("high")))
+    best = summed.withColumn("b", F.max(split).over(line))
+    clear = (F.col("b.variance") > 0) & (F.col("n") >= 6) & (F.col("b.high") - F.col("b.low") >= 0.2) & (-F.col("b.first") / F.col("n") >= 0.4)
+    by_cluster = F.when(clear, clamp((F.col("b.low") + F.col("b.high")) / 2))
+    return best.withColumn("ratio", F.coalesce("by_space", by_cluster)).drop("by_space", "v", "i", "low", "n", "total", "b")
+
+
+def joined_with_retries(pieces: Column, ratio: Column) -> Column:
+    """Struct of text, ratio and uncertain: the runs of a line (struct of gap, before, str, in order) joined at a threshold, which is moved twice at most while the text has too many spaces or too few."""
+
+    def text(r: Column) -> Column:
+        return F.array_join(F.transform(pieces, lambda p: F.concat(F.coalesce(separator(p["gap"], p["before"], p["str"], r), F.lit("")), p["str"])), "")
+
+    def judged(r: Column) -> Column:
+        return F.get(F.transform(F.array(text(r)), lambda t: F.struct(t.alias("text"), r.alias("ratio"), join_verdict(t).alias("verdict"))), F.lit(0))
+
+    def again(found: Column) -> Column:
+        moved = F.when(found["verdict"] == "too-low", found["ratio"] * 1.4).otherwise(found["ratio"] * 0.7)
+        return F.when(found["verdict"] == "ok", found).otherwise(judged(moved))
+
+    def bound(first: Column, step: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(first), step), F.lit(0))
+
+    found = bound(bound(judged(ratio), again), again)
+    return bound(found, lambda f: F.struct(f["text"].alias("text"), f["ratio"].alias("ratio"), (f["verdict"] != "ok").alias("uncertain")))
+
+
 def calibrated_text(placed: DataFrame) -> DataFrame:
-    """Lines joined at their own threshold: from space glyphs, else from clusters, else the fixed one."""
-    space, cluster = space_calibration(placed).withColumnRenamed("ratio", "by_space"), cluster_calibration(placed).withColumnRenamed("ratio", "by_cluster")
-    both = placed.join(space, KEYS, "left").join(cluster, KEYS, "left").withColumn("ratio", F.coalesce("by_space", "by_cluster", F.lit(DEFAULT)))
-    ratios = both.groupBy(*KEYS).agg(F.max("ratio").alias("ratio"))
-    return joined_text(both, F.col("ratio")).join(ratios, KEYS)
+    """Lines joined at their own threshold or the fixed one, with retries: text, ratio and whether it stays uncertain. A line of one run is that run."""
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("x", "run_no", "gap", "before", "str"))), lambda s: F.struct(s["gap"].alias("gap"), s["before"].alias("before"), s["str"].alias("str")))
+    lines = with_ratio(placed.filter("str <> ''")).groupBy(*KEYS).agg(pieces.alias("pieces"), F.coalesce(F.max("ratio"), F.lit(DEFAULT)).alias("ratio"))
+    alone = F.struct(F.get("pieces", F.lit(0))["str"].alias("text"), F.lit(DEFAULT).alias("ratio"), F.lit(False).alias("uncertain"))
+    joined = F.when(F.size("pieces") == 1, alone).otherwise(joined_with_retries(F.col("pieces"), F.col("ratio")))
+    return lines.withColumn("j", F.explode(F.array(joined))).select(*KEYS, "j.text", "j.ratio", "j.uncertain")

@@ -58,6 +58,13 @@ def median_leading(lines: DataFrame) -> DataFrame:
     return gap.groupBy("doc_id", "page").agg(F.coalesce(F.median(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(0.0)).alias("leading"))
 
 
+def detracked_warning(lines: DataFrame) -> DataFrame:
+    """One warning for each document with repaired lines. lines: doc_id, detracked."""
+    found = lines.groupBy("doc_id").agg(F.count_if("detracked").alias("n")).filter("n > 0")
+    what = F.when(F.col("n") == 1, " line had").otherwise(" lines had")
+    return found.select("doc_id", F.lit("letter-spacing").alias("code"), F.concat(F.col("n").cast("string"), what, F.lit(" letters set apart, which were joined")).alias("message"))
+
+
 def scanned_pages(runs: DataFrame, least: int = 40) -> DataFrame:
     """Pages whose text is too short to be more than a scan."""
     return runs.groupBy("doc_id", "page").agg(F.sum(F.length(F.trim("str"))).alias("chars")).filter(F.col("chars") < least)

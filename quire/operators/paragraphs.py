@@ -6,7 +6,7 @@ end; leading and margins are those of the page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import LIST_MARKER, join_lines, squeeze, unclosed_delimiter
@@ -51,12 +51,17 @@ def mark_breaks(lines: DataFrame) -> DataFrame:
     return both.withColumn("breaks", F.col("before").isNull() | at_heading | by_text)
 
 
+def confidence(conf: Column) -> Column:
+    """Aggregate of the runs' confidences, 0 to 100: their median as a share, 0.8 if none is known."""
+    return F.coalesce(F.median(conf) / 100, F.lit(0.8))
+
+
 def blocks(lines: DataFrame) -> DataFrame:
     """One row per block in document order: kind (h, list, p), level, joined text, first page, bounds and lines."""
     marked = mark_breaks(lines)
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
     numbered = marked.withColumn("ord", (F.sum(F.col("breaks").cast("int")).over(order) - 1).cast("int"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "text"))), lambda s: s["text"])
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", "text"))), lambda s: s["text"])
     grouped = numbered.groupBy("doc_id", "ord").agg(
         F.min("page").alias("page"), F.min_by("heading_level", F.struct("page", "line_no")).alias("level"), join_lines(texts).alias("text"), F.count("*").alias("n_lines"),
         F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),

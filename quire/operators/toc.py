@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEEPEST, LEAST_HEADINGS, LEAST_BLOCKS, LARGEST = 3, 3, 3, 200_000
+#: Kinds of blocks that are never parted from what stands before them, and the weight of those without text. Fixed values.
+ATOMIC = ("table", "list", "pre", "code", "figure", "quote")
+PLAIN_WEIGHT = 32
 
 
 def build_toc(blocks: DataFrame) -> DataFrame:
@@ -24,6 +27,11 @@ def build_toc(blocks: DataFrame) -> DataFrame:
     return deep.select("doc_id", "ord", F.col("text").alias("label"), "level", "depth", parent.alias("parent_ord"), (F.col("rn") + 1).alias("play_order"))
 
 
+def toc_facts(toc: DataFrame) -> DataFrame:
+    """Entries and depth of each document's table of contents."""
+    return toc.groupBy("doc_id").agg(F.count("*").alias("entries"), F.max("depth").alias("depth"))
+
+
 def split_level(blocks: DataFrame) -> DataFrame:
     """The heading level that starts chapters: 1 or 2 if there are enough of it, else none."""
     count = blocks.groupBy("doc_id").agg(F.count_if((F.col("kind") == "h") & (F.col("level") == 1)).alias("h1"), F.count_if((F.col("kind") == "h") & (F.col("level") == 2)).alias("h2"))
@@ -49,12 +57,31 @@ def merge_tiny(grouped: DataFrame) -> DataFrame:
     return grouped.join(numbered.select("doc_id", "grp", "substantive", "chapter"), ["doc_id", "grp"])
 
 
+def json_length(value: Column) -> Column:
+    """Characters of a value as JSON, nulls left out."""
+    return F.length(F.to_json(value))
+
+
+def block_weight(blocks: DataFrame) -> Column:
+    """How large a block comes out, roughly: the characters of its JSON for paragraphs, headings, lists, tables and quotes, its text for code, a constant for the rest.
+
+    A column `inlines` of blocks, if there is one, is measured as it is; else the text counts as one plain inline.
+    """
+    plain = F.array(F.struct(F.lit("text").alias("t"), F.col("text").alias("s")))
+    held = F.col("inlines") if "inlines" in blocks.columns else plain
+    kind = F.col("kind")
+    item = F.array(F.struct(F.array(F.struct(F.lit("p").alias("kind"), held.alias("inlines"))).alias("blocks")))
+    return (
+        F.when(kind.isin("p", "h", "quote", "table"), json_length(held)).when(kind == "list", json_length(item)).when(kind.isin("code", "pre"), F.length("text")).otherwise(PLAIN_WEIGHT)
+    )
+
+
 def guard_size(merged: DataFrame, largest: int = LARGEST) -> DataFrame:
     """Adds `part`: chapters above the size are packed greedily; a part starts only before a block that may be parted.
 
     The packing depends on every block before, so it is a fold over the blocks of a chapter.
     """
-    sized = merged.withColumn("weight", F.length("text") + 32).withColumn("breakable", (F.col("kind") == "h") | ~F.col("kind").isin("table", "figure", "code", "pre"))
+    sized = merged.withColumn("weight", block_weight(merged)).withColumn("breakable", ~F.col("kind").isin(*ATOMIC))
     start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("part"), F.lit(0).alias("n"), F.array().cast("array<struct<ord:int,part:int>>").alias("out"))
 
     def step(s: Column, b: Column) -> Column:
@@ -64,7 +91,7 @@ def guard_size(merged: DataFrame, largest: int = LARGEST) -> DataFrame:
 
     large = sized.groupBy("doc_id", "chapter").agg(F.sum("weight").alias("total"))
     both = sized.join(large, ["doc_id", "chapter"])
-    packed = both.filter(F.col("total") > largest).groupBy("doc_id", "chapter").agg(F.array_sort(F.collect_list(F.struct("ord", "weight", "breakable"))).alias("b"))
+    packed = both.filter(F.col("total") > largest).groupBy("doc_id", "chapter").agg(F.sort_array(F.collect_list(F.struct("ord", "weight", "breakable"))).alias("b"))
     parts = packed.select("doc_id", F.explode(F.aggregate("b", start, step, lambda s: s["out"])).alias("p")).select("doc_id", "p.ord", "p.part")
     return both.join(parts, ["doc_id", "ord"], "left").withColumn("part", F.coalesce("part", F.lit(0))).drop("total", "breakable")
 
@@ -77,7 +104,7 @@ def chapters(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     title = parts.groupBy("doc_id", "chapter").agg(F.min_by(heading, first).alias("heading"))
     rows = parts.groupBy("doc_id", "chapter", "part").agg(F.count("*").alias("n_blocks"), F.min("ord").alias("first_ord"), F.sum("weight").alias("weight")).join(title, ["doc_id", "chapter"])
     rows = rows.join(titles, "doc_id", "left") if titles is not None else rows.withColumn("title", F.lit("Untitled"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter", "part"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter", "part")) - 1
     name = F.concat(F.lit("ch"), F.lpad(number.cast("string"), 3, "0"))
     shown = F.concat(F.coalesce("heading", "title"), F.when(F.col("part") > 0, " (cont.)").otherwise(""))
     return rows.select("doc_id", number.alias("chapter_no"), name.alias("id"), F.concat(name, F.lit(".xhtml")).alias("href"), shown.alias("title"), (F.col("part") > 0).alias("continuation"), "n_blocks", "first_ord", "weight")

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import geometry
 from quire.functions import text as T
-from quire.operators import glyph_join, headings, lines, marked, paragraphs, toc
-from quire.sources.layout import layout_runs, marked_items, read_table, tracked_runs
+from quire.operators import glyph_join, headings, inlines, lines, marked, metadata, paragraphs, toc
+from quire.operators import text_items as text_items_op
+from quire.publish import covers
+from quire.sources.layout import layout_runs, marked_items, read_table, text_items, tracked_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +37,19 @@ def _toc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "ord", "text", F.when(n < 60, "h").when(n % 11 == 0, "rule").otherwise("p").alias("kind"), F.when(n < 60, (n % 3 + 1)).otherwise(0).alias("level"))
 
 
+def _mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, every 5th other line a list, every 7th a quote, every 11th code and every 13th a figure."""
+    b, o = _toc_blocks(spark, sf_dir), F.col("ord")
+    kind = F.when(F.col("kind") != "p", F.col("kind")).when(o % 5 == 0, "list").when(o % 7 == 0, "quote").when(o % 11 == 0, "code").when(o % 13 == 0, "figure").otherwise("p")
+    return b.withColumn("kind", kind)
+
+
+def _styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs set in styles by their number."""
+    n = F.col("run_no")
+    return runs(spark, sf_dir).select("doc_id", "laid_line", "run_no", "str", (n % 7 < 2).alias("b"), (n % 11 == 3).alias("i"), (n % 13 == 5).alias("code"), (n % 17 == 6).alias("sub"), (n % 19 == 7).alias("sup"))
+
+
 def runs_layout(s: SparkSession, d: str) -> DataFrame:
     return runs(s, d).select("doc_id", "page", "run_no", "str", "x", "baseline_y", "em", "advance", "bold")
 
@@ -67,8 +83,8 @@ def g2_join_fixed(s: SparkSession, d: str) -> DataFrame:
 
 
 def g3_space_calibration(s: SparkSession, d: str) -> DataFrame:
-    """Runs with space glyphs between the words, on every 10th document."""
-    r = lines.cluster_lines(runs(s, d).filter("doc_id % 10 = 0"))
+    """Runs with space glyphs between the words."""
+    r = lines.cluster_lines(runs(s, d))
     space = r.select("doc_id", "page", "line_no", (F.col("run_no") * 2 + 1).alias("run_no"), F.lit(" ").alias("str"), (F.col("x") + F.col("advance")).alias("x"), "baseline_y", "em", F.lit(3).alias("advance"))
     words = r.select("doc_id", "page", "line_no", (F.col("run_no") * 2).alias("run_no"), "str", "x", "baseline_y", "em", "advance")
     return _doubles(glyph_join.space_calibration(words.unionByName(space)))
@@ -79,7 +95,156 @@ def g4_cluster_calibration(s: SparkSession, d: str) -> DataFrame:
 
 
 def g1_calibrated_text(s: SparkSession, d: str) -> DataFrame:
-    return glyph_join.calibrated_text(lines.cluster_lines(tracked_runs(runs(s, d)))).select("doc_id", "page", "line_no", "text")
+    return _doubles(glyph_join.calibrated_text(lines.cluster_lines(tracked_runs(runs(s, d)))).select("doc_id", "page", "line_no", "text", "ratio", "uncertain"))
+
+
+def p4_text_runs(s: SparkSession, d: str) -> DataFrame:
+    """Text items with rotated, short and empty ones, fonts with and without a style, artifacts and marked spans."""
+    items, styles, viewports = text_items(runs(s, d))
+    return _doubles(text_items_op.text_runs(items, styles, viewports))
+
+
+def p7_overlap(s: SparkSession, d: str) -> DataFrame:
+    """Of each event with the box of its user."""
+    e = read_table(s, d, "events").select("event_id", (F.col("event_id") % 97).alias("x"), (F.col("event_id") % 13 - 2).alias("w"), (F.col("user_id") % 89).alias("ox"), (F.col("user_id") % 31).alias("ow"))
+    return _doubles(e.select("event_id", geometry.overlap_share(F.col("x"), F.col("w"), F.col("ox"), F.col("ow")).cast("double").alias("share")))
+
+
+def l2_scripts(s: SparkSession, d: str) -> DataFrame:
+    """Every 10th word set small and raised, every 11th small and lowered."""
+    n = F.col("run_no")
+    moved = runs(s, d).withColumn("baseline_y", F.col("baseline_y") + F.when(n % 10 == 3, -3).when(n % 11 == 4, 3).otherwise(0)).withColumn("em", F.when((n % 10 == 3) | (n % 11 == 4), 7).otherwise(F.col("em"))).withColumn("line_no", F.col("laid_line"))
+    return lines.script_marks(moved).select("doc_id", "page", "run_no", "script")
+
+
+def h2_size_levels(s: SparkSession, d: str) -> DataFrame:
+    """Levels of sizes from a ladder, by page of 40 lines: sizes within 5 % of the first of a level share it."""
+    t = read_table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    cand = t.select("doc_id", F.floor(F.col("k") / 40).cast("int").alias("page"), ((100 + F.length("t") % 24 * 3) / 10.0).alias("em"), F.lit(True).alias("candidate"))
+    return headings.size_levels(cand).select("doc_id", "page", F.col("em").cast("double").alias("em"), F.col("level").cast("int").alias("level"))
+
+
+def b7_inlines(s: SparkSession, d: str) -> DataFrame:
+    return inlines.merge_runs(_styled_runs(s, d), ["doc_id", "laid_line"], ["run_no"])
+
+
+def z1_inline_markup(s: SparkSession, d: str) -> DataFrame:
+    merged = inlines.merge_runs(_styled_runs(s, d), ["doc_id", "laid_line"], ["run_no"])
+    return inlines.inline_markup(merged, ["doc_id", "laid_line"])
+
+
+def z1_links(s: SparkSession, d: str) -> DataFrame:
+    """Links of pages: outside ones stay links; and images in the line, every third without a file."""
+    h = _hrefs(s, d)
+    n = F.length("href")
+    image = inlines.image_markup(F.when(n % 3 != 0, F.concat(F.lit("images/"), n.cast("string"), F.lit(".png"))), F.col("href"), F.when(n % 2 == 0, n / 7), F.when(n % 5 == 0, n / 900))
+    return h.select("page_id", "href", inlines.link_markup(inlines.external_href(F.col("href")), T.xml_text(F.col("href"))).alias("link"), image.alias("image"))
+
+
+def j4_internal_links(s: SparkSession, d: str) -> DataFrame:
+    """A link from every block to the block of 3 times its number, modulo 50."""
+    parts = toc.guard_size(toc.merge_tiny(toc.chapter_groups(_toc_blocks(s, d))), 900)
+    file = F.concat_ws("-", F.lit("ch"), "chapter", "part")
+    placed = parts.select("doc_id", "ord", file.alias("chapter_href"), F.when(F.col("kind") == "h", F.concat(F.lit("h-"), "ord")).alias("anchor"))
+    links = placed.select("doc_id", F.col("ord").alias("from_ord"), F.col("chapter_href").alias("from_href"), (F.col("ord") * 3 % 50).alias("target_ord"))
+    return inlines.internal_hrefs(links, placed).select("doc_id", "from_ord", "target_ord", "href")
+
+
+def b8_metadata(s: SparkSession, d: str) -> DataFrame:
+    """Titles and authors of every kind that files hold, by the document's id."""
+    i = F.col("doc_id")
+    titles = F.array(*map(F.lit, ["untitled", "Microsoft Word - a.docx", "slide3", "Report of a day", "paper.TEX", "", " Two  words "]))
+    authors = F.array(*map(F.lit, ["A. B, C; D ", " ;, ", "Solo", ""]))
+    raw = read_table(s, d, "documents").select(
+        "doc_id", F.when(i % 11 == 0, F.concat(F.lit(" Embedded "), i)).alias("xmp_title"), F.get(titles, (i % 8).cast("int")).alias("info_title"), F.get(authors, (i % 5).cast("int")).alias("info_author"),
+        F.when(i % 3 == 0, F.col("lang")).alias("info_language"), F.when(i % 4 == 0, "_-.pdf").otherwise(F.concat_ws("_", "source", i, F.lit("x-y.PDF"))).alias("file_name"),
+    )
+    found = metadata.document_meta(raw, _toc_blocks(s, d).filter(F.col("kind") == "h"))
+    return found.withColumn("authors", F.array_join("authors", "|"))
+
+
+def s4_admission(s: SparkSession, d: str) -> DataFrame:
+    """Of files made up from pages: names, types, sizes and errors."""
+    p, i = read_table(s, d, "pages"), F.col("page_id")
+    name, mime = F.concat("url", F.when(i % 3 == 0, ".PDF").when(i % 3 == 1, ".pdf.txt").otherwise("")), F.when(i % 5 == 0, "application/pdf").when(i % 5 == 1, "").when(i % 5 == 2, "text/html")
+    kind = F.when(i % 7 == 0, "PasswordException").when(i % 7 == 1, "InvalidPDFException").when(i % 7 == 2, "UnknownError")
+    return p.select("page_id", metadata.admission(name, mime, F.length("html").cast("long") * 40_000).alias("refused"), metadata.load_error(kind).alias("error"), metadata.extract_uuid(F.concat(F.lit("urn:uuid:"), F.when(i % 2 == 0, "x").otherwise(""), F.lit("12345678-1234-1234-1234-"), F.lpad(i.cast("string"), 12, "0"))).alias("uuid"))
+
+
+def p9_cover_sizes(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("p_partkey")
+    p = read_table(s, d, "part").select("p_partkey", (i * 7919 % 6000 + 1).alias("w"), (i * 104729 % 7000 + 1).alias("h"), (i % 10 / 10.0).alias("coverage"), (i % 3).alias("page"), F.when(i % 4 == 0, "image/gif").otherwise("image/png").alias("mime"))
+    w, h = F.col("w"), F.col("h")
+    scored = p.withColumn("fit", covers.fit_long_edge(w, h, F.when(i % 2 == 0, 1600).otherwise(2560))).withColumn("score", covers.embedded_score(F.col("coverage"), w, h, F.col("page"), F.col("mime")).cast("double"))
+    return _doubles(scored.select("p_partkey", F.col("fit.w").alias("fit_w"), F.col("fit.h").alias("fit_h"), F.col("fit.scaled").alias("scaled"), "score", covers.accepts_embedded(F.col("score"), w, h).alias("accepted")))
+
+
+def v1_select_cover(s: SparkSession, d: str) -> DataFrame:
+    """A user's cover for every 5th document, pages one and two where not blank, and a made-up one."""
+    i = F.col("doc_id")
+    docs = read_table(s, d, "documents").select("doc_id")
+    pages = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("page"))
+    blank = covers.is_blank(covers.luminance(252 + i % 4, 252 + F.col("page") * 2, F.lit(251)), (i + F.col("page")) % 3)
+    found = [docs.filter(i % 5 == 0).select("doc_id", F.lit("user").alias("source"), F.lit(None).cast("int").alias("page"), F.lit(covers.USER).alias("score"), F.lit(True).alias("usable")), pages.select("doc_id", F.lit("rendered").alias("source"), "page", F.lit(covers.RENDERED).alias("score"), (~blank).alias("usable")), docs.select("doc_id", F.lit("synthesized").alias("source"), F.lit(None).cast("int").alias("page"), F.lit(covers.SYNTHESIZED).alias("score"), F.lit(True).alias("usable"))]
+    return covers.select_cover(found[0].unionAll(found[1]).unionAll(found[2]))
+
+
+def v3_synthesized_cover(s: SparkSession, d: str) -> DataFrame:
+    """Of every line as a title, the source as author."""
+    t = read_table(s, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    shown = t.select("doc_id", "k", *covers.synthesized_cover(F.col("t"), F.array(F.lit(" "), F.col("source"), F.lit("A. Writer")), 18, 12))
+    return shown.select("doc_id", "k", "hue", F.array_join("title_lines", "|").alias("title_lines"), F.array_join("author_lines", "|").alias("author_lines"))
+
+
+def v4_user_covers(s: SparkSession, d: str) -> DataFrame:
+    """Uploads made up from pages: too large, drawings, no images, small ones."""
+    p, i = read_table(s, d, "pages"), F.col("page_id")
+    head = F.when(i % 6 == 0, F.concat(F.lit("\n <SVG "), F.left("html", F.lit(200)))).when(i % 6 == 1, F.concat(F.lit("<?xml "), F.left("html", F.lit(200)))).otherwise(F.left("html", F.lit(256)))
+    w, h = F.when(i % 4 != 0, i % 9 * 60), F.when(i % 4 != 0, i % 7 * 70)
+    svg = covers.looks_like_svg(F.concat(F.lit("a"), F.when(i % 10 == 3, ".SVG").otherwise(".png")), F.when(i % 11 == 5, "image/svg+xml"), head, w)
+    return p.select("page_id", svg.alias("svg"), covers.upload_refusal(F.length("html").cast("long") * F.when(i % 13 == 0, 9000).otherwise(1), svg, w, h).alias("refused"))
+
+
+def w7_asset_names(s: SparkSession, d: str) -> DataFrame:
+    """Assets named by their source, the documents of one language as one package."""
+    docs, i = read_table(s, d, "documents"), F.col("doc_id")
+    mime = F.when(i % 3 == 0, "image/png").when(i % 3 == 1, "image/jpeg").otherwise("image/gif")
+    assets = docs.select(F.col("lang").alias("doc_id"), i.alias("ord"), T.ascii_segment(F.when(i % 9 == 0, "cover").otherwise(F.concat(F.lit("-é "), "source")), "img").alias("base"), mime.alias("mime"))
+    return covers.asset_names(assets).select(F.col("doc_id").alias("lang"), F.col("ord").alias("doc_id"), "name")
+
+
+def x9_anchors(s: SparkSession, d: str) -> DataFrame:
+    """Of every line; the letters of the tables need no decomposition but for these marks."""
+    t = read_table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    plain = F.regexp_replace("t", r"[^\x20-\x7E]", "")
+    return t.select("doc_id", "k", T.anchor(plain, F.concat(F.lit("p0-"), "k")).alias("anchor"), T.ascii_segment(plain).alias("segment"))
+
+
+def _spaced_lines(s: SparkSession, d: str) -> DataFrame:
+    """Lines, every third word of up to six letters spaced out."""
+    t = read_table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    spaced = F.array_join(F.flatten(F.transform(F.split("t", " "), lambda w, i: F.when((i % 3 == 0) & F.length(w).between(2, 6), F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w)))), " ")
+    return t.select("doc_id", "k", spaced.alias("t"))
+
+
+def x7_detrack_partial(s: SparkSession, d: str) -> DataFrame:
+    return _spaced_lines(s, d).select("doc_id", "k", T.detrack_runs(F.col("t")).alias("text"))
+
+
+def a11_warnings(s: SparkSession, d: str) -> DataFrame:
+    """One warning for each document with letter-spaced lines."""
+    return lines.detracked_warning(_spaced_lines(s, d).withColumn("detracked", T.looks_tracked(F.col("t"))))
+
+
+def a13_toc_facts(s: SparkSession, d: str) -> DataFrame:
+    return toc.toc_facts(toc.build_toc(_toc_blocks(s, d)))
+
+
+def a15_confidence(s: SparkSession, d: str) -> DataFrame:
+    """Of conversations, turns as runs: every 4th conversation has none measured."""
+    c = read_table(s, d, "conversations")
+    conf = F.when(F.col("conv_id") % 4 != 0, F.length("text") % 101)
+    return _doubles(c.groupBy("conv_id").agg(paragraphs.confidence(conf).alias("confidence")))
 
 
 def f5_heading_candidates(s: SparkSession, d: str) -> DataFrame:
@@ -107,22 +272,26 @@ def b1_blocks(s: SparkSession, d: str) -> DataFrame:
 
 def x_text_checks(s: SparkSession, d: str) -> DataFrame:
     t = read_table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
-    return t.select("doc_id", "k", T.looks_tracked(F.col("t")).alias("tracked"), T.join_verdict(F.col("t")).alias("verdict"), T.unclosed_delimiter(F.col("t")).alias("unclosed"), T.heading_depth(F.col("t")).alias("depth"), F.length(T.detrack(F.col("t"))).cast("long").alias("n_detracked"))
+    # an exploded column is computed once, however often it is read
+    judged = t.withColumn("tracked", F.explode(F.array(T.looks_tracked(F.col("t")))))
+    shown = F.when(F.col("tracked"), F.replace("t", F.lit(" "), F.lit(""))).otherwise(F.col("t"))
+    return judged.select("doc_id", "k", "tracked", T.join_verdict(F.col("t")).alias("verdict"), T.unclosed_delimiter(F.col("t")).alias("unclosed"), T.heading_depth(F.col("t")).alias("depth"), F.length(shown).cast("long").alias("n_detracked"))
 
 
 def x11_list_markers(s: SparkSession, d: str) -> DataFrame:
-    """Markers put before the first line of documents, by the id."""
-    t = read_table(s, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("t"))
-    m = F.element_at(F.array(*map(F.lit, ["1. ", "2) ", "(b) ", "• ", "- ", ""])), (F.col("doc_id") % 6 + 1).cast("int"))
+    """Markers put before every line, by document and line."""
+    t = read_table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    m = F.element_at(F.array(*map(F.lit, ["1. ", "2) ", "(b) ", "• ", "- ", ""])), ((F.col("doc_id") + F.col("k")) % 6 + 1).cast("int"))
     line = F.concat(m, "t")
-    return t.select("doc_id", line.rlike(T.LIST_MARKER).alias("listed"), F.nullif(F.regexp_extract(line, r"^(\d+)[.)]\s+", 1), F.lit("")).cast("int").alias("list_start"))
+    return t.select("doc_id", "k", line.rlike(T.LIST_MARKER).alias("listed"), F.nullif(F.regexp_extract(line, r"^(\d+)[.)]\s+", 1), F.lit("")).cast("int").alias("list_start"))
 
 
 def x12_dehyphenate(s: SparkSession, d: str) -> DataFrame:
-    """The first 40 words, every 4th cut in two by a hyphen at a line's end."""
-    words = F.slice(F.filter(F.split(F.regexp_replace("text", r"[^\p{L} ]", " "), " "), lambda w: F.length(w) > 3), 1, 40)
+    """Every line of more than three letters to a word, every 4th word cut in two by a hyphen at a line's end."""
+    each = read_table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    words = F.filter(F.split(F.regexp_replace("t", r"[^\p{L} ]", " "), " "), lambda w: F.length(w) > 3)
     cut = F.flatten(F.transform(words, lambda w, i: F.when(i % 4 == 0, F.array(F.concat(F.left(w, F.lit(2)), F.lit("-")), F.substr(w, F.lit(3)))).otherwise(F.array(w))))
-    return read_table(s, d, "documents").select("doc_id", T.join_lines(cut).alias("text"))
+    return each.select("doc_id", "k", T.join_lines(cut).alias("text"))
 
 
 def x1_xml_escape(s: SparkSession, d: str) -> DataFrame:
@@ -139,14 +308,17 @@ def x16_split_fragment(s: SparkSession, d: str) -> DataFrame:
 
 
 def k4_filename(s: SparkSession, d: str) -> DataFrame:
+    """The whole text as title."""
     t = read_table(s, d, "documents")
-    title = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.left("text", F.lit(150)))
+    title = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text"))
     author = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(' .a: "'), F.col("source"), F.lit("\t?  b. ")))
     return t.select("doc_id", T.epub_filename(title, author, F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(".PDF"))).otherwise("..")).alias("filename"))
 
 
 def m4_hue(s: SparkSession, d: str) -> DataFrame:
-    return read_table(s, d, "documents").select("doc_id", T.hue(F.left("text", F.lit(40))).alias("hue"))
+    """Of every line, as titles are lines."""
+    t = read_table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    return t.select("doc_id", "k", T.hue(F.col("t")).alias("hue"))
 
 
 def t1_toc(s: SparkSession, d: str) -> DataFrame:
@@ -162,12 +334,16 @@ def c3_merge(s: SparkSession, d: str) -> DataFrame:
 
 
 def c4_size_guard(s: SparkSession, d: str) -> DataFrame:
-    merged = toc.merge_tiny(toc.chapter_groups(_toc_blocks(s, d)))
-    return toc.guard_size(merged, 900).select("doc_id", "chapter", "ord", "part")
+    merged = toc.merge_tiny(toc.chapter_groups(_mixed_blocks(s, d)))
+    return toc.guard_size(merged, 900).select("doc_id", "chapter", "ord", F.col("weight").cast("long").alias("weight"), "part")
+
+
+def c5_chapters(s: SparkSession, d: str) -> DataFrame:
+    return toc.chapters(_mixed_blocks(s, d)).select("doc_id", "chapter_no", "id", "href", "title", "continuation", "n_blocks", "first_ord", F.col("weight").cast("long").alias("weight"))
 
 
 def j6_marked_content(s: SparkSession, d: str) -> DataFrame:
-    items = marked_items(runs(s, d).filter("doc_id % 5 = 0"))
+    items = marked_items(runs(s, d))
     return marked.tag_texts(items).select("doc_id", "page", "seq", "mcid")
 
 
@@ -237,7 +413,9 @@ def rel_event_sessions(s: SparkSession, d: str) -> DataFrame:
 ALL: list[Query] = [
     runs_layout, w2_line_islands, a1_line_modal_em, a3_line_facts, a2_body_em, a5_leading, f4_scanned_pages, g2_join_fixed, g3_space_calibration,
     g4_cluster_calibration, g1_calibrated_text, f5_heading_candidates, h1_headings, a9_numbering, b2_breaks, b1_blocks, x_text_checks, x11_list_markers,
-    x12_dehyphenate, x1_xml_escape, x15_normalize_path, x16_split_fragment, k4_filename, m4_hue, t1_toc, c1_split_level, c3_merge, c4_size_guard,
+    x12_dehyphenate, x1_xml_escape, x15_normalize_path, x16_split_fragment, k4_filename, m4_hue, t1_toc, c1_split_level, c3_merge, c4_size_guard, c5_chapters,
+    p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, z1_inline_markup, z1_links, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
+    v3_synthesized_cover, v4_user_covers, w7_asset_names, x9_anchors, x7_detrack_partial, a11_warnings, a13_toc_facts, a15_confidence,
     j6_marked_content, n3_merge_adjacent, j10_dangling_links, a16_exactly_one, v_page_checks, a10_doc_stats, o7_title_fallback, rel_segment_revenue, rel_event_sessions,
 ]
 

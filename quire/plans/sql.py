@@ -76,7 +76,7 @@ broken AS (SELECT *, pl IS NULL OR ((heading_level <> 0 OR ph <> 0) AND NOT (hea
   FROM prev JOIN lead USING (doc_id, page) JOIN edges USING (doc_id, page) JOIN style USING (doc_id, page))"""
 TRACKED = ",".join([RUNS, """
 cut AS (SELECT *, row_number() OVER w - 1 AS word, coalesce(sum(length(str)) OVER (PARTITION BY doc_id, laid_line ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars
-  FROM runs WHERE doc_id % 10 = 0 AND laid_line < 5 WINDOW w AS (PARTITION BY doc_id, laid_line ORDER BY run_no)),
+  FROM runs WINDOW w AS (PARTITION BY doc_id, laid_line ORDER BY run_no)),
 tracked AS (SELECT doc_id, page, (run_no * 1000 + k)::INT AS run_no, substr(str, k::INT + 1, 1) AS str, (72 + 9 * (chars + k) + 6 * word)::INT AS x, baseline_y, em, 6 AS advance
   FROM (SELECT *, unnest(range(length(str))) AS k FROM cut))""", islands("tracked"), GAPS])
 OTSU = """
@@ -85,6 +85,15 @@ cum AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, page, line_no ORDER BY i R
 scored AS (SELECT *, low / i AS ml, (total - low) / (n - i) AS mh, (i / n::DOUBLE) * (1 - i / n::DOUBLE) * pow(low / i - (total - low) / (n - i), 2) AS v FROM cum WHERE i > 0),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line_no ORDER BY v DESC, i) AS r FROM scored) WHERE r = 1 AND v > 0),
 cluster AS (SELECT doc_id, page, line_no, least(greatest((ml + mh) / 2, 0.16), 1.0) AS ratio FROM best WHERE n >= 6 AND mh - ml >= 0.2 AND i / n::DOUBLE >= 0.4)"""
+def verdict(k: int) -> str:
+    """The verdict on each line's text, and the runs with the thresholds of the next attempt."""
+    return rf"""
+v{k} AS (SELECT *, CASE WHEN len(tok) >= 4 AND (letters / len(tok)::DOUBLE < 2 OR len(list_filter(tok, lambda x: length(x) = 1)) / len(tok)::DOUBLE > 0.6) THEN 'too-low' WHEN NOT contains(plain, ' ') AND letters > 40 THEN 'too-high' ELSE 'ok' END AS verdict
+  FROM (SELECT *, list_filter(string_split_regex(plain, '{WS}+'), lambda x: x <> '') AS tok, length(regexp_replace(plain, '{WS}', '', 'g')) AS letters
+    FROM (SELECT t.*, translate(t.text, chr(31), ' ') AS plain, ratio, runs FROM t{k} t JOIN (SELECT doc_id, page, line_no, any_value(ratio) AS ratio, any_value(runs) AS runs FROM r{k} GROUP BY ALL) USING (doc_id, page, line_no)))),
+r{k + 1} AS (SELECT r.* REPLACE (CASE v.verdict WHEN 'too-low' THEN r.ratio * 1.4 WHEN 'too-high' THEN r.ratio * 0.7 ELSE r.ratio END AS ratio) FROM r{k} r JOIN v{k} v USING (doc_id, page, line_no))"""
+
+
 BLOCKS = """
 blocks AS (SELECT doc_id, ord::INT AS ord, text, CASE WHEN length(text) < 60 THEN 'h' WHEN length(text) % 11 = 0 THEN 'rule' ELSE 'p' END AS kind, CASE WHEN length(text) < 60 THEN length(text) % 3 + 1 ELSE 0 END::INT AS level
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents) WHERE trim(text) <> '')"""
@@ -92,10 +101,16 @@ SPLIT = BLOCKS + """,
 counts AS (SELECT doc_id, count(*) FILTER (kind = 'h' AND level = 1) AS h1, count(*) FILTER (kind = 'h' AND level = 2) AS h2 FROM blocks GROUP BY doc_id),
 split AS (SELECT *, CASE WHEN h1 >= 3 THEN 1 WHEN h2 >= 3 THEN 2 END::INT AS split_level FROM counts)"""
 MERGED = SPLIT + """,
-grouped AS (SELECT blocks.*, sum(CASE WHEN kind = 'h' AND level = split_level THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord)::INT AS grp FROM blocks JOIN split USING (doc_id)),
+grouped AS (SELECT blocks.*, split_level, sum(CASE WHEN kind = 'h' AND level = split_level THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord)::INT AS grp FROM blocks JOIN split USING (doc_id)),
 sizes AS (SELECT doc_id, grp, count(*) FILTER (kind NOT IN ('pagebreak', 'rule')) AS substantive FROM grouped GROUP BY ALL),
 numbered AS (SELECT *, sum(CASE WHEN first OR substantive >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY grp)::INT AS chapter FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp) = 1 AS first FROM sizes)),
 merged AS (SELECT grouped.*, substantive, chapter FROM grouped JOIN numbered USING (doc_id, grp))"""
+MIXED = MERGED.replace("""'rule' ELSE 'p' END AS kind""", """'rule' WHEN ord % 5 = 0 THEN 'list' WHEN ord % 7 = 0 THEN 'quote' WHEN ord % 11 = 0 THEN 'code' WHEN ord % 13 = 0 THEN 'figure' ELSE 'p' END AS kind""")
+PACKED = """,
+s AS (SELECT doc_id, chapter, ord, kind, CASE WHEN kind IN ('h', 'p', 'quote') THEN 19 + length(to_json(text)) WHEN kind = 'list' THEN 57 + length(to_json(text)) WHEN kind = 'code' THEN length(text) ELSE 32 END AS w,
+  row_number() OVER (PARTITION BY doc_id, chapter ORDER BY ord) AS rn, sum(CASE WHEN kind IN ('h', 'p', 'quote') THEN 19 + length(to_json(text)) WHEN kind = 'list' THEN 57 + length(to_json(text)) WHEN kind = 'code' THEN length(text) ELSE 32 END) OVER (PARTITION BY doc_id, chapter) AS total FROM merged),
+g(doc_id, chapter, ord, rn, w, held, part) AS (SELECT doc_id, chapter, ord, rn, w, w, 0 FROM s WHERE rn = 1
+  UNION ALL SELECT s.doc_id, s.chapter, s.ord, s.rn, s.w, CASE WHEN total > 900 AND held + s.w > 900 AND kind IN ('h', 'p', 'rule') THEN s.w ELSE held + s.w END, CASE WHEN total > 900 AND held + s.w > 900 AND kind IN ('h', 'p', 'rule') THEN part + 1 ELSE part END FROM g JOIN s ON s.doc_id = g.doc_id AND s.chapter = g.chapter AND s.rn = g.rn + 1)"""
 PARTS = """(SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10)))))::INT AS k FROM documents)"""
 GLYPHS = r"list_transform(string_split(t, ' '), lambda x: CASE WHEN length(x) = 1 AND regexp_matches(x, '[\p{L}\p{N}]') THEN 1 WHEN length(x) = 1 THEN 0 ELSE -1 END)"
 
@@ -108,12 +123,14 @@ SQL: dict[str, str] = {
     "a5_leading": f"WITH {LINES} SELECT doc_id, page, coalesce(median(gap) FILTER (gap > 0), 0)::DOUBLE AS leading FROM (SELECT doc_id, page, baseline_y - lag(baseline_y) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS gap FROM lines) GROUP BY ALL",
     "f4_scanned_pages": f"WITH {RUNS} SELECT doc_id, page, sum(length(trim(str)))::BIGINT AS chars FROM runs GROUP BY ALL HAVING sum(length(trim(str))) < 40",
     "g2_join_fixed": f"WITH {RUNS}, {islands('runs')}, {GAPS}, {joined('0.25')} SELECT * FROM texts",
-    "g3_space_calibration": f"""WITH {RUNS}, {islands('runs')}, spaced AS (SELECT doc_id, page, line_no, run_no * 2 AS run_no, str, x, em, advance FROM isl WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, page, line_no, run_no * 2 + 1, ' ', x + advance, em, 3 FROM isl WHERE doc_id % 10 = 0),
+    "g3_space_calibration": f"""WITH {RUNS}, {islands('runs')}, spaced AS (SELECT doc_id, page, line_no, run_no * 2 AS run_no, str, x, em, advance FROM isl UNION ALL SELECT doc_id, page, line_no, run_no * 2 + 1, ' ', x + advance, em, 3 FROM isl),
 g AS (SELECT *, lag(str) OVER w AS bef, lag(advance) OVER w AS ab, x - lag(x) OVER w - lag(advance) OVER w AS d, greatest(em, lag(em) OVER w)::DOUBLE AS m FROM spaced WINDOW w AS (PARTITION BY doc_id, page, line_no ORDER BY x, run_no)),
 f AS (SELECT doc_id, page, line_no, median(CASE WHEN bef = ' ' THEN ab WHEN str = ' ' THEN advance END / m) AS space, median(CASE WHEN bef <> ' ' AND str <> ' ' THEN d / m END) AS tracking FROM g WHERE bef IS NOT NULL GROUP BY ALL)
 SELECT doc_id, page, line_no, round(least(greatest(greatest(0, coalesce(tracking, 0)) + 0.45 * space, 0.16), 1.0), 6)::DOUBLE AS ratio FROM f WHERE space IS NOT NULL""",
     "g4_cluster_calibration": f"WITH {TRACKED}, {OTSU} SELECT doc_id, page, line_no, round(ratio, 6)::DOUBLE AS ratio FROM cluster",
-    "g1_calibrated_text": f"WITH {TRACKED}, {OTSU}, rated AS (SELECT gaps.*, coalesce(ratio, 0.25) AS ratio FROM gaps LEFT JOIN cluster USING (doc_id, page, line_no)), {joined('ratio', 'rated')} SELECT * FROM texts",
+    "g1_calibrated_text": f"""WITH {TRACKED}, {OTSU}, r0 AS (SELECT gaps.*, coalesce(ratio, 0.25)::DOUBLE AS ratio, count(*) OVER (PARTITION BY doc_id, page, line_no) AS runs FROM gaps LEFT JOIN cluster USING (doc_id, page, line_no)),
+{joined('ratio', 'r0').replace('texts AS', 't0 AS')}, {verdict(0)}, {joined('ratio', 'r1').replace('texts AS', 't1 AS')}, {verdict(1)}, {joined('ratio', 'r2').replace('texts AS', 't2 AS')}, {verdict(2)}
+SELECT doc_id, page, line_no, text, round(CASE WHEN runs = 1 THEN 0.25 ELSE ratio END, 6)::DOUBLE AS ratio, runs > 1 AND verdict <> 'ok' AS uncertain FROM v2""",
     "f5_heading_candidates": f"WITH {CANDIDATES} SELECT doc_id, page, line_no, candidate FROM cand",
     "h1_headings": f"WITH {HEADINGS} SELECT doc_id, page, line_no, heading_level FROM heads",
     "a9_numbering": f"WITH {LINES.replace('lines AS (SELECT * FROM facts', 'base AS (SELECT * FROM facts')}, lines AS (SELECT * REPLACE (CASE WHEN bold AND doc_id % 3 = 0 THEN (page + 1) || '.' || (line_no + 1) || ' ' || text ELSE text END AS text) FROM base){CANDIDATES[len(LINES):]} SELECT doc_id, count(*) FILTER (candidate AND ({DEPTH.format(t='plain')}) IS NOT NULL) AS n_numbered, count(*) FILTER (candidate AND ({DEPTH.format(t='plain')}) IS NOT NULL) >= 3 AS numbered FROM cand GROUP BY doc_id",
@@ -127,34 +144,42 @@ SELECT doc_id, ord, page, kind, level, n_lines, length(CASE WHEN kind = 'list' T
 q AS (SELECT *, best >= 4 AND NOT list_has_any(string_split(t, ' '), ['=', '+', '*', '/', '<', '>', '±', '×', '÷', '≤', '≥', '≠']) AS tracked, length(regexp_replace(t, '{WS}', '', 'g')) AS letters FROM p)
 SELECT doc_id, k, tracked, CASE WHEN len(tokens) >= 4 AND (letters / len(tokens)::DOUBLE < 2 OR len(list_filter(tokens, lambda x: length(x) = 1)) / len(tokens)::DOUBLE > 0.6) THEN 'too-low' WHEN NOT contains(t, ' ') AND letters > 40 THEN 'too-high' ELSE 'ok' END AS verdict,
   length(replace(t, ')', '')) > length(replace(t, '(', '')) OR length(replace(t, ']', '')) > length(replace(t, '[', '')) AS unclosed, ({DEPTH.format(t='t')})::INT AS depth, length(CASE WHEN tracked THEN replace(t, ' ', '') ELSE t END)::BIGINT AS n_detracked FROM q""",
-    "x11_list_markers": rf"""WITH m AS (SELECT doc_id, ['1. ', '2) ', '(b) ', '• ', '- ', ''][doc_id % 6 + 1] || string_split(text, chr(10))[1] AS line FROM documents)
-SELECT doc_id, regexp_matches(line, '{MARKER}') AS listed, nullif(regexp_extract(line, '^(\d+)[.)][\t\n\v\f\r ]+', 1), '')::INT AS list_start FROM m""",
-    "x12_dehyphenate": r"""WITH w AS (SELECT doc_id, list_slice(list_filter(string_split(regexp_replace(text, '[^\p{L} ]', ' ', 'g'), ' '), lambda x: length(x) > 3), 1, 40) AS w FROM documents)
-SELECT doc_id, coalesce(array_to_string(list_transform(w, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND (lower(left(x, 2)) IN ('co', 're', 'ex') OR NOT regexp_matches(substr(x, 3), '^\p{Ll}')) THEN left(x, 2) || '- ' || substr(x, 3) ELSE x END), ' '), '') AS text FROM w""",
+    "x11_list_markers": rf"""WITH m AS (SELECT doc_id, k, ['1. ', '2) ', '(b) ', '• ', '- ', ''][(doc_id + k) % 6 + 1] || t AS line FROM {PARTS})
+SELECT doc_id, k, regexp_matches(line, '{MARKER}') AS listed, nullif(regexp_extract(line, '^(\d+)[.)][\t\n\v\f\r ]+', 1), '')::INT AS list_start FROM m""",
+    "x12_dehyphenate": rf"""WITH w AS (SELECT doc_id, k, list_filter(string_split(regexp_replace(t, '[^\p{{L}} ]', ' ', 'g'), ' '), lambda x: length(x) > 3) AS w FROM {PARTS})
+SELECT doc_id, k, coalesce(array_to_string(list_transform(w, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND (lower(left(x, 2)) IN ('co', 're', 'ex') OR NOT regexp_matches(substr(x, 3), '^\p{{Ll}}')) THEN left(x, 2) || '- ' || substr(x, 3) ELSE x END), ' '), '') AS text FROM w""",
     "x1_xml_escape": r"""SELECT page_id, md5(replace(replace(replace(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{009F}\x{FFFE}\x{FFFF}]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS body,
   replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS attribute FROM pages""",
     "x15_normalize_path": r"""SELECT page_id, array_to_string(list_reduce(list_transform(list_prepend('', string_split('OEBPS/./text/../' || regexp_extract(url, '://[^/]*/?([^?#]*)', 1) || '//img/../c.xhtml', '/')), lambda x: CASE WHEN x IN ('', '.') THEN []::VARCHAR[] ELSE [x] END),
   lambda a, x: CASE WHEN x = ['..'] THEN list_slice(a, 1, len(a) - 1) ELSE list_concat(a, x) END), '/') AS path FROM pages""",
     "x16_split_fragment": "SELECT page_id, string_split(url, '#')[1] AS path, CASE WHEN contains(url, '#') THEN substr(url, instr(url, '#') + 1) END AS fragment FROM pages",
-    "k4_filename": rf"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE left(text, 150) END AS t, CASE WHEN doc_id % 3 = 0 THEN ' .a: "' || source || chr(9) || '?  b. ' ELSE '' END AS a, CASE WHEN doc_id % 2 = 0 THEN source ELSE '..' END AS s FROM documents),
+    "k4_filename": rf"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS t, CASE WHEN doc_id % 3 = 0 THEN ' .a: "' || source || chr(9) || '?  b. ' ELSE '' END AS a, CASE WHEN doc_id % 2 = 0 THEN source ELSE '..' END AS s FROM documents),
 c AS (SELECT doc_id, {{t}} AS t, {{a}} AS a, {{s}} AS s FROM f),
 st AS (SELECT *, CASE WHEN t <> '' AND a <> '' THEN t || ' - ' || a ELSE t END AS stem FROM c)
 SELECT doc_id, CASE WHEN coalesce(nullif(stem, ''), nullif(s, '')) IS NULL THEN 'converted.epub' ELSE rtrim(left(coalesce(nullif(stem, ''), s), 120), '. ') || '.epub' END AS filename FROM st""",
-    "m4_hue": "SELECT doc_id, list_reduce(list_prepend(0, list_transform(string_split(left(text, 40), ''), lambda c: unicode(c))), lambda h, c: (h * 31 + c) % 360)::INT AS hue FROM documents",
+    "m4_hue": f"SELECT doc_id, k, list_reduce(list_prepend(0, list_transform(list_filter(string_split(t, ''), lambda c: c <> ''), lambda c: unicode(c))), lambda h, c: (h * 31 + c) % 360)::INT AS hue FROM {PARTS}",
     "t1_toc": f"""WITH RECURSIVE {BLOCKS}, h AS (SELECT doc_id, ord, least(level - min(level) OVER (PARTITION BY doc_id) + 1, 3) AS cap, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM blocks WHERE kind = 'h'),
 d(doc_id, ord, rn, depth, p1, p2) AS (SELECT doc_id, ord, rn, 1, ord, NULL::INT FROM h WHERE rn = 1
   UNION ALL SELECT h.doc_id, h.ord, h.rn, least(cap, depth + 1), CASE WHEN least(cap, depth + 1) = 1 THEN h.ord ELSE p1 END, CASE WHEN least(cap, depth + 1) = 2 THEN h.ord ELSE p2 END FROM d JOIN h ON h.doc_id = d.doc_id AND h.rn = d.rn + 1)
 SELECT doc_id, ord, depth::INT AS depth, CASE depth WHEN 2 THEN p1 WHEN 3 THEN p2 END::INT AS parent_ord, (rn + 1)::INT AS play_order FROM d""",
     "c1_split_level": f"WITH {SPLIT} SELECT doc_id, h1, h2, split_level FROM split",
     "c3_merge": f"WITH {MERGED} SELECT doc_id, ord, grp, substantive, chapter FROM merged",
-    "c4_size_guard": f"""WITH RECURSIVE {MERGED}, s AS (SELECT doc_id, chapter, ord, length(text) + 32 AS w, row_number() OVER (PARTITION BY doc_id, chapter ORDER BY ord) AS rn FROM merged),
-g(doc_id, chapter, ord, rn, held, part) AS (SELECT doc_id, chapter, ord, rn, w, 0 FROM s WHERE rn = 1
-  UNION ALL SELECT s.doc_id, s.chapter, s.ord, s.rn, CASE WHEN held + w > 900 THEN w ELSE held + w END, CASE WHEN held + w > 900 THEN part + 1 ELSE part END FROM g JOIN s ON s.doc_id = g.doc_id AND s.chapter = g.chapter AND s.rn = g.rn + 1)
-SELECT doc_id, chapter, ord, part::INT AS part FROM g""",
-    "j6_marked_content": f"""WITH {RUNS}, o AS (SELECT *, run_no - run_no % 9 AS b FROM runs WHERE doc_id % 5 = 0),
-m AS (SELECT o.doc_id, o.page, (o.run_no * 3 + 1)::INT AS seq, CASE WHEN o.run_no % 9 <= 4 AND s.run_no IS NOT NULL THEN 'm' || o.b END AS mcid, o.run_no % 9 <= 4 AND s.run_no IS NOT NULL AND o.b % 45 = 0 AS artifact
-  FROM o LEFT JOIN o s ON s.doc_id = o.doc_id AND s.page = o.page AND s.run_no = o.b)
-SELECT doc_id, page, seq, mcid FROM m WHERE NOT artifact""",
+    "c4_size_guard": f"""WITH RECURSIVE {MIXED}{PACKED} SELECT doc_id, chapter, ord, w::BIGINT AS weight, part::INT AS part FROM g""",
+    "c5_chapters": f"""WITH RECURSIVE {MIXED}{PACKED.replace("> 900", "> 200000")}, heads AS (SELECT doc_id, chapter, arg_min(CASE WHEN kind = 'h' AND level = split_level AND trim(text) <> '' THEN text ELSE '' END, ord) AS t FROM merged GROUP BY ALL),
+rows AS (SELECT doc_id, chapter, part, count(*) AS n_blocks, min(ord)::INT AS first_ord, sum(w)::BIGINT AS weight FROM g GROUP BY ALL),
+named AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY chapter, part) - 1)::INT AS chapter_no, CASE WHEN t = '' THEN 'Untitled' ELSE t END || CASE WHEN part > 0 THEN ' (cont.)' ELSE '' END AS title FROM rows JOIN heads USING (doc_id, chapter))
+SELECT doc_id, chapter_no, 'ch' || lpad(chapter_no::VARCHAR, 3, '0') AS id, 'ch' || lpad(chapter_no::VARCHAR, 3, '0') || '.xhtml' AS href, title, part > 0 AS continuation, n_blocks, first_ord, weight FROM named""",
+    "j6_marked_content": f"""WITH RECURSIVE {RUNS}, t AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY run_no) - 1 AS n FROM runs),
+e AS (SELECT doc_id, page, n * 4 + o AS seq, n, CASE WHEN o = 0 THEN n % 9 + 1 ELSE 3 END AS what, row_number() OVER (PARTITION BY doc_id, page ORDER BY n * 4 + o) AS rn FROM t, (VALUES (0), (2), (3)) v(o)
+  WHERE (o = 0 AND n % 9 IN (0, 1)) OR (o = 2 AND n % 9 IN (3, 5)) OR (o = 3 AND n % 13 = 12)),
+-- a stack as text: A an artifact, D another span without an id, [m1] one with an id
+st(doc_id, page, rn, seq, stack) AS (
+  SELECT doc_id, page, 0::BIGINT, -1::BIGINT, '' FROM (SELECT DISTINCT doc_id, page FROM t)
+  UNION ALL SELECT e.doc_id, e.page, e.rn, e.seq, CASE e.what WHEN 1 THEN stack || CASE WHEN e.n % 45 = 0 THEN 'A' ELSE 'D' END WHEN 2 THEN stack || '[m' || e.n || ']' ELSE regexp_replace(stack, '(A|D|\\[m[0-9]+\\])$', '') END
+  FROM st JOIN e ON e.doc_id = st.doc_id AND e.page = st.page AND e.rn = st.rn + 1),
+held AS (SELECT doc_id, page, seq, is_text, last_value(stack IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY seq) AS stack
+  FROM (SELECT doc_id, page, n * 4 + 1 AS seq, NULL AS stack, true AS is_text FROM t UNION ALL SELECT doc_id, page, seq, stack, false FROM st))
+SELECT doc_id, page, seq::INT AS seq, nullif(regexp_extract(stack, '\\[(m[0-9]+)\\][AD]*$', 1), '') AS mcid FROM held WHERE is_text AND NOT contains(stack, 'A')""",
     "n3_merge_adjacent": "SELECT conv_id, island::BIGINT AS island, role, count(*) AS n_turns, sum(length(text))::BIGINT AS n_chars FROM (SELECT *, sum(CASE WHEN role IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)) GROUP BY ALL",
     "j10_dangling_links": """SELECT page_id, count(*) AS n_dangling FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) h
 WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE regexp_extract(p.url, '://[^/]*(/[^?#]*)', 1) = h.href) GROUP BY page_id""",
@@ -169,7 +194,9 @@ SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Title ' || doc_id WHEN heading IS
 
 
 def oracle_sql() -> dict[str, str]:
+    from quire.plans.sql_items import SQL as ITEMS
+
     def stem(c: str) -> str:
         return rf"""trim(trim(regexp_replace(regexp_replace({c}, '[/\\?%*:|"<>\x00-\x1F\x7F]', '', 'g'), '{WS}+', ' ', 'g'), '. '))"""
 
-    return SQL | {"k4_filename": SQL["k4_filename"].format(t=stem("t"), a=stem("a"), s=stem("s"))}
+    return SQL | ITEMS | {"k4_filename": SQL["k4_filename"].format(t=stem("t"), a=stem("a"), s=stem("s"))}

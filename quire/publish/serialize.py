@@ -7,17 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import squeeze, xml_escape, xml_sanitize, xml_text
+from quire.functions.text import squeeze, xml_text
 from quire.operators.toc import build_toc, chapter_groups, chapters, guard_size, merge_tiny
 
 XML = '<?xml version="1.0" encoding="UTF-8"?>\n'
 MIME = "application/xhtml+xml"
 
 
-def attribute(text: Column) -> Column:
-    return xml_escape(xml_sanitize(text), attribute=True)
-
-
 def block_markup(kind: Column, level: Column, text: Column, block_id: Column, ordered: Column, start: Column) -> Column:
     body = xml_text(squeeze(text))
     tag = F.when(ordered, "ol").otherwise("ul")
@@ -37,7 +33,7 @@ def xhtml(title: Column, body: Column) -> Column:
 
 def joined(rows: DataFrame, piece: Column, order: str) -> DataFrame:
     """The pieces of each document in order, as one string."""
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, piece.alias("piece")))), lambda s: s["piece"]), "").alias("text"), F.max_by("depth", order).alias("last_depth"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, piece.alias("piece")))), lambda s: s["piece"]), "").alias("text"), F.max_by("depth", order).alias("last_depth"))
 
 
 def nested(toc: DataFrame, item: Column, opens: str, closes: str, ends_item: str) -> DataFrame:
@@ -52,11 +48,11 @@ def nested(toc: DataFrame, item: Column, opens: str, closes: str, ends_item: str
 def package_files(blocks: DataFrame, meta: DataFrame, cover: bytes) -> DataFrame:
     """(doc_id, ord, path, data) of a package. meta: doc_id, title, language, creator, uuid, modified; cover: a PNG."""
     parts = guard_size(merge_tiny(chapter_groups(blocks)))
-    number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("chapter", "part"))
+    number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("chapter", "part")) - 1
     block_id = F.concat(F.lit("b"), F.col("ord").cast("string"))
     name = F.concat(F.lit("ch"), F.lpad(F.col("chapter_no").cast("string"), 3, "0"))
     placed = parts.withColumn("chapter_no", number)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", block_markup(F.col("kind"), F.col("level"), F.col("text"), block_id, F.col("ordered"), F.col("list_start")).alias("m")))), lambda s: s["m"]), "\n")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", block_markup(F.col("kind"), F.col("level"), F.col("text"), block_id, F.col("ordered"), F.col("list_start")).alias("m")))), lambda s: s["m"]), "\n")
     pages = placed.groupBy("doc_id", "chapter_no").agg(body.alias("body")).join(chapters(blocks, meta.select("doc_id", "title")).select("doc_id", "chapter_no", "title"), ["doc_id", "chapter_no"])
     pages = pages.withColumn("name", name)
 
@@ -69,7 +65,7 @@ def package_files(blocks: DataFrame, meta: DataFrame, cover: bytes) -> DataFrame
     nav, ncx = nested(toc, nav_item, "<ol>", "</ol>", "</li>"), nested(toc, ncx_item, "", "", "</navPoint>")
 
     def per_chapter(piece: Column) -> DataFrame:
-        return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_no", piece.alias("p")))), lambda s: s["p"]), "").alias("text"))
+        return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chapter_no", piece.alias("p")))), lambda s: s["p"]), "").alias("text"))
 
     items = per_chapter(F.concat(F.lit('<item id="'), F.col("name"), F.lit('" href="'), F.col("name"), F.lit(f'.xhtml" media-type="{MIME}"/>'))).withColumnRenamed("text", "items")
     refs = per_chapter(F.concat(F.lit('<itemref idref="'), F.col("name"), F.lit('"/>'))).withColumnRenamed("text", "refs")
@@ -82,7 +78,7 @@ def package_files(blocks: DataFrame, meta: DataFrame, cover: bytes) -> DataFrame
         F.lit(f'<item id="cover-image" href="images/cover.png" media-type="image/png" properties="cover-image"/><item id="cover" href="cover.xhtml" media-type="{MIME}"/><item id="nav" href="nav.xhtml" media-type="{MIME}" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>'),
         "items", F.lit('</manifest><spine toc="ncx"><itemref idref="cover"/>'), "refs", F.lit('</spine><guide><reference type="cover" title="Cover" href="cover.xhtml"/></guide></package>'),
     )
-    empty_nav = F.lit('<ol><li><a href="ch001.xhtml">1</a></li></ol>')
+    empty_nav = F.lit('<ol><li><a href="ch000.xhtml">1</a></li></ol>')
     fixed = F.array(
         _file(0, "META-INF/container.xml", F.lit(XML + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')),
         _file(1, "OEBPS/content.opf", opf),
@@ -91,7 +87,7 @@ def package_files(blocks: DataFrame, meta: DataFrame, cover: bytes) -> DataFrame
         _file(4, "OEBPS/nav.xhtml", xhtml(title, F.concat(F.lit('<nav epub:type="toc">'), F.coalesce("nav", empty_nav), F.lit("</nav>")))),
         _file(5, "OEBPS/toc.ncx", F.concat(F.lit(XML + '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><docTitle><text>'), title, F.lit("</text></docTitle><navMap>"), F.coalesce("ncx", F.lit("")), F.lit("</navMap></ncx>"))),
     )
-    texts = pages.select("doc_id", (F.col("chapter_no") + 5).cast("int").alias("ord"), F.concat(F.lit("OEBPS/"), "name", F.lit(".xhtml")).alias("path"), xhtml(xml_text(squeeze(F.col("title"))), F.col("body")).cast("binary").alias("data"))
+    texts = pages.select("doc_id", (F.col("chapter_no") + 6).cast("int").alias("ord"), F.concat(F.lit("OEBPS/"), "name", F.lit(".xhtml")).alias("path"), xhtml(xml_text(squeeze(F.col("title"))), F.col("body")).cast("binary").alias("data"))
     return whole.select("doc_id", F.explode(fixed).alias("f")).select("doc_id", "f.ord", "f.path", "f.data").unionAll(texts)
 
 

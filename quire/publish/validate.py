@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,18 +55,46 @@ def check_bytes(archives: DataFrame) -> DataFrame:
     ])
 
 
+@F.pandas_udf("struct<w:long,h:long>")
+def jpeg_size(data: pd.Series) -> pd.DataFrame:
+    """Width and height in a JPEG's frame header, found by a walk over its segments; null if there is none."""
+
+    def walk(b: bytes | None) -> tuple[int | None, int | None]:
+        at = 2
+        while b is not None and at + 9 < len(b):
+            marker = b[at + 1]
+            if b[at] != 0xFF:
+                at += 1
+            elif marker in (0x01, 0xD8) or 0xD0 <= marker <= 0xD7:  # markers without a length
+                at += 2
+            elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big")
+            else:
+                length = int.from_bytes(b[at + 2 : at + 4], "big")
+                if length < 2:
+                    break
+                at += 2 + length
+        return None, None
+
+    return pd.DataFrame([walk(b) for b in data], columns=["w", "h"], dtype="Int64")
+
+
 def probe_image(data: Column) -> Column:
-    """mime, width and height from the header of a PNG or GIF; null for others (JPEG dimensions need a walk over its markers)."""
+    """mime, width and height from the header of a PNG, JPEG or GIF; null for others."""
+
     def big(at: int) -> Column:
         return F.conv(F.hex(F.substring(data, at + 1, 4)), 16, 10).cast("long")
 
-    png, gif = F.hex(F.substring(data, 1, 8)) == "89504E470D0A1A0A", F.hex(F.substring(data, 1, 4)) == "47494638"
-    jpeg = F.hex(F.substring(data, 1, 3)) == "FFD8FF"
+    size = F.octet_length(data)
+    png = (size >= 24) & (F.hex(F.substring(data, 1, 8)) == "89504E470D0A1A0A") & (F.hex(F.substring(data, 13, 4)) == "49484452")
+    gif = (size >= 10) & F.hex(F.substring(data, 1, 6)).isin("474946383761", "474946383961")
+    jpeg = F.when((size >= 4) & (F.hex(F.substring(data, 1, 3)) == "FFD8FF"), data)
 
     def probe(mime: str, w: Column, h: Column) -> Column:
         return F.struct(F.lit(mime).alias("mime"), w.cast("long").alias("w"), h.cast("long").alias("h"))
 
-    return F.when(png, probe("image/png", big(16), big(20))).when(gif, probe("image/gif", number(data, 6, 2), number(data, 8, 2))).when(jpeg, probe("image/jpeg", F.lit(None), F.lit(None)))
+    walked = jpeg_size(jpeg)
+    return F.when(png, probe("image/png", big(16), big(20))).when(gif, probe("image/gif", number(data, 6, 2), number(data, 8, 2))).when(walked["w"].isNotNull(), probe("image/jpeg", walked["w"], walked["h"]))
 
 
 def validate(archives: DataFrame) -> DataFrame:
@@ -105,7 +134,7 @@ def validate(archives: DataFrame) -> DataFrame:
     refs = good.filter("tag = 'itemref'").select("doc_id", "node", a["idref"].alias("id"))
     found.append(issue(packages.join(refs, "doc_id", "left_anti"), None, "error", "spine-empty", "the spine is empty"))
     found.append(issue(refs, F.coalesce("id", F.lit("")) == "", "error", "spine-idref-missing", "a spine entry has no idref"))
-    refs = refs.filter(F.col("id") != "")
+    raw_refs, refs = refs, refs.filter(F.col("id") != "")
     found.append(issue(refs.join(items, ["doc_id", "id"], "left_anti"), None, "error", "spine-idref-unresolved", F.col("id")))
     found.append(issue(refs.join(items, ["doc_id", "id"]), F.col("media_type") != "application/xhtml+xml", "error", "spine-media-type", F.col("media_type"), F.col("path")))
 
@@ -125,7 +154,7 @@ def validate(archives: DataFrame) -> DataFrame:
     found += [
         issue(meta, F.col("modified").isNull(), "error", "dcterms-modified-missing", "no modification time"),
         issue(meta, ~F.col("modified").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\z"), "error", "dcterms-modified-format", F.col("modified")),
-        issue(meta, ~F.coalesce("identifier", F.lit("")).rlike("(?i)^urn:uuid:[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}\\z"), "error", "identifier-format", F.col("identifier")),
+        issue(meta, ~F.coalesce("identifier", F.lit("")).rlike(r"^urn:uuid:[0-9a-fA-F-]{36}\z"), "error", "identifier-format", F.col("identifier")),
         *[issue(meta, F.coalesce(t, F.lit("")) == "", "error", "metadata-missing", t) for t in ("title", "language")],
         issue(meta, F.coalesce("creator", F.lit("")).isin("", "Unknown"), "warning", "creator-unknown", "no author"),
         issue(meta, F.col("cover").isNull(), "error", "cover-meta-missing", "no cover is named"),
@@ -148,10 +177,12 @@ def validate(archives: DataFrame) -> DataFrame:
     ]
     guide = good.filter((F.col("tag") == "reference") & (a["type"] == "cover"))
     found.append(issue(packages.join(guide, "doc_id", "left_anti"), None, "warning", "guide-cover-missing", "the guide names no cover"))
-    opening = refs.groupBy("doc_id").agg(F.min_by("id", "node").alias("id")).join(items, ["doc_id", "id"]).join(files, ["doc_id", "path"]).join(covers.select("doc_id", F.element_at(F.split("href", "/"), -1).alias("cover_name")), "doc_id")
-    shows = F.decode("data", "iso-8859-1").contains(F.col("cover_name"))
-    found.append(issue(opening, ~F.col("path").rlike("(?i)cover[^/]*\\z"), "error", "cover-page-not-first", "the spine does not open with the cover", F.col("path")))
-    found.append(issue(opening, F.col("path").rlike("(?i)cover[^/]*\\z") & ~shows, "error", "cover-page-missing-image", "the cover page lacks the cover", F.col("path")))
+    # the first entry of the spine, resolved or not, judged only where the cover itself was found
+    opening = raw_refs.groupBy("doc_id").agg(F.min_by("id", "node").alias("id")).join(items.select("doc_id", "id", "href", "path"), ["doc_id", "id"], "left").join(images.filter("data IS NOT NULL").select("doc_id", F.element_at(F.split("href", "/"), -1).alias("cover_name")).dropDuplicates(["doc_id"]), "doc_id")
+    opens = F.coalesce(F.col("href").contains("cover"), F.lit(False))
+    found.append(issue(opening, ~opens, "error", "cover-page-not-first", "the spine does not open with the cover", F.coalesce("path", "id")))
+    shown = opening.filter(opens).join(files, ["doc_id", "path"])
+    found.append(issue(shown, ~F.decode("data", "utf-8").contains(F.col("cover_name")), "error", "cover-page-missing-image", "the cover page lacks the cover", F.col("path")))
 
     pages = items.filter("media_type = 'application/xhtml+xml'").select("doc_id", "path").distinct().join(files, ["doc_id", "path"])
     nodes = xml_nodes(pages).persist()
