@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Forest, checkpointed, lookup, small, whole_groups
@@ -161,20 +161,21 @@ def _sets(rows: DataFrame, needed: DataFrame, size: int) -> DataFrame:
 
 
 def _joining(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components inside a bucket. mixed: key, doc_id, component, outside (of the bucket's main component), n (its members)."""
+    """Links (a, b) that join components inside a bucket. mixed: key, doc_id, component, outside (of the bucket's main component), n (its members), n_outside.
+
+    Only pairs with a member outside can be new: blocks of these meet blocks of all members, a task for each two.
+    """
 
     def judge(part: pd.DataFrame) -> list[tuple[int, int]]:
-        if not part.outside.any():
+        asks = part.asks.to_numpy()
+        if not asks.any() or asks.all():
             return []
         sets = [np.frombuffer(s, np.uint64) for s in part.shingles]
-        sigs = np.frombuffer(b"".join(part.sig), np.uint32).reshape(len(part), -1)
-        ids, comp, block, size = part.doc_id.to_numpy(), part.component.to_numpy(), part.block.to_numpy(), np.array([len(s) for s in sets])
-        crossed, forest, links = bool((part.i != part.j).iloc[0]), Forest(), []
-        for i in np.flatnonzero(part.outside.to_numpy()).tolist():
-            other = (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            if crossed:
-                other &= block != block[i]
-            near = np.flatnonzero(other)
+        sigs = np.stack([signature(s) for s in sets])
+        ids, comp, size = part.doc_id.to_numpy(), part.component.to_numpy(), np.array([len(s) for s in sets])
+        members, forest, links = np.flatnonzero(~asks), Forest(), []
+        for i in np.flatnonzero(asks).tolist():
+            near = members[(comp[members] != comp[i]) & (100 * np.minimum(size[members], size[i]) >= percent * np.maximum(size[members], size[i]))]
             near = near[survivors(np.broadcast_to(sigs[i], (len(near), sigs.shape[1])), sigs[near], percent / 100)]
             for j in near.tolist():
                 if forest.root(int(comp[i])) == forest.root(int(comp[j])):
@@ -191,10 +192,15 @@ def _joining(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             found = [link for _, group in part.groupby(key, sort=False) for link in judge(group)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = mixed.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", "doc_id", "component", "outside", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = dealt.join(sets.withColumnRenamed("id", "doc_id"), "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    blocks, ask_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "n_outside"))
+    place = F.xxhash64("doc_id")
+
+    def every(count: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), count - 1))
+
+    members = mixed.select("key", "doc_id", "component", F.lit(False).alias("asks"), every(ask_blocks).alias("i"), F.pmod(place, blocks).cast("int").alias("j"))
+    asking = mixed.filter("outside").select("key", "doc_id", "component", F.lit(True).alias("asks"), F.pmod(place, ask_blocks).cast("int").alias("i"), every(blocks).alias("j"))
+    dealt = members.unionAll(asking).join(sets.select(F.col("id").alias("doc_id"), "shingles"), "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInPandas(run, "a long, b long")
 
 
@@ -255,20 +261,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     centres = [F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")) if k else F.min("doc_id") for k in range(CENTRES)]
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), *[c.alias(name) for c, name in zip(centres, names, strict=True)]).filter(F.col("n") > 1)
     buckets = checkpointed(buckets.select("key", "n", F.array_distinct(F.array(*names)).alias("centres")))
-    members = checkpointed(lookup(bands, buckets, "key", F.col("n") >= LARGE))
-    starred = members.select(F.col("doc_id").alias("x"), F.explode("centres").alias("y")).filter(F.col("x") != F.col("y"))
+    members = checkpointed(lookup(bands, buckets.select("key", "n", F.size("centres").alias("n_centres")), "key", F.col("n") >= LARGE))
+    starred = lookup(members.select("key", "doc_id"), buckets, "key", F.col("n") >= LARGE).select(F.col("doc_id").alias("x"), F.explode("centres").alias("y")).filter(F.col("x") != F.col("y"))
     pairs = starred.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     sets = checkpointed(_sets(rows, members.select("doc_id").distinct(), shingle_words))
     links = checkpointed(_verified(pairs, sets, percent).unionAll(held_together))
 
     joined = connected_components(links)
     # a bucket with at most one member besides its centres has been compared whole
-    more = members.filter(F.col("n") - F.size("centres") > 1)
+    more = members.filter(F.col("n") - F.col("n_centres") > 1)
     placed = more.select("key", "n", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     # the component that most members of a bucket lie in; only pairs with a member outside it can be new
     held = placed.groupBy("key", "component").agg(F.count("*").alias("held"))
-    main = held.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
-    mixed = placed.join(main.select("key", "main"), "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("outside"), "n")
+    main = held.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"), (F.sum("held") - F.max("held")).alias("n_outside")).filter("n_outside > 0")
+    mixed = checkpointed(placed.join(main, "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("outside"), "n", "n_outside"))
     links = links.unionAll(_joining(mixed, sets, percent))
 
     final = connected_components(links).withColumnRenamed("id", "rep")
