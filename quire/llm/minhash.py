@@ -91,6 +91,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
+def short_signature(shingles: np.ndarray) -> np.ndarray:
+    """The lowest byte of each value: equal values stay equal, so matches are only overcounted and no pair is dropped for it."""
+    return signature(shingles).astype(np.uint8)
+
+
 def band_keys(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(row, seed=k) - (1 << 63) for k, row in enumerate(sig.reshape(BANDS, ROWS).tobytes()[i : i + 4 * ROWS] for i in range(0, 4 * ROWS * BANDS, 4 * ROWS))]
 
@@ -154,7 +159,7 @@ def _sets(rows: DataFrame, needed: DataFrame, size: int) -> DataFrame:
             at = batch.column("at").to_numpy()
             batch = batch.filter(pa.array(held[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([short_signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "sig", "shingles"])
 
     kept = rows.filter(F.col("doc_id").isNotNull()).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"), "text")
     return kept.mapInArrow(run, "id long, sig binary, shingles binary")
@@ -171,7 +176,7 @@ def _joining(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if not asks.any() or asks.all():
             return []
         sets = [np.frombuffer(s, np.uint64) for s in part.shingles]
-        sigs = np.stack([signature(s) for s in sets])
+        sigs = np.stack([short_signature(s) for s in sets])
         ids, comp, size = part.doc_id.to_numpy(), part.component.to_numpy(), np.array([len(s) for s in sets])
         members, forest, links = np.flatnonzero(~asks), Forest(), []
         for i in np.flatnonzero(asks).tolist():
@@ -214,7 +219,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                a, b = (np.frombuffer(b"".join(batch[f"{x}_sig"]), np.uint32).reshape(len(batch), -1) for x in "ab")
+                a, b = (np.frombuffer(b"".join(batch[f"{x}_sig"]), np.uint8).reshape(len(batch), -1) for x in "ab")
                 yield batch.iloc[survivors(a, b, percent / 100)][["a", "b"]]
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
