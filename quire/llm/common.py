@@ -47,7 +47,8 @@ def lookup(rows: DataFrame, unique: DataFrame, key: str, large: Column) -> DataF
     if not n:
         return rows.join(unique, key)
     rest = rows.join(small(hot.select(key), n), key, "left_anti").join(unique.filter(~large), key)
-    return rows.join(small(hot, n), key).unionByName(rest)
+    # both parts in as many partitions as before: small files add up
+    return rows.join(small(hot, n), key).unionByName(rest).coalesce(rows.rdd.getNumPartitions())
 
 
 def id_bucket(col: str, mod: int) -> Column:

@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """One row per document: n_shingles, component_id (smallest doc_id reachable by links) and kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     prints = checkpointed(_fingerprints(rows, shingle_words))
-    labelled = checkpointed(_labelled(prints))
+    labelled = checkpointed(_labelled(prints).coalesce(prints.rdd.getNumPartitions()))
     # an id with several texts holds their classes together
     spread = labelled.filter(F.col("rep").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
     held_together = checkpointed(labelled.join(spread.select("doc_id", "least"), "doc_id").filter(F.col("rep") > F.col("least")).select(F.col("rep").alias("a"), F.col("least").alias("b")))
