@@ -5,8 +5,8 @@ only one document of each class goes on. Its signature is cut into bands;
 documents that share a band's bucket are candidates. In each bucket all
 members are first compared with three centres, which joins nearly all groups
 with a number of pairs linear in the bucket. Buckets whose members still lie
-in different components are then compared in blocks, and only links that join
-components come back: no candidate link between components is
+in different components are then compared in blocks, and only
+links that join components come back: no candidate link between components is
 lost, none inside one is paid for, and no task holds more than two blocks.
 
 A candidate pair, of either kind, is verified in two steps. Batches of its signatures are
@@ -30,10 +30,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Forest, checkpointed, lookup, small, whole_groups
+from quire.llm.common import Forest, checkpointed, whole_groups
 from quire.llm.components import connected_components
 
 #: At similarity 0.8 all bands miss a pair with probability (1 - 0.8**ROWS)**BANDS, about 1e-7.
@@ -43,8 +43,6 @@ BATCH, MISS = 40, 1e-7
 CENTRES, SEED = 3, 11
 #: Members of a bucket to a block.
 BLOCK = 1024
-#: Copies of a set, and members of a bucket, from which a class or bucket counts as large: it is joined apart from the others.
-LARGE = 1000
 #: Bits for each document in the filter of those whose sets are needed, and its most bits.
 FILTER_BITS, MAX_FILTER_BITS = 8, 1 << 28
 #: Word hashes that a task remembers.
@@ -166,21 +164,20 @@ def _sets(rows: DataFrame, needed: DataFrame, size: int) -> DataFrame:
 
 
 def _joining(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components inside a bucket. mixed: key, doc_id, component, outside (of the bucket's main component), n (its members), n_outside.
-
-    Only pairs with a member outside can be new: blocks of these meet blocks of all members, a task for each two.
-    """
+    """Links (a, b) that join components inside a bucket. mixed: key, doc_id, component, outside (of the bucket's main component), n (its members)."""
 
     def judge(part: pd.DataFrame) -> list[tuple[int, int]]:
-        asks = part.asks.to_numpy()
-        if not asks.any() or asks.all():
+        if not part.outside.any():
             return []
         sets = [np.frombuffer(s, np.uint64) for s in part.shingles]
         sigs = np.stack([short_signature(s) for s in sets])
-        ids, comp, size = part.doc_id.to_numpy(), part.component.to_numpy(), np.array([len(s) for s in sets])
-        members, forest, links = np.flatnonzero(~asks), Forest(), []
-        for i in np.flatnonzero(asks).tolist():
-            near = members[(comp[members] != comp[i]) & (100 * np.minimum(size[members], size[i]) >= percent * np.maximum(size[members], size[i]))]
+        ids, comp, block, size = part.doc_id.to_numpy(), part.component.to_numpy(), part.block.to_numpy(), np.array([len(s) for s in sets])
+        crossed, forest, links = bool((part.i != part.j).iloc[0]), Forest(), []
+        for i in np.flatnonzero(part.outside.to_numpy()).tolist():
+            other = (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            if crossed:
+                other &= block != block[i]
+            near = np.flatnonzero(other)
             near = near[survivors(np.broadcast_to(sigs[i], (len(near), sigs.shape[1])), sigs[near], percent / 100)]
             for j in near.tolist():
                 if forest.root(int(comp[i])) == forest.root(int(comp[j])):
@@ -197,15 +194,10 @@ def _joining(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             found = [link for _, group in part.groupby(key, sort=False) for link in judge(group)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    blocks, ask_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "n_outside"))
-    place = F.xxhash64("doc_id")
-
-    def every(count: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), count - 1))
-
-    members = mixed.select("key", "doc_id", "component", F.lit(False).alias("asks"), every(ask_blocks).alias("i"), F.pmod(place, blocks).cast("int").alias("j"))
-    asking = mixed.filter("outside").select("key", "doc_id", "component", F.lit(True).alias("asks"), F.pmod(place, ask_blocks).cast("int").alias("i"), every(blocks).alias("j"))
-    dealt = members.unionAll(asking).join(sets.select(F.col("id").alias("doc_id"), "shingles"), "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = mixed.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", "doc_id", "component", "outside", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.join(sets.select(F.col("id").alias("doc_id"), "shingles"), "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInPandas(run, "a long, b long")
 
 
@@ -235,56 +227,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both(kept, "shingles").mapInPandas(confirm, "a long, b long")
 
 
-def _labelled(prints: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, rep, keys, large) from the fingerprints: rep is the smallest id with the same set, keys are those of the row that has it.
-
-    A set's copies need no comparison. Rows of large classes find theirs by a
-    join of its own, by broadcast if these classes are few: no task gathers them.
-    """
-    real = F.col("print").isNotNull() & F.col("doc_id").isNotNull()
-    classes = checkpointed(prints.filter(real).groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"))
-    large = classes.filter(F.col("copies") >= LARGE).select(F.col("print").alias("large_print"), F.col("rep").alias("large_rep"))
-    met = prints.filter(real).join(small(large, large.count()), F.col("print") == F.col("large_print"), "left")
-    few = met.filter(F.col("large_rep").isNull()).join(classes.filter(F.col("copies") < LARGE).select("print", "rep"), "print", "left")
-    columns = [F.col("doc_id"), F.col("n_shingles"), F.col("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"), F.col("large_rep").isNotNull().alias("large")]
-    found = few.withColumn("rep", F.coalesce("rep", "doc_id")).select(*columns).unionAll(met.filter(F.col("large_rep").isNotNull()).withColumn("rep", F.col("large_rep")).select(*columns))
-    rest = prints.filter(~real).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("array<long>").alias("keys"), F.lit(False).alias("large"))
-    return found.unionAll(rest)
-
-
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_shingles, component_id (smallest doc_id reachable by links) and kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     prints = checkpointed(_fingerprints(rows, shingle_words))
-    labelled = checkpointed(_labelled(prints).coalesce(prints.rdd.getNumPartitions()))
+    # one class per set of shingles; its copies need no comparison
+    classes = prints.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("rep"))
+    labelled = checkpointed(prints.join(classes, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
+
     # an id with several texts holds their classes together
     spread = labelled.filter(F.col("rep").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
-    held_together = checkpointed(labelled.join(spread.select("doc_id", "least"), "doc_id").filter(F.col("rep") > F.col("least")).select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    held_together = labelled.select("doc_id", "rep").join(spread.select("doc_id", "least"), "doc_id").filter(F.col("rep") > F.col("least")).select(F.col("rep").alias("a"), F.col("least").alias("b"))
 
     bands = labelled.filter(F.col("keys").isNotNull()).select("doc_id", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    members = checkpointed(bands.join(shared, "key"))
     names = [f"c{k}" for k in range(CENTRES)]
     centres = [F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")) if k else F.min("doc_id") for k in range(CENTRES)]
-    buckets = bands.groupBy("key").agg(F.count("*").alias("n"), *[c.alias(name) for c, name in zip(centres, names, strict=True)]).filter(F.col("n") > 1)
-    buckets = checkpointed(buckets.select("key", "n", F.array_distinct(F.array(*names)).alias("centres")))
-    members = checkpointed(lookup(bands, buckets.select("key", "n", F.size("centres").alias("n_centres")), "key", F.col("n") >= LARGE))
-    starred = lookup(members.select("key", "doc_id"), buckets, "key", F.col("n") >= LARGE).select(F.col("doc_id").alias("x"), F.explode("centres").alias("y")).filter(F.col("x") != F.col("y"))
+    buckets = members.groupBy("key", "n").agg(*[c.alias(name) for c, name in zip(centres, names, strict=True)]).select("key", F.array_distinct(F.array(*names)).alias("centres"))
+    starred = members.join(buckets, "key").select(F.col("doc_id").alias("x"), F.explode("centres").alias("y")).filter(F.col("x") != F.col("y"))
     pairs = starred.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     sets = checkpointed(_sets(rows, members.select("doc_id").distinct(), shingle_words))
-    links = checkpointed(_verified(pairs, sets, percent).unionAll(held_together))
+    links = checkpointed(_verified(pairs, sets, percent).unionAll(held_together).coalesce(sets.rdd.getNumPartitions()))
 
     joined = connected_components(links)
     # a bucket with at most one member besides its centres has been compared whole
-    more = members.filter(F.col("n") - F.col("n_centres") > 1)
-    placed = more.select("key", "n", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    large = members.join(buckets.select("key", F.size("centres").alias("centres")), "key").filter(F.col("n") - F.col("centres") > 1)
+    placed = large.select("key", "n", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     # the component that most members of a bucket lie in; only pairs with a member outside it can be new
     held = placed.groupBy("key", "component").agg(F.count("*").alias("held"))
-    main = held.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"), (F.sum("held") - F.max("held")).alias("n_outside")).filter("n_outside > 0")
-    mixed = checkpointed(placed.join(main, "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("outside"), "n", "n_outside"))
+    main = held.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
+    mixed = placed.join(main.select("key", "main"), "key").select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("outside"), "n")
     links = links.unionAll(_joining(mixed, sets, percent))
 
     final = connected_components(links).withColumnRenamed("id", "rep")
-    large = labelled.filter("large")
-    large_reps = checkpointed(final.join(large.select("rep").distinct(), "rep", "left_semi"))
-    met = large.join(small(large_reps, large_reps.count()), "rep", "left").unionByName(labelled.filter("NOT large").join(final, "rep", "left"))
     component = F.coalesce("component", "rep", "doc_id")
-    return met.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = labelled.select("doc_id", "n_shingles", "rep").join(final, "rep", "left")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

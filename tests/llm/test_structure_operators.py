@@ -191,8 +191,7 @@ def test_near_duplicates_with_large_groups(docs, monkeypatch):
     rows += [(300 + i, " ".join(base).upper()) for i in range(30)]
     rows += [(400 + i, f"{a} {b}") for i, (a, b) in enumerate([("x", "y"), ("x", "y"), ("x", "z")])]
     monkeypatch.setattr(minhash, "BLOCK", 16)
-    for large, size in ((minhash.LARGE, 2), (8, 5)):
-        monkeypatch.setattr(minhash, "LARGE", large)
+    for size in (2, 5):
         got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(rows), size, 80).collect()}
         want, sets = exact_near_duplicates(rows, size, 80)
         assert {d: r["component_id"] for d, r in got.items()} == want
