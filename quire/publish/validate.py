@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.functions.text import split_fragment
 from quire.publish.package import resolved, unpack, xml_nodes
@@ -55,7 +56,7 @@ def check_bytes(archives: DataFrame) -> DataFrame:
     ])
 
 
-@F.pandas_udf("struct<w:long,h:long>")
+@F.pandas_udf(StructType([StructField("w", LongType()), StructField("h", LongType())]))
 def jpeg_size(data: pd.Series) -> pd.DataFrame:
     """Width and height in a JPEG's frame header, found by a walk over its segments; null if there is none."""
 
