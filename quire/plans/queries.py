@@ -11,6 +11,7 @@ from quire.functions import geometry
 from quire.functions import text as T
 from quire.operators import glyph_join, headings, inlines, lines, marked, metadata, paragraphs, toc
 from quire.operators import text_items as text_items_op
+from quire.plans import package_checks
 from quire.publish import covers
 from quire.sources.layout import layout_runs, marked_items, read_table, text_items, tracked_runs
 
@@ -417,6 +418,7 @@ ALL: list[Query] = [
     p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, z1_inline_markup, z1_links, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
     v3_synthesized_cover, v4_user_covers, w7_asset_names, x9_anchors, x7_detrack_partial, a11_warnings, a13_toc_facts, a15_confidence,
     j6_marked_content, n3_merge_adjacent, j10_dangling_links, a16_exactly_one, v_page_checks, a10_doc_stats, o7_title_fallback, rel_segment_revenue, rel_event_sessions,
+    *package_checks.ALL,
 ]
 
 

@@ -195,8 +195,9 @@ SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Title ' || doc_id WHEN heading IS
 
 def oracle_sql() -> dict[str, str]:
     from quire.plans.sql_items import SQL as ITEMS
+    from quire.plans.sql_packages import SQL as PACKAGES
 
     def stem(c: str) -> str:
         return rf"""trim(trim(regexp_replace(regexp_replace({c}, '[/\\?%*:|"<>\x00-\x1F\x7F]', '', 'g'), '{WS}+', ' ', 'g'), '. '))"""
 
-    return SQL | ITEMS | {"k4_filename": SQL["k4_filename"].format(t=stem("t"), a=stem("a"), s=stem("s"))}
+    return SQL | ITEMS | PACKAGES | {"k4_filename": SQL["k4_filename"].format(t=stem("t"), a=stem("a"), s=stem("s"))}

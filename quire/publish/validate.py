@@ -37,15 +37,15 @@ def number(data: Column, at: int, n: int) -> Column:
     return reduce(lambda a, b: a + b, pieces)
 
 
-def check_bytes(archives: DataFrame) -> DataFrame:
-    """The first entry must be an uncompressed, plain `mimetype`."""
+def check_bytes(archives: DataFrame, large: int = LARGE_PACKAGE) -> DataFrame:
+    """The first entry must be an uncompressed, plain `mimetype`; packages above `large` bytes get a warning."""
     d = F.col("data")
     full = archives.filter(F.octet_length(d) >= 58)
     zipped = full.filter(F.hex(F.substring(d, 1, 4)) == "504B0304")
     named = number(d, 26, 2) == 8
     name, content = F.decode(F.substring(d, 31, 8), "iso-8859-1"), F.decode(F.substring(d, 39, 20), "iso-8859-1")
     return union([
-        issue(archives, F.octet_length(d) > LARGE_PACKAGE, "warning", "epub-large", "the package is very large"),
+        issue(archives, F.octet_length(d) > large, "warning", "epub-large", "the package is very large"),
         issue(archives, F.coalesce(F.octet_length(d) < 58, F.lit(True)), "error", "zip-truncated", "too short for an archive"),
         issue(full, F.hex(F.substring(d, 1, 4)) != "504B0304", "error", "zip-magic", "not a zip archive"),
         issue(zipped, number(d, 6, 2) != 0, "error", "mimetype-flags", "the first entry has flags"),
@@ -98,61 +98,40 @@ def probe_image(data: Column) -> Column:
     return F.when(png, probe("image/png", big(16), big(20))).when(gif, probe("image/gif", number(data, 6, 2), number(data, 8, 2))).when(walked["w"].isNotNull(), probe("image/jpeg", walked["w"], walked["h"]))
 
 
-def validate(archives: DataFrame) -> DataFrame:
-    """Issues (doc_id, severity, code, message, path) of the archives (doc_id, data).
+def incomplete() -> Column:
+    return reduce(lambda x, y: x | y, [F.coalesce(c, F.lit("")) == "" for c in ("id", "href", "media_type")])
 
-    All rules read the same entries and XML elements, which are kept (and rebuilt where an executor is lost).
-    """
-    entries = unpack(archives).persist()
-    found = [check_bytes(archives), issue(entries, F.col("error").isNotNull(), "error", "zip-unreadable", F.col("error"))]
-    docs = archives.select("doc_id").distinct()
-    open_docs = docs.join(entries.filter("error IS NOT NULL"), "doc_id", "left_anti")
-    files = entries.filter("error IS NULL").select("doc_id", "path", "data")
-    paths = files.select("doc_id", "path").distinct()
 
-    container = files.filter(F.col("path") == CONTAINER)
-    found.append(issue(open_docs.join(container, "doc_id", "left_anti"), None, "error", "container-missing", "there is no container file", F.lit(CONTAINER)))
-    container_nodes = xml_nodes(container)
-    found.append(issue(container_nodes, F.col("malformed").isNotNull(), "error", "container-malformed", F.col("malformed"), F.lit(CONTAINER)))
-    roots = container_nodes.filter("tag = 'rootfile'").groupBy("doc_id").agg(F.min_by(F.col("attrs")["full-path"], "node").alias("opf"))
-    named = container_nodes.filter("malformed IS NULL").select("doc_id").distinct().join(roots, "doc_id", "left")
-    found.append(issue(named, F.coalesce("opf", F.lit("")) == "", "error", "rootfile-missing", "the container names no package file"))
-    rooted = roots.filter(F.col("opf") != "")
-    opf_files = rooted.join(files.withColumnRenamed("path", "opf"), ["doc_id", "opf"])
-    found.append(issue(rooted.join(opf_files, "doc_id", "left_anti"), None, "error", "rootfile-unresolved", "the package file is not in the archive", F.col("opf")))
-    opf = xml_nodes(opf_files.withColumnRenamed("opf", "path")).persist()
-    found.append(issue(opf, F.col("malformed").isNotNull(), "error", "opf-malformed", F.col("malformed"), F.col("path")))
+def usable(raw_items: DataFrame) -> DataFrame:
+    """Complete manifest items, with their path in the archive."""
+    return raw_items.filter(~incomplete()).withColumn("path", resolved(F.col("opf"), F.col("href")))
 
-    good = opf.filter("malformed IS NULL")
-    packages = good.select("doc_id", "path").distinct().withColumnRenamed("path", "opf")
-    a = F.col("attrs")
-    raw_items = good.filter("tag = 'item'").select("doc_id", F.col("path").alias("opf"), a["id"].alias("id"), a["href"].alias("href"), a["media-type"].alias("media_type"), F.split(F.coalesce(a["properties"], F.lit("")), r"\s+").alias("properties"))
-    incomplete = (F.coalesce("id", F.lit("")) == "") | (F.coalesce("href", F.lit("")) == "") | (F.coalesce("media_type", F.lit("")) == "")
-    found.append(issue(raw_items, incomplete, "error", "manifest-item-incomplete", "an item lacks id, href or media type", F.col("href")))
-    items = raw_items.filter(~incomplete).withColumn("path", resolved(F.col("opf"), F.col("href")))
-    found.append(issue(items.join(paths, ["doc_id", "path"], "left_anti"), None, "error", "manifest-href-unresolved", "an item is not in the archive", F.col("path")))
 
-    refs = good.filter("tag = 'itemref'").select("doc_id", "node", a["idref"].alias("id"))
+def check_structure(packages: DataFrame, raw_items: DataFrame, refs: DataFrame, spines: DataFrame, paths: DataFrame) -> DataFrame:
+    """Manifest, spine and navigation. packages: doc_id, opf; raw_items: doc_id, opf, id, href, media_type, properties; refs: doc_id, node, id; spines: doc_id, toc; paths: doc_id, path of the archive."""
+    found = [issue(raw_items, incomplete(), "error", "manifest-item-incomplete", "an item lacks id, href or media type", F.col("href"))]
+    items = usable(raw_items)
+    found.append(issue(items.join(paths, ["doc_id", "path"], "left_anti"), None, "error", "manifest-href-unresolved", "an item is not in the archive", F.col("path")))
     found.append(issue(packages.join(refs, "doc_id", "left_anti"), None, "error", "spine-empty", "the spine is empty"))
     found.append(issue(refs, F.coalesce("id", F.lit("")) == "", "error", "spine-idref-missing", "a spine entry has no idref"))
-    raw_refs, refs = refs, refs.filter(F.col("id") != "")
+    refs = refs.filter(F.col("id") != "")
     found.append(issue(refs.join(items, ["doc_id", "id"], "left_anti"), None, "error", "spine-idref-unresolved", F.col("id")))
     found.append(issue(refs.join(items, ["doc_id", "id"]), F.col("media_type") != "application/xhtml+xml", "error", "spine-media-type", F.col("media_type"), F.col("path")))
 
     navs = packages.join(items.filter(F.array_contains("properties", "nav")).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
     found.append(issue(navs, F.coalesce("n", F.lit(0)) != 1, "error", "nav-count", "there must be one navigation document"))
-    spine = packages.join(good.filter("tag = 'spine'").groupBy("doc_id").agg(F.max(a["toc"]).alias("id")), "doc_id", "left")
+    spine = packages.join(spines.groupBy("doc_id").agg(F.max("toc").alias("id")), "doc_id", "left")
     found.append(issue(spine, F.coalesce("id", F.lit("")) == "", "warning", "ncx-not-referenced", "the spine names no ncx"))
     found.append(issue(spine.filter(F.col("id") != "").join(items, ["doc_id", "id"], "left_anti"), None, "error", "ncx-unresolved", F.col("id")))
     known = items.select("doc_id", "path").unionAll(packages.select("doc_id", "opf"))
     orphans = paths.join(packages, "doc_id").filter((F.col("path") != "mimetype") & ~F.col("path").startswith("META-INF/")).join(known, ["doc_id", "path"], "left_anti")
     found.append(issue(orphans, None, "warning", "orphan-file", "a file is not in the manifest", F.col("path")))
+    return union(found)
 
-    def first(tag: str) -> Column:
-        return F.min_by(F.when(F.col("tag") == tag, F.trim(F.coalesce("text", F.lit("")))), F.when(F.col("tag") == tag, F.col("node")))
 
-    meta = good.groupBy("doc_id").agg(*[first(t).alias(t) for t in ("title", "language", "identifier", "creator")], F.min(F.when((F.col("tag") == "meta") & (a["property"] == "dcterms:modified"), F.trim("text"))).alias("modified"), F.min(F.when((F.col("tag") == "meta") & (a["name"] == "cover"), F.coalesce(a["content"], F.lit("")))).alias("cover"))
-    found += [
+def check_metadata(meta: DataFrame) -> DataFrame:
+    """meta: doc_id, title, language, identifier, creator, modified, cover of each package."""
+    return union([
         issue(meta, F.col("modified").isNull(), "error", "dcterms-modified-missing", "no modification time"),
         issue(meta, ~F.col("modified").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\z"), "error", "dcterms-modified-format", F.col("modified")),
         issue(meta, ~F.coalesce("identifier", F.lit("")).rlike(r"^urn:uuid:[0-9a-fA-F-]{36}\z"), "error", "identifier-format", F.col("identifier")),
@@ -160,7 +139,12 @@ def validate(archives: DataFrame) -> DataFrame:
         issue(meta, F.coalesce("creator", F.lit("")).isin("", "Unknown"), "warning", "creator-unknown", "no author"),
         issue(meta, F.col("cover").isNull(), "error", "cover-meta-missing", "no cover is named"),
         issue(meta, F.col("cover") == "", "error", "cover-meta-empty", "the cover's name is empty"),
-    ]
+    ])
+
+
+def check_cover(packages: DataFrame, meta: DataFrame, items: DataFrame, files: DataFrame, refs: DataFrame, guides: DataFrame) -> DataFrame:
+    """The cover's item, image, guide entry and page. items: as of usable(); files: doc_id, path, data; guides: doc_id of packages whose guide names a cover."""
+    found = []
     covers = meta.filter(F.col("cover") != "").select("doc_id", F.col("cover").alias("id")).join(items, ["doc_id", "id"], "left")
     found.append(issue(covers, F.col("path").isNull(), "error", "cover-meta-unresolved", F.col("id")))
     covers = covers.filter(F.col("path").isNotNull())
@@ -176,17 +160,19 @@ def validate(archives: DataFrame) -> DataFrame:
         issue(images, F.least(w, h) < LEAST_COVER, "error", "cover-too-small", "the cover is too small", F.col("path")),
         issue(images, (F.least(w, h) >= LEAST_COVER) & (F.greatest(w, h) < GOOD_COVER), "warning", "cover-low-resolution", "the cover is small", F.col("path")),
     ]
-    guide = good.filter((F.col("tag") == "reference") & (a["type"] == "cover"))
-    found.append(issue(packages.join(guide, "doc_id", "left_anti"), None, "warning", "guide-cover-missing", "the guide names no cover"))
+    found.append(issue(packages.join(guides, "doc_id", "left_anti"), None, "warning", "guide-cover-missing", "the guide names no cover"))
     # the first entry of the spine, resolved or not, judged only where the cover itself was found
-    opening = raw_refs.groupBy("doc_id").agg(F.min_by("id", "node").alias("id")).join(items.select("doc_id", "id", "href", "path"), ["doc_id", "id"], "left").join(images.filter("data IS NOT NULL").select("doc_id", F.element_at(F.split("href", "/"), -1).alias("cover_name")).dropDuplicates(["doc_id"]), "doc_id")
+    opening = refs.groupBy("doc_id").agg(F.min_by("id", "node").alias("id")).join(items.select("doc_id", "id", "href", "path"), ["doc_id", "id"], "left").join(images.filter("data IS NOT NULL").select("doc_id", F.element_at(F.split("href", "/"), -1).alias("cover_name")).dropDuplicates(["doc_id"]), "doc_id")
     opens = F.coalesce(F.col("href").contains("cover"), F.lit(False))
     found.append(issue(opening, ~opens, "error", "cover-page-not-first", "the spine does not open with the cover", F.coalesce("path", "id")))
     shown = opening.filter(opens).join(files, ["doc_id", "path"])
     found.append(issue(shown, ~F.decode("data", "utf-8").contains(F.col("cover_name")), "error", "cover-page-missing-image", "the cover page lacks the cover", F.col("path")))
+    return union(found)
 
-    pages = items.filter("media_type = 'application/xhtml+xml'").select("doc_id", "path").distinct().join(files, ["doc_id", "path"])
-    nodes = xml_nodes(pages).persist()
+
+def check_pages(pages: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """XHTML and its links. pages: doc_id, path, data; nodes: their elements (doc_id, path, malformed, tag, attrs); paths: doc_id, path of the archive."""
+    found, a = [], F.col("attrs")
     found.append(issue(nodes, F.col("malformed").isNotNull(), "error", "xhtml-malformed", F.col("malformed"), F.col("path")))
     sound = nodes.filter("malformed IS NULL")
     sound_pages = pages.join(sound.select("doc_id", "path").distinct(), ["doc_id", "path"])
@@ -202,6 +188,53 @@ def validate(archives: DataFrame) -> DataFrame:
     return union(found)
 
 
+def validate(archives: DataFrame) -> DataFrame:
+    """Issues (doc_id, severity, code, message, path) of the archives (doc_id, data).
+
+    All rules read the same entries and XML elements, which are kept (and rebuilt where an executor is lost).
+    """
+    entries = unpack(archives).persist()
+    found = [check_bytes(archives), issue(entries, F.col("error").isNotNull(), "error", "zip-unreadable", F.col("error"))]
+    docs = archives.select("doc_id").distinct()
+    open_docs = docs.join(entries.filter("error IS NOT NULL"), "doc_id", "left_anti")
+    files = entries.filter("error IS NULL").select("doc_id", "path", "data")
+    paths = files.select("doc_id", "path").distinct()
+
+    container = files.filter(F.col("path") == CONTAINER)
+    found.append(issue(open_docs.join(container, "doc_id", "left_anti"), None, "error", "container-missing", "there is no container file", F.lit(CONTAINER)))
+    container_nodes = xml_nodes(container)
+    found.append(issue(container_nodes, F.col("malformed").isNotNull(), "error", "container-malformed", F.col("malformed"), F.lit(CONTAINER)))
+    roots = container_nodes.filter("tag = 'rootfile'").groupBy("doc_id").agg(F.min_by(F.col("attrs")["full-path"], "node").alias("opf"))
+    named = container_nodes.filter("malformed IS NULL").select("doc_id").distinct().join(roots, "doc_id", "left")
+    found.append(issue(named, F.coalesce("opf", F.lit("")) == "", "error", "rootfile-missing", "the container names no package file"))
+    rooted = roots.filter(F.col("opf") != "")
+    opf_files = rooted.join(files.withColumnRenamed("path", "opf"), ["doc_id", "opf"])
+    found.append(issue(rooted.join(opf_files, "doc_id", "left_anti"), None, "error", "rootfile-unresolved", "the package file is not in the archive", F.col("opf")))
+    opf = xml_nodes(opf_files.withColumnRenamed("opf", "path")).persist()
+    found.append(issue(opf, F.col("malformed").isNotNull(), "error", "opf-malformed", F.col("malformed"), F.col("path")))
+
+    good = opf.filter("malformed IS NULL")
+    packages = good.select("doc_id", "path").distinct().withColumnRenamed("path", "opf")
+    a = F.col("attrs")
+    raw_items = good.filter("tag = 'item'").select("doc_id", F.col("path").alias("opf"), a["id"].alias("id"), a["href"].alias("href"), a["media-type"].alias("media_type"), F.split(F.coalesce(a["properties"], F.lit("")), r"\s+").alias("properties"))
+    refs = good.filter("tag = 'itemref'").select("doc_id", "node", a["idref"].alias("id"))
+    spines = good.filter("tag = 'spine'").select("doc_id", a["toc"].alias("toc"))
+    found.append(check_structure(packages, raw_items, refs, spines, paths))
+
+    def first(tag: str) -> Column:
+        return F.min_by(F.when(F.col("tag") == tag, F.trim(F.coalesce("text", F.lit("")))), F.when(F.col("tag") == tag, F.col("node")))
+
+    meta = good.groupBy("doc_id").agg(*[first(t).alias(t) for t in ("title", "language", "identifier", "creator")], F.min(F.when((F.col("tag") == "meta") & (a["property"] == "dcterms:modified"), F.trim("text"))).alias("modified"), F.min(F.when((F.col("tag") == "meta") & (a["name"] == "cover"), F.coalesce(a["content"], F.lit("")))).alias("cover"))
+    found.append(check_metadata(meta))
+    items = usable(raw_items)
+    guides = good.filter((F.col("tag") == "reference") & (a["type"] == "cover")).select("doc_id")
+    found.append(check_cover(packages, meta, items, files, refs, guides))
+
+    pages = items.filter("media_type = 'application/xhtml+xml'").select("doc_id", "path").distinct().join(files, ["doc_id", "path"])
+    found.append(check_pages(pages, xml_nodes(pages).persist(), paths))
+    return union(found)
+
+
 def is_valid(archives: DataFrame, issues: DataFrame) -> DataFrame:
     """ok: no issue is an error."""
     counts = issues.groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
