@@ -12,7 +12,7 @@ from quire.functions import text as T
 from quire.operators import glyph_join, headings, inlines, lines, marked, metadata, paragraphs, toc
 from quire.operators import text_items as text_items_op
 from quire.plans import package_checks
-from quire.publish import covers
+from quire.publish import covers, nested_blocks
 from quire.sources.layout import layout_runs, marked_items, read_table, text_items, tracked_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,35 @@ def z1_inline_markup(s: SparkSession, d: str) -> DataFrame:
     return inlines.inline_markup(merged, ["doc_id", "laid_line"])
 
 
+def z2_nested_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Each line of a document as one of seven trees: a paragraph, a quote, a list, a table, a figure, a table's fallback, or a heading with a page break."""
+    parts = read_table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    k, t, n = F.col("k"), T.xml_text(F.col("t")), F.length("t")
+    shape, href = k % 7, F.when(n % 3 != 0, F.concat(F.lit("images/"), n.cast("string"), F.lit(".png")))
+
+    def node(i: int, parent: int | None, depth: int, kind: str, **fields: Column) -> Column:
+        own = {"kind": F.lit(kind)} | fields
+        return F.struct(F.lit(i).alias("i"), F.lit(parent).cast("int").alias("up"), F.lit(depth).alias("depth"), F.struct(*[own.get(c, F.lit(None)).cast(kind_of).alias(c) for c, kind_of in nested_blocks.FIELDS.items()]).alias("f"))
+
+    align = F.when(n % 2 == 0, "left").otherwise("right")
+    shapes = [
+        [node(0, None, 0, "p", inline=t, align=align)],
+        [node(0, None, 0, "quote"), node(1, 0, 1, "p", inline=t), node(2, 0, 1, "code", text=F.col("t"))],
+        [node(0, None, 0, "list", ordered=n % 2 == 0, start=n % 3), node(1, 0, 1, "item"), node(2, 1, 2, "p", inline=t), node(3, 0, 1, "item"), node(4, 3, 2, "p", inline=t), node(5, 3, 2, "quote"), node(6, 5, 3, "p", inline=t), node(7, 0, 1, "item"), node(8, 7, 2, "p", inline=F.lit(" "))],
+        [
+            node(0, None, 0, "table", inline=F.when(n % 2 == 0, t)), node(1, 0, 1, "thead"), node(2, 1, 2, "row"), node(3, 2, 3, "cell", in_head=F.lit(True), colspan=n % 4), node(4, 3, 4, "p", inline=t), node(5, 0, 1, "tbody"), node(6, 5, 2, "row"),
+            node(7, 6, 3, "cell", header=n % 5 == 0, rowspan=n % 3, align=align), node(8, 7, 4, "p", inline=t), node(9, 6, 3, "cell"), node(10, 9, 4, "p", inline=t), node(11, 9, 4, "rule"),
+        ],
+        [node(0, None, 0, "figure", href=href, alt=F.col("t"), inline=F.when(n % 2 == 0, t))],
+        [node(0, None, 0, "pre", text=F.col("t"), href=href)],
+        [node(0, None, 0, "quote"), node(1, 0, 1, "h", level=n % 6 + 1, anchor=F.concat(F.lit("a"), k), inline=t), node(2, 0, 1, "pagebreak", page=k, label=F.when(n % 2 == 0, F.concat(F.lit("p. "), k)))],
+    ]
+    chosen = F.array(*[F.when(shape == i, F.array(*nodes)) for i, nodes in enumerate(shapes)])
+    each = parts.select("doc_id", "k", F.explode(F.get(F.array_compact(chosen), F.lit(0))).alias("n"))
+    nodes = each.select("doc_id", (k * 100 + F.col("n.i")).alias("node"), (k * 100 + F.col("n.up")).alias("parent"), "n.depth", F.col("n.i").alias("ord"), "n.f.*")
+    return nested_blocks.nested_markup(nodes, 4).select("doc_id", F.floor(F.col("node") / 100).cast("int").alias("k"), F.md5("markup").alias("markup"), F.length("markup").cast("long").alias("n_chars"))
+
+
 def z1_links(s: SparkSession, d: str) -> DataFrame:
     """Links of pages: outside ones stay links; and images in the line, every third without a file."""
     h = _hrefs(s, d)
@@ -415,7 +444,7 @@ ALL: list[Query] = [
     runs_layout, w2_line_islands, a1_line_modal_em, a3_line_facts, a2_body_em, a5_leading, f4_scanned_pages, g2_join_fixed, g3_space_calibration,
     g4_cluster_calibration, g1_calibrated_text, f5_heading_candidates, h1_headings, a9_numbering, b2_breaks, b1_blocks, x_text_checks, x11_list_markers,
     x12_dehyphenate, x1_xml_escape, x15_normalize_path, x16_split_fragment, k4_filename, m4_hue, t1_toc, c1_split_level, c3_merge, c4_size_guard, c5_chapters,
-    p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, z1_inline_markup, z1_links, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
+    p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, z1_inline_markup, z1_links, z2_nested_blocks, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
     v3_synthesized_cover, v4_user_covers, w7_asset_names, x9_anchors, x7_detrack_partial, a11_warnings, a13_toc_facts, a15_confidence,
     j6_marked_content, n3_merge_adjacent, j10_dangling_links, a16_exactly_one, v_page_checks, a10_doc_stats, o7_title_fallback, rel_segment_revenue, rel_event_sessions,
     *package_checks.ALL,

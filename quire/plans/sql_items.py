@@ -31,7 +31,23 @@ marks AS (SELECT *, concat(b, i, code, sub, sup) AS key FROM sty),
 isl AS (SELECT *, sum(CASE WHEN lag_key IS NULL OR lag_key <> key THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, laid_line ORDER BY run_no) - 1 AS ord FROM (SELECT *, lag(key) OVER (PARTITION BY doc_id, laid_line ORDER BY run_no) AS lag_key FROM marks)),
 inl AS (SELECT doc_id, laid_line, ord, string_agg(s, ' ' ORDER BY run_no) AS s, b, i, code, sub, sup FROM isl GROUP BY doc_id, laid_line, ord, b, i, code, sub, sup)"""
 
+def stacked(*lines: str) -> str:
+    """Lines of markup as SQL; those that are null fall out. {x} stands for a column's value, pieces that begin with $ are SQL."""
+    return "concat_ws(chr(10), " + ", ".join(line[1:] if line.startswith("$") else "'" + line.replace("{", "' || ").replace("}", " || '") + "'" for line in lines) + ")"
+
+
 SQL: dict[str, str] = {
+    "z2_nested_blocks": f"""WITH e AS (SELECT doc_id, k, t, length(t) AS n, {squeezed("t")} = '' AS blank, {xml_text("t")} AS x, replace(replace({xml_text("t")}, '"', '&quot;'), '''', '&#39;') AS a, CASE WHEN length(t) % 2 = 1 THEN ' class="align-right"' ELSE '' END AS al, 'images/' || length(t) || '.png' AS href,
+  CASE WHEN length(t) % 2 = 0 THEN 'ol' ELSE 'ul' END AS l, CASE WHEN length(t) % 2 = 0 AND length(t) % 3 <> 1 THEN ' start="' || length(t) % 3 || '"' ELSE '' END AS st FROM {PARTS}),
+m AS (SELECT doc_id, k, CASE k % 7
+  WHEN 0 THEN CASE WHEN blank THEN '' ELSE '<p' || al || '>' || x || '</p>' END
+  WHEN 1 THEN {stacked("<blockquote>", "$CASE WHEN NOT blank THEN '  <p>' || x || '</p>' END", "  <pre><code>{x}</code></pre>", "</blockquote>")}
+  WHEN 2 THEN CASE WHEN blank THEN '' ELSE {stacked("<{l}{st}>", "  <li>{x}</li>", "  <li>", "    <p>{x}</p>", "    <blockquote>", "      <p>{x}</p>", "    </blockquote>", "  </li>", "</{l}>")} END
+  WHEN 3 THEN {stacked("<table>", "$CASE WHEN n % 2 = 0 THEN '  <caption>' || x || '</caption>' END", "  <thead>", "    <tr>", "$'      <th' || CASE WHEN n % 4 > 1 THEN ' colspan=\"' || n % 4 || '\"' ELSE '' END || ' scope=\"col\">' || x || '</th>'", "    </tr>", "  </thead>", "  <tbody>", "    <tr>", "$'      ' || CASE WHEN n % 5 = 0 THEN '<th' ELSE '<td' END || CASE WHEN n % 3 > 1 THEN ' rowspan=\"2\"' ELSE '' END || CASE WHEN n % 5 = 0 THEN ' scope=\"row\"' ELSE '' END || al || '>' || x || CASE WHEN n % 5 = 0 THEN '</th>' ELSE '</td>' END", "      <td>", "$CASE WHEN NOT blank THEN '        <p>' || x || '</p>' END", "        <hr/>", "        </td>", "    </tr>", "  </tbody>", "</table>")}
+  WHEN 4 THEN CASE WHEN n % 3 = 0 THEN '' ELSE {stacked("<figure>", '  <img src="{href}" alt="{a}"/>', "$CASE WHEN n % 2 = 0 THEN '  <figcaption>' || x || '</figcaption>' END", "</figure>")} END
+  WHEN 5 THEN '<pre class="table-fallback">' || x || '</pre>' || CASE WHEN n % 3 = 0 THEN '' ELSE chr(10) || {stacked('<figure class="table-snapshot">', '  <img src="{href}" alt="Original table as it appeared in the PDF"/>', "</figure>")} END
+  ELSE {stacked("<blockquote>", '  <h{(n % 6 + 1)} id="a{k}">{x}</h{(n % 6 + 1)}>', """  <span class="source-page" id="page-{(k + 1)}" epub:type="pagebreak" role="doc-pagebreak" aria-label="{CASE WHEN n % 2 = 0 THEN 'p. ' || k ELSE (k + 1)::VARCHAR END}"/>""", "</blockquote>")} END AS markup FROM e)
+SELECT doc_id, k, md5(markup) AS markup, length(markup) AS n_chars FROM m""",
     "p4_text_runs": f"""WITH {RUNS}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY run_no) - 1 AS n FROM runs),
 u AS (SELECT *, CASE WHEN n % 5 = 0 THEN em ELSE 0.8 * em END::DOUBLE AS h, CASE WHEN bold THEN 'Serif|g1-Bold' WHEN n % 50 = 1 THEN 'Courier New|g2' WHEN n % 70 = 2 THEN 'Sans Oblique|g3' ELSE 'g4|g4' END AS font_key FROM t WHERE n % 101 <> 7 AND n % 103 <> 9 AND n % 45 > 4)
 SELECT doc_id, page, (n * 3 + 1)::INT AS run_no, str, x::DOUBLE AS x, round(baseline_y - h, 6)::DOUBLE AS y, advance::DOUBLE AS w, round(h, 6) AS h, baseline_y::DOUBLE AS baseline_y, em::DOUBLE AS em, n % 97 = 5 AS skewed, advance::DOUBLE AS advance, font_key,
