@@ -14,6 +14,7 @@ from quire.operators import text_items as text_items_op
 from quire.plans import package_checks
 from quire.publish import covers, nested_blocks
 from quire.sources.layout import layout_runs, marked_items, read_table, text_items, tracked_runs
+from quire.streaming import pages as page_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -300,6 +301,17 @@ def b1_blocks(s: SparkSession, d: str) -> DataFrame:
     return paragraphs.blocks(headings.detect_headings(_page_lines(s, d))).select("doc_id", "ord", "page", "kind", "level", "n_lines", F.length("text").cast("long").alias("n_chars"))
 
 
+def st_blocks(s: SparkSession, d: str) -> DataFrame:
+    """The blocks of all documents from a stream of their pages, which come in four batches, the pages of a document apart."""
+    laid, folder = runs(s, d), page_stream.shared_folder(s)
+    stored = page_stream.pages_of(laid)
+    stored.repartition(4, F.col("page") % 4).write.parquet(f"{folder}/pages")
+    stream = s.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages")
+    fields = laid.drop(*page_stream.PAGE_KEYS).schema
+    page_stream.extract_stream(stream, fields, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return s.read.parquet(f"{folder}/out/blocks").select("doc_id", "ord", "page", "kind", "level", "n_lines", F.length("text").cast("long").alias("n_chars"))
+
+
 def x_text_checks(s: SparkSession, d: str) -> DataFrame:
     t = read_table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
     # an exploded column is computed once, however often it is read
@@ -447,7 +459,7 @@ ALL: list[Query] = [
     p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, z1_inline_markup, z1_links, z2_nested_blocks, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
     v3_synthesized_cover, v4_user_covers, w7_asset_names, x9_anchors, x7_detrack_partial, a11_warnings, a13_toc_facts, a15_confidence,
     j6_marked_content, n3_merge_adjacent, j10_dangling_links, a16_exactly_one, v_page_checks, a10_doc_stats, o7_title_fallback, rel_segment_revenue, rel_event_sessions,
-    *package_checks.ALL,
+    st_blocks, *package_checks.ALL,
 ]
 
 

@@ -200,4 +200,4 @@ def oracle_sql() -> dict[str, str]:
     def stem(c: str) -> str:
         return rf"""trim(trim(regexp_replace(regexp_replace({c}, '[/\\?%*:|"<>\x00-\x1F\x7F]', '', 'g'), '{WS}+', ' ', 'g'), '. '))"""
 
-    return SQL | ITEMS | PACKAGES | {"k4_filename": SQL["k4_filename"].format(t=stem("t"), a=stem("a"), s=stem("s"))}
+    return SQL | ITEMS | PACKAGES | {"st_blocks": SQL["b1_blocks"], "k4_filename": SQL["k4_filename"].format(t=stem("t"), a=stem("a"), s=stem("s"))}
