@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, embedding_dedup, html_text, language_id, lm, minhash, mixing, pii, token_counts, url_filter
+from quire.llm import byte_bpe, decontaminate, embedding_dedup, html_text, language_id, lm, minhash, mixing, pii, token_counts, url_filter
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,8 +63,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_url_filter, op4_source_mix, op5_token_counts, op6_decontaminate, op7_pii, op8_html_text, op9_minhash_dedup, op10_lm_score)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_url_filter, op4_source_mix, op5_token_counts, op6_decontaminate, op7_pii, op8_html_text, op9_minhash_dedup, op10_lm_score, op13_byte_bpe)}
 
 
 OP3_SQL = rf"""
