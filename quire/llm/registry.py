@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import byte_bpe, decontaminate, embedding_dedup, html_text, language_id, lm, minhash, mixing, pii, token_counts, url_filter
+from quire.llm import byte_bpe, decontaminate, embedding_dedup, html_text, language_id, lm, minhash, mixing, pii, sort_means, token_counts, url_filter
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.sort_means(table(spark, sf_dir, "embeddings"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,7 +74,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_url_filter, op4_source_mix, op5_token_counts, op6_decontaminate, op7_pii, op8_html_text, op9_minhash_dedup, op10_lm_score, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_url_filter, op4_source_mix, op5_token_counts, op6_decontaminate, op7_pii, op8_html_text, op9_minhash_dedup, op10_lm_score, op12_sort_means, op13_byte_bpe)}
 
 
 OP3_SQL = rf"""
@@ -128,5 +132,32 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS c FROM
 """
 
 
+def _op12_sql(rounds: int = 10) -> str:
+    """Every round as two tables: the nearest centroids, then their means rounded down."""
+
+    def assigned(centroids: str) -> str:
+        return f"""(SELECT id, vec_id, v, cluster, distance FROM (
+          SELECT id, vec_id, v, cluster, distance, row_number() OVER (PARTITION BY id ORDER BY distance, cluster) AS r
+          FROM (SELECT id, vec_id, kept.v, k AS cluster, list_sum(list_transform(list_zip(kept.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM kept CROSS JOIN {centroids} c)) WHERE r = 1)"""
+
+    steps = ["c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS k, v FROM kept QUALIFY k < 8)"]
+    for i in range(rounds):
+        steps += [
+            f"a{i} AS MATERIALIZED {assigned(f'c{i}')}",
+            f"m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS v FROM (SELECT cluster AS k, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY cluster, i) GROUP BY k)",
+            f"c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (k))",
+        ]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+{", ".join(steps)},
+fin AS MATERIALIZED {assigned(f"c{rounds}")}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM fin JOIN c{rounds} c ON c.k = fin.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op9_minhash_dedup": OP9_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op9_minhash_dedup": OP9_SQL, "op12_sort_means": _op12_sql()}

@@ -34,7 +34,7 @@ def components(ids, links):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("conversations", "documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{Path(SMALL) / t}.parquet')")
     got, want = registry.queries()[name](spark, SMALL), con.sql(registry.oracle_sql()[name])
     order = sorted(got.columns)
