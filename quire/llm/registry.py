@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import byte_bpe, decontaminate, embedding_dedup, html_text, language_id, lm, minhash, mixing, pii, sort_means, token_counts, url_filter
+from quire.llm import byte_bpe, decontaminate, embedding_dedup, html_text, language_id, lm, minhash, mixing, pii, prefix_trie, sort_means, token_counts, url_filter
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort_means.sort_means(table(spark, sf_dir, "embeddings"))
 
@@ -74,7 +78,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_url_filter, op4_source_mix, op5_token_counts, op6_decontaminate, op7_pii, op8_html_text, op9_minhash_dedup, op10_lm_score, op12_sort_means, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_url_filter, op4_source_mix, op5_token_counts, op6_decontaminate, op7_pii, op8_html_text, op9_minhash_dedup, op10_lm_score, op11_prefix_trie, op12_sort_means, op13_byte_bpe)}
 
 
 OP3_SQL = rf"""
@@ -132,6 +136,39 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS c FROM
 """
 
 
+#: The CRC table is worked out by its rule; turns are told apart by length-marked text, prefixes by chained digests.
+OP11_SQL = r"""
+WITH RECURSIVE bits(b, c, k) AS (
+  SELECT b, b::BIGINT, 0 FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS k,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::INTEGER + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turns), crc),
+rebuilt AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, k) AS d, turn, words FROM (
+    SELECT convs.c, 0 AS own, b.k, turn, words FROM convs JOIN turns b ON b.c = convs.c - convs.c % 20 AND b.k < h
+    UNION ALL SELECT c, 1, k, turn, words FROM convs JOIN turns USING (c) WHERE k >= h)),
+prefixes(c, d, p, up, words) AS (
+  SELECT c, 0::BIGINT, '', NULL, 0::BIGINT FROM convs
+  UNION ALL SELECT r.c, r.d, sha256(p || r.turn), p, r.words FROM prefixes JOIN rebuilt r ON r.c = prefixes.c AND r.d = prefixes.d + 1),
+lengths AS (SELECT c, max(d) AS n FROM prefixes GROUP BY c),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, any_value(up) AS up, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM prefixes JOIN lengths USING (c) GROUP BY p, d),
+kids AS (SELECT up AS p, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+facts AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+-- a node's ancestors are the prefixes of any of its members
+below AS (SELECT a.p, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved FROM facts f JOIN prefixes a ON a.c = f.conv_id AND a.d <= f.d GROUP BY a.p)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM facts f JOIN below USING (p) LEFT JOIN nodes u ON u.p = f.up
+"""
+
+
 def _op12_sql(rounds: int = 10) -> str:
     """Every round as two tables: the nearest centroids, then their means rounded down."""
 
@@ -160,4 +197,4 @@ FROM fin JOIN c{rounds} c ON c.k = fin.cluster
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op9_minhash_dedup": OP9_SQL, "op12_sort_means": _op12_sql()}
+    return {"op2_embedding_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op9_minhash_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_sort_means": _op12_sql()}
