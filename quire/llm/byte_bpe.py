@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 #: Code points to a block and to a segment of a long text; words that a task remembers before it starts again.
-BLOCK, SEGMENT, REMEMBERED = 1 << 22, 1 << 20, 1_000_000
+BLOCK, SEGMENT, REMEMBERED = 1 << 21, 1 << 20, 500_000
 #: Positions from which a merge is applied to all of them together.
 AT_ONCE = 24
 #: A word ends for sure where white space follows something else.
