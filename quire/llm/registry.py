@@ -154,7 +154,7 @@ rebuilt AS (
     SELECT convs.c, 0 AS own, b.k, turn, words FROM convs JOIN turns b ON b.c = convs.c - convs.c % 20 AND b.k < h
     UNION ALL SELECT c, 1, k, turn, words FROM convs JOIN turns USING (c) WHERE k >= h)),
 prefixes(c, d, p, up, words) AS (
-  SELECT c, 0::BIGINT, '', NULL, 0::BIGINT FROM convs
+  SELECT c, 0::BIGINT, '', NULL::VARCHAR, 0::BIGINT FROM convs
   UNION ALL SELECT r.c, r.d, sha256(p || r.turn), p, r.words FROM prefixes JOIN rebuilt r ON r.c = prefixes.c AND r.d = prefixes.d + 1),
 lengths AS (SELECT c, max(d) AS n FROM prefixes GROUP BY c),
 nodes AS (
