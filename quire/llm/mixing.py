@@ -8,10 +8,12 @@ bits of the hash. Documents are never sorted, and every level ships one row
 per source and bucket at most, pre-aggregated before the shuffle.
 
 Edge cases: a null or blank text has size 0 and takes nothing; a null source
-is a source of its own (last in order); a null id counts as empty; rows that
-share an id and differ in text, or the other way round, have hashes of their own;
-equal rows are numbered, so that any number of them can be taken; columns of
-docs may have any names; an empty table gives an empty result.
+is a source of its own (last in order); rows that differ in id, text or source,
+nulls included, have hashes of their own, for `mixed_documents` also those that
+differ in any other column; equal rows are numbered, so that any number of them
+can be taken. What is taken depends on the rows alone, not on how they are
+dealt. Columns of docs may have any names, but a column `repeats` gives way to
+the result's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,31 +58,32 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
     )
 
 
-def document_hash(id_col: str, text_col: str, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - HASH_BITS)
+def row_hash(columns: list[Column], seed: int) -> Column:
+    """HASH_BITS bits of a hash of the columns; nulls count, and tell columns apart."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[x for c in columns for x in (c.isNull(), c)]), 64 - HASH_BITS)
 
 
-def spread_repeats(docs: DataFrame, hash_col: str, seed: int) -> DataFrame:
-    """docs (checkpointed or a scan), its hash renewed for rows that share one, by their number among these.
+def spread_repeats(rows: DataFrame, seed: int) -> DataFrame:
+    """rows, those of which share a `hash` are equal, with the hash of such rows renewed by their number among them.
 
     Equal rows cannot be told apart, so which of them has which number makes no
     difference. They are numbered inside each partition, behind those of the
     partitions before, so no task gathers all copies of a row.
     """
-    repeated = checkpointed(docs.groupBy(F.col(hash_col).alias("__h")).count().filter("count > 1").select("__h"))
+    repeated = checkpointed(rows.groupBy(F.col("hash").alias("h")).count().filter("count > 1").select("h"))
     n = repeated.count()
     if not n:
-        return docs
+        return rows
     hashes = small(repeated, n)
-    single = docs.join(hashes, F.col(hash_col) == F.col("__h"), "left_anti")
-    many = checkpointed(docs.join(hashes, F.col(hash_col) == F.col("__h"), "left_semi").withColumn("__part", F.spark_partition_id()))
-    held = many.groupBy(F.col(hash_col).alias("__h"), F.col("__part").alias("__p")).count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("__h").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = held.select("__h", "__p", before.alias("__before"))
-    place = F.row_number().over(Window.partitionBy(hash_col, "__part").orderBy(F.lit(0)))
-    numbered = many.withColumn("__place", place).join(offsets, (F.col(hash_col) == F.col("__h")) & (F.col("__part") == F.col("__p")))
-    fresh = F.shiftrightunsigned(F.xxhash64(F.lit(seed), hash_col, F.col("__before") + F.col("__place")), 64 - HASH_BITS)
-    return single.unionByName(numbered.withColumn(hash_col, fresh).select(docs.columns))
+    single = rows.join(hashes, F.col("hash") == F.col("h"), "left_anti")
+    many = checkpointed(rows.join(hashes, F.col("hash") == F.col("h"), "left_semi").select(F.struct(*rows.columns).alias("r"), F.col("hash").alias("old"), F.spark_partition_id().alias("part")))
+    held = many.groupBy(F.col("old").alias("h"), F.col("part").alias("p")).count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("h").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = held.select("h", "p", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("old", "part").orderBy(F.lit(0)))
+    numbered = many.withColumn("place", place).join(offsets, (F.col("old") == F.col("h")) & (F.col("part") == F.col("p")))
+    fresh = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "old", F.col("before") + F.col("place")), 64 - HASH_BITS)
+    return single.unionByName(numbered.withColumn("fresh", fresh).select(*[F.col("fresh").alias("hash") if c == "hash" else F.col(f"r.{c}") for c in rows.columns]))
 
 
 def mixing_plan(sized: DataFrame, weights: tuple[int, ...], max_repeats: int) -> tuple[DataFrame, int]:
@@ -118,11 +121,11 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...], max_repeats: int) ->
     return checkpointed(plan.join(small(last, n_sources), F.col("s").eqNullSafe(F.col("source")), "left").select("source", "source_size", "target", "passes", threshold.alias("threshold"))), n_sources
 
 
-def with_plan(docs: DataFrame, plan: DataFrame, n_sources: int, source_col: str, hashed: Column, max_repeats: int) -> DataFrame:
-    """docs with the columns of their source's plan, and how often each document is taken; neither sorts nor moves the documents."""
-    renamed = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
-    repeats = F.least(F.col("__passes") + (hashed <= F.col("__threshold")).cast("long"), F.lit(max_repeats).cast("long"))
-    return docs.join(small(renamed, n_sources), F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__repeats", repeats)
+def with_plan(rows: DataFrame, plan: DataFrame, n_sources: int, max_repeats: int) -> DataFrame:
+    """rows (source, hash, ...) with their source's plan, and how often each is taken; neither sorts nor moves the rows."""
+    renamed = plan.withColumnRenamed("source", "plan_source")
+    repeats = F.least(F.col("passes") + (F.col("hash") <= F.col("threshold")).cast("long"), F.lit(max_repeats).cast("long"))
+    return rows.join(small(renamed, n_sources), F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("repeats", repeats)
 
 
 def mix_sources(
@@ -130,12 +133,12 @@ def mix_sources(
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """One row per document: its size, its source's size and target, and the words taken from it."""
-    sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), document_hash(id_col, text_col, seed).alias("hash")))
-    spread = spread_repeats(sized, "hash", seed)
+    hashed = row_hash([F.col(id_col), F.col(text_col), F.col(source_col)], seed)
+    sized = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("hash")))
+    spread = spread_repeats(sized, seed)
     sized = sized if spread is sized else checkpointed(spread)
     plan, n_sources = mixing_plan(sized.select("source", "size", "hash"), weights, max_repeats)
-    mixed = with_plan(sized, plan, n_sources, "source", F.col("hash"), max_repeats)
-    return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__repeats")).alias("taken"))
+    return with_plan(sized, plan, n_sources, max_repeats).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def mixed_documents(
@@ -143,8 +146,10 @@ def mixed_documents(
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """The documents that the mix takes, all columns, and `repeats`, how often it takes each."""
-    named = spread_repeats(docs.withColumn("__hash", document_hash(id_col, text_col, seed)), "__hash", seed)
-    sized = checkpointed(named.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col("__hash").alias("hash")))
+    hashed = row_hash([F.to_json(c) if docs.schema[i].dataType.typeName() in ("map", "variant") else docs[c] for i, c in enumerate(docs.columns)], seed)
+    # the caller's columns travel in a struct, apart from those of the plan
+    named = spread_repeats(docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), hashed.alias("hash")), seed)
+    sized = checkpointed(named.select("source", word_count(F.col(f"row.{text_col}")).alias("size"), "hash"))
     plan, n_sources = mixing_plan(sized, weights, max_repeats)
-    mixed = with_plan(named, plan, n_sources, source_col, F.col("__hash"), max_repeats).filter(F.col("__repeats") > 0)
-    return mixed.select(*[F.col(c) for c in docs.columns if c != "repeats"], F.col("__repeats").alias("repeats"))
+    mixed = with_plan(named, plan, n_sources, max_repeats).filter(F.col("repeats") > 0)
+    return mixed.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns if c != "repeats"], "repeats")

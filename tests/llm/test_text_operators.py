@@ -103,6 +103,36 @@ def test_mix_spreads_null_and_repeated_ids(docs):
         assert sum(r["repeats"] * len(r["text"].split()) for r in mixed) == sum(r["taken"] for r in got)
 
 
+def test_mix_reruns_agree_where_only_the_source_differs(spark, docs):
+    """Rows that share id and text but not the source, or, for the mixed documents, any other column."""
+    rows = [(i % 50, f"a b c {i % 50}", "en", "pqrs"[i // 50 % 4]) for i in range(400)]
+    got = [sorted(map(str, map(tuple, mixing.mix_sources(docs(rows).repartition(n)).collect()))) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2]
+    made = docs(rows).withColumn("n_chars", (F.hash("source", "doc_id") % 5).cast("long"))
+    mixed = [sorted(str((r["doc_id"], r["source"], r["n_chars"], r["repeats"])) for r in mixing.mixed_documents(made.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert mixed[0] == mixed[1] == mixed[2]
+
+
+#: Names that operators use inside, or did.
+INNER = ["__row", "__spans", "__hash", "__source", "gone_id", "gone", "key", "id", "doc", "row", "hash", "h", "body", "again", "digest", "plan_source", "threshold", "passes", "rep", "print", "place"]
+
+
+def test_clashing_names(spark, docs, tmp_path):
+    """Columns of the caller come back as they were, whatever they are called."""
+    import corpus_pipeline
+
+    frame = docs([(1, "mail a@b.co now", "en", "s"), (1, "mail a@b.co now", "en", "s"), (2, "c d e f g h", "en", "t"), (2, "other words", "en", "t")])
+    frame = frame.select("*", *[F.lit(f"own {c}").alias(c) for c in INNER])
+    for out in (pii.mask_personal_data(frame), mixing.mixed_documents(frame), corpus_pipeline.near_dedup(spark, frame, str(tmp_path))):
+        rows = out.collect()
+        assert rows and set(frame.columns) <= set(out.columns)
+        assert all(r[c] == f"own {c}" for r in rows for c in INNER)
+    own = mixing.mixed_documents(frame.withColumn("repeats", F.lit("own"))).collect()
+    assert all(r["repeats"] in (1, 2, 3) for r in own)
+    for made in (pii.personal_data(frame), mixing.mix_sources(frame), decontaminate.benchmark_overlap(frame, spark.createDataFrame([(1, "c d e f g h")], "item_id long, text string"))):
+        assert made.count() == 4
+
+
 # --- token counts
 
 
@@ -267,7 +297,7 @@ def test_wand_equals_scoring_everything():
     rnd = random.Random(5)
     words = [b"w%d" % i for i in range(60)]
     items = [(i, [rnd.choice(words[: rnd.randint(3, 60)]) for _ in range(rnd.randint(1, 12))], []) for i in range(400)]
-    index = decontaminate.Index(items, {w: rnd.randint(0, 500) for w in words}, 500)
+    index = decontaminate.Index(items, 64, 7.5, {w: rnd.randint(0, 500) for w in words}, 500)
     for _ in range(400):
         query, scores = set(rnd.sample(words, rnd.randint(1, 30))), {}
         for t in query:
@@ -293,6 +323,24 @@ def test_decontamination_on_planted_items(spark, docs):
     assert got[1] == "3" and got[2] == "5" and "7" not in got[3].split(",")
 
 
+def test_decontamination_of_an_item_depends_on_it_alone(spark, docs, monkeypatch):
+    """One long item more, or smaller blocks, changes nothing for the others."""
+    rnd = random.Random(11)
+
+    def words(n):
+        return " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+    items = [(i, words(rnd.randint(5, 90))) for i in range(30)]
+    texts = docs([(i, f"{words(50)} {t if i % 3 else ' '.join(t.split()[:-2])} {words(300)}") for i, t in items])
+    schema = "item_id long, text string"
+    found = [sorted(map(tuple, decontaminate.benchmark_overlap(texts, spark.createDataFrame(items, schema)).collect()))]
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
+    found.append(sorted(map(tuple, decontaminate.benchmark_overlap(texts, spark.createDataFrame(items, schema)).collect())))
+    assert found[0] == found[1] and sum(r[1] for r in found[0]) >= 20
+    more = sorted(map(tuple, decontaminate.benchmark_overlap(texts, spark.createDataFrame([*items, (99, words(9000))], schema)).collect()))
+    assert [r[2] for r in more] == [r[2] for r in found[0]]
+
+
 def test_decontamination_in_blocks_and_edges(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "eins zwei drei vier funf sechs"), (2, "eins zwei drei vier funf sechs"), (3, None), (None, "x"), (4, " ")], "item_id long, text string")
     rows = docs([*EDGES, (20, "so: alpha beta gamma delta epsilon zeta. Eins zwei drei vier funf sechs")])
