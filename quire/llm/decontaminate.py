@@ -1,7 +1,9 @@
 """Benchmark decontamination: a BM25 index of the test items, searched with block-max WAND.
 
-Every training text is cut into overlapping passages, long enough that each
-item lies whole in one of them. A passage is a query of its distinct words;
+Items are indexed by length class, powers of two, so that a passage's length
+follows from an item alone; mean lengths are taken over all items. For each
+class a training text is cut into overlapping passages, long enough that each
+of its items lies whole in one of them. A passage is a query of its distinct words;
 all items that score at least `RETRIEVE` of what they score against themselves
 come back. Scores are divided by that self-score beforehand, so one threshold
 holds for all items and upper bounds are as tight as they can be. Words weigh
@@ -11,9 +13,8 @@ enough of those of some item; any other stays below the threshold. A retrieved
 item counts only if the passage holds enough of the five-word shingles of its
 question and of its answer, or of the whole item if it has no answer.
 
-The index holds at most `BLOCK_ITEMS` items; more items make more indexes,
-which are searched one after another, so nothing of unbounded size is broadcast.
-Very long items have indexes of their own, as passages follow the longest item.
+Indexes hold at most `BLOCK_ITEMS` items together; more items make more of them,
+which are searched one after another, so what is broadcast does not grow with their number.
 
 Edge cases: a null or blank text holds no item, a null or blank item is in no
 text; repeated items are found together; an empty benchmark finds nothing;
@@ -34,8 +35,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Items in one index, and words to an item of the common indexes (longer ones have their own).
-BLOCK_ITEMS, LONG_ITEM_WORDS = 20_000, 20_000
+#: Items whose indexes are searched together, and the least length class of items, in words.
+BLOCK_ITEMS, LEAST_SPAN = 20_000, 64
 #: BM25's saturation and length weight, postings to a block, and the share of its self-score at which an item is retrieved.
 K1, B, BLOCK, RETRIEVE = 1.2, 0.75, 32, 0.6
 #: Share of an item's self-score that its rarest words make up, of which a passage must hold all but 1 - RETRIEVE.
@@ -57,15 +58,13 @@ def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
 
 
 class Index:
-    """Postings by term, in blocks that know their largest weight. items: (id, question, answer); seen: texts of `texts` that hold a term."""
+    """Postings by term, in blocks that know their largest weight. items: (id, question, answer), each of up to `span` words; mean: words to an item, of all items; seen: texts of `texts` that hold a term."""
 
-    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], seen: dict[bytes, int], texts: int) -> None:
-        items = [i for i in items if i[1] or i[2]]
+    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], span: int, mean: float, seen: dict[bytes, int], texts: int) -> None:
         self.ids = [i for i, _, _ in items]
         self.parts = [(shingles(q), shingles(a)) for _, q, a in items]
         counts = [Counter(q + a) for _, q, a in items]
         lengths = [c.total() for c in counts]
-        mean = sum(lengths) / max(len(items), 1)
         self.postings: dict[bytes, list[tuple[int, float]]] = {}
         self.rare: dict[bytes, list[tuple[int, float]]] = {}
         self.needed: list[float] = []
@@ -81,7 +80,7 @@ class Index:
         self.block_max = {t: [max(w for _, w in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for t, p in self.postings.items()}
         self.bound = {t: max(m) for t, m in self.block_max.items()}
         self.rare_bound = {t: max(w for _, w in p) for t, p in self.rare.items()}
-        self.longest = max(lengths, default=0)
+        self.span = span
 
     def worth_a_search(self, rare_words: set[bytes]) -> bool:
         held: dict[int, float] = {}
@@ -136,11 +135,8 @@ class Index:
             cursors = [c for c in cursors if c[0] < len(c[2])]
         return found
 
-    def items_in(self, text: bytes) -> list[int]:
-        words = words_of(text)
-        if not words or not self.longest:
-            return []
-        step, least = max(self.longest, 64), min(self.needed)
+    def items_in(self, words: list[bytes]) -> set[int]:
+        step, least = self.span, min(self.needed)
         weight = np.fromiter(map(self.rare_bound.get, words, repeat(0.0)), float, len(words))
         bounds, places = np.concatenate(([0.0], np.cumsum(weight))), np.flatnonzero(weight)
         starts = np.arange(0, max(len(words) - step, 1), step)
@@ -159,7 +155,7 @@ class Index:
                 for d in hits:
                     if all(self._holds(part, words[s:e], held) for part in self.parts[d]):
                         found.add(d)
-        return sorted({self.ids[d] for d in found})
+        return {self.ids[d] for d in found}
 
     @staticmethod
     def _holds(part: set[tuple[bytes, ...]], words: list[bytes], held: dict[int, set]) -> bool:
@@ -177,11 +173,28 @@ def item_parts(text: str, answer: str | None) -> tuple[list[bytes], list[bytes]]
     return words, words_of((answer or "").encode())
 
 
+def span_of(n: int) -> int:
+    """The length class of an item: the next power of two, LEAST_SPAN at least. It depends on the item alone."""
+    return max(LEAST_SPAN, 1 << (n - 1).bit_length())
+
+
+def _mean_words(items: DataFrame) -> float:
+    """Words to an item, over all items with any."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes = [len(q) + len(a) for batch in batches for q, a in map(item_parts, batch.text, batch.answer)]
+        yield pd.DataFrame({"n": [sum(1 for s in sizes if s)], "words": [sum(sizes)]})
+
+    found = items.select("text", "answer").mapInPandas(count, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    return (found["words"] or 0) / max(found["n"] or 0, 1)
+
+
 def _searcher(shared: Broadcast):  # noqa: ANN202
     @F.pandas_udf("array<long>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([[] if t is None else shared.value.items_in(t) for t in batch])
+            words = (words_of(t or b"") for t in batch)
+            yield pd.Series([sorted(set().union(*(index.items_in(w) for index in shared.value))) if w else [] for w in words])
 
     return search
 
@@ -208,16 +221,19 @@ def overlapping_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"), answer.alias("answer")).filter(F.col("text").isNotNull() & F.col("item").isNotNull())
     blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))
+    mean = _mean_words(items)
     columns = []
     for k in range(blocks):
         rows = sorted(items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect(), key=lambda r: (r["item"], r["text"], r["answer"] or ""))
-        parts = [(r["item"], *item_parts(r["text"], r["answer"])) for r in rows]
-        long = [p for p in parts if len(p[1]) + len(p[2]) > LONG_ITEM_WORDS]
-        short = [p for p in parts if len(p[1]) + len(p[2]) <= LONG_ITEM_WORDS]
-        for some in [short, long] if long else [short]:
-            terms = frozenset(w for _, q, a in some for w in q + a)
-            index = Index(some, *_texts_with(docs, text_col, sc.broadcast(terms)))
-            columns.append(_searcher(sc.broadcast(index))(F.col(text_col).cast("binary")))
+        spans: dict[int, list] = {}
+        for r in rows:
+            question, reply = item_parts(r["text"], r["answer"])
+            if question or reply:
+                spans.setdefault(span_of(len(question) + len(reply)), []).append((r["item"], question, reply))
+        terms = frozenset(w for some in spans.values() for _, q, a in some for w in q + a)
+        known = _texts_with(docs, text_col, sc.broadcast(terms)) if terms else ({}, 0)
+        indexes = [Index(some, span, mean, *known) for span, some in sorted(spans.items())]
+        columns.append(_searcher(sc.broadcast(indexes))(F.col(text_col).cast("binary")))
     return F.array_sort(F.array_distinct(F.concat(*columns))) if len(columns) > 1 else columns[0]
 
 
