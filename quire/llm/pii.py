@@ -196,16 +196,16 @@ def mask_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Overlapping spans are masked together, under the kind of the first.
     """
-    named = docs.withColumn("__row", _key(id_col, text_col))
+    # the caller's columns travel in a struct, apart from those of the join
+    named = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("text"), _key(id_col, text_col).alias("key"))
     labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, span: Column) -> Column:
-        text = F.col(text_col)
-        fresh = F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int")), labels[span["kind"]])
+        fresh = F.concat(state["out"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int")), labels[span["kind"]])
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(span["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
 
-    masked = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col(text_col), (s["at"] + 1).cast("int"), F.length(text_col))))
-    joined = named.join(_spans_of(docs, id_col, text_col), "__row", "left")
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    masked = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
+    joined = named.join(_spans_of(docs, id_col, text_col), F.col("key") == F.col("__row"), "left")
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"doc.{c}").alias(c) for c in docs.columns])
