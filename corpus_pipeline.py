@@ -28,25 +28,32 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id; so does one of equal rows.
 
     Documents without an id cannot be told apart and stay. Texts that share an
-    id are judged one by one.
+    id are judged one by one; of equal ids the text with the smaller digest comes
+    first.
     """
-    hashed = F.xxhash64("text")
-    shared = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min(hashed) != F.max(hashed)).alias("differ")).filter("differ")
-    if shared.isEmpty():
-        dropped = near_duplicates(docs, shingle_words=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-        kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    else:
-        # keys in the order of the ids, one for each text of an id
-        texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).distinct().sort("doc_id", "text")
-        keyed = checkpointed(texts.withColumn("key", F.monotonically_increasing_id()))
-        dropped = near_duplicates(keyed, shingle_words=5, percent=80, id_col="key").filter(~F.col("kept")).select(F.col("doc_id").alias("key"))
-        gone = keyed.join(dropped, "key", "left_semi").select(F.col("doc_id").alias("gone_id"), F.col("text").alias("gone_text"))
-        kept = docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & F.col("text").eqNullSafe(F.col("gone_text")), "left_anti").select(docs.columns)
-    again = checkpointed(kept.groupBy("doc_id").count().filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id"))
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
+    # the caller's columns travel in a struct, apart from those of the joins
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    digest = F.md5(F.coalesce(F.concat(F.lit("t"), "body"), F.lit("")).cast("binary"))
+    counts = rows.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n"), (F.min(digest) != F.max(digest)).alias("differ")).filter("n > 1")
+    repeats = checkpointed(counts.select(F.col("id").alias("again"), "differ"))
+    if repeats.isEmpty():
+        dropped = near_duplicates(rows.select("id", "body"), shingle_words=5, percent=80, id_col="id", text_col="body").filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+        return rows.join(dropped, F.col("id") == F.col("gone"), "left_anti").select("doc.*")
+    marked = rows.join(repeats, F.col("id") == F.col("again"), "left").withColumn("digest", F.when(F.col("again").isNotNull(), digest))
+    # one row for each text of an id that repeats, and keys below all ids for those of ids with several texts
+    first = marked.filter(F.col("again").isNotNull()).groupBy("id", "digest").agg(F.first("doc").alias("doc"), F.first("body").alias("body"), F.first("differ").alias("differ"))
+    least = rows.agg(F.least(F.min("id"), F.lit(0))).first()[0]
+    texts = checkpointed(first.withColumn("key", F.when(F.col("differ"), F.lit(least) - 1 - F.monotonically_increasing_id()).otherwise(F.col("id"))))
+    single = marked.filter(F.col("again").isNull()).select("doc", "body", F.col("id").alias("key"))
+    every = single.unionByName(texts.select("doc", "body", "key"))
+    near = checkpointed(near_duplicates(every.select("key", "body"), shingle_words=5, percent=80, id_col="key", text_col="body").select("doc_id", "component_id"))
+    plain = near.filter((F.col("component_id") >= least) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("gone"))
+    # groups with a text under a key of its own: the smallest id is looked for
+    held = near.filter(F.col("component_id") < least).join(texts.select("key", "id", "digest"), F.col("doc_id") == F.col("key"), "left")
+    placed = held.select("component_id", "doc_id", F.struct(F.coalesce("id", "doc_id").alias("id"), F.coalesce("digest", F.lit("")).alias("digest"), "doc_id").alias("place"))
+    firsts = placed.groupBy(F.col("component_id").alias("group")).agg(F.min("place")["doc_id"].alias("first"))
+    others = placed.join(firsts, F.col("component_id") == F.col("group")).filter(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("gone"))
+    return every.join(plain.unionByName(others), F.col("key") == F.col("gone"), "left_anti").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
