@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import WORD, checkpointed, id_bucket, lookup, whole_groups
 
 #: Turns of a class that one task may refine, members from which a class is joined by broadcast, ids to a block of a digest.
-LOCAL_TURNS, LARGE_CLASS, ID_BLOCK = 20_000, 1_000, 4_096
+LOCAL_TURNS, LARGE_CLASS, ID_BLOCK = 2_000, 1_000, 4_096
 #: Conversations to a block that shares the first one's beginning, and one more than the most turns shared.
 BLOCK_SIZE, SHARED = 20, 4
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ender long, ender_copies long"
