@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +13,8 @@ from pyspark.sql.types import StringType
 
 #: White space as browsers know it, for regular expressions.
 WS = "[\\x09-\\x0D\\x20\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+#: The same characters one by one.
+WS_CHARS = "".join(c for c in map(chr, range(0x10000)) if re.match(WS.replace("\\\\", "\\"), c))
 #: Operator tokens: text that holds one is a formula, not letter-spaced words. Fixed values.
 OPERATORS = ["=", "+", "*", "/", "<", ">", "±", "×", "÷", "≤", "≥", "≠"]
 #: Prefixes that keep their hyphen at a line's end. Fixed values.
@@ -38,23 +42,24 @@ def xml_text(text: Column) -> Column:
     return xml_escape(xml_sanitize(text))
 
 
-def longest_glyph_run(text: Column) -> Column:
-    """Most single letters or digits in a row among the tokens; single punctuation neither counts nor ends a row."""
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(s: Column, t: Column) -> Column:
-        run = F.when((F.length(t) == 1) & t.rlike(r"[\p{L}\p{N}]"), s["run"] + 1).when(F.length(t) == 1, s["run"]).otherwise(0)
-        return F.struct(run.alias("run"), F.greatest(s["best"], run).alias("best"))
-
-    return F.aggregate(F.split(text, " "), start, step, lambda s: s["best"])
+def strip(text: Column) -> Column:
+    """Without white space, as browsers know it, at the ends."""
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def looks_tracked(text: Column, least: int = 4) -> Column:
-    return ~F.arrays_overlap(F.split(text, " "), F.array(*map(F.lit, OPERATORS))) & (longest_glyph_run(text) >= least)
+    """Whether so many single letters or digits stand in a row among the tokens, other single characters between them aside. Formulas are never meant.
+
+    A single character is one of the first plane: any other counts as two.
+    """
+    glyph, mark = r"[\p{L}\p{N}&&[\x{0}-\x{FFFF}]]", r"[^ \p{L}\p{N}\x{10000}-\x{10FFFF}]"
+    operator = rf"(?:^| )[{''.join(map(re.escape, OPERATORS))}](?: |\z)"
+    return text.rlike(rf"(?:^| ){glyph}(?:(?: {mark})* {glyph}){{{least - 1}}}(?: |\z)") & ~text.rlike(operator)
 
 
 def detrack(text: Column) -> Column:
-    return F.when(looks_tracked(text), F.replace(text, F.lit(" "), F.lit(""))).otherwise(text)
+    # a text without spaces has nothing to join
+    return F.when(text.contains(" ") & looks_tracked(text), F.replace(text, F.lit(" "), F.lit(""))).otherwise(text)
 
 
 def detrack_runs(text: Column, least: int = 4) -> Column:
@@ -77,14 +82,24 @@ def detrack_runs(text: Column, least: int = 4) -> Column:
     return F.when(looks_tracked(text, least), joined).otherwise(text)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def join_verdict(text: Column) -> Column:
     """Whether a joined line has too many spaces (too-low threshold) or too few (too-high)."""
-    plain = F.translate(text, "\x1f", " ")
-    tokens = F.filter(F.split(plain, WS + "+"), lambda t: t != "")
-    letters = F.length(F.regexp_replace(plain, WS, ""))
-    n = F.size(tokens)
-    singles = F.size(F.filter(tokens, lambda t: F.length(t) == 1))
-    return F.when((n >= 4) & ((letters / n < 2) | (singles / n > 0.6)), "too-low").when(~plain.contains(" ") & (letters > 40), "too-high").otherwise("ok")
+    folded = F.translate(text, WS_CHARS + "\x1f", " " * (len(WS_CHARS) + 1))
+
+    def counts(tokens: Column) -> Column:
+        letters = F.aggregate(tokens, F.lit(0), lambda n, t: n + F.length(t))
+        return F.struct(F.size(tokens).alias("n"), letters.alias("letters"), F.size(F.filter(tokens, lambda t: F.length(t) == 1)).alias("singles"))
+
+    def judged(c: Column) -> Column:
+        loose = (c["n"] >= 4) & ((c["letters"] / c["n"] < 2) | (c["singles"] / c["n"] > 0.6))
+        return F.when(loose, "too-low").when((c["letters"] > 40) & ~text.contains(" ") & ~text.contains("\x1f"), "too-high").otherwise("ok")
+
+    return let(let(F.filter(F.split(folded, " "), lambda t: t != ""), counts), judged)
 
 
 def unclosed_delimiter(text: Column) -> Column:

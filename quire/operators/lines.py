@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import detrack, let, strip
+from quire.operators.glyph_join import collect_lines, median_of, with_taken_thresholds
+
 #: Runs closer than this share of the larger em lie on one line, as tenths.
 SAME_LINE_TENTHS = 4
 BOLD_SHARE = 0.6
+#: Scripts: largest size and offset from the baseline, as shares of the line's em. Fixed values.
+SCRIPT_SIZE, SCRIPT_OFFSET = 0.75, (0.2, 0.6)
+#: Characters that make a page more than a scan. Fixed value.
+SCANNED = 40
 
 
 def round_em(em: Column) -> Column:
@@ -30,11 +39,11 @@ def modal_em(runs: DataFrame, keys: list[str], text: str, order: list[str]) -> D
     return weighed.withColumn("r", F.row_number().over(best)).filter("r = 1").select(*keys, "em")
 
 
-def line_fact_columns() -> list[Column]:
-    """Bounds, median baseline, bold majority and number of runs."""
+def line_fact_columns(baseline: bool = True) -> list[Column]:
+    """Bounds, median baseline if wanted, bold majority and number of runs."""
     top = F.min(F.col("baseline_y") - F.col("em"))
     return [
-        F.min("x").alias("x"), (F.max(F.col("x") + F.col("advance")) - F.min("x")).alias("w"), top.alias("y"), (F.max("baseline_y") - top).alias("h"), F.median("baseline_y").alias("baseline_y"),
+        F.min("x").alias("x"), (F.max(F.col("x") + F.col("advance")) - F.min("x")).alias("w"), top.alias("y"), (F.max("baseline_y") - top).alias("h"), *([F.median("baseline_y").alias("baseline_y")] if baseline else []),
         (F.sum(F.when(F.col("bold"), F.length("str")).otherwise(0)) > F.sum(F.length("str")) * BOLD_SHARE).alias("bold"), F.count("*").alias("n_runs"),
     ]
 
@@ -43,12 +52,31 @@ def line_facts(placed: DataFrame) -> DataFrame:
     return placed.groupBy("doc_id", "page", "line_no").agg(*line_fact_columns())
 
 
+def modal_em_of(runs: Column, chars: Callable[[Column], Column] = lambda r: F.length(r["str"])) -> Column:
+    """`modal_em` of a line's runs in an array, from left to right; chars: the characters of a run."""
+    sizes = F.array_distinct(F.transform(runs, lambda r: round_em(r["em"]).cast("double")))
+
+    def weight(em: Column) -> Column:
+        return F.aggregate(F.filter(runs, lambda r: round_em(r["em"]) == em), F.lit(0), lambda n, r: n + chars(r))
+
+    def heaviest(ems: Column) -> Column:
+        best = F.array_max(F.transform(ems, lambda em, i: F.struct(weight(em).alias("weight"), (-i).alias("first"), em.alias("em"))))["em"]
+        return F.when(F.size(ems) == 1, F.get(ems, F.lit(0))).otherwise(best)
+
+    return let(sizes, heaviest)
+
+
+def script_of(run: Column, em: Column, base: Column) -> Column:
+    """sup or sub for a run much smaller than its line's modal em and off its median baseline; null for others."""
+    off = (base - run["baseline_y"]) / F.when(em == 0, 1).otherwise(em)
+    return F.when((run["em"] < em * SCRIPT_SIZE) & F.abs(off).between(*SCRIPT_OFFSET), F.when(off > 0, "sup").otherwise("sub"))
+
+
 def script_marks(placed: DataFrame) -> DataFrame:
-    """Adds `script`: sup or sub for small runs off their line's median baseline."""
-    line = Window.partitionBy("doc_id", "page", "line_no")
-    base, em = F.median("baseline_y").over(line), F.max("em").over(line)
-    off = (base - F.col("baseline_y")) / em
-    return placed.withColumn("script", F.when((F.col("em") < em * 0.75) & F.abs(off).between(0.2, 0.6), F.when(off > 0, "sup").otherwise("sub")))
+    """(doc_id, page, run_no, script) of all runs."""
+    lines = collect_lines(placed, F.median("baseline_y").alias("base")).withColumn("em", modal_em_of(F.col("runs")))
+    marks = F.transform("runs", lambda r: F.struct(r["run_no"].alias("run_no"), script_of(r, F.col("em"), F.col("base")).alias("script")))
+    return lines.select("doc_id", "page", F.explode(marks).alias("m")).select("doc_id", "page", "m.*")
 
 
 def median_leading(lines: DataFrame) -> DataFrame:
@@ -65,17 +93,47 @@ def detracked_warning(lines: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lit("letter-spacing").alias("code"), F.concat(F.col("n").cast("string"), what, F.lit(" letters set apart, which were joined")).alias("message"))
 
 
-def scanned_pages(runs: DataFrame, least: int = 40) -> DataFrame:
-    """Pages whose text is too short to be more than a scan."""
-    return runs.groupBy("doc_id", "page").agg(F.sum(F.length(F.trim("str"))).alias("chars")).filter(F.col("chars") < least)
-
+def page_chars(runs: DataFrame) -> DataFrame:
+    """(doc_id, page, chars, n_skewed): characters of all runs without white space at their ends, and runs that are turned."""
+    return runs.groupBy("doc_id", "page").agg(F.sum(F.length(strip(F.col("str")))).alias("chars"), F.count_if(F.col("skewed") & (F.col("str") != "")).alias("n_skewed"))
 
-def assemble_lines(runs: DataFrame, ratio: float = 0.25) -> DataFrame:
-    """Lines with their text, modal em and facts, in one aggregation; all windows before it have the document or its page as partition."""
-    from quire.operators.glyph_join import text_of, with_gaps
 
-    keys = ["doc_id", "page", "line_no"]
-    weight = F.sum(F.length("str")).over(Window.partitionBy(*keys, "em_rounded"))
-    gaps = with_gaps(cluster_lines(runs)).withColumn("em_rounded", round_em(F.col("em"))).withColumn("em_weight", weight)
-    modal = F.max_by("em_rounded", F.struct("em_weight", -F.col("x"), -F.col("run_no")))
-    return gaps.groupBy(*keys).agg(*line_fact_columns(), modal.alias("em"), text_of(F.lit(ratio)).alias("text"))
+def scanned_pages(runs: DataFrame, least: int = SCANNED) -> DataFrame:
+    """Pages whose text is too short to be more than a scan."""
+    return page_chars(runs).filter(F.col("chars") < least).select("doc_id", "page", "chars")
+
+
+def readable_runs(runs: DataFrame, least: int = SCANNED) -> DataFrame:
+    """The runs of all other pages, in the order in which lines are found in them."""
+    page = Window.partitionBy("doc_id", "page").orderBy("baseline_y", "x", "run_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return runs.withColumn("chars", F.sum(F.length(strip(F.col("str")))).over(page)).filter(F.col("chars") >= least).drop("chars")
+
+
+def page_warnings(runs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, page, code, message): pages that look scanned, pages with turned runs and pages with a line of uncertain spacing, but for letter-spaced ones; page 0 for a document's letter-spaced lines."""
+    pages = page_chars(runs)
+    shown = (F.col("page") + 1).cast("string")
+    scanned = pages.filter(F.col("chars") < SCANNED).select("doc_id", "page", F.lit("page-skipped").alias("code"), F.concat(F.lit("Page "), shown, F.lit(" has no text; it may be a scan")).alias("message"))
+    turned = pages.filter((F.col("chars") >= SCANNED) & (F.col("n_skewed") > 0)).select("doc_id", "page", F.lit("rotated-text"), F.concat(F.col("n_skewed").cast("string"), F.lit(" turned runs were left out of page "), shown))
+    unsure = lines.filter(F.col("uncertain") & ~F.col("detracked")).select("doc_id", "page").distinct().select("doc_id", "page", F.lit("space-heuristic-uncertain"), F.concat(F.lit("The spaces of page "), shown, F.lit(" are uncertain")))
+    repaired = detracked_warning(lines).select("doc_id", F.lit(0).alias("page"), "code", "message")
+    return scanned.unionAll(turned).unionAll(unsure).unionAll(repaired)
+
+
+def assemble_lines(runs: DataFrame) -> DataFrame:
+    """Lines of the readable pages: facts, modal em, text with the threshold it was joined at, whether that is uncertain, whether letters were set apart, and the runs that are sup or sub.
+
+    A line's runs are collected once; all windows have the document or its page as partition.
+    """
+    placed = cluster_lines(readable_runs(runs).filter("str <> ''"))
+    repaired = placed.withColumn("plain", detrack(F.col("str"))).withColumn("changed", F.col("plain") != F.col("str")).withColumn("em_chars", F.length("str")).withColumn("str", F.col("plain"))
+    # the modal em weighs runs as they were
+    facts = collect_lines(repaired, *line_fact_columns(baseline=False), F.bool_or("changed").alias("detracked"))
+    baselines = F.transform("runs", lambda r: r["baseline_y"].cast("double"))
+    level = F.get("runs", F.lit(0))["baseline_y"].cast("double")
+    lines = facts.withColumn("baseline_y", F.when(F.forall("runs", lambda r: r["baseline_y"] == level), level).otherwise(median_of(baselines))).withColumn("em", modal_em_of(F.col("runs"), lambda r: r["em_chars"]))
+    small = F.exists("runs", lambda r: r["em"] < F.col("em") * SCRIPT_SIZE)
+    marks = F.filter(F.transform("runs", lambda r: F.struct(r["run_no"].alias("run_no"), script_of(r, F.col("em"), F.col("baseline_y")).alias("script"))), lambda m: m["script"].isNotNull())
+    marked = lines.withColumn("scripts", F.when(small, marks).otherwise(F.array().cast("array<struct<run_no:int,script:string>>")))
+    found = with_taken_thresholds(marked)
+    return found.select(*[c for c in found.columns if c != "found"], "found.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -11,13 +12,35 @@ from quire.operators import headings, lines, paragraphs, toc
 
 @dataclass
 class Extracted:
-    lines: DataFrame
-    blocks: DataFrame
-    toc: DataFrame
-    chapters: DataFrame
+    """What is read off runs; each part is planned when it is first asked for."""
+
+    runs: DataFrame
+    level_scope: tuple[str, ...] = ("doc_id", "page")
+
+    @cached_property
+    def assembled(self) -> DataFrame:
+        return lines.assemble_lines(self.runs)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return headings.detect_headings(self.assembled, self.level_scope)
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return paragraphs.blocks(self.lines)
+
+    @cached_property
+    def toc(self) -> DataFrame:
+        return toc.build_toc(self.blocks)
+
+    @cached_property
+    def chapters(self) -> DataFrame:
+        return toc.chapters(self.blocks)
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        return lines.page_warnings(self.runs, self.assembled)
 
 
 def extract(runs: DataFrame, level_scope: tuple[str, ...] = ("doc_id", "page")) -> Extracted:
-    marked = headings.detect_headings(lines.assemble_lines(runs), level_scope)
-    found = paragraphs.blocks(marked)
-    return Extracted(marked, found, toc.build_toc(found), toc.chapters(found))
+    return Extracted(runs, level_scope)

@@ -12,8 +12,9 @@ from quire.functions import text as T
 from quire.operators import glyph_join, headings, inlines, lines, marked, metadata, paragraphs, toc
 from quire.operators import text_items as text_items_op
 from quire.plans import package_checks
+from quire.plans.extract import extract
 from quire.publish import covers, nested_blocks
-from quire.sources.layout import layout_runs, marked_items, read_table, text_items, tracked_runs
+from quire.sources.layout import layout_runs, marked_items, mixed_runs, read_table, text_items, tracked_runs
 from quire.streaming import pages as page_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +82,8 @@ def f4_scanned_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def g2_join_fixed(s: SparkSession, d: str) -> DataFrame:
-    return glyph_join.joined_text(lines.cluster_lines(runs(s, d)), F.lit(0.25))
+    held = glyph_join.collect_lines(lines.cluster_lines(runs(s, d))).withColumn("gaps", glyph_join.gaps(F.col("runs")))
+    return held.select("doc_id", "page", "line_no", glyph_join.joined(F.col("runs"), F.col("gaps"), F.lit(0.25)).alias("text"))
 
 
 def g3_space_calibration(s: SparkSession, d: str) -> DataFrame:
@@ -89,17 +91,30 @@ def g3_space_calibration(s: SparkSession, d: str) -> DataFrame:
     r = lines.cluster_lines(runs(s, d))
     space = r.select("doc_id", "page", "line_no", (F.col("run_no") * 2 + 1).alias("run_no"), F.lit(" ").alias("str"), (F.col("x") + F.col("advance")).alias("x"), "baseline_y", "em", F.lit(3).alias("advance"))
     words = r.select("doc_id", "page", "line_no", (F.col("run_no") * 2).alias("run_no"), "str", "x", "baseline_y", "em", "advance")
-    return _doubles(glyph_join.space_calibration(words.unionByName(space)))
+    held = glyph_join.collect_lines(words.unionByName(space))
+    return _doubles(held.select("doc_id", "page", "line_no", glyph_join.space_ratio(glyph_join.gaps(F.col("runs"))).alias("ratio")).filter("ratio IS NOT NULL"))
 
 
 def g4_cluster_calibration(s: SparkSession, d: str) -> DataFrame:
-    return _doubles(glyph_join.cluster_calibration(lines.cluster_lines(tracked_runs(runs(s, d)))))
+    held = glyph_join.collect_lines(lines.cluster_lines(tracked_runs(runs(s, d))))
+    return _doubles(held.select("doc_id", "page", "line_no", glyph_join.cluster_ratio(glyph_join.gaps(F.col("runs"))).alias("ratio")).filter("ratio IS NOT NULL"))
 
 
 def g1_calibrated_text(s: SparkSession, d: str) -> DataFrame:
     return _doubles(glyph_join.calibrated_text(lines.cluster_lines(tracked_runs(runs(s, d)))).select("doc_id", "page", "line_no", "text", "ratio", "uncertain"))
 
 
+def l1_lines(s: SparkSession, d: str) -> DataFrame:
+    """All lines of runs in six manners: own thresholds, thresholds taken over, letters set apart, raised and turned runs."""
+    found = extract(mixed_runs(runs(s, d))).lines
+    scripts = F.array_join(F.transform("scripts", lambda m: F.concat(m["run_no"].cast("string"), F.lit(":"), m["script"])), " ")
+    return _doubles(found.select("doc_id", "page", "line_no", "text", "ratio", "uncertain", "detracked", "em", "n_runs", scripts.alias("scripts")))
+
+
+def l1_warnings(s: SparkSession, d: str) -> DataFrame:
+    return extract(mixed_runs(runs(s, d))).warnings
+
+
 def p4_text_runs(s: SparkSession, d: str) -> DataFrame:
     """Text items with rotated, short and empty ones, fonts with and without a style, artifacts and marked spans."""
     items, styles, viewports = text_items(runs(s, d))
@@ -113,9 +128,9 @@ def p7_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 def l2_scripts(s: SparkSession, d: str) -> DataFrame:
-    """Every 10th word set small and raised, every 11th small and lowered."""
+    """Every 10th word set small and raised, every 11th small and lowered, every 12th large."""
     n = F.col("run_no")
-    moved = runs(s, d).withColumn("baseline_y", F.col("baseline_y") + F.when(n % 10 == 3, -3).when(n % 11 == 4, 3).otherwise(0)).withColumn("em", F.when((n % 10 == 3) | (n % 11 == 4), 7).otherwise(F.col("em"))).withColumn("line_no", F.col("laid_line"))
+    moved = runs(s, d).withColumn("baseline_y", F.col("baseline_y") + F.when(n % 10 == 3, -3).when(n % 11 == 4, 3).otherwise(0)).withColumn("em", F.when((n % 10 == 3) | (n % 11 == 4), 7).when(n % 12 == 0, 30).otherwise(F.col("em"))).withColumn("line_no", F.col("laid_line"))
     return lines.script_marks(moved).select("doc_id", "page", "run_no", "script")
 
 
@@ -454,7 +469,7 @@ def rel_event_sessions(s: SparkSession, d: str) -> DataFrame:
 
 ALL: list[Query] = [
     runs_layout, w2_line_islands, a1_line_modal_em, a3_line_facts, a2_body_em, a5_leading, f4_scanned_pages, g2_join_fixed, g3_space_calibration,
-    g4_cluster_calibration, g1_calibrated_text, f5_heading_candidates, h1_headings, a9_numbering, b2_breaks, b1_blocks, x_text_checks, x11_list_markers,
+    g4_cluster_calibration, g1_calibrated_text, l1_lines, l1_warnings, f5_heading_candidates, h1_headings, a9_numbering, b2_breaks, b1_blocks, x_text_checks, x11_list_markers,
     x12_dehyphenate, x1_xml_escape, x15_normalize_path, x16_split_fragment, k4_filename, m4_hue, t1_toc, c1_split_level, c3_merge, c4_size_guard, c5_chapters,
     p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, z1_inline_markup, z1_links, z2_nested_blocks, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
     v3_synthesized_cover, v4_user_covers, w7_asset_names, x9_anchors, x7_detrack_partial, a11_warnings, a13_toc_facts, a15_confidence,

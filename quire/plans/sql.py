@@ -38,8 +38,71 @@ texts AS (SELECT doc_id, page, line_no, string_agg(CASE WHEN gap >= 1.2 THEN chr
 FACTS = """
 facts AS (SELECT doc_id, page, line_no, min(x)::BIGINT AS x, (max(x + advance) - min(x))::BIGINT AS w, min(baseline_y - em)::BIGINT AS y, (max(baseline_y) - min(baseline_y - em))::BIGINT AS h,
   median(baseline_y)::DOUBLE AS baseline_y, sum(CASE WHEN bold THEN length(str) ELSE 0 END) > sum(length(str)) * 0.6 AS bold, count(*) AS n_runs FROM isl GROUP BY ALL)"""
-LINES = ",".join([RUNS, islands("runs"), GAPS, MODAL, joined("0.25"), FACTS]) + """,
+
+
+OTSU = """
+sorted AS (SELECT doc_id, page, line_no, gap, row_number() OVER (PARTITION BY doc_id, page, line_no ORDER BY gap) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page, line_no) AS n, sum(gap) OVER (PARTITION BY doc_id, page, line_no) AS total FROM gaps WHERE gap BETWEEN -0.05 AND 3),
+cum AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, page, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM sorted),
+scored AS (SELECT *, low / i AS ml, (total - low) / (n - i) AS mh, (i / n::DOUBLE) * (1 - i / n::DOUBLE) * pow(low / i - (total - low) / (n - i), 2) AS v FROM cum WHERE i > 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line_no ORDER BY v DESC, i) AS r FROM scored) WHERE r = 1 AND v > 0),
+cluster AS (SELECT doc_id, page, line_no, least(greatest((ml + mh) / 2, 0.16), 1.0) AS ratio FROM best WHERE n >= 6 AND mh - ml >= 0.2 AND i / n::DOUBLE >= 0.4)"""
+
+
+def readable(source: str) -> str:
+    return f"""
+readable AS (SELECT * FROM (SELECT *, sum(length(trim(str))) OVER (PARTITION BY doc_id, page) AS page_chars FROM {source}) WHERE page_chars >= 40)"""
+
+
+def judged(text: str) -> str:
+    """The verdict on a text."""
+    plain = f"translate({text}, chr(31), ' ')"
+    tokens, letters = f"list_filter(string_split_regex({plain}, '{WS}+'), lambda x: x <> '')", f"length(regexp_replace({plain}, '{WS}', '', 'g'))"
+    return f"""CASE WHEN len({tokens}) >= 4 AND ({letters} / len({tokens})::DOUBLE < 2 OR len(list_filter({tokens}, lambda x: length(x) = 1)) / len({tokens})::DOUBLE > 0.6) THEN 'too-low'
+      WHEN NOT contains({plain}, ' ') AND {letters} > 40 THEN 'too-high' ELSE 'ok' END"""
+
+
+def carried(font: str = "'F1'") -> str:
+    """Lines of each document, font and size one after the other; a line takes over what the last certain one of several runs was joined at."""
+
+    def at(ratio: str) -> str:
+        return f"array_to_string(list_transform(pieces, lambda p: CASE WHEN p.gap >= 1.2 THEN chr(31) WHEN p.gap >= greatest({ratio}, 0.16) AND NOT p.spaced THEN ' ' ELSE '' END || p.str), '')"
+
+    def retry(inner: str) -> str:
+        moved = "CASE verdict WHEN 'too-low' THEN ratio * 1.4 WHEN 'too-high' THEN ratio * 0.7 ELSE ratio END"
+        return f"(SELECT * REPLACE ({judged('text')} AS verdict) FROM (SELECT * REPLACE (CASE WHEN verdict = 'ok' THEN text ELSE {at('ratio')} END AS text) FROM (SELECT * REPLACE ({moved} AS ratio) FROM {inner})))"
+
+    first = f"(SELECT *, {judged('text')} AS verdict FROM (SELECT *, {at('ratio')} AS text FROM (SELECT k.*, c.taken, CASE WHEN n = 1 THEN 0.25 ELSE coalesce(own, c.taken) END AS ratio FROM carry c JOIN kinds k ON k.doc_id = c.doc_id AND k.font = c.font AND k.size = c.size AND k.seq = c.seq + 1)))"
+    return f"""
+spaces AS (SELECT doc_id, page, line_no, median(CASE WHEN bef = ' ' THEN adv_bef WHEN str = ' ' THEN advance END / em_max) AS space, median(CASE WHEN bef <> ' ' AND str <> ' ' THEN gap END) AS tracking FROM gaps WHERE bef IS NOT NULL GROUP BY ALL),
+owned AS (SELECT doc_id, page, line_no, CASE WHEN space IS NOT NULL THEN least(greatest(greatest(0, coalesce(tracking, 0)) + 0.45 * space, 0.16), 1.0) ELSE ratio END::DOUBLE AS own FROM spaces LEFT JOIN cluster USING (doc_id, page, line_no)),
+pieced AS (SELECT doc_id, page, line_no, list({{'gap': gap, 'spaced': coalesce(ends_with(bef, ' ') OR starts_with(str, ' '), false), 'str': str}} ORDER BY x, baseline_y, run_no) AS pieces, count(*) AS n, arg_min({font}, x) AS font, arg_min(em, x) AS size FROM gaps GROUP BY ALL),
+kinds AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, font, size ORDER BY page, line_no) AS seq FROM pieced LEFT JOIN owned USING (doc_id, page, line_no)),
+carry(doc_id, font, size, seq, page, line_no, taken, text, ratio, uncertain) AS (
+  SELECT DISTINCT doc_id, font, size, 0::BIGINT, NULL::INT, NULL::INT, 0.25::DOUBLE, NULL::VARCHAR, NULL::DOUBLE, NULL::BOOLEAN FROM kinds
+  UNION ALL SELECT doc_id, font, size, seq, page, line_no, CASE WHEN n > 1 AND verdict = 'ok' THEN ratio ELSE taken END, text, CASE WHEN n = 1 THEN 0.25 ELSE ratio END, n > 1 AND verdict <> 'ok' FROM {retry(retry(first))}),
+texts AS (SELECT doc_id, page, line_no, text, ratio, uncertain FROM carry WHERE seq > 0)"""
+
+
+LINES = "RECURSIVE " + ",".join([RUNS, readable("runs"), islands("readable"), GAPS, MODAL, OTSU, carried(), FACTS]) + """,
 lines AS (SELECT * FROM facts JOIN modal USING (doc_id, page, line_no) JOIN texts USING (doc_id, page, line_no))"""
+MANNERS = RUNS + """,
+words_of AS (SELECT *, row_number() OVER w - 1 AS word, coalesce(sum(length(str)) OVER (PARTITION BY doc_id, laid_line ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars, laid_line % 6 AS manner
+  FROM runs WINDOW w AS (PARTITION BY doc_id, laid_line ORDER BY run_no)),
+chars_of AS (SELECT *, substr(str, k::INT + 1, 1) AS ch, (72 + 9 * (chars + k) + 6 * word)::INT AS cx FROM (SELECT *, unnest(range(length(str))) AS k FROM words_of)),
+mixed AS (
+  SELECT doc_id, page, (run_no * 1000)::INT AS run_no, CASE WHEN manner = 3 THEN array_to_string(regexp_extract_all(str, '(?s).'), ' ') ELSE str END AS raw, x, baseline_y - CASE WHEN manner = 5 AND word % 3 = 1 THEN 3 ELSE 0 END AS baseline_y,
+    CASE WHEN manner = 5 AND word % 3 = 1 THEN 6 ELSE em END AS em, advance, bold, manner = 5 AND word % 10 = 7 AS skewed, CASE WHEN manner = 5 THEN 'F2' ELSE 'F1' END AS font_key FROM words_of WHERE manner IN (0, 2, 3, 5)
+  UNION ALL SELECT doc_id, page, run_no * 1000 + 1, ' ', x + advance, baseline_y, em, 3, bold, false, 'F1' FROM words_of WHERE manner = 2
+  UNION ALL SELECT doc_id, page, (run_no * 1000 + k)::INT, ch, cx, baseline_y, em, 6, bold, false, 'F1' FROM chars_of WHERE manner = 1 OR (manner = 4 AND cx < 117)),
+raws AS (SELECT * RENAME (raw AS str) FROM mixed),
+told AS (SELECT *, list_reduce(list_prepend(0, list_transform(string_split(str, ' '), lambda x: CASE WHEN length(x) = 1 AND regexp_matches(x, '[\\p{L}\\p{N}]') THEN 1 WHEN length(x) = 1 THEN 0 ELSE -1 END)),
+    lambda a, c: CASE WHEN c = 0 THEN a WHEN c = -1 THEN a % 100000 ELSE (a // 100000 + 1) * 100000 + greatest(a % 100000, a // 100000 + 1) END) % 100000 >= 4 AND NOT list_has_any(string_split(str, ' '), ['=', '+', '*', '/', '<', '>', '±', '×', '÷', '≤', '≥', '≠']) AS apart FROM raws)"""
+MIXED_LINES = "RECURSIVE " + ",".join([MANNERS, readable("told"), """
+upright AS (SELECT * REPLACE (CASE WHEN apart THEN replace(str, ' ', '') ELSE str END AS str), length(str) AS em_chars FROM readable WHERE NOT skewed)""", islands("upright"), GAPS, MODAL.replace("sum(length(str))", "sum(em_chars)"), OTSU, carried("font_key"), FACTS]) + """,
+bases AS (SELECT isl.*, modal.em AS line_em, facts.baseline_y AS base FROM isl JOIN modal USING (doc_id, page, line_no) JOIN facts USING (doc_id, page, line_no)),
+marks AS (SELECT doc_id, page, line_no, bool_or(apart) AS detracked, coalesce(string_agg(run_no || ':' || CASE WHEN base > baseline_y THEN 'sup' ELSE 'sub' END, ' ' ORDER BY x, baseline_y, run_no)
+  FILTER (em < line_em * 0.75 AND abs(base - baseline_y) / line_em BETWEEN 0.2 AND 0.6), '') AS scripts FROM bases GROUP BY ALL),
+found AS (SELECT doc_id, page, line_no, text, round(ratio, 6)::DOUBLE AS ratio, uncertain, detracked, em::DOUBLE AS em, n_runs, scripts FROM facts JOIN modal USING (doc_id, page, line_no) JOIN texts USING (doc_id, page, line_no) JOIN marks USING (doc_id, page, line_no))"""
 
 
 def squeezed(text: str) -> str:
@@ -79,12 +142,6 @@ cut AS (SELECT *, row_number() OVER w - 1 AS word, coalesce(sum(length(str)) OVE
   FROM runs WINDOW w AS (PARTITION BY doc_id, laid_line ORDER BY run_no)),
 tracked AS (SELECT doc_id, page, (run_no * 1000 + k)::INT AS run_no, substr(str, k::INT + 1, 1) AS str, (72 + 9 * (chars + k) + 6 * word)::INT AS x, baseline_y, em, 6 AS advance
   FROM (SELECT *, unnest(range(length(str))) AS k FROM cut))""", islands("tracked"), GAPS])
-OTSU = """
-sorted AS (SELECT doc_id, page, line_no, gap, row_number() OVER (PARTITION BY doc_id, page, line_no ORDER BY gap) - 1 AS i, count(*) OVER (PARTITION BY doc_id, page, line_no) AS n, sum(gap) OVER (PARTITION BY doc_id, page, line_no) AS total FROM gaps WHERE gap BETWEEN -0.05 AND 3),
-cum AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, page, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM sorted),
-scored AS (SELECT *, low / i AS ml, (total - low) / (n - i) AS mh, (i / n::DOUBLE) * (1 - i / n::DOUBLE) * pow(low / i - (total - low) / (n - i), 2) AS v FROM cum WHERE i > 0),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line_no ORDER BY v DESC, i) AS r FROM scored) WHERE r = 1 AND v > 0),
-cluster AS (SELECT doc_id, page, line_no, least(greatest((ml + mh) / 2, 0.16), 1.0) AS ratio FROM best WHERE n >= 6 AND mh - ml >= 0.2 AND i / n::DOUBLE >= 0.4)"""
 def verdict(k: int) -> str:
     """The verdict on each line's text, and the runs with the thresholds of the next attempt."""
     return rf"""
@@ -131,6 +188,12 @@ SELECT doc_id, page, line_no, round(least(greatest(greatest(0, coalesce(tracking
     "g1_calibrated_text": f"""WITH {TRACKED}, {OTSU}, r0 AS (SELECT gaps.*, coalesce(ratio, 0.25)::DOUBLE AS ratio, count(*) OVER (PARTITION BY doc_id, page, line_no) AS runs FROM gaps LEFT JOIN cluster USING (doc_id, page, line_no)),
 {joined('ratio', 'r0').replace('texts AS', 't0 AS')}, {verdict(0)}, {joined('ratio', 'r1').replace('texts AS', 't1 AS')}, {verdict(1)}, {joined('ratio', 'r2').replace('texts AS', 't2 AS')}, {verdict(2)}
 SELECT doc_id, page, line_no, text, round(CASE WHEN runs = 1 THEN 0.25 ELSE ratio END, 6)::DOUBLE AS ratio, runs > 1 AND verdict <> 'ok' AS uncertain FROM v2""",
+    "l1_lines": f"WITH {MIXED_LINES} SELECT * FROM found",
+    "l1_warnings": f"""WITH {MIXED_LINES}, sheets AS (SELECT doc_id, page, sum(length(trim(str))) AS chars, count(*) FILTER (skewed) AS turned FROM raws GROUP BY ALL)
+SELECT doc_id, page, 'page-skipped' AS code, 'Page ' || (page + 1) || ' has no text; it may be a scan' AS message FROM sheets WHERE chars < 40
+UNION ALL SELECT doc_id, page, 'rotated-text', turned || ' turned runs were left out of page ' || (page + 1) FROM sheets WHERE chars >= 40 AND turned > 0
+UNION ALL SELECT DISTINCT doc_id, page, 'space-heuristic-uncertain', 'The spaces of page ' || (page + 1) || ' are uncertain' FROM found WHERE uncertain AND NOT detracked
+UNION ALL SELECT doc_id, 0, 'letter-spacing', count(*) || CASE WHEN count(*) = 1 THEN ' line had' ELSE ' lines had' END || ' letters set apart, which were joined' FROM found WHERE detracked GROUP BY doc_id""",
     "f5_heading_candidates": f"WITH {CANDIDATES} SELECT doc_id, page, line_no, candidate FROM cand",
     "h1_headings": f"WITH {HEADINGS} SELECT doc_id, page, line_no, heading_level FROM heads",
     "a9_numbering": f"WITH {LINES.replace('lines AS (SELECT * FROM facts', 'base AS (SELECT * FROM facts')}, lines AS (SELECT * REPLACE (CASE WHEN bold AND doc_id % 3 = 0 THEN (page + 1) || '.' || (line_no + 1) || ' ' || text ELSE text END AS text) FROM base){CANDIDATES[len(LINES):]} SELECT doc_id, count(*) FILTER (candidate AND ({DEPTH.format(t='plain')}) IS NOT NULL) AS n_numbered, count(*) FILTER (candidate AND ({DEPTH.format(t='plain')}) IS NOT NULL) >= 3 AS numbered FROM cand GROUP BY doc_id",

@@ -53,8 +53,10 @@ u AS (SELECT *, CASE WHEN n % 5 = 0 THEN em ELSE 0.8 * em END::DOUBLE AS h, CASE
 SELECT doc_id, page, (n * 3 + 1)::INT AS run_no, str, x::DOUBLE AS x, round(baseline_y - h, 6)::DOUBLE AS y, advance::DOUBLE AS w, round(h, 6) AS h, baseline_y::DOUBLE AS baseline_y, em::DOUBLE AS em, n % 97 = 5 AS skewed, advance::DOUBLE AS advance, font_key,
   font_key LIKE '%Bold' AS bold, font_key LIKE '%g3' AS italic, font_key LIKE '%g2' AS mono, CASE WHEN n % 45 BETWEEN 10 AND 14 THEN 'm' || (n - n % 45 + 10) END AS mcid FROM u""",
     "p7_overlap": "SELECT event_id, round(CASE WHEN w <= 0 THEN 0 ELSE greatest(least(x + w, ox + ow) - greatest(x, ox), 0) / w::DOUBLE END, 6)::DOUBLE AS share FROM (SELECT event_id, event_id % 97 AS x, event_id % 13 - 2 AS w, user_id % 89 AS ox, user_id % 31 AS ow FROM events)",
-    "l2_scripts": f"""WITH {RUNS}, m AS (SELECT doc_id, page, run_no, laid_line, baseline_y + CASE WHEN run_no % 10 = 3 THEN -3 WHEN run_no % 11 = 4 THEN 3 ELSE 0 END AS y, CASE WHEN run_no % 10 = 3 OR run_no % 11 = 4 THEN 7 ELSE em END AS em FROM runs),
-o AS (SELECT *, (median(y) OVER w - y) / (max(em) OVER w)::DOUBLE AS off, max(em) OVER w AS top FROM m WINDOW w AS (PARTITION BY doc_id, page, laid_line))
+    "l2_scripts": f"""WITH {RUNS}, m AS (SELECT doc_id, page, run_no, laid_line, baseline_y + CASE WHEN run_no % 10 = 3 THEN -3 WHEN run_no % 11 = 4 THEN 3 ELSE 0 END AS y, CASE WHEN run_no % 10 = 3 OR run_no % 11 = 4 THEN 7 WHEN run_no % 12 = 0 THEN 30 ELSE em END AS em, length(str) AS chars, x FROM runs),
+sizes AS (SELECT doc_id, page, laid_line, em, sum(chars) AS chars, min(x) AS x FROM m GROUP BY ALL),
+tops AS (SELECT doc_id, page, laid_line, em AS top FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, laid_line ORDER BY chars DESC, x) AS r FROM sizes) WHERE r = 1),
+o AS (SELECT *, (median(y) OVER w - y) / top::DOUBLE AS off FROM m JOIN tops USING (doc_id, page, laid_line) WINDOW w AS (PARTITION BY doc_id, page, laid_line))
 SELECT doc_id, page, run_no, CASE WHEN em < top * 0.75 AND abs(off) BETWEEN 0.2 AND 0.6 THEN CASE WHEN off > 0 THEN 'sup' ELSE 'sub' END END AS script FROM o""",
     "h2_size_levels": f"""WITH RECURSIVE e AS (SELECT DISTINCT doc_id, (k // 40)::INT AS page, (100 + length(t) % 24 * 3) / 10::DOUBLE AS em FROM {PARTS}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY em DESC) AS rn FROM e),
 l(doc_id, page, rn, em, head, level) AS (SELECT doc_id, page, rn, em, em, 1 FROM r WHERE rn = 1

@@ -48,6 +48,27 @@ def tracked_runs(runs: DataFrame) -> DataFrame:
     return each.select("doc_id", "page", "laid_line", (F.col("run_no") * 1000 + F.col("k")).alias("run_no"), F.col("ch").alias("str"), (F.lit(MARGIN) + 9 * index + 6 * F.col("word")).cast("int").alias("x"), "baseline_y", "em", F.lit(ADVANCE).alias("advance"), F.lit("F1").alias("font_key"), F.lit(False).alias("bold"), F.lit(False).alias("skewed"))
 
 
+def mixed_runs(runs: DataFrame) -> DataFrame:
+    """The words in six manners, by line: plain; a run for each character; with space glyphs; with spaces between a word's letters; the first characters only; in another font, some raised and small, some turned."""
+    line = Window.partitionBy("doc_id", "laid_line").orderBy("run_no")
+    words = runs.withColumn("word", F.row_number().over(line) - 1).withColumn("chars", F.coalesce(F.sum(F.length("str")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    manner, word = F.col("laid_line") % 6, F.col("word")
+
+    def run(k: int | Column, text: Column, x: Column, advance: Column, em: Column = F.col("em"), y: Column = F.col("baseline_y"), skewed: Column = F.lit(False)) -> Column:
+        return F.struct((F.col("run_no") * 1000 + k).alias("run_no"), text.alias("str"), x.cast("int").alias("x"), y.cast("int").alias("baseline_y"), em.cast("int").alias("em"), advance.cast("int").alias("advance"), skewed.alias("skewed"))
+
+    letters = F.filter(F.split("str", ""), lambda c: c != "")
+    each = F.transform(letters, lambda c, k: run(k, c, F.lit(MARGIN) + 9 * (F.col("chars") + k) + 6 * word, F.lit(ADVANCE)))
+    whole, raised = run(0, F.col("str"), F.col("x"), F.col("advance")), word % 3 == 1
+    pieces = (
+        F.when(manner == 1, each).when(manner == 2, F.array(whole, run(1, F.lit(" "), F.col("x") + F.col("advance"), F.lit(3))))
+        .when(manner == 3, F.array(run(0, F.array_join(letters, " "), F.col("x"), F.col("advance")))).when(manner == 4, F.filter(each, lambda r: r["x"] < MARGIN + 45))
+        .when(manner == 5, F.array(run(0, F.col("str"), F.col("x"), F.col("advance"), F.when(raised, 6).otherwise(F.col("em")), F.col("baseline_y") - F.when(raised, 3).otherwise(0), word % 10 == 7)))
+        .otherwise(F.array(whole))
+    )
+    return words.select("doc_id", "page", "bold", F.when(manner == 5, "F2").otherwise("F1").alias("font_key"), F.explode(pieces).alias("r")).select("doc_id", "page", "r.*", "font_key", "bold")
+
+
 def marked_items(runs: DataFrame) -> DataFrame:
     """A stream of text items with marked content, from the number n of each word on its page.
 
