@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import strip
+
 LARGEST_FILE = 200 * 1024 * 1024
 #: Titles that writers of files leave behind. Fixed values.
 GARBAGE_START = r"(?i)^(untitled|document\d*|microsoft word|microsoft powerpoint|slide\d*)"
@@ -27,11 +29,11 @@ def garbage_title(title: Column) -> Column:
 
 
 def file_stem(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf\z", ""), "[_-]+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf\z", ""), "[_-]+", " "))
 
 
 def split_authors(text: Column, by: str = "[,;]") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), by), lambda a: F.trim(a)), lambda a: a != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), by), lambda a: strip(a)), lambda a: a != "")
 
 
 def extract_uuid(identifier: Column) -> Column:
@@ -43,9 +45,9 @@ def document_meta(raw: DataFrame, headings: DataFrame) -> DataFrame:
 
     raw: doc_id, xmp_title, info_title, info_author, info_language, file_name; headings: doc_id, ord, text.
     """
-    first = headings.groupBy("doc_id").agg(F.trim(F.min_by("text", "ord")).alias("heading"))
+    first = headings.groupBy("doc_id").agg(strip(F.min_by("text", "ord")).alias("heading"))
     both = raw.join(first, "doc_id", "left")
-    xmp, info, heading = (F.nullif(F.trim(c), F.lit("")) for c in ("xmp_title", "info_title", "heading"))
+    xmp, info, heading = (F.nullif(strip(F.col(c)), F.lit("")) for c in ("xmp_title", "info_title", "heading"))
     info = F.when(~garbage_title(info), info)
     stem = F.coalesce(F.nullif(file_stem(F.col("file_name")), F.lit("")), F.lit("Untitled"))
     source = F.when(xmp.isNotNull(), "xmp").when(info.isNotNull(), "info").when(heading.isNotNull(), "first-heading").otherwise("filename")

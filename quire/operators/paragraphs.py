@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import LIST_MARKER, join_lines, squeeze, unclosed_delimiter
+from quire.functions.text import LIST_MARKER, join_lines, squeeze, strip, unclosed_delimiter
 
 #: Shares of the leading and the em that end a paragraph.
 LOOSE, INDENT, SHORT, RESIZED = 1.35, 0.5, 2.5, 0.1
@@ -65,7 +65,7 @@ def blocks(lines: DataFrame) -> DataFrame:
     grouped = numbered.groupBy("doc_id", "ord").agg(
         F.min("page").alias("page"), F.min_by("heading_level", F.struct("page", "line_no")).alias("level"), join_lines(texts).alias("text"), F.count("*").alias("n_lines"),
         F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
-    ).filter(F.trim("text") != "")
+    ).filter(strip(F.col("text")) != "")
     marker = F.col("text").rlike(LIST_MARKER)
     kind = F.when(F.col("level") > 0, "h").when(marker, "list").otherwise("p")
     start = F.regexp_extract("text", r"^(\d+)[.)]\s+", 1)

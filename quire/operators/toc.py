@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import strip
+
 DEEPEST, LEAST_HEADINGS, LEAST_BLOCKS, LARGEST = 3, 3, 3, 200_000
 #: Kinds of blocks that are never parted from what stands before them, and the weight of those without text. Fixed values.
 ATOMIC = ("table", "list", "pre", "code", "figure", "quote")
@@ -16,7 +18,7 @@ def build_toc(blocks: DataFrame) -> DataFrame:
 
     depth_i = min(cap_i, depth_{i-1} + 1) has the closed form i + min(0, least cap_j - j so far).
     """
-    heads = blocks.filter((F.col("kind") == "h") & (F.trim("text") != ""))
+    heads = blocks.filter((F.col("kind") == "h") & (strip(F.col("text")) != ""))
     all_heads = blocks.filter(F.col("kind") == "h").groupBy("doc_id").agg(F.min("level").alias("least"))
     order = Window.partitionBy("doc_id").orderBy("ord")
     capped = heads.join(all_heads, "doc_id").withColumn("cap", F.least(F.col("level") - F.col("least") + 1, F.lit(DEEPEST))).withColumn("rn", F.row_number().over(order))
@@ -79,28 +81,29 @@ def block_weight(blocks: DataFrame) -> Column:
 def guard_size(merged: DataFrame, largest: int = LARGEST) -> DataFrame:
     """Adds `part`: chapters above the size are packed greedily; a part starts only before a block that may be parted.
 
-    The packing depends on every block before, so it is a fold over the blocks of a chapter.
+    Where a part starts depends on every block before, so it is a fold over the blocks of a chapter, which keeps the
+    starts only: it takes linear time, and a block's part is the number of starts up to it.
     """
+    chapter = Window.partitionBy("doc_id", "chapter")
     sized = merged.withColumn("weight", block_weight(merged)).withColumn("breakable", ~F.col("kind").isin(*ATOMIC))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("part"), F.lit(0).alias("n"), F.array().cast("array<struct<ord:int,part:int>>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
 
     def step(s: Column, b: Column) -> Column:
         fresh = (s["held"] + b["weight"] > largest) & (s["n"] > 0) & b["breakable"]
-        part = s["part"] + fresh.cast("int")
-        return F.struct((F.when(fresh, 0).otherwise(s["held"]) + b["weight"]).cast("long").alias("held"), part.alias("part"), (F.when(fresh, 0).otherwise(s["n"]) + 1).alias("n"), F.concat(s["out"], F.array(F.struct(b["ord"].alias("ord"), part.alias("part")))).alias("out"))
+        return F.struct((F.when(fresh, 0).otherwise(s["held"]) + b["weight"]).cast("long").alias("held"), (F.when(fresh, 0).otherwise(s["n"]) + 1).alias("n"), F.when(fresh, F.concat(s["starts"], F.array(b["ord"]))).otherwise(s["starts"]).alias("starts"))
 
-    large = sized.groupBy("doc_id", "chapter").agg(F.sum("weight").alias("total"))
-    both = sized.join(large, ["doc_id", "chapter"])
+    both = sized.withColumn("total", F.sum("weight").over(chapter))
     packed = both.filter(F.col("total") > largest).groupBy("doc_id", "chapter").agg(F.sort_array(F.collect_list(F.struct("ord", "weight", "breakable"))).alias("b"))
-    parts = packed.select("doc_id", F.explode(F.aggregate("b", start, step, lambda s: s["out"])).alias("p")).select("doc_id", "p.ord", "p.part")
-    return both.join(parts, ["doc_id", "ord"], "left").withColumn("part", F.coalesce("part", F.lit(0))).drop("total", "breakable")
+    starts = packed.select("doc_id", F.explode(F.aggregate("b", start, step, lambda s: s["starts"])).alias("ord"), F.lit(1).alias("starts"))
+    part = F.coalesce(F.sum("starts").over(chapter.orderBy("ord")), F.lit(0)).cast("int")
+    return both.join(starts, ["doc_id", "ord"], "left").withColumn("part", part).drop("total", "breakable", "starts")
 
 
 def chapters(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """One row per chapter part: number, id, href, title, continuation, blocks. titles: doc_id, title."""
     parts = guard_size(merge_tiny(chapter_groups(blocks)))
     first = F.struct("ord")
-    heading = F.when((F.col("kind") == "h") & (F.col("level") == F.col("split_level")) & (F.trim("text") != ""), F.col("text"))
+    heading = F.when((F.col("kind") == "h") & (F.col("level") == F.col("split_level")) & (strip(F.col("text")) != ""), F.col("text"))
     title = parts.groupBy("doc_id", "chapter").agg(F.min_by(heading, first).alias("heading"))
     rows = parts.groupBy("doc_id", "chapter", "part").agg(F.count("*").alias("n_blocks"), F.min("ord").alias("first_ord"), F.sum("weight").alias("weight")).join(title, ["doc_id", "chapter"])
     rows = rows.join(titles, "doc_id", "left") if titles is not None else rows.withColumn("title", F.lit("Untitled"))

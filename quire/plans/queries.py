@@ -199,10 +199,10 @@ def j4_internal_links(s: SparkSession, d: str) -> DataFrame:
 def b8_metadata(s: SparkSession, d: str) -> DataFrame:
     """Titles and authors of every kind that files hold, by the document's id."""
     i = F.col("doc_id")
-    titles = F.array(*map(F.lit, ["untitled", "Microsoft Word - a.docx", "slide3", "Report of a day", "paper.TEX", "", " Two  words "]))
-    authors = F.array(*map(F.lit, ["A. B, C; D ", " ;, ", "Solo", ""]))
+    titles = F.array(*map(F.lit, ["untitled", "\tuntitled", "Microsoft Word - a.docx", "slide3", "Report of a day", "paper.TEX", "\u00a0", " Two  words\u2003"]))
+    authors = F.array(*map(F.lit, ["A. B,\tC; D\u00a0", " ;,\n", "Solo", ""]))
     raw = read_table(s, d, "documents").select(
-        "doc_id", F.when(i % 11 == 0, F.concat(F.lit(" Embedded "), i)).alias("xmp_title"), F.get(titles, (i % 8).cast("int")).alias("info_title"), F.get(authors, (i % 5).cast("int")).alias("info_author"),
+        "doc_id", F.when(i % 11 == 0, F.concat(F.lit(" Embedded "), i, F.lit("\ufeff"))).when(i % 11 == 1, "\n").when(i % 11 == 2, "\u00a0").alias("xmp_title"), F.get(titles, (i % 9).cast("int")).alias("info_title"), F.get(authors, (i % 5).cast("int")).alias("info_author"),
         F.when(i % 3 == 0, F.col("lang")).alias("info_language"), F.when(i % 4 == 0, "_-.pdf").otherwise(F.concat_ws("_", "source", i, F.lit("x-y.PDF"))).alias("file_name"),
     )
     found = metadata.document_meta(raw, _toc_blocks(s, d).filter(F.col("kind") == "h"))
@@ -226,10 +226,10 @@ def p9_cover_sizes(s: SparkSession, d: str) -> DataFrame:
 
 
 def v1_select_cover(s: SparkSession, d: str) -> DataFrame:
-    """A user's cover for every 5th document, pages one and two where not blank, and a made-up one."""
+    """A user's cover for every 5th document, pages one to nine where not blank, of which two are tried, and a made-up one."""
     i = F.col("doc_id")
     docs = read_table(s, d, "documents").select("doc_id")
-    pages = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("page"))
+    pages = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("page"))
     blank = covers.is_blank(covers.luminance(252 + i % 4, 252 + F.col("page") * 2, F.lit(251)), (i + F.col("page")) % 3)
     found = [docs.filter(i % 5 == 0).select("doc_id", F.lit("user").alias("source"), F.lit(None).cast("int").alias("page"), F.lit(covers.USER).alias("score"), F.lit(True).alias("usable")), pages.select("doc_id", F.lit("rendered").alias("source"), "page", F.lit(covers.RENDERED).alias("score"), (~blank).alias("usable")), docs.select("doc_id", F.lit("synthesized").alias("source"), F.lit(None).cast("int").alias("page"), F.lit(covers.SYNTHESIZED).alias("score"), F.lit(True).alias("usable"))]
     return covers.select_cover(found[0].unionAll(found[1]).unionAll(found[2]))
@@ -255,7 +255,7 @@ def w7_asset_names(s: SparkSession, d: str) -> DataFrame:
     """Assets named by their source, the documents of one language as one package."""
     docs, i = read_table(s, d, "documents"), F.col("doc_id")
     mime = F.when(i % 3 == 0, "image/png").when(i % 3 == 1, "image/jpeg").otherwise("image/gif")
-    assets = docs.select(F.col("lang").alias("doc_id"), i.alias("ord"), T.ascii_segment(F.when(i % 9 == 0, "cover").otherwise(F.concat(F.lit("-é "), "source")), "img").alias("base"), mime.alias("mime"))
+    assets = docs.select(F.col("lang").alias("doc_id"), i.alias("ord"), T.ascii_segment(F.when(i % 9 == 0, "cover").when(i % 9 == 1, F.concat(F.lit("cover-"), i % 7)).when(i % 9 == 2, F.concat(F.col("source"), F.lit("-"), i % 5)).when(i % 9 == 3, F.concat(F.col("source"), F.lit("-"), i % 3, F.lit("-"), i % 2)).when(i % 9 < 7, F.col("source")).otherwise(F.concat(F.lit("-é "), "source")), "img").alias("base"), mime.alias("mime"))
     return covers.asset_names(assets).select(F.col("doc_id").alias("lang"), F.col("ord").alias("doc_id"), "name")
 
 

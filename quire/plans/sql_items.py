@@ -75,7 +75,7 @@ SELECT page_id, href, CASE WHEN regexp_matches(href, '(?i)^(https?:|mailto:)') T
 SELECT a.doc_id, a.ord AS from_ord, (a.ord * 3 % 50)::INT AS target_ord, CASE WHEN t.ord IS NULL THEN NULL WHEN t.kind = 'h' THEN CASE WHEN t.file = a.file THEN '' ELSE t.file END || '#h-' || t.ord WHEN t.file <> a.file THEN t.file END AS href
 FROM f a LEFT JOIN f t ON t.doc_id = a.doc_id AND t.ord = a.ord * 3 % 50""",
     "b8_metadata": f"""WITH {BLOCKS}, first AS (SELECT doc_id, nullif(trim(arg_min(text, ord)), '') AS heading FROM blocks WHERE kind = 'h' GROUP BY doc_id),
-r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'Embedded ' || doc_id END AS xmp, CASE doc_id % 8 WHEN 3 THEN 'Report of a day' WHEN 6 THEN 'Two  words' END AS info, heading,
+r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'Embedded ' || doc_id END AS xmp, CASE doc_id % 9 WHEN 4 THEN 'Report of a day' WHEN 7 THEN 'Two  words' END AS info, heading,
   CASE WHEN doc_id % 4 = 0 THEN 'Untitled' ELSE trim(regexp_replace(concat_ws('_', source, doc_id, 'x-y'), '[_-]+', ' ', 'g')) END AS stem,
   CASE doc_id % 5 WHEN 0 THEN 'A. B|C|D' WHEN 2 THEN 'Solo' ELSE '' END AS authors, CASE WHEN doc_id % 3 = 0 THEN coalesce(nullif(lang, ''), 'en') ELSE 'en' END AS language FROM documents LEFT JOIN first USING (doc_id))
 SELECT doc_id, coalesce(xmp, info, heading, stem) AS title, CASE WHEN xmp IS NOT NULL THEN 'xmp' WHEN info IS NOT NULL THEN 'info' WHEN heading IS NOT NULL THEN 'first-heading' ELSE 'filename' END AS title_source, authors, language FROM r""",
@@ -92,8 +92,14 @@ SELECT doc_id, k, list_reduce(list_prepend(0, list_transform(list_filter(string_
     "v4_user_covers": r"""WITH p AS (SELECT *, lower(regexp_replace(CASE page_id % 6 WHEN 0 THEN chr(10) || ' <SVG ' || left(html, 200) WHEN 1 THEN '<?xml ' || left(html, 200) ELSE left(html, 256) END, '^[\t\n\v\f\r ]+', '')) AS head, CASE WHEN page_id % 4 <> 0 THEN page_id % 9 * 60 END AS w, CASE WHEN page_id % 4 <> 0 THEN page_id % 7 * 70 END AS h FROM pages),
 q AS (SELECT *, page_id % 11 = 5 OR page_id % 10 = 3 OR (w IS NULL AND (starts_with(head, '<?xml') OR starts_with(head, '<svg'))) AS svg FROM p)
 SELECT page_id, svg, CASE WHEN length(html) * CASE WHEN page_id % 13 = 0 THEN 9000 ELSE 1 END > 26214400 THEN 'size' WHEN svg THEN 'svg' WHEN w IS NULL THEN 'unreadable' WHEN least(w, h) < 100 THEN 'small' END AS refused FROM q""",
-    "w7_asset_names": r"""WITH a AS (SELECT lang, doc_id, CASE WHEN doc_id % 9 = 0 THEN 'cover' ELSE coalesce(left(trim('e-' || regexp_replace(source, '[^A-Za-z0-9_.-]+', '-', 'g'), '-'), 64), 'img') END AS base, CASE doc_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' ELSE 'gif' END AS ext FROM documents),
-n AS (SELECT *, row_number() OVER (PARTITION BY lang, base, ext ORDER BY doc_id) - 1 + CASE WHEN base = 'cover' AND ext = 'jpg' THEN 1 ELSE 0 END AS nth FROM a) SELECT lang, doc_id, base || CASE WHEN nth > 0 THEN '-' || nth ELSE '' END || '.' || ext AS name FROM n""",
+    "w7_asset_names": r"""WITH RECURSIVE raw AS (SELECT lang, doc_id, CASE WHEN doc_id % 9 = 0 THEN 'cover' WHEN doc_id % 9 = 1 THEN 'cover-' || doc_id % 7 WHEN doc_id % 9 = 2 THEN source || '-' || doc_id % 5 WHEN doc_id % 9 = 3 THEN source || '-' || doc_id % 3 || '-' || doc_id % 2 WHEN doc_id % 9 < 7 THEN source ELSE 'e-' || source END AS base,
+  CASE doc_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' ELSE 'gif' END AS ext FROM documents),
+a AS (SELECT lang, doc_id, coalesce(nullif(left(trim(regexp_replace(base, '[^A-Za-z0-9_.-]+', '-', 'g'), '-'), 64), ''), 'img') AS base, ext, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM raw),
+g(lang, doc_id, rn, used, name) AS (
+  SELECT DISTINCT lang, NULL::BIGINT, 0::BIGINT, ['cover.jpg'], NULL::VARCHAR FROM a
+  UNION ALL SELECT lang, doc_id, rn, list_append(used, name), name FROM (SELECT a.lang, a.doc_id, a.rn, used, CASE WHEN NOT list_contains(used, base || '.' || ext) THEN base || '.' || ext
+    ELSE base || '-' || list_filter(range(1, a.rn + 2), lambda n: NOT list_contains(used, base || '-' || n || '.' || ext))[1] || '.' || ext END AS name FROM g JOIN a ON a.lang IS NOT DISTINCT FROM g.lang AND a.rn = g.rn + 1))
+SELECT lang, doc_id, name FROM g WHERE rn > 0""",
     "x9_anchors": rf"""WITH p AS (SELECT doc_id, k, regexp_replace(t, '[^\x20-\x7E]', '', 'g') AS t FROM {PARTS}), s AS (SELECT *, trim(left(regexp_replace(trim(regexp_replace(lower(t), '[^a-z0-9_ -]', '', 'g')), ' +', '-', 'g'), 48), '-') AS slug, left(trim(regexp_replace(t, '[^A-Za-z0-9_.-]+', '-', 'g'), '-'), 64) AS seg FROM p)
 SELECT doc_id, k, CASE WHEN slug = '' THEN 'p0-' || k ELSE slug || '-p0-' || k END AS anchor, CASE WHEN seg = '' THEN 'asset' ELSE seg END AS segment FROM s""",
     "x7_detrack_partial": rf"""WITH {SPACED},

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from quire.functions.text import hue
+from quire.functions.text import WS_CHARS, hue, strip
 
 #: Limits and sizes of covers. Fixed values.
 LEAST_RATIO, MOST_RATIO, MOST_PIXELS = 1.25, 1.9, 4_000_000
@@ -45,10 +49,18 @@ def accepts_embedded(score: Column, w: Column, h: Column) -> Column:
     return (score >= LEAST_SCORE) & (F.greatest(w, h) >= LEAST_LONG_EDGE) & (w * h >= LEAST_PIXELS)
 
 
+#: Pages that are rendered in search of a cover. Fixed value.
+PAGES_TRIED = 2
+
+
 def select_cover(candidates: DataFrame) -> DataFrame:
-    """The best candidate of each document by score, of equal ones that of the first page. candidates: doc_id, source, page, score, usable."""
+    """The best candidate of each document by score, of equal ones that of the first page. candidates: doc_id, source, page, score, usable.
+
+    Of the rendered pages only the first two are tried, whatever else is there.
+    """
     best = F.max_by(F.struct("source", "page", "score"), F.struct("score", -F.coalesce("page", F.lit(0))))
-    return candidates.filter("usable").groupBy("doc_id").agg(best.alias("c")).select("doc_id", "c.source", "c.page", "c.score")
+    tried = (F.col("source") != "rendered") | (F.col("page") < PAGES_TRIED)
+    return candidates.filter(F.col("usable") & tried).groupBy("doc_id").agg(best.alias("c")).select("doc_id", "c.source", "c.page", "c.score")
 
 
 def is_blank(mean: Column, deviation: Column) -> Column:
@@ -62,7 +74,7 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 
 def looks_like_svg(name: Column, mime: Column, head: Column, probed: Column) -> Column:
     """By type, name, or the first bytes of a file that is no known image."""
-    start = F.lower(F.regexp_replace(head, r"^\s+", ""))
+    start = F.lower(F.ltrim(head, F.lit(WS_CHARS)))
     return F.coalesce(mime == "image/svg+xml", F.lit(False)) | name.rlike(r"(?i)\.svg\z") | (probed.isNull() & (start.startswith("<?xml") | start.startswith("<svg")))
 
 
@@ -86,7 +98,7 @@ def wrap_words(text: Column, width: Column) -> Column:
 
 def synthesized_cover(title: Column, authors: Column, title_width: int, author_width: int) -> list[Column]:
     """What a cover without an image shows: the hue of its title, and the lines of title and authors."""
-    named = F.array_join(F.filter(authors, lambda a: F.trim(a) != ""), ", ")
+    named = F.array_join(F.filter(authors, lambda a: strip(a) != ""), ", ")
     shown = F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled"))
     return [hue(title).alias("hue"), F.slice(wrap_words(shown, F.lit(title_width)), 1, TITLE_LINES).alias("title_lines"), F.slice(wrap_words(named, F.lit(author_width)), 1, AUTHOR_LINES).alias("author_lines")]
 
@@ -95,9 +107,37 @@ def synthesized_cover(title: Column, authors: Column, title_width: int, author_w
 EXTENSIONS = {"image/jpeg": "jpg", "image/png": "png", "image/gif": "gif", "image/svg+xml": "svg"}
 
 
-def asset_names(assets: DataFrame, taken: tuple[str, ...] = ("cover.jpg",)) -> DataFrame:
-    """Adds `name`, a file name of its own for each asset of a document in order: later ones of the same name are numbered from 1. assets: doc_id, ord, base (ASCII), mime."""
+def asset_names(assets: DataFrame, cover_ending: str = "jpg") -> DataFrame:
+    """Adds `name`, a file name of its own for each asset of a document in order: one that is taken is numbered from 1 until it is free. assets: doc_id, ord, base (ASCII), mime.
+
+    A number can only meet names whose base ends in a hyphen and digits, so assets that share the base without such
+    endings are named together, in order, and all others of the document apart from them.
+    """
     ending = F.create_map(*[F.lit(v) for kv in EXTENSIONS.items() for v in kv])[F.col("mime")]
-    plain = F.concat_ws(".", "base", ending)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "base", "mime").orderBy("ord")) - 1 + plain.isin(*taken).cast("int")
-    return assets.withColumn("name", F.when(nth == 0, plain).otherwise(F.concat(F.col("base"), F.lit("-"), nth.cast("string"), F.lit("."), ending)))
+    plain = assets.withColumn("ending", ending).withColumn("stem", F.regexp_replace("base", r"(-[0-9]+)+\z", ""))
+    family = ["doc_id", "ending", "stem"]
+    own = F.max(F.col("base") != F.col("stem")).over(Window.partitionBy(*family))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "base", "ending").orderBy("ord")) - 1 + ((F.col("base") == "cover") & (F.col("ending") == cover_ending)).cast("int")
+    simple = F.when(nth == 0, F.concat_ws(".", "base", "ending")).otherwise(F.concat(F.col("base"), F.lit("-"), nth.cast("string"), F.lit("."), F.col("ending")))
+    numbered = plain.withColumn("mixed", own).withColumn("name", simple)
+    names = [*assets.columns, "name"]
+    schema = StructType([*assets.schema.fields, StructField("name", StringType())])
+
+    def allot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The families in which numbers may meet names, one after the other: the set of used names and each base's last number are carried along."""
+        last, used, numbers = None, set(), {}
+        for batch in batches:
+            given = []
+            for key, base, end in zip(batch[family].itertuples(index=False, name=None), batch["base"], batch["ending"], strict=True):
+                if key != last:
+                    last, used, numbers = key, {f"cover.{cover_ending}"}, {}
+                name, n = f"{base}.{end}", numbers.get(base, 1)
+                while name in used:
+                    name, n = f"{base}-{n}.{end}", n + 1
+                numbers[base] = n
+                used.add(name)
+                given.append(name)
+            yield batch.assign(name=given)[names]
+
+    met = numbered.filter("mixed").select(*assets.columns, "ending", "stem").repartition(*family).sortWithinPartitions(*family, "ord")
+    return numbered.filter("NOT mixed").select(names).unionByName(met.mapInPandas(allot, schema))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,7 +59,36 @@ def unpack(archives: DataFrame) -> DataFrame:
     return archives.select("doc_id", "data").mapInPandas(run, ENTRIES)
 
 
-NODES = "doc_id long, path string, malformed string, node int, parent int, tag string, attrs map<string,string>, text string"
+NODES = "doc_id long, path string, malformed string, node int, parent int, tag string, prefix string, parent_tag string, attrs map<string,string>, text string"
+
+
+def elements(data: bytes) -> list[list]:
+    """(number, parent, tag, prefix, parent's tag, attributes, text before the first child) of each element, in document order. Names are local ones."""
+    found: list[list] = []
+    stack: list[int] = []
+    parser = expat.ParserCreate(namespace_separator=" ")
+    parser.namespace_prefixes = True
+
+    def start(name: str, attrs: dict[str, str]) -> None:
+        # uri, local name and prefix, as far as there are any
+        parts = name.split(" ")
+        up = stack[-1] if stack else None
+        keys = {k.split(" ")[1] if " " in k else k: v for k, v in attrs.items()}
+        stack.append(len(found))
+        found.append([len(found), up, parts[min(1, len(parts) - 1)], parts[2] if len(parts) > 2 else None, None if up is None else found[up][2], keys, None])
+
+    def text(s: str) -> None:
+        # later children have later numbers: text after one is not the element's first
+        if stack and stack[-1] == len(found) - 1:
+            found[-1][6] = (found[-1][6] or "") + s
+
+    def skipped(name: str, is_parameter: bool) -> None:
+        if not is_parameter:
+            raise expat.ExpatError(f"undefined entity {name}")
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.SkippedEntityHandler = start, lambda name: stack.pop(), text, skipped
+    parser.Parse(data, True)
+    return found
 
 
 def xml_nodes(files: DataFrame) -> DataFrame:
@@ -70,17 +99,10 @@ def xml_nodes(files: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for doc_id, path, data in batch[["doc_id", "path", "data"]].itertuples(index=False):
                 try:
-                    root = ElementTree.fromstring(bytes(data or b""))
-                except ElementTree.ParseError as e:
-                    rows.append((doc_id, path, str(e), None, None, None, None, None))
-                    continue
-                todo, n = [(root, None)], 0
-                while todo:
-                    e, parent = todo.pop()
-                    rows.append((doc_id, path, None, n, parent, e.tag.rpartition("}")[2], {k.rpartition("}")[2]: v for k, v in e.attrib.items()}, e.text))
-                    todo += [(c, n) for c in reversed(e)]
-                    n += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "path", "malformed", "node", "parent", "tag", "attrs", "text"]).astype({"node": "Int32", "parent": "Int32"})
+                    rows += [(doc_id, path, None, *e) for e in elements(bytes(data or b""))]
+                except expat.ExpatError as e:
+                    rows.append((doc_id, path, str(e), *[None] * 7))
+            yield pd.DataFrame(rows, columns=["doc_id", "path", "malformed", "node", "parent", "tag", "prefix", "parent_tag", "attrs", "text"]).astype({"node": "Int32", "parent": "Int32"})
 
     return files.select("doc_id", "path", "data").mapInPandas(run, NODES)
 

@@ -18,7 +18,7 @@ from quire.functions.text import split_fragment
 from quire.publish.package import resolved, unpack, xml_nodes
 
 LARGE_PACKAGE, LARGE_PAGE, LEAST_COVER, GOOD_COVER = 50 * 1024 * 1024, 300_000, 100, 1000
-CONTAINER = "META-INF/container.xml"
+CONTAINER, XHTML = "META-INF/container.xml", "application/xhtml+xml"
 
 
 def issue(df: DataFrame, when: Column | None, severity: str, code: str, message: Column | str, path: Column | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def probe_image(data: Column) -> Column:
 
 
 def incomplete() -> Column:
-    return reduce(lambda x, y: x | y, [F.coalesce(c, F.lit("")) == "" for c in ("id", "href", "media_type")])
+    return reduce(lambda x, y: x | y, [F.coalesce(c, F.lit("")) == "" for c in ("id", "href")])
 
 
 def usable(raw_items: DataFrame) -> DataFrame:
@@ -109,20 +109,21 @@ def usable(raw_items: DataFrame) -> DataFrame:
 
 def check_structure(packages: DataFrame, raw_items: DataFrame, refs: DataFrame, spines: DataFrame, paths: DataFrame) -> DataFrame:
     """Manifest, spine and navigation. packages: doc_id, opf; raw_items: doc_id, opf, id, href, media_type, properties; refs: doc_id, node, id; spines: doc_id, toc; paths: doc_id, path of the archive."""
-    found = [issue(raw_items, incomplete(), "error", "manifest-item-incomplete", "an item lacks id, href or media type", F.col("href"))]
+    found = [issue(raw_items, incomplete(), "error", "manifest-item-incomplete", "an item lacks id or href", F.col("href"))]
     items = usable(raw_items)
     found.append(issue(items.join(paths, ["doc_id", "path"], "left_anti"), None, "error", "manifest-href-unresolved", "an item is not in the archive", F.col("path")))
     found.append(issue(packages.join(refs, "doc_id", "left_anti"), None, "error", "spine-empty", "the spine is empty"))
     found.append(issue(refs, F.coalesce("id", F.lit("")) == "", "error", "spine-idref-missing", "a spine entry has no idref"))
     refs = refs.filter(F.col("id") != "")
     found.append(issue(refs.join(items, ["doc_id", "id"], "left_anti"), None, "error", "spine-idref-unresolved", F.col("id")))
-    found.append(issue(refs.join(items, ["doc_id", "id"]), F.col("media_type") != "application/xhtml+xml", "error", "spine-media-type", F.col("media_type"), F.col("path")))
+    found.append(issue(refs.join(items, ["doc_id", "id"]), ~F.col("media_type").eqNullSafe(F.lit(XHTML)), "error", "spine-media-type", F.col("media_type"), F.col("path")))
 
-    navs = packages.join(items.filter(F.array_contains("properties", "nav")).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
+    # incomplete items count as well
+    navs = packages.join(raw_items.filter(F.array_contains("properties", "nav")).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
     found.append(issue(navs, F.coalesce("n", F.lit(0)) != 1, "error", "nav-count", "there must be one navigation document"))
     spine = packages.join(spines.groupBy("doc_id").agg(F.max("toc").alias("id")), "doc_id", "left")
-    found.append(issue(spine, F.coalesce("id", F.lit("")) == "", "warning", "ncx-not-referenced", "the spine names no ncx"))
-    found.append(issue(spine.filter(F.col("id") != "").join(items, ["doc_id", "id"], "left_anti"), None, "error", "ncx-unresolved", F.col("id")))
+    found.append(issue(spine, F.col("id").isNull(), "warning", "ncx-not-referenced", "the spine names no ncx"))
+    found.append(issue(spine.filter("id IS NOT NULL").join(items, ["doc_id", "id"], "left_anti"), None, "error", "ncx-unresolved", F.col("id")))
     known = items.select("doc_id", "path").unionAll(packages.select("doc_id", "opf"))
     orphans = paths.join(packages, "doc_id").filter((F.col("path") != "mimetype") & ~F.col("path").startswith("META-INF/")).join(known, ["doc_id", "path"], "left_anti")
     found.append(issue(orphans, None, "warning", "orphan-file", "a file is not in the manifest", F.col("path")))
@@ -142,7 +143,7 @@ def check_metadata(meta: DataFrame) -> DataFrame:
     ])
 
 
-def check_cover(packages: DataFrame, meta: DataFrame, items: DataFrame, files: DataFrame, refs: DataFrame, guides: DataFrame) -> DataFrame:
+def check_cover(meta: DataFrame, items: DataFrame, files: DataFrame, refs: DataFrame, guides: DataFrame) -> DataFrame:
     """The cover's item, image, guide entry and page. items: as of usable(); files: doc_id, path, data; guides: doc_id of packages whose guide names a cover."""
     found = []
     covers = meta.filter(F.col("cover") != "").select("doc_id", F.col("cover").alias("id")).join(items, ["doc_id", "id"], "left")
@@ -156,13 +157,16 @@ def check_cover(packages: DataFrame, meta: DataFrame, items: DataFrame, files: D
         issue(images, F.col("data").isNull(), "error", "cover-file-missing", "the cover is not in the archive", F.col("path")),
         issue(images, F.octet_length("data") == 0, "error", "cover-file-empty", "the cover is empty", F.col("path")),
         issue(images, some & F.col("image").isNull(), "error", "cover-undecodable", "the cover is no known image", F.col("path")),
-        issue(images, F.col("image.mime") != F.col("media_type"), "error", "cover-mime-mismatch", F.col("image.mime"), F.col("path")),
+        issue(images, F.col("image.mime").isNotNull() & ~F.col("image.mime").eqNullSafe(F.col("media_type")), "error", "cover-mime-mismatch", F.col("image.mime"), F.col("path")),
         issue(images, F.least(w, h) < LEAST_COVER, "error", "cover-too-small", "the cover is too small", F.col("path")),
         issue(images, (F.least(w, h) >= LEAST_COVER) & (F.greatest(w, h) < GOOD_COVER), "warning", "cover-low-resolution", "the cover is small", F.col("path")),
     ]
-    found.append(issue(packages.join(guides, "doc_id", "left_anti"), None, "warning", "guide-cover-missing", "the guide names no cover"))
-    # the first entry of the spine, resolved or not, judged only where the cover itself was found
-    opening = refs.groupBy("doc_id").agg(F.min_by("id", "node").alias("id")).join(items.select("doc_id", "id", "href", "path"), ["doc_id", "id"], "left").join(images.filter("data IS NOT NULL").select("doc_id", F.element_at(F.split("href", "/"), -1).alias("cover_name")).dropDuplicates(["doc_id"]), "doc_id")
+    # what follows is judged only where the cover was found; a guide of a package without is not looked at
+    shown = images.filter("data IS NOT NULL").select("doc_id", F.element_at(F.split("href", "/"), -1).alias("cover_name")).dropDuplicates(["doc_id"])
+    found.append(issue(shown.join(guides, "doc_id", "left_anti"), None, "warning", "guide-cover-missing", "the guide names no cover"))
+    # the first entry of the spine, resolved or not; an empty spine opens with nothing
+    first = refs.groupBy("doc_id").agg(F.min_by("id", "node").alias("id"))
+    opening = shown.join(first, "doc_id", "left").join(items.select("doc_id", "id", "href", "path"), ["doc_id", "id"], "left")
     opens = F.coalesce(F.col("href").contains("cover"), F.lit(False))
     found.append(issue(opening, ~opens, "error", "cover-page-not-first", "the spine does not open with the cover", F.coalesce("path", "id")))
     shown = opening.filter(opens).join(files, ["doc_id", "path"])
@@ -171,16 +175,16 @@ def check_cover(packages: DataFrame, meta: DataFrame, items: DataFrame, files: D
 
 
 def check_pages(pages: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """XHTML and its links. pages: doc_id, path, data; nodes: their elements (doc_id, path, malformed, tag, attrs); paths: doc_id, path of the archive."""
+    """XHTML and its links. pages: doc_id, path, data; nodes: their elements (doc_id, path, malformed, tag, parent_tag, attrs); paths: doc_id, path of the archive."""
     found, a = [], F.col("attrs")
     found.append(issue(nodes, F.col("malformed").isNotNull(), "error", "xhtml-malformed", F.col("malformed"), F.col("path")))
     sound = nodes.filter("malformed IS NULL")
     sound_pages = pages.join(sound.select("doc_id", "path").distinct(), ["doc_id", "path"])
     text = F.decode("data", "iso-8859-1")
-    found.append(issue(sound_pages, ~text.rlike(r"""^\s*<\?xml[^>]*encoding=["']"""), "warning", "xhtml-no-xml-encoding", "no encoding is declared", F.col("path")))
-    found.append(issue(sound_pages.join(sound.filter((F.col("tag") == "meta") & a["charset"].isNotNull()), ["doc_id", "path"], "left_anti"), None, "warning", "xhtml-no-meta-charset", "no charset is declared", F.col("path")))
+    found.append(issue(sound_pages, ~text.rlike('(?i)encoding="utf-8"'), "warning", "xhtml-no-xml-encoding", "no encoding is declared", F.col("path")))
+    found.append(issue(sound_pages.join(sound.filter((F.col("tag") == "meta") & (F.col("parent_tag") == "head") & a["charset"].isNotNull()), ["doc_id", "path"], "left_anti"), None, "warning", "xhtml-no-meta-charset", "no charset is declared", F.col("path")))
     found.append(issue(sound_pages, F.octet_length("data") > LARGE_PAGE, "warning", "xhtml-large", "the page is very large", F.col("path")))
-    links = sound.select("doc_id", F.col("path").alias("page"), F.explode(F.filter(F.array(a["href"], a["src"]), lambda v: v.isNotNull())).alias("href")).filter(~F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"))
+    links = sound.filter((F.col("tag") == "a") & a["href"].isNotNull() & ~a["href"].rlike("(?i)^(https?:|mailto:)")).select("doc_id", F.col("path").alias("page"), a["href"].alias("href"))
     parts = links.withColumn("f", split_fragment(F.col("href"))).select("doc_id", "page", "href", F.when(F.col("f.path") == "", F.col("page")).otherwise(resolved(F.col("page"), F.col("f.path"))).alias("path"), F.col("f.fragment").alias("id"))
     found.append(issue(parts.join(paths, ["doc_id", "path"], "left_anti"), None, "error", "internal-link-unresolved", F.col("href"), F.col("page")))
     ids = sound.select("doc_id", "path", a["id"].alias("id")).filter("id IS NOT NULL")
@@ -224,11 +228,18 @@ def validate(archives: DataFrame) -> DataFrame:
     def first(tag: str) -> Column:
         return F.min_by(F.when(F.col("tag") == tag, F.trim(F.coalesce("text", F.lit("")))), F.when(F.col("tag") == tag, F.col("node")))
 
-    meta = good.groupBy("doc_id").agg(*[first(t).alias(t) for t in ("title", "language", "identifier", "creator")], F.min(F.when((F.col("tag") == "meta") & (a["property"] == "dcterms:modified"), F.trim("text"))).alias("modified"), F.min(F.when((F.col("tag") == "meta") & (a["name"] == "cover"), F.coalesce(a["content"], F.lit("")))).alias("cover"))
+    def first_meta(when: Column, value: Column) -> Column:
+        own = (F.col("tag") == "meta") & (F.col("parent_tag") == "metadata") & when
+        return F.min_by(F.when(own, value), F.when(own, F.col("node")))
+
+    # a prefixed cover is the mistake that the rule is for
+    cover = first_meta((a["name"] == "cover") & F.col("prefix").isNull(), F.coalesce(a["content"], F.lit("")))
+    modified = first_meta(a["property"] == "dcterms:modified", F.trim(F.coalesce("text", F.lit(""))))
+    meta = good.groupBy("doc_id").agg(*[first(t).alias(t) for t in ("title", "language", "identifier", "creator")], modified.alias("modified"), cover.alias("cover"))
     found.append(check_metadata(meta))
     items = usable(raw_items)
     guides = good.filter((F.col("tag") == "reference") & (a["type"] == "cover")).select("doc_id")
-    found.append(check_cover(packages, meta, items, files, refs, guides))
+    found.append(check_cover(meta, items, files, refs, guides))
 
     pages = items.filter("media_type = 'application/xhtml+xml'").select("doc_id", "path").distinct().join(files, ["doc_id", "path"])
     found.append(check_pages(pages, xml_nodes(pages).persist(), paths))

@@ -76,6 +76,11 @@ def extract_stream(pages: DataFrame, run_fields: StructType, out: str, checkpoin
     if patience is not None and not trigger.get("processingTime"):
         raise ValueError("patience needs a processing time trigger")
 
+    # the tables are there even if no document ever comes
+    none = extract(runs_of(pages.sparkSession.createDataFrame([], RELEASED), run_fields))
+    for name, rows in (("blocks", none.blocks), ("toc", none.toc)):
+        rows.write.mode("overwrite").parquet(f"{out}/{name}/batch=-1")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
         try:

@@ -29,3 +29,21 @@ def test_image_headers(spark):
     rows = spark.createDataFrame([(1, jpeg), (2, png), (3, gif), (4, jpeg[:8]), (5, b"GIF00a1234"), (6, None), (7, png[:20])], "k int, data binary")
     got = {r["k"]: r["i"] and tuple(r["i"]) for r in rows.select("k", probe_image(F.col("data")).alias("i")).collect()}
     assert got == {1: ("image/jpeg", 600, 800), 2: ("image/png", 640, 480), 3: ("image/gif", 320, 200), 4: None, 5: None, 6: None, 7: None}
+
+
+def test_size_guard_takes_linear_time(spark):
+    """A hundred thousand blocks in one chapter; a fold that copies what it made would take its square."""
+    from pyspark.sql import functions as F
+
+    from quire.operators.toc import guard_size
+
+    n, largest = 100_000, 900
+    blocks = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("chapter"), F.col("id").cast("int").alias("ord"), F.when(F.col("id") % 9 < 2, "list").otherwise("p").alias("kind"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    got = [(r["ord"], r["weight"], r["kind"], r["part"]) for r in guard_size(blocks, largest).orderBy("ord").collect()]
+    part = held = count = 0
+    for _, weight, kind, p in got:
+        if held + weight > largest and count and kind == "p":
+            part, held, count = part + 1, 0, 0
+        held, count = held + weight, count + 1
+        assert p == part
+    assert len(got) == n and part > 1000

@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+from quire.publish.covers import asset_names, select_cover
 from quire.publish.package import pack, unpack
 from quire.publish.validate import is_valid, validate
 
@@ -91,6 +92,25 @@ BROKEN = {
 }
 
 
+OPF_NAMESPACE = ('xmlns:dc="', 'xmlns:opf="http://www.idpf.org/2007/opf" xmlns:dc="')
+#: Changes with exactly the issues that follow from them.
+EXACT = {
+    "another encoding": ({C1: page('<h1 id="h">x</h1>').replace("UTF-8", "latin-1", 1)}, {"xhtml-no-xml-encoding"}),
+    "encoding in small letters": ({C1: page('<h1 id="h">x</h1>').replace("UTF-8", "utf-8", 1)}, set()),
+    "charset out of place": ({C1: page('<h1 id="h">x</h1><meta charset="UTF-8"/>').replace('<meta charset="UTF-8"/>', "", 1)}, {"xhtml-no-meta-charset"}),
+    "image without file": ({C1: page('<h1 id="h">x</h1><img src="gone.png" alt=""/>')}, set()),
+    "script and mail": ({C1: page('<h1 id="h">x</h1><a href="javascript:x()">s</a><a href="MAILTO:a@b">m</a>')}, {"internal-link-unresolved"}),
+    "prefixed cover": ({"OEBPS/content.opf": OPF.replace(*OPF_NAMESPACE).replace('<meta name="cover" content="img"/>', '<opf:meta name="cover" content="img"/>')}, {"cover-meta-missing"}),
+    "first of two covers": (opf('<meta name="cover" content="img"/>', '<meta name="cover" content="img"/><meta name="cover" content="a"/>'), set()),
+    "item without type": (opf('href="text/c1.xhtml" media-type="application/xhtml+xml"', 'href="text/c1.xhtml"'), {"spine-media-type", "fragment-unresolved"}),
+    "cover without type": (opf('href="images/cover.png" media-type="image/png"', 'href="images/cover.png"'), {"cover-mime-mismatch"}),
+    "no cover file, no guide": ({"OEBPS/images/cover.png": None, **opf('type="cover" href', 'type="toc" href')}, {"manifest-href-unresolved", "cover-file-missing"}),
+    "empty spine": (opf('<itemref idref="cover"/><itemref idref="c1"/>', ""), {"spine-empty", "cover-page-not-first"}),
+    "empty toc name": (opf(' toc="ncx"', ' toc=""'), {"ncx-unresolved"}),
+    "undefined entity": ({C1: '<!DOCTYPE html PUBLIC "x" "y">' + page("<p>&nbsp;</p>").removeprefix(HEAD)}, {"xhtml-malformed", "fragment-unresolved"}),
+}
+
+
 def first_bytes(name, content=b"application/epub+zip", compress=zipfile.ZIP_STORED, extra=b""):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -117,7 +137,7 @@ BYTES = {
 @pytest.fixture(scope="module")
 def issues(spark):
     rows, names = [], {0: "clean"}
-    for k, (code, change) in enumerate([("clean", {}), *BROKEN.items()]):
+    for k, (code, change) in enumerate([("clean", {}), *BROKEN.items(), *((n, change) for n, (change, _) in EXACT.items())]):
         names[k] = code
         files = {p: d for p, d in (CLEAN | change).items() if d is not None}
         rows += [(k, i, p, d.encode() if isinstance(d, str) else d) for i, (p, d) in enumerate(files.items())]
@@ -142,6 +162,11 @@ def test_each_rule_fires(issues, code):
     assert code in {c for _, c in issues[0][code]}
 
 
+@pytest.mark.parametrize("name", EXACT)
+def test_exact_issues(issues, name):
+    assert {c for _, c in issues[0][name]} == EXACT[name][1]
+
+
 def test_validity(issues):
     found, every, names = issues
     ok = {names[r["doc_id"]]: r["ok"] for r in is_valid(every, validate(every.filter("doc_id < 3"))).collect() if r["doc_id"] < 3}
@@ -151,3 +176,31 @@ def test_validity(issues):
 def test_unpack_gives_the_files_back(issues):
     got = {(r["path"], bytes(r["data"])) for r in unpack(issues[1].filter("doc_id = 0")).collect()}
     assert got == {("mimetype", b"application/epub+zip")} | {(p, d.encode() if isinstance(d, str) else d) for p, d in CLEAN.items()}
+
+
+def test_asset_names_are_never_given_twice(spark):
+    """Numbers that meet names, in any order and over several endings, and the cover's own name."""
+    bases = ["a", "a", "a-1", "a-1-1", "a", "a-1", "cover", "cover-1", "cover", "b-2", "b", "b", "b", "c"]
+    rows = [(d, k, b, mime) for d in (1, 2) for k, b in enumerate(bases) for mime in ("image/png", "image/jpeg")]
+    rows = [(d, 2 * k + (m == "image/jpeg"), b, m) for d, k, b, m in rows]
+
+    def plain(own):
+        used, out = {"cover.jpg"}, []
+        for _, _, b, m in sorted(own, key=lambda r: r[1]):
+            end, n = {"image/png": "png", "image/jpeg": "jpg"}[m], 1
+            name = f"{b}.{end}"
+            while name in used:
+                name, n = f"{b}-{n}.{end}", n + 1
+            used.add(name)
+            out.append(name)
+        return out
+
+    got = asset_names(spark.createDataFrame(rows, "doc_id long, ord int, base string, mime string")).collect()
+    for d in (1, 2):
+        assert [r["name"] for r in sorted(got, key=lambda r: r["ord"]) if r["doc_id"] == d] == plain([r for r in rows if r[0] == d])
+
+
+def test_only_two_pages_are_tried_for_a_cover(spark):
+    rows = [(1, "rendered", p, 50, p == 6) for p in range(8)] + [(1, "synthesized", None, 0, True), (2, "rendered", 1, 50, True), (2, "synthesized", None, 0, True)]
+    got = select_cover(spark.createDataFrame(rows, "doc_id long, source string, page int, score int, usable boolean")).collect()
+    assert {(r["doc_id"], r["source"], r["page"]) for r in got} == {(1, "synthesized", None), (2, "rendered", 1)}

@@ -3,6 +3,7 @@
 import time
 
 from quire.streaming.pages import pages_of, runs_of, whole_documents
+from quire.plans.queries import st_blocks
 from quire.sources.layout import layout_runs
 
 PAGE = "doc_id long, page int, n_pages int, packed string"
@@ -44,3 +45,8 @@ def test_runs_survive_packing(spark):
     back = runs_of(pages_of(laid), laid.drop("doc_id", "page").schema).select(*laid.columns)
     assert back.schema.simpleString() == laid.schema.simpleString()
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, laid.collect()))
+
+
+def test_a_stream_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert st_blocks(spark, str(tmp_path)).count() == 0
