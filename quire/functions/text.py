@@ -140,6 +140,22 @@ def join_lines(lines: Column) -> Column:
     return F.when(F.size(lines) == 0, "").otherwise(F.aggregate(rest, state(F.lit(""), first), step, lambda s: F.concat(s["done"], s["last"])))
 
 
+def join_styles(lines: Column) -> Column:
+    """The styles of `join_lines`' text, a character of code for each of its characters. lines: an array of (text, styles)."""
+
+    def state(last: Column, done: Column, styles: Column) -> Column:
+        return F.struct(last.alias("last"), done.alias("done"), styles.alias("styles"))
+
+    def step(s: Column, line: Column) -> Column:
+        apart = F.when(s["last"].endswith("\x1f") | line["text"].startswith("\x1f"), "").otherwise("_")
+        joins = joins_without_hyphen(squeeze(s["last"]), squeeze(line["text"]))
+        healed = F.regexp_replace(s["last"], "[-\\u2010\\u00AD]\\z", "")
+        return F.when(joins, state(F.concat(healed, line["text"]), s["done"], F.concat(F.left(s["styles"], F.length(healed)), line["styles"]))).otherwise(state(line["text"], F.concat(s["done"], s["styles"], apart), line["styles"]))
+
+    first = F.get(lines, F.lit(0))
+    return F.aggregate(F.slice(lines, 2, F.size(lines)), state(first["text"], F.lit(""), first["styles"]), step, lambda s: F.concat(s["done"], s["styles"]))
+
+
 def filename_stem(raw: Column) -> Column:
     kept = F.regexp_replace(raw, r'[/\\?%*:|"<>\x00-\x1F\x7F]', "")
     return F.btrim(F.btrim(F.regexp_replace(kept, WS + "+", " "), F.lit(". ")))

@@ -24,7 +24,9 @@ from quire.functions.text import WS, join_verdict, let
 CELL_GAP, LEAST, MOST, DEFAULT = 1.2, 0.16, 1.0, 0.25
 CELL_BREAK = "\x1f"
 KEYS = ["doc_id", "page", "line_no"]
-RUN_FIELDS = ["x", "baseline_y", "run_no", "str", "em", "advance", "font_key", "em_chars"]
+RUN_FIELDS = ["x", "baseline_y", "run_no", "str", "em", "advance", "font_key", "em_chars", "bold", "italic", "mono"]
+#: Style codes: of plain text, and of what is put between runs.
+PLAIN, BETWEEN = "0", "_"
 #: What a text has too many spaces for, and the factors that move a threshold. Fixed values.
 TIGHTER, LOOSER, TRIES = 1.4, 0.7, 2
 
@@ -106,15 +108,25 @@ def own_ratio(held: Column) -> Column:
     return F.coalesce(space_ratio(held), cluster_ratio(held))
 
 
-def joined(runs: Column, held: Column, ratio: Column) -> Column:
+def joined(runs: Column, held: Column, ratio: Column, cell: str = CELL_BREAK, space: str = " ") -> Column:
     """The text of a line at a threshold."""
 
     def piece(g: Column) -> Column:
-        return F.concat(F.when(g["gap"] >= CELL_GAP, CELL_BREAK).when((g["gap"] >= F.greatest(ratio, F.lit(LEAST))) & ~g["spaced"], " ").otherwise(""), g["str"])
+        return F.concat(F.when(g["gap"] >= CELL_GAP, cell).when((g["gap"] >= F.greatest(ratio, F.lit(LEAST))) & ~g["spaced"], space).otherwise(""), g["str"])
 
     return F.concat(F.get(runs, F.lit(0))["str"], F.array_join(F.transform(held, piece), ""))
 
 
+def joined_styles(runs: Column, held: Column, codes: Column, ratio: Column) -> Column:
+    """The styles of a line's text, a character of code for each of its characters; codes: those of the runs. Null if no run has a style."""
+
+    def coded(run: Column, code: Column) -> Column:
+        return F.struct(F.repeat(code, F.length(run["str"])).alias("str"))
+
+    rest = F.zip_with(held, F.slice(codes, 2, F.size(codes)), lambda g, c: F.struct(g["gap"].alias("gap"), g["spaced"].alias("spaced"), F.repeat(c, F.length(g["str"])).alias("str")))
+    return F.when(F.exists(codes, lambda c: c != PLAIN), joined(F.zip_with(runs, codes, coded), rest, ratio, BETWEEN, BETWEEN))
+
+
 def joined_with_retries(runs: Column, held: Column, ratio: Column) -> Column:
     """Struct of text, ratio and uncertain: a line joined at a threshold, which is moved twice at most while the text has too many spaces or too few."""
 
@@ -193,7 +205,7 @@ def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def with_taken_thresholds(lines: DataFrame) -> DataFrame:
-    """lines (KEYS, runs, ...) with `found`: text, ratio and uncertain of each, thresholds passed on among a document's lines that begin with one font and size. `runs` and `gaps` are given up.
+    """lines (KEYS, runs, ...) with `found`: text, ratio and uncertain of each, thresholds passed on among a document's lines that begin with one font and size; and `styles`, of `codes`. `runs` and `codes` are given up.
 
     All windows have the document as partition. The Python part reads the lines in the order of the last
     window; it gets pieces only of lines whose kind had a threshold moved.
@@ -218,4 +230,5 @@ def with_taken_thresholds(lines: DataFrame) -> DataFrame:
     # not deterministic, lest the order it reads in be thought of no use
     redone = sorted_lines.withColumn("redone", _in_order.asNondeterministic()("pieces"))
     found = F.when(F.col("redone.text").isNotNull(), F.col("redone")).otherwise(F.coalesce("settled", "rest"))
-    return redone.withColumn("found", found).select(*[c for c in lines.columns if c != "runs"], "found")
+    styles = joined_styles(F.col("runs"), F.col("gaps"), F.col("codes"), F.col("found.ratio"))
+    return redone.withColumn("found", found).withColumn("styles", styles).select(*[c for c in lines.columns if c not in ("runs", "codes")], "styles", "found")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import squeeze, xml_escape, xml_sanitize, xml_text
+from quire.functions.text import WS, let, squeeze, xml_escape, xml_sanitize, xml_text
 
 #: Styles from the outermost element to the innermost. Fixed values.
 STYLES = {"b": "strong", "i": "em", "code": "code", "sub": "sub", "sup": "sup"}
@@ -25,6 +25,40 @@ def merge_runs(runs: DataFrame, block: list[str], order: list[str]) -> DataFrame
     return marked.groupBy(*block, "ord", "style").agg(F.array_join(pieces, " ").alias("s")).select(*block, "ord", "s", *[F.col(f"style.{c}").alias(c) for c in STYLES])
 
 
+INLINE = "struct<t:string,s:string,b:boolean,i:boolean,code:boolean,sub:boolean,sup:boolean>"
+
+
+def cut_inlines(text: Column, styles: Column) -> Column:
+    """The inlines of a text: stretches of one style, white space squeezed as in the whole. styles: a code for each character, `_` for what was put between runs; null if there are none.
+
+    A space between runs of one style has that style, else it stays plain if a side is, else it goes with what is before it.
+    """
+    settled = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(styles, r"(.)_(?=\1)", "$1$1"), "0_", "00"), "_0", "00"), r"(.)_", "$1$1")
+
+    def cut(stretches: Column) -> Column:
+        start = F.struct(F.lit(1).alias("at"), F.lit(True).alias("spaced"), F.array().cast("array<struct<code:string,s:string>>").alias("out"))
+
+        def step(state: Column, stretch: Column) -> Column:
+            piece = F.regexp_replace(F.translate(F.substring(text, state["at"], F.length(stretch)), "\x1f", " "), WS + "+", " ")
+            kept = F.when(state["spaced"] & piece.startswith(" "), F.substr(piece, F.lit(2))).otherwise(piece)
+            grown = F.concat(state["out"], F.array(F.struct(F.left(stretch, F.lit(1)).alias("code"), kept.alias("s"))))
+            return F.struct((state["at"] + F.length(stretch)).alias("at"), F.when(kept == "", state["spaced"]).otherwise(kept.endswith(" ")).alias("spaced"), F.when(kept == "", state["out"]).otherwise(grown).alias("out"))
+
+        def ended(state: Column) -> Column:
+            n = F.size(state["out"])
+            whole = F.transform(state["out"], lambda p, k: F.struct(p["code"].alias("code"), F.when(k == n - 1, F.rtrim(p["s"])).otherwise(p["s"]).alias("s")))
+            return F.filter(whole, lambda p: p["s"] != "")
+
+        return F.aggregate(stretches, start, step, ended)
+
+    def inline(s: Column, mask: Column) -> Column:
+        return F.struct(F.lit("text").alias("t"), s.alias("s"), *[F.when(F.getbit(mask, F.lit(k)) == 1, True).alias(c) for k, c in enumerate(STYLES)])
+
+    several = F.transform(let(F.regexp_extract_all(settled, F.lit(r"(?s)((.)\2*)"), 1), cut), lambda p: inline(p["s"], F.ascii(p["code"]) - 48))
+    plain = let(squeeze(text), lambda s: F.filter(F.array(inline(s, F.lit(0))), lambda i: i["s"] != ""))
+    return F.when(styles.isNull(), plain).otherwise(several)
+
+
 def styled_markup(text: Column, styles: dict[str, Column]) -> Column:
     """Escaped text in the elements of its styles."""
 

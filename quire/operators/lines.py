@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import detrack, let, strip
-from quire.operators.glyph_join import collect_lines, median_of, with_taken_thresholds
+from quire.operators.glyph_join import PLAIN, collect_lines, median_of, with_taken_thresholds
 
 #: Runs closer than this share of the larger em lie on one line, as tenths.
 SAME_LINE_TENTHS = 4
@@ -121,7 +121,7 @@ def page_warnings(runs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def assemble_lines(runs: DataFrame) -> DataFrame:
-    """Lines of the readable pages: facts, modal em, text with the threshold it was joined at, whether that is uncertain, whether letters were set apart, and the runs that are sup or sub.
+    """Lines of the readable pages: facts, modal em, text with the threshold it was joined at, whether that is uncertain, whether letters were set apart, the runs that are sup or sub, and the styles of its characters.
 
     A line's runs are collected once; all windows have the document or its page as partition.
     """
@@ -135,5 +135,12 @@ def assemble_lines(runs: DataFrame) -> DataFrame:
     small = F.exists("runs", lambda r: r["em"] < F.col("em") * SCRIPT_SIZE)
     marks = F.filter(F.transform("runs", lambda r: F.struct(r["run_no"].alias("run_no"), script_of(r, F.col("em"), F.col("baseline_y")).alias("script"))), lambda m: m["script"].isNotNull())
     marked = lines.withColumn("scripts", F.when(small, marks).otherwise(F.array().cast("array<struct<run_no:int,script:string>>")))
-    found = with_taken_thresholds(marked)
+    flags = [(c, 2**k) for k, c in enumerate(("bold", "italic", "mono")) if c in runs.columns]
+
+    def code(r: Column) -> Column:
+        mask = sum((F.coalesce(r[c], F.lit(False)).cast("int") * bit for c, bit in flags), F.lit(0))
+        script = script_of(r, F.col("em"), F.col("baseline_y"))
+        return F.char(F.ascii(F.lit(PLAIN)) + mask + F.when(script == "sub", 8).when(script == "sup", 16).otherwise(0))
+
+    found = with_taken_thresholds(marked.withColumn("codes", F.transform("runs", code)))
     return found.select(*[c for c in found.columns if c != "found"], "found.*")

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import LIST_MARKER, join_lines, squeeze, strip, unclosed_delimiter
+from quire.functions.text import LIST_MARKER, join_lines, join_styles, squeeze, strip, unclosed_delimiter
+from quire.operators.inlines import INLINE, cut_inlines
 
 #: Shares of the leading and the em that end a paragraph.
 LOOSE, INDENT, SHORT, RESIZED = 1.35, 0.5, 2.5, 0.1
@@ -57,16 +58,22 @@ def confidence(conf: Column) -> Column:
 
 
 def blocks(lines: DataFrame) -> DataFrame:
-    """One row per block in document order: kind (h, list, p), level, joined text, first page, bounds and lines."""
+    """One row per block in document order: kind (h, list, p), level, joined text, its inlines by style, first page, bounds and lines."""
     marked = mark_breaks(lines)
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
     numbered = marked.withColumn("ord", (F.sum(F.col("breaks").cast("int")).over(order) - 1).cast("int"))
     texts = F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", "text"))), lambda s: s["text"])
-    grouped = numbered.groupBy("doc_id", "ord").agg(
-        F.min("page").alias("page"), F.min_by("heading_level", F.struct("page", "line_no")).alias("level"), join_lines(texts).alias("text"), F.count("*").alias("n_lines"),
+    coded = numbered.withColumn("codes", F.coalesce("styles", F.repeat(F.lit("0"), F.length("text")))) if "styles" in lines.columns else numbered.withColumn("codes", F.lit(None).cast("string"))
+    styled = F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", "text", F.col("codes").alias("styles")))), lambda s: F.struct(s["text"].alias("text"), s["styles"].alias("styles")))
+    grouped = coded.groupBy("doc_id", "ord").agg(
+        F.min("page").alias("page"), F.min_by("heading_level", F.struct("page", "line_no")).alias("level"), join_lines(texts).alias("text"), F.when(F.bool_or(F.regexp_like("codes", F.lit("[^0_]"))), join_styles(styled)).alias("styles"), F.count("*").alias("n_lines"),
         F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
     ).filter(strip(F.col("text")) != "")
     marker = F.col("text").rlike(LIST_MARKER)
     kind = F.when(F.col("level") > 0, "h").when(marker, "list").otherwise("p")
     start = F.regexp_extract("text", r"^(\d+)[.)]\s+", 1)
-    return grouped.withColumn("kind", kind).withColumn("ordered", F.when(kind == "list", start != "")).withColumn("list_start", F.when((kind == "list") & (start != ""), start.cast("int"))).withColumn("text", F.when(kind == "list", F.regexp_replace("text", LIST_MARKER, "")).otherwise(F.col("text")))
+    kinds = grouped.withColumn("kind", kind).withColumn("ordered", F.when(kind == "list", start != "")).withColumn("list_start", F.when((kind == "list") & (start != ""), start.cast("int")))
+    # the marker is taken off the text and its styles alike
+    plain = F.when(F.col("kind") == "list", F.regexp_replace("text", LIST_MARKER, "")).otherwise(F.col("text"))
+    bare = kinds.withColumn("styles", F.substr("styles", F.length("text") - F.length(plain) + 1)).withColumn("text", plain)
+    return bare.withColumn("inlines", cut_inlines(F.col("text"), F.col("styles")).cast(f"array<{INLINE}>")).drop("styles")

@@ -145,6 +145,18 @@ def b7_inlines(s: SparkSession, d: str) -> DataFrame:
     return inlines.merge_runs(_styled_runs(s, d), ["doc_id", "laid_line"], ["run_no"])
 
 
+def b7_block_inlines(s: SparkSession, d: str) -> DataFrame:
+    """The blocks' texts cut by style; every 11th word is slanted, every 13th fixed, short paragraphs are bold."""
+    n = F.col("run_no")
+    found = extract(runs(s, d).withColumn("italic", n % 11 == 3).withColumn("mono", n % 13 == 5)).blocks
+
+    def letters(style: str) -> Column:
+        return F.aggregate(F.filter("inlines", lambda i: i[style]), F.lit(0), lambda k, i: k + F.length(F.regexp_replace(i["s"], T.WS, ""))).alias(f"n_{style}")
+
+    whole = F.array_join(F.transform("inlines", lambda i: i["s"]), "")
+    return found.select("doc_id", "ord", F.md5(whole).alias("text"), F.size("inlines").alias("n_inlines"), letters("b"), letters("i"), letters("code"))
+
+
 def z1_inline_markup(s: SparkSession, d: str) -> DataFrame:
     merged = inlines.merge_runs(_styled_runs(s, d), ["doc_id", "laid_line"], ["run_no"])
     return inlines.inline_markup(merged, ["doc_id", "laid_line"])
@@ -471,7 +483,7 @@ ALL: list[Query] = [
     runs_layout, w2_line_islands, a1_line_modal_em, a3_line_facts, a2_body_em, a5_leading, f4_scanned_pages, g2_join_fixed, g3_space_calibration,
     g4_cluster_calibration, g1_calibrated_text, l1_lines, l1_warnings, f5_heading_candidates, h1_headings, a9_numbering, b2_breaks, b1_blocks, x_text_checks, x11_list_markers,
     x12_dehyphenate, x1_xml_escape, x15_normalize_path, x16_split_fragment, k4_filename, m4_hue, t1_toc, c1_split_level, c3_merge, c4_size_guard, c5_chapters,
-    p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, z1_inline_markup, z1_links, z2_nested_blocks, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
+    p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, b7_block_inlines, z1_inline_markup, z1_links, z2_nested_blocks, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
     v3_synthesized_cover, v4_user_covers, w7_asset_names, x9_anchors, x7_detrack_partial, a11_warnings, a13_toc_facts, a15_confidence,
     j6_marked_content, n3_merge_adjacent, j10_dangling_links, a16_exactly_one, v_page_checks, a10_doc_stats, o7_title_fallback, rel_segment_revenue, rel_event_sessions,
     st_blocks, *package_checks.ALL,

@@ -202,6 +202,15 @@ UNION ALL SELECT doc_id, 0, 'letter-spacing', count(*) || CASE WHEN count(*) = 1
 b AS (SELECT doc_id, ord, min(page)::INT AS page, arg_min(heading_level, page * 1000 + line_no)::INT AS level, count(*) AS n_lines, string_agg(text, ' ' ORDER BY page, line_no) AS text FROM numbered_lines GROUP BY ALL),
 k AS (SELECT *, CASE WHEN level > 0 THEN 'h' WHEN regexp_matches(text, '{MARKER}') THEN 'list' ELSE 'p' END AS kind FROM b WHERE trim(text) <> '')
 SELECT doc_id, ord, page, kind, level, n_lines, length(CASE WHEN kind = 'list' THEN regexp_replace(text, '{MARKER}', '') ELSE text END)::BIGINT AS n_chars FROM k""",
+    "b7_block_inlines": rf"""WITH {BREAKS}, numbered_lines AS (SELECT *, (sum(CASE WHEN breaks THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page, line_no) - 1)::INT AS ord FROM broken),
+b AS (SELECT doc_id, ord, arg_min(heading_level, page * 1000 + line_no)::INT AS level, string_agg(text, ' ' ORDER BY page, line_no) AS text FROM numbered_lines GROUP BY ALL),
+k AS (SELECT doc_id, ord, level = 0 AND regexp_matches(text, '{MARKER}') AS listed, CASE WHEN level = 0 AND regexp_matches(text, '{MARKER}') THEN regexp_replace(text, '{MARKER}', '') ELSE text END AS text FROM b WHERE trim(text) <> ''),
+every_run AS (SELECT isl.doc_id, ord, isl.page, isl.line_no, isl.x, run_no, length(regexp_replace(str, '{WS}', '', 'g')) AS n, isl.bold AS b, run_no % 11 = 3 AS i, run_no % 13 = 5 AS c FROM isl JOIN numbered_lines USING (doc_id, page, line_no)),
+-- a list's marker is its first run
+styled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY page, line_no, x, run_no) AS place FROM every_run JOIN k USING (doc_id, ord)) WHERE NOT (listed AND place = 1)),
+stretches AS (SELECT *, CASE WHEN lag((b, i, c)) OVER (PARTITION BY doc_id, ord ORDER BY page, line_no, x, run_no) IS DISTINCT FROM (b, i, c) THEN 1 ELSE 0 END AS fresh FROM styled)
+SELECT k.doc_id, k.ord, md5({squeezed("k.text")}) AS text, sum(fresh)::INT AS n_inlines, sum(CASE WHEN b THEN n ELSE 0 END)::INT AS n_b, sum(CASE WHEN i THEN n ELSE 0 END)::INT AS n_i, sum(CASE WHEN c THEN n ELSE 0 END)::INT AS n_code
+FROM k JOIN stretches s ON s.doc_id = k.doc_id AND s.ord = k.ord GROUP BY ALL""",
     "x_text_checks": rf"""WITH p AS (SELECT *, list_reduce(list_prepend(0, {GLYPHS}), lambda a, c: CASE WHEN c = 0 THEN a WHEN c = -1 THEN a % 100000 ELSE (a // 100000 + 1) * 100000 + greatest(a % 100000, a // 100000 + 1) END) % 100000 AS best,
   list_filter(string_split_regex(translate(t, chr(31), ' '), '{WS}+'), lambda x: x <> '') AS tokens FROM {PARTS}),
 q AS (SELECT *, best >= 4 AND NOT list_has_any(string_split(t, ' '), ['=', '+', '*', '/', '<', '>', '±', '×', '÷', '≤', '≥', '≠']) AS tracked, length(regexp_replace(t, '{WS}', '', 'g')) AS letters FROM p)

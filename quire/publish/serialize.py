@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import squeeze, xml_text
+from quire.operators.inlines import STYLES, styled_markup
 from quire.operators.toc import build_toc, chapter_groups, chapters, guard_size, merge_tiny
 
 XML = '<?xml version="1.0" encoding="UTF-8"?>\n'
 MIME = "application/xhtml+xml"
 
 
-def block_markup(kind: Column, level: Column, text: Column, block_id: Column, ordered: Column, start: Column) -> Column:
-    body = xml_text(squeeze(text))
+def text_markup(blocks: DataFrame) -> Column:
+    """The text of a block in the elements of its inlines; blocks without them are plain."""
+    if "inlines" not in blocks.columns:
+        return xml_text(squeeze(F.col("text")))
+    return F.array_join(F.transform("inlines", lambda i: styled_markup(i["s"], {c: F.coalesce(i[c], F.lit(False)) for c in STYLES})), "")
+
+
+def block_markup(kind: Column, level: Column, body: Column, block_id: Column, ordered: Column, start: Column) -> Column:
     tag = F.when(ordered, "ol").otherwise("ul")
     number = F.when(ordered & (start != 1), F.concat(F.lit(' start="'), start.cast("string"), F.lit('"'))).otherwise("")
     heading = F.concat(F.lit("h"), level.cast("string"))
@@ -52,7 +59,7 @@ def package_files(blocks: DataFrame, meta: DataFrame, cover: bytes) -> DataFrame
     block_id = F.concat(F.lit("b"), F.col("ord").cast("string"))
     name = F.concat(F.lit("ch"), F.lpad(F.col("chapter_no").cast("string"), 3, "0"))
     placed = parts.withColumn("chapter_no", number)
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", block_markup(F.col("kind"), F.col("level"), F.col("text"), block_id, F.col("ordered"), F.col("list_start")).alias("m")))), lambda s: s["m"]), "\n")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", block_markup(F.col("kind"), F.col("level"), text_markup(parts), block_id, F.col("ordered"), F.col("list_start")).alias("m")))), lambda s: s["m"]), "\n")
     pages = placed.groupBy("doc_id", "chapter_no").agg(body.alias("body")).join(chapters(blocks, meta.select("doc_id", "title")).select("doc_id", "chapter_no", "title"), ["doc_id", "chapter_no"])
     pages = pages.withColumn("name", name)
 
