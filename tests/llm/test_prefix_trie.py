@@ -46,7 +46,7 @@ def run(spark, rows, parts=3, **options):
     return sorted(map(tuple, trie.prefix_trie(frame, **options).collect()), key=str)
 
 
-def random_rows(seed, n=140):
+def random_rows(seed, n=70):
     """Conversations that share beginnings of any length, copies among them."""
     r, made = random.Random(seed), []
     for c in r.sample(range(-60, 400), n):
