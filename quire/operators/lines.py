@@ -143,4 +143,5 @@ def assemble_lines(runs: DataFrame) -> DataFrame:
         return F.char(F.ascii(F.lit(PLAIN)) + mask + F.when(script == "sub", 8).when(script == "sup", 16).otherwise(0))
 
     found = with_taken_thresholds(marked.withColumn("codes", F.transform("runs", code)))
-    return found.select(*[c for c in found.columns if c != "found"], "found.*")
+    # Spark loses track of the partitioning in the ordered pass: lines, a tenth of the runs, are dealt once more, for all that follows
+    return found.select(*[c for c in found.columns if c != "found"], "found.*").repartition("doc_id")
