@@ -30,7 +30,7 @@ def squeeze(text: Column) -> Column:
 
 def xml_escape(text: Column, attribute: bool = False) -> Column:
     out = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.replace(F.replace(out, F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#39;")) if attribute else out
+    return F.replace(F.replace(out, F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&apos;")) if attribute else out
 
 
 def xml_sanitize(text: Column) -> Column:

@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["doc_id", "page"]
 
 
-def spans(items: DataFrame) -> DataFrame:
-    """Begin and end of every marked span: the k-th begin at a depth closes with the k-th end from it; ends without a begin are ignored, spans without an end stay open."""
-    order = Window.partitionBy(*KEYS).orderBy("seq")
-    level = F.sum(F.when(F.col("type") == "begin", 1).when(F.col("type") == "end", -1).otherwise(0)).over(order)
-    leveled = items.filter(F.col("type") != "text").withColumn("s", level)
+def tag_texts(items: DataFrame) -> DataFrame:
+    """The text items outside artifacts with all their columns, and `mcid`, the id of the nearest open span that has one.
+
+    items: doc_id, page, seq (its own on each page), type (text, begin, end; any other is passed over), str, mc_id, mc_tag. An end closes the last span still open; one
+    without such a span is ignored, and spans without an end stay open to the end of their page.
+
+    The stack of spans is replayed by windows over each page. At any depth the last begin is the one that is open, so an end
+    learns from it what it closes, and a text reads its id off the last begin at its own depth among the spans with ids.
+    """
+    page = Window.partitionBy(*KEYS).orderBy("seq")
+
+    def at(depth: str) -> Window:
+        return Window.partitionBy(*KEYS, depth).orderBy("seq")
+
+    begins = F.col("type") == "begin"
+    events = items.select(*KEYS, "seq", "type", F.struct("mc_id", F.coalesce(F.col("mc_tag") == "Artifact", F.lit(False)).alias("artifact")).alias("span"), F.struct("*").alias("item"))
+    level = F.sum(F.when(begins, 1).when(F.col("type") == "end", -1).otherwise(0)).over(page)
     # ends beyond the outermost span leave the depth at 0
-    deep = leveled.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(order)))
-    real = deep.withColumn("before", F.coalesce(F.lag("depth").over(order), F.lit(0))).filter((F.col("type") == "begin") | (F.col("depth") < F.col("before")))
-    inner = F.when(F.col("type") == "begin", F.col("depth")).otherwise(F.col("before"))
-    nth = Window.partitionBy(*KEYS, "type", "inner").orderBy("seq")
-    ranked = real.withColumn("inner", inner).withColumn("k", F.row_number().over(nth))
-    begins = ranked.filter(F.col("type") == "begin").select(*KEYS, "inner", "k", F.col("seq").alias("begin_seq"), "mc_id", "mc_tag")
-    ends = ranked.filter(F.col("type") == "end").select(*KEYS, "inner", "k", F.col("seq").alias("end_seq"))
-    return begins.join(ends, [*KEYS, "inner", "k"], "left").drop("k").withColumnRenamed("inner", "depth")
+    deep = events.withColumn("level", level).withColumn("depth", F.col("level") - F.least(F.lit(0), F.min("level").over(page)))
+    before = F.coalesce(F.lag("depth").over(page), F.lit(0))
+    touched = deep.withColumn("touched", F.when(begins, F.col("depth")).when(F.col("depth") < before, before))
+    met = touched.withColumn("met", F.when(F.col("touched").isNotNull(), F.last(F.when(begins, F.col("span")), ignorenulls=True).over(at("touched"))))
 
+    def still_open(counted: Column) -> Column:
+        return F.sum(F.when(F.col("met").isNull() | ~counted, 0).when(begins, 1).otherwise(-1)).over(page)
 
-def tag_texts(items: DataFrame) -> DataFrame:
-    """The text items outside artifacts, with the id of the nearest open span that has one: an interval join on document and page."""
-    texts = items.filter((F.col("type") == "text") & (F.col("str") != ""))
-    open_spans = spans(items).select(F.col("doc_id").alias("d"), F.col("page").alias("p"), "begin_seq", F.coalesce("end_seq", F.lit(2**31 - 1)).alias("end_seq"), F.col("mc_id").alias("span_id"), F.col("mc_tag").alias("span_tag"))
-    met = texts.join(open_spans, (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & F.col("seq").between(F.col("begin_seq"), F.col("end_seq")), "left")
-    nearest = F.max_by(F.col("span_id"), F.when(F.col("span_id").isNotNull(), F.col("begin_seq")))
-    return met.groupBy(*KEYS, "seq", "str").agg(nearest.alias("mcid"), F.coalesce(F.bool_or(F.col("span_tag") == "Artifact"), F.lit(False)).alias("artifact")).filter(~F.col("artifact")).drop("artifact")
+    held = met.withColumn("artifacts", still_open(F.col("met.artifact"))).withColumn("named", still_open(F.col("met.mc_id").isNotNull()))
+    nearest = F.last(F.when(begins, F.col("span.mc_id")), ignorenulls=True).over(at("named"))
+    tagged = held.withColumn("mcid", F.when(F.col("named") > 0, nearest))
+    return tagged.filter((F.col("type") == "text") & (F.col("item.str") != "") & (F.col("artifacts") == 0)).select("item.*", "mcid")

@@ -24,11 +24,12 @@ def text_runs(items: DataFrame, styles: DataFrame, viewports: DataFrame) -> Data
 
     items: doc_id, page, seq, type (text, begin, end), str, transform, width, height, font_name, mc_id, mc_tag; styles: doc_id, page, font_name, family;
     viewports: doc_id, page, viewport. Items without text or with a short transform are left out; a font without style stands for its own family.
+    A page without a viewport gives runs without a place. Items are dealt once, by page; the styles of a page come to them as one list.
     """
     sound = items.filter((F.col("type") != "text") | ((F.col("str") != "") & (F.size("transform") >= 6)))
-    kept = tag_texts(sound).select(*KEYS, "seq", "mcid")
-    texts = sound.filter("type = 'text'").select(*KEYS, "seq", "str", "transform", "width", "height", "font_name")
-    styled = texts.join(kept, [*KEYS, "seq"]).join(styles, [*KEYS, "font_name"], "left").join(viewports, KEYS)
-    family = F.coalesce("family", "font_name")
+    fonts = styles.groupBy(*KEYS).agg(F.sort_array(F.collect_set(F.struct("font_name", "family"))).alias("fonts"))
+    styled = tag_texts(sound).join(fonts, KEYS, "left").join(viewports, KEYS, "left")
+    own = F.get(F.filter("fonts", lambda f: f["font_name"] == F.col("font_name")), F.lit(0))
+    family = F.coalesce(own["family"], "font_name")
     placed = styled.withColumn("box", canonical(F.col("viewport"), F.col("transform"), F.col("width"), F.col("height")))
     return placed.select(*KEYS, F.col("seq").alias("run_no"), "str", "box.*", F.col("box.w").alias("advance"), F.concat_ws("|", family, "font_name").alias("font_key"), *font_styles(family, F.col("font_name")), "mcid")

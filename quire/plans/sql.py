@@ -221,7 +221,7 @@ SELECT doc_id, k, regexp_matches(line, '{MARKER}') AS listed, nullif(regexp_extr
     "x12_dehyphenate": rf"""WITH w AS (SELECT doc_id, k, list_filter(string_split(regexp_replace(t, '[^\p{{L}} ]', ' ', 'g'), ' '), lambda x: length(x) > 3) AS w FROM {PARTS})
 SELECT doc_id, k, coalesce(array_to_string(list_transform(w, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND (lower(left(x, 2)) IN ('co', 're', 'ex') OR NOT regexp_matches(substr(x, 3), '^\p{{Ll}}')) THEN left(x, 2) || '- ' || substr(x, 3) ELSE x END), ' '), '') AS text FROM w""",
     "x1_xml_escape": r"""SELECT page_id, md5(replace(replace(replace(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{009F}\x{FFFE}\x{FFFF}]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS body,
-  replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS attribute FROM pages""",
+  replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS attribute FROM pages""",
     "x15_normalize_path": r"""SELECT page_id, array_to_string(list_reduce(list_transform(list_prepend('', string_split('OEBPS/./text/../' || regexp_extract(url, '://[^/]*/?([^?#]*)', 1) || '//img/../c.xhtml', '/')), lambda x: CASE WHEN x IN ('', '.') THEN []::VARCHAR[] ELSE [x] END),
   lambda a, x: CASE WHEN x = ['..'] THEN list_slice(a, 1, len(a) - 1) ELSE list_concat(a, x) END), '/') AS path FROM pages""",
     "x16_split_fragment": "SELECT page_id, string_split(url, '#')[1] AS path, CASE WHEN contains(url, '#') THEN substr(url, instr(url, '#') + 1) END AS fragment FROM pages",

@@ -37,7 +37,7 @@ def stacked(*lines: str) -> str:
 
 
 SQL: dict[str, str] = {
-    "z2_nested_blocks": f"""WITH e AS (SELECT doc_id, k, t, length(t) AS n, {squeezed("t")} = '' AS blank, {xml_text("t")} AS x, replace(replace({xml_text("t")}, '"', '&quot;'), '''', '&#39;') AS a, CASE WHEN length(t) % 2 = 1 THEN ' class="align-right"' ELSE '' END AS al, 'images/' || length(t) || '.png' AS href,
+    "z2_nested_blocks": f"""WITH e AS (SELECT doc_id, k, t, length(t) AS n, {squeezed("t")} = '' AS blank, {xml_text("t")} AS x, replace(replace({xml_text("t")}, '"', '&quot;'), '''', '&apos;') AS a, CASE WHEN length(t) % 2 = 1 THEN ' class="align-right"' ELSE '' END AS al, 'images/' || length(t) || '.png' AS href,
   CASE WHEN length(t) % 2 = 0 THEN 'ol' ELSE 'ul' END AS l, CASE WHEN length(t) % 2 = 0 AND length(t) % 3 <> 1 THEN ' start="' || length(t) % 3 || '"' ELSE '' END AS st FROM {PARTS}),
 m AS (SELECT doc_id, k, CASE k % 7
   WHEN 0 THEN CASE WHEN blank THEN '' ELSE '<p' || al || '>' || x || '</p>' END
@@ -67,7 +67,7 @@ SELECT doc_id, page, em, level::INT AS level FROM l""",
 c AS (SELECT *, CASE WHEN code THEN '<code>' || x2 || '</code>' ELSE x2 END AS x3 FROM q), m AS (SELECT *, CASE WHEN i THEN '<em>' || x3 || '</em>' ELSE x3 END AS x4 FROM c)
 SELECT doc_id, laid_line, string_agg(CASE WHEN b THEN '<strong>' || x4 || '</strong>' ELSE x4 END, '' ORDER BY ord) AS markup FROM m GROUP BY ALL""",
     "z1_links": f"""WITH h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
-f AS (SELECT *, length(href) AS n, {xml_text("href")} AS x, replace(replace({xml_text("href")}, '"', '&quot;'), '''', '&#39;') AS a FROM h),
+f AS (SELECT *, length(href) AS n, {xml_text("href")} AS x, replace(replace({xml_text("href")}, '"', '&quot;'), '''', '&apos;') AS a FROM h),
 w AS (SELECT *, CASE WHEN n % 2 = 0 THEN 'width:' || {decimals("n / 7::DOUBLE")} || 'em' END AS w, CASE WHEN n % 5 = 0 THEN 'vertical-align:' || {decimals("-(n / 900::DOUBLE) * 100")} || '%' END AS v FROM f)
 SELECT page_id, href, CASE WHEN regexp_matches(href, '(?i)^(https?:|mailto:)') THEN '<a href="' || a || '">' || x || '</a>' ELSE '<span>' || x || '</span>' END AS link,
   CASE WHEN n % 3 = 0 THEN '' ELSE '<img src="images/' || n || '.png" alt="' || a || '" class="inline-math"' || CASE WHEN w IS NULL AND v IS NULL THEN '' ELSE ' style="' || concat_ws(';', w, v) || '"' END || '/>' END AS image FROM w""",
