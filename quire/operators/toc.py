@@ -67,8 +67,10 @@ def json_length(value: Column) -> Column:
 def block_weight(blocks: DataFrame) -> Column:
     """How large a block comes out, roughly: the characters of its JSON for paragraphs, headings, lists, tables and quotes, its text for code, a constant for the rest.
 
-    A column `inlines` of blocks, if there is one, is measured as it is; else the text counts as one plain inline.
+    A column `weight` of blocks, if there is one, is taken as it is, and a column `inlines` measured; else the text counts as one plain inline.
     """
+    if "weight" in blocks.columns:
+        return F.col("weight")
     plain = F.array(F.struct(F.lit("text").alias("t"), F.col("text").alias("s")))
     held = F.col("inlines") if "inlines" in blocks.columns else plain
     kind = F.col("kind")
@@ -101,7 +103,11 @@ def guard_size(merged: DataFrame, largest: int = LARGEST) -> DataFrame:
 
 def chapters(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """One row per chapter part: number, id, href, title, continuation, blocks. titles: doc_id, title."""
-    parts = guard_size(merge_tiny(chapter_groups(blocks)))
+    return chapters_of(guard_size(merge_tiny(chapter_groups(blocks))), titles)
+
+
+def chapters_of(parts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """The chapters of blocks that are divided already."""
     first = F.struct("ord")
     heading = F.when((F.col("kind") == "h") & (F.col("level") == F.col("split_level")) & (strip(F.col("text")) != ""), F.col("text"))
     title = parts.groupBy("doc_id", "chapter").agg(F.min_by(heading, first).alias("heading"))

@@ -4,7 +4,7 @@ nodes: one row per block, list item, table section, row and cell, with
 `doc_id`, `node`, `parent` (null at the top), `depth` (0 at the top), `ord`
 among its siblings, `kind`, and the fields of its kind, null elsewhere:
 
-* h: level, anchor, inline (markup); p: inline, align; code, pre: text; pre: href of a snapshot
+* h: level, anchor (the id it bears), inline (markup); p: inline, align; code, pre: text; pre: href of a snapshot
 * figure: href, alt, inline (the caption); list: ordered, start; table: inline (the caption)
 * cell: in_head, header, colspan, rowspan, align; pagebreak: page (from 0), label
 * item, thead, tbody, row, quote, rule: none
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import squeeze, xml_text
 from quire.operators.inlines import attributes, void_tag
+from quire.operators.toc import PLAIN_WEIGHT
 
 FIELDS = {
     "kind": "string", "level": "int", "anchor": "string", "inline": "string", "text": "string", "align": "string", "href": "string", "alt": "string", "ordered": "boolean",
@@ -96,10 +97,13 @@ def node_markup() -> Column:
     )
 
 
+def depth_of(nodes: DataFrame) -> int:
+    return nodes.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+
+
 def nested_markup(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
     """(doc_id, node, ord, markup) of the blocks at the top; empty markup is kept. deepest: the largest depth, read off the nodes if not given."""
-    if deepest is None:
-        deepest = nodes.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    deepest = depth_of(nodes) if deepest is None else deepest
     given = set(nodes.columns)
     fields = F.struct(*[(F.col(c) if c in given else F.lit(None)).cast(t).alias(c) for c, t in FIELDS.items()])
     tree = nodes.select("doc_id", "node", "parent", F.col("depth").cast("int").alias("depth"), F.col("ord").cast("int").alias("ord"), fields.alias("f"), F.array().cast(CHILD).alias("children")).repartition("doc_id")
@@ -112,3 +116,56 @@ def nested_markup(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
         folded = rows.groupBy("doc_id", "node").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list("child")).alias("children"))
         tree = folded.select("doc_id", "node", "own.parent", "own.depth", "own.ord", "own.f", "children")
     return tree.withColumn("inner", inner).select("doc_id", "node", "ord", markup.alias("markup"))
+
+
+#: Nodes that are no blocks and so name no kind as JSON, and what the array of a node's children is called there if not `blocks`. Fixed values.
+PARTS = ("item", "row", "cell")
+ARRAYS = {"list": "items", "row": "cells"}
+
+
+def own_json() -> Column:
+    """Characters of a node's own fields as JSON, nulls left out."""
+    kind = F.when(~F.col("kind").isin(*PARTS), F.col("kind")).alias("kind")
+    return F.length(F.to_json(F.struct(kind, *[c for c in FIELDS if c not in ("kind", "anchor", "inline", "in_head")], "inlines")))
+
+
+def tree_facts(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
+    """(doc_id, node, top, top_ord, weight) of every node: the block at the top that it lies in, that block's place, and how large that block comes out.
+
+    nodes: as for the markup, with `inlines` (an array) beside or instead of `inline`; every parent is a row. Paragraphs and headings weigh the characters
+    of their inlines as JSON, code and fallbacks their text, lists and tables what they hold as JSON, quotes what their blocks weigh, all else a constant.
+
+    The same fold as the markup's, from the deepest level up; it carries sizes and the ids of a block's nodes, so no node looks for its top by a join.
+    """
+    deepest = depth_of(nodes) if deepest is None else deepest
+    given = set(nodes.columns)
+    wanted = [(F.col(c) if c in given else F.lit(None)).cast(t).alias(c) for c, t in FIELDS.items()]
+    held = F.col("inlines") if "inlines" in given else F.lit(None).cast("array<string>")
+    plain = nodes.select("doc_id", "node", "parent", F.col("depth").cast("int").alias("depth"), F.col("ord").cast("int").alias("ord"), *wanted, held.alias("inlines"))
+    own = plain.select("doc_id", "node", F.struct("parent", "depth", "ord", "kind", own_json().alias("json"), F.coalesce(F.length(F.to_json("inlines")), F.lit(2)).alias("inlines"), F.coalesce(F.length("text"), F.lit(0)).alias("text")).alias("own"))
+    none = F.lit(0).cast("long")
+    tree = own.select("doc_id", "node", "own", F.lit(0).cast("long").alias("n"), none.alias("json"), none.alias("weight"), *[F.lit(2).cast("long").alias(c) for c in ("head", "body")], F.array("node").alias("nodes")).repartition("doc_id")
+    kind, listed = F.col("own.kind"), 2 + F.col("json") + F.greatest(F.col("n") - 1, F.lit(0))
+    array = F.lit(3) + F.coalesce(F.create_map(*[F.lit(v) for k, name in ARRAYS.items() for v in (k, len(name))])[kind], F.lit(len("blocks"))) + F.when(F.col("own.json") > 2, 1).otherwise(0)
+    sections = F.col("head") + F.col("body")
+    json = (
+        F.when(kind.isin("thead", "tbody"), listed).when(kind == "table", F.col("own.json") + len(',"head":,"body":') + sections)
+        .when(kind.isin(*PARTS, "list", "quote"), F.col("own.json") + array + listed).otherwise(F.col("own.json"))
+    )
+    weight = (
+        F.when(kind.isin("p", "h"), F.col("own.inlines")).when(kind.isin("code", "pre"), F.col("own.text")).when(kind == "list", listed)
+        .when(kind == "table", sections).when(kind == "quote", F.col("weight")).otherwise(PLAIN_WEIGHT)
+    )
+    for depth in range(deepest, 0, -1):
+        at = F.col("own.depth") == depth
+        rows = tree.select("doc_id", F.when(at, F.col("own.parent")).otherwise(F.col("node")).alias("node"), F.when(~at, F.col("own")).alias("own"), at.alias("at"), kind.alias("kind"), json.alias("json"), weight.alias("weight"), "nodes")
+
+        def total(c: str, of: Column, least: int = 0) -> Column:
+            return F.coalesce(F.sum(F.when(F.col("at") & of, F.col(c))), F.lit(least)).cast("long")
+
+        every = F.lit(True)
+        tree = rows.groupBy("doc_id", "node").agg(
+            F.first("own", ignorenulls=True).alias("own"), F.count_if("at").alias("n"), total("json", every).alias("json"), total("weight", every).alias("weight"),
+            total("json", F.col("kind") == "thead", 2).alias("head"), total("json", F.col("kind") == "tbody", 2).alias("body"), F.flatten(F.collect_list("nodes")).alias("nodes"),
+        )
+    return tree.select("doc_id", F.explode("nodes").alias("node"), F.col("node").alias("top"), F.col("own.ord").alias("top_ord"), weight.cast("long").alias("weight"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quire", **conf: str) -> SparkSession:
@@ -18,3 +20,14 @@ def session(app: str = "quire", **conf: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows that several plans read, worked out once: checkpointed in the folder that `spark.checkpoint.dir` names; only in local mode in one of our own if there is none."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoints-"))
+    return rows.checkpoint()

@@ -3,7 +3,7 @@
 import pytest
 
 from quire.plans.extract import extract
-from quire.publish.serialize import package_files
+from quire.publish.serialize import block_nodes, package_files
 from tests.test_thresholds import FILL as SHORT
 from tests.test_thresholds import RUN
 
@@ -71,7 +71,7 @@ def test_scripts_and_plain_text(inlines):
 
 def test_packages_hold_the_inlines(spark, found):
     meta = spark.createDataFrame([(k, "T", "en", "A", "12345678-1234-1234-1234-123456789abc", "2024-01-02T03:04:05Z") for k in range(1, 6)], "doc_id long, title string, language string, creator string, uuid string, modified string")
-    pages = {r["doc_id"]: bytes(r["data"]).decode() for r in package_files(found, meta, b"").filter("path LIKE '%ch000.xhtml'").collect()}
+    pages = {r["doc_id"]: bytes(r["data"]).decode() for r in package_files(block_nodes(found), meta, b"").filter("path LIKE '%ch000.xhtml'").collect()}
     assert "<p><strong>let</strong>ter here <em>and there </em><code>go</code> a line" in pages[1]
     assert "<em>mag</em>azine <strong>on</strong> a line" in pages[2]
-    assert "<ol><li><strong>First</strong> item a line" in pages[3] and "x<sup>2</sup> y" in pages[4]
+    assert "<ol>\n  <li><strong>First</strong> item a line" in pages[3] and "x<sup>2</sup> y" in pages[4]
