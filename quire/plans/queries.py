@@ -162,7 +162,7 @@ def z1_inline_markup(s: SparkSession, d: str) -> DataFrame:
     return inlines.inline_markup(merged, ["doc_id", "laid_line"])
 
 
-def z2_nested_blocks(s: SparkSession, d: str) -> DataFrame:
+def _trees(s: SparkSession, d: str) -> DataFrame:
     """Each line of a document as one of seven trees: a paragraph, a quote, a list, a table, a figure, a table's fallback, or a heading with a page break."""
     parts = read_table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
     k, t, n = F.col("k"), T.xml_text(F.col("t")), F.length("t")
@@ -187,8 +187,17 @@ def z2_nested_blocks(s: SparkSession, d: str) -> DataFrame:
     ]
     chosen = F.array(*[F.when(shape == i, F.array(*nodes)) for i, nodes in enumerate(shapes)])
     each = parts.select("doc_id", "k", F.explode(F.get(F.array_compact(chosen), F.lit(0))).alias("n"))
-    nodes = each.select("doc_id", (k * 100 + F.col("n.i")).alias("node"), (k * 100 + F.col("n.up")).alias("parent"), "n.depth", F.col("n.i").alias("ord"), "n.f.*")
-    return nested_blocks.nested_markup(nodes, 4).select("doc_id", F.floor(F.col("node") / 100).cast("int").alias("k"), F.md5("markup").alias("markup"), F.length("markup").cast("long").alias("n_chars"))
+    return each.select("doc_id", (k * 100 + F.col("n.i")).alias("node"), (k * 100 + F.col("n.up")).alias("parent"), "n.depth", F.col("n.i").alias("ord"), "n.f.*")
+
+
+def z2_nested_blocks(s: SparkSession, d: str) -> DataFrame:
+    return nested_blocks.nested_markup(_trees(s, d), 4).select("doc_id", F.floor(F.col("node") / 100).cast("int").alias("k"), F.md5("markup").alias("markup"), F.length("markup").cast("long").alias("n_chars"))
+
+
+def n2_tree_facts(s: SparkSession, d: str) -> DataFrame:
+    """The top and weight of every node of the same trees."""
+    held = F.when(F.col("kind").isin("p", "h"), F.array(F.struct(F.lit("text").alias("t"), F.col("inline").alias("s"))))
+    return nested_blocks.tree_facts(_trees(s, d).withColumn("inlines", held), 4).select("doc_id", "node", "top", "weight")
 
 
 def z1_links(s: SparkSession, d: str) -> DataFrame:
@@ -483,7 +492,7 @@ ALL: list[Query] = [
     runs_layout, w2_line_islands, a1_line_modal_em, a3_line_facts, a2_body_em, a5_leading, f4_scanned_pages, g2_join_fixed, g3_space_calibration,
     g4_cluster_calibration, g1_calibrated_text, l1_lines, l1_warnings, f5_heading_candidates, h1_headings, a9_numbering, b2_breaks, b1_blocks, x_text_checks, x11_list_markers,
     x12_dehyphenate, x1_xml_escape, x15_normalize_path, x16_split_fragment, k4_filename, m4_hue, t1_toc, c1_split_level, c3_merge, c4_size_guard, c5_chapters,
-    p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, b7_block_inlines, z1_inline_markup, z1_links, z2_nested_blocks, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
+    p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, b7_block_inlines, z1_inline_markup, z1_links, z2_nested_blocks, n2_tree_facts, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
     v3_synthesized_cover, v4_user_covers, w7_asset_names, x9_anchors, x7_detrack_partial, a11_warnings, a13_toc_facts, a15_confidence,
     j6_marked_content, n3_merge_adjacent, j10_dangling_links, a16_exactly_one, v_page_checks, a10_doc_stats, o7_title_fallback, rel_segment_revenue, rel_event_sessions,
     st_blocks, *package_checks.ALL,

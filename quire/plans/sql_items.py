@@ -48,6 +48,11 @@ m AS (SELECT doc_id, k, CASE k % 7
   WHEN 5 THEN '<pre class="table-fallback">' || x || '</pre>' || CASE WHEN n % 3 = 0 THEN '' ELSE chr(10) || {stacked('<figure class="table-snapshot">', '  <img src="{href}" alt="Original table as it appeared in the PDF"/>', "</figure>")} END
   ELSE {stacked("<blockquote>", '  <h{(n % 6 + 1)} id="a{k}">{x}</h{(n % 6 + 1)}>', """  <span class="source-page" id="page-{(k + 1)}" epub:type="pagebreak" role="doc-pagebreak" aria-label="{CASE WHEN n % 2 = 0 THEN 'p. ' || k ELSE (k + 1)::VARCHAR END}"/>""", "</blockquote>")} END AS markup FROM e)
 SELECT doc_id, k, md5(markup) AS markup, length(markup) AS n_chars FROM m""",
+    "n2_tree_facts": f"""WITH e AS (SELECT doc_id, k, length(t) AS n, 19 + length(to_json({xml_text("t")})) AS held FROM {PARTS}),
+-- a paragraph as JSON has 23 characters more than its inlines
+w AS (SELECT *, CASE k % 7 WHEN 0 THEN held WHEN 1 THEN held + n WHEN 2 THEN 117 + 3 * (held + 23) WHEN 3 THEN 129 + CASE WHEN n % 2 = 0 THEN 4 ELSE 5 END + CASE WHEN n % 5 = 0 THEN 4 ELSE 5 END + 3 * (held + 23)
+  WHEN 4 THEN 32 WHEN 5 THEN n ELSE held + 32 END AS weight, [1, 3, 9, 12, 1, 1, 3][k % 7 + 1] AS nodes FROM e)
+SELECT doc_id, k * 100 + unnest(range(nodes))::INT AS node, k * 100 AS top, weight::BIGINT AS weight FROM w""",
     "p4_text_runs": f"""WITH {RUNS}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY run_no) - 1 AS n FROM runs),
 u AS (SELECT *, CASE WHEN n % 5 = 0 THEN em ELSE 0.8 * em END::DOUBLE AS h, CASE WHEN bold THEN 'Serif|g1-Bold' WHEN n % 50 = 1 THEN 'Courier New|g2' WHEN n % 70 = 2 THEN 'Sans Oblique|g3' ELSE 'g4|g4' END AS font_key FROM t WHERE n % 101 <> 7 AND n % 103 <> 9 AND n % 45 > 4)
 SELECT doc_id, page, (n * 3 + 1)::INT AS run_no, str, x::DOUBLE AS x, round(baseline_y - h, 6)::DOUBLE AS y, advance::DOUBLE AS w, round(h, 6) AS h, baseline_y::DOUBLE AS baseline_y, em::DOUBLE AS em, n % 97 = 5 AS skewed, advance::DOUBLE AS advance, font_key,
