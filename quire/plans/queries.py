@@ -13,7 +13,8 @@ from quire.operators import glyph_join, headings, inlines, lines, marked, metada
 from quire.operators import text_items as text_items_op
 from quire.plans import package_checks
 from quire.plans.extract import extract
-from quire.publish import covers, nested_blocks
+from quire.publish import covers, nested_blocks, serialize
+from quire.session import settled
 from quire.sources.layout import layout_runs, marked_items, mixed_runs, read_table, text_items, tracked_runs
 from quire.streaming import pages as page_stream
 
@@ -200,6 +201,23 @@ def n2_tree_facts(s: SparkSession, d: str) -> DataFrame:
     return nested_blocks.tree_facts(_trees(s, d).withColumn("inlines", held), 4).select("doc_id", "node", "top", "weight")
 
 
+def z4_package_documents(s: SparkSession, d: str) -> DataFrame:
+    """Package document, navigation, ncx and cover page of each document; authors, publishers and subjects come and go with its number."""
+    blocks, i = _toc_blocks(s, d), F.col("doc_id")
+    inline = F.array(F.struct(F.lit("text").alias("t"), F.col("text").alias("s")))
+    mark = F.when(F.col("kind") == "h", F.concat(F.lit("b"), "ord"))
+    tree = serialize.complete(blocks.select("doc_id", F.col("ord").cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"), "ord", "kind", "level", mark.alias("anchor"), inline.alias("inlines")))
+    # navigation, ncx and the package document all read the places
+    placed = settled(serialize.place_blocks(tree, nested_blocks.tree_facts(tree, 0)))
+    authors = F.when(i % 3 == 1, F.array("lang")).when(i % 3 == 2, F.array(F.col("lang"), F.lit("B <b>")))
+    given = read_table(s, d, "documents").select(
+        "doc_id", F.concat(F.lit("T & "), "source").alias("title"), authors.alias("authors"), F.col("lang").alias("language"), F.when(i % 2 == 1, "P").alias("publisher"), F.when(i % 5 == 0, F.array(F.lit("s1"), F.lit("s&2"))).alias("subjects"),
+        F.lpad(i.cast("string"), 36, "0").alias("uuid"), F.lit("2024-05-06 07:08:09").cast("timestamp").alias("modified"),
+    )
+    texts = serialize.package_texts(placed, serialize.resolve_meta(given))
+    return texts.select("doc_id", *[F.md5(c).alias(c) for c in ("opf", "nav", "ncx", "cover")])
+
+
 def z1_links(s: SparkSession, d: str) -> DataFrame:
     """Links of pages: outside ones stay links; and images in the line, every third without a file."""
     h = _hrefs(s, d)
@@ -492,7 +510,7 @@ ALL: list[Query] = [
     runs_layout, w2_line_islands, a1_line_modal_em, a3_line_facts, a2_body_em, a5_leading, f4_scanned_pages, g2_join_fixed, g3_space_calibration,
     g4_cluster_calibration, g1_calibrated_text, l1_lines, l1_warnings, f5_heading_candidates, h1_headings, a9_numbering, b2_breaks, b1_blocks, x_text_checks, x11_list_markers,
     x12_dehyphenate, x1_xml_escape, x15_normalize_path, x16_split_fragment, k4_filename, m4_hue, t1_toc, c1_split_level, c3_merge, c4_size_guard, c5_chapters,
-    p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, b7_block_inlines, z1_inline_markup, z1_links, z2_nested_blocks, n2_tree_facts, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
+    p4_text_runs, p7_overlap, l2_scripts, h2_size_levels, b7_inlines, b7_block_inlines, z1_inline_markup, z1_links, z2_nested_blocks, n2_tree_facts, z4_package_documents, j4_internal_links, b8_metadata, s4_admission, p9_cover_sizes, v1_select_cover,
     v3_synthesized_cover, v4_user_covers, w7_asset_names, x9_anchors, x7_detrack_partial, a11_warnings, a13_toc_facts, a15_confidence,
     j6_marked_content, n3_merge_adjacent, j10_dangling_links, a16_exactly_one, v_page_checks, a10_doc_stats, o7_title_fallback, rel_segment_revenue, rel_event_sessions,
     st_blocks, *package_checks.ALL,

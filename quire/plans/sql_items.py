@@ -31,6 +31,44 @@ marks AS (SELECT *, concat(b, i, code, sub, sup) AS key FROM sty),
 isl AS (SELECT *, sum(CASE WHEN lag_key IS NULL OR lag_key <> key THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, laid_line ORDER BY run_no) - 1 AS ord FROM (SELECT *, lag(key) OVER (PARTITION BY doc_id, laid_line ORDER BY run_no) AS lag_key FROM marks)),
 inl AS (SELECT doc_id, laid_line, ord, string_agg(s, ' ' ORDER BY run_no) AS s, b, i, code, sub, sup FROM isl GROUP BY doc_id, laid_line, ord, b, i, code, sub, sup)"""
 
+def lined(*pieces: str) -> str:
+    """Texts and expressions (in brackets) as lines, null ones left out, with an end of line."""
+    return "concat_ws(chr(10), " + ", ".join(p if p.startswith("(") else "'" + p.replace("'", "''") + "'" for p in pieces) + ") || chr(10)"
+
+
+def page(title: str, head: str, attrs: str, *body: str) -> str:
+    opening = """('<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="' || lang || '" xml:lang="' || lang || '">')"""
+    return lined('<?xml version="1.0" encoding="utf-8"?>', "<!DOCTYPE html>", opening, "<head>", '  <meta charset="utf-8"/>', f"  <title>{title}</title>", head, "</head>", f"<body{attrs}>", *body, "</body>", "</html>")
+
+
+STAMP = "2024-05-06T07:08:09Z"
+XHTML = 'media-type="application/xhtml+xml"'
+OPF = lined(
+    '<?xml version="1.0" encoding="utf-8"?>', """('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="BookId" xml:lang="' || lang || '">')""",
+    '  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf">', """('    <dc:identifier id="BookId">urn:uuid:' || uuid || '</dc:identifier>')""", "('    <dc:title>' || title || '</dc:title>')",
+    """('    <dc:creator id="creator-0">' || CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE lang END || '</dc:creator>')""", '    <meta refines="#creator-0" property="role" scheme="marc:relators">aut</meta>',
+    """(CASE WHEN doc_id % 3 = 2 THEN '    <dc:creator id="creator-1">B &lt;b&gt;</dc:creator>' || chr(10) || '    <meta refines="#creator-1" property="role" scheme="marc:relators">aut</meta>' END)""",
+    "('    <dc:language>' || lang || '</dc:language>')", "(CASE WHEN doc_id % 2 = 1 THEN '    <dc:publisher>P</dc:publisher>' END)", "(CASE WHEN doc_id % 5 = 0 THEN '    <dc:subject>s1</dc:subject>' || chr(10) || '    <dc:subject>s&amp;2</dc:subject>' END)",
+    f"    <dc:date>{STAMP}</dc:date>", f'    <meta property="dcterms:modified">{STAMP}</meta>', '    <meta name="cover" content="cover-img"/>', "  </metadata>", "  <manifest>",
+    '    <item id="cover-img" href="images/cover.png" media-type="image/png" properties="cover-image"/>', f'    <item id="cover" href="cover.xhtml" {XHTML} properties="svg"/>', f'    <item id="nav" href="nav.xhtml" {XHTML} properties="nav"/>',
+    '    <item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>', '    <item id="css" href="style.css" media-type="text/css"/>', "(items)", "  </manifest>", '  <spine toc="ncx">', '    <itemref idref="cover" linear="yes"/>', '    <itemref idref="nav" linear="yes"/>', "(refs)",
+    "  </spine>", "  <guide>", '    <reference type="cover" title="Cover" href="cover.xhtml"/>', '    <reference type="toc" title="Table of Contents" href="nav.xhtml"/>', """('    <reference type="text" title="Beginning" href="' || first || '"/>')""", "  </guide>", "</package>",
+)
+NAV = page(
+    "Contents", '  <link rel="stylesheet" type="text/css" href="style.css"/>', "", '  <nav epub:type="toc" id="toc">', "    <h1>Contents</h1>", """(coalesce(nav, '<ol><li><a href="' || first || '">' || title || '</a></li></ol>'))""", "  </nav>", '  <nav epub:type="landmarks" id="landmarks" hidden="hidden">', "    <h2>Guide</h2>",
+    """('    <ol><li><a epub:type="cover" href="cover.xhtml">Cover</a></li><li><a epub:type="toc" href="nav.xhtml">Table of Contents</a></li><li><a epub:type="bodymatter" href="' || first || '">Start of Content</a></li></ol>')""", "  </nav>",
+)
+NCX = lined(
+    '<?xml version="1.0" encoding="utf-8"?>', """('<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1" xml:lang="' || lang || '">')""", "  <head>", """('    <meta name="dtb:uid" content="urn:uuid:' || uuid || '"/>')""", """('    <meta name="dtb:depth" content="' || coalesce(deepest, 1) || '"/>')""",
+    '    <meta name="dtb:totalPageCount" content="0"/>', '    <meta name="dtb:maxPageNumber" content="0"/>', "  </head>", "('  <docTitle><text>' || title || '</text></docTitle>')", "('  <docAuthor><text>' || CASE doc_id % 3 WHEN 0 THEN 'Unknown' WHEN 1 THEN lang ELSE lang || ', B &lt;b&gt;' END || '</text></docAuthor>')",
+    "  <navMap>", '<navPoint id="np1" playOrder="1"><navLabel><text>Cover</text></navLabel><content src="cover.xhtml"/></navPoint>', "(points)", "  </navMap>", "</ncx>",
+)
+COVER = page(
+    "Cover", '  <style type="text/css">html, body { margin: 0; padding: 0; height: 100%; background: #ffffff; text-align: center; }</style>', ' epub:type="cover"',
+    """('  <div style="height: 100%; margin: 0; padding: 0;"><svg xmlns="http://www.w3.org/2000/svg" xmlns:xlink="http://www.w3.org/1999/xlink" version="1.1" width="100%" height="100%" viewBox="0 0 1600 2560" preserveAspectRatio="xMidYMid meet" role="img" aria-label="Cover of ' || title || '"><title>Cover of ' || title || '</title><image width="1600" height="2560" xlink:href="images/cover.png"/></svg></div>')""",
+)
+
+
 def stacked(*lines: str) -> str:
     """Lines of markup as SQL; those that are null fall out. {x} stands for a column's value, pieces that begin with $ are SQL."""
     return "concat_ws(chr(10), " + ", ".join(line[1:] if line.startswith("$") else "'" + line.replace("{", "' || ").replace("}", " || '") + "'" for line in lines) + ")"
@@ -53,6 +91,19 @@ SELECT doc_id, k, md5(markup) AS markup, length(markup) AS n_chars FROM m""",
 w AS (SELECT *, CASE k % 7 WHEN 0 THEN held WHEN 1 THEN held + n WHEN 2 THEN 117 + 3 * (held + 23) WHEN 3 THEN 129 + CASE WHEN n % 2 = 0 THEN 4 ELSE 5 END + CASE WHEN n % 5 = 0 THEN 4 ELSE 5 END + 3 * (held + 23)
   WHEN 4 THEN 32 WHEN 5 THEN n ELSE held + 32 END AS weight, [1, 3, 9, 12, 1, 1, 3][k % 7 + 1] AS nodes FROM e)
 SELECT doc_id, k * 100 + unnest(range(nodes))::INT AS node, k * 100 AS top, weight::BIGINT AS weight FROM w""",
+    "z4_package_documents": f"""WITH RECURSIVE {MERGED}{PACKED.replace("> 900", "> 200000")},
+c AS (SELECT doc_id, chapter, part, row_number() OVER (PARTITION BY doc_id ORDER BY chapter, part) - 1 AS no FROM (SELECT DISTINCT doc_id, chapter, part FROM g)),
+lists AS (SELECT doc_id, string_agg('    <item id="ch' || lpad(no::VARCHAR, 3, '0') || '" href="ch' || lpad(no::VARCHAR, 3, '0') || '.xhtml" {XHTML}/>', chr(10) ORDER BY no) AS items, string_agg('    <itemref idref="ch' || lpad(no::VARCHAR, 3, '0') || '"/>', chr(10) ORDER BY no) AS refs FROM c GROUP BY doc_id),
+h AS (SELECT doc_id, ord, text, least(level - min(level) OVER (PARTITION BY doc_id) + 1, 3) AS cap, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM blocks WHERE kind = 'h'),
+d(doc_id, ord, text, rn, depth, before) AS (SELECT doc_id, ord, text, rn, 1, 0 FROM h WHERE rn = 1 UNION ALL SELECT h.doc_id, h.ord, h.text, h.rn, least(cap, depth + 1), depth FROM d JOIN h ON h.doc_id = d.doc_id AND h.rn = d.rn + 1),
+entries AS (SELECT d.*, {xml_text("d.text")} AS label, 'ch' || lpad(no::VARCHAR, 3, '0') || '.xhtml#h-b' || d.ord AS href FROM d JOIN g USING (doc_id, ord) JOIN c USING (doc_id, chapter, part)),
+tocs AS (SELECT doc_id, max(depth) AS deepest,
+  string_agg(CASE WHEN depth > before THEN '<ol>' ELSE repeat('</li></ol>', before - depth) || '</li>' END || '<li><a href="' || href || '">' || label || '</a>', '' ORDER BY ord) || repeat('</li></ol>', arg_max(depth, ord)) AS nav,
+  string_agg(CASE WHEN depth > before THEN '' ELSE repeat('</navPoint>', before - depth + 1) END || '<navPoint id="np' || (rn + 1) || '" playOrder="' || (rn + 1) || '"><navLabel><text>' || label || '</text></navLabel><content src="' || href || '"/>', '' ORDER BY ord) || repeat('</navPoint>', arg_max(depth, ord)) AS points
+  FROM entries GROUP BY doc_id),
+m AS (SELECT doc_id, coalesce(lang, 'en') AS lang, coalesce('T &amp; ' || {xml_text("source")}, 'Untitled') AS title, lpad(doc_id::VARCHAR, 36, '0') AS uuid, items, refs, CASE WHEN items IS NULL THEN 'cover.xhtml' ELSE 'ch000.xhtml' END AS first, nav, points, deepest
+  FROM documents LEFT JOIN lists USING (doc_id) LEFT JOIN tocs USING (doc_id))
+SELECT doc_id, md5({OPF}) AS opf, md5({NAV}) AS nav, md5({NCX}) AS ncx, md5({COVER}) AS cover FROM m""",
     "p4_text_runs": f"""WITH {RUNS}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY run_no) - 1 AS n FROM runs),
 u AS (SELECT *, CASE WHEN n % 5 = 0 THEN em ELSE 0.8 * em END::DOUBLE AS h, CASE WHEN bold THEN 'Serif|g1-Bold' WHEN n % 50 = 1 THEN 'Courier New|g2' WHEN n % 70 = 2 THEN 'Sans Oblique|g3' ELSE 'g4|g4' END AS font_key FROM t WHERE n % 101 <> 7 AND n % 103 <> 9 AND n % 45 > 4)
 SELECT doc_id, page, (n * 3 + 1)::INT AS run_no, str, x::DOUBLE AS x, round(baseline_y - h, 6)::DOUBLE AS y, advance::DOUBLE AS w, round(h, 6) AS h, baseline_y::DOUBLE AS baseline_y, em::DOUBLE AS em, n % 97 = 5 AS skewed, advance::DOUBLE AS advance, font_key,
