@@ -168,4 +168,6 @@ def tree_facts(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
             F.first("own", ignorenulls=True).alias("own"), F.count_if("at").alias("n"), total("json", every).alias("json"), total("weight", every).alias("weight"),
             total("json", F.col("kind") == "thead", 2).alias("head"), total("json", F.col("kind") == "tbody", 2).alias("body"), F.flatten(F.collect_list("nodes")).alias("nodes"),
         )
-    return tree.select("doc_id", F.explode("nodes").alias("node"), F.col("node").alias("top"), F.col("own.ord").alias("top_ord"), weight.cast("long").alias("weight"))
+    # read off the struct before the explode: pruning fields of structs beside an exploded array loses columns
+    tops = tree.select("doc_id", "nodes", F.col("node").alias("top"), F.col("own.ord").alias("top_ord"), weight.cast("long").alias("weight"))
+    return tops.select("doc_id", F.explode("nodes").alias("node"), "top", "top_ord", "weight")

@@ -73,7 +73,7 @@ def block_nodes(blocks: DataFrame) -> DataFrame:
     slug = anchor(F.coalesce("text", F.lit("")), F.concat(F.lit("b"), F.col("ord").cast("string")))
     top = node(0, 0, F.col("ord"), kind=F.col("kind"), level=F.col("level"), anchor=F.when(heading, slug), ordered=F.col("ordered"), start=F.col("list_start"), text=F.when(F.col("kind").isin("code", "pre"), F.col("text")), inlines=F.when(~listed, filled))
     inner = [node(1, 1, F.lit(0), kind=F.lit("item")), node(2, 2, F.lit(0), kind=F.lit("p"), inlines=filled)]
-    return blocks.select("doc_id", F.inline(F.when(listed, F.array(top, *inner)).otherwise(F.array(top))))
+    return blocks.select("doc_id", F.explode(F.when(listed, F.array(top, *inner)).otherwise(F.array(top))).alias("n")).select("doc_id", "n.*")
 
 
 def complete(tree: DataFrame) -> DataFrame:
