@@ -13,7 +13,8 @@ Training reads a bounded sample of labelled rows (`SAMPLE_PER_LANGUAGE` for each
 language at most, about `SAMPLE` in all, at least one of each language; those
 with the smallest hash of id and text), never a held-out row. Tasks turn the whole
 texts of the sample into n-gram shares, so what comes to the driver is bounded by
-its rows. The model grows with the power 1.5 of the number of languages.
+its rows, and there only the rows of one training step are spread over all n-grams.
+The model grows with the power 1.5 of the number of languages.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; so is
 everything if no labelled training row exists; one learned language is always
@@ -63,10 +64,32 @@ def profile(text: bytes) -> np.ndarray:
     return (x / max(x.sum(), 1.0)).astype(np.float32)
 
 
-def train_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+class Profiles:
+    """Rows of n-gram shares, times a scale of each n-gram; kept by the n-grams that they hold, and spread over all of them only when indexed."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.rows, self.shape = rows, (len(rows), 1 << HASH_BITS)
+        self.scale = np.ones(self.shape[1], np.float32)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), self.shape[1]), np.float32)
+        for k, i in enumerate(at):
+            grams, shares = self.rows[i]
+            out[k, grams] = shares * self.scale[grams]
+        return out
+
+    def mean(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[1], np.float32)
+        for i in at:
+            grams, shares = self.rows[i]
+            out[grams] += shares * self.scale[grams]
+        return out / np.float32(len(at))
+
+
+def train_svm(x: np.ndarray | Profiles, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """A linear machine between the rows of x with y = 1 and y = -1, on the squared hinge loss, by averaged gradient steps in small batches."""
     rnd = np.random.default_rng(SEED)
-    norm = float(np.mean([x[r] @ x[r] for r in rows.tolist()]))
+    norm = float(np.mean([v @ v for r in rows.tolist() for v in x[[r]]]))
     w, b, total, total_b, n = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0, 0
     weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9))
     for epoch in range(EPOCHS):
@@ -138,16 +161,16 @@ def families_of(means: np.ndarray) -> list[list[int]]:
     return groups
 
 
-def fit(samples: list[tuple[str, np.ndarray]]) -> Model:
-    """samples: language and profile."""
+def fit(samples: list[tuple[str, tuple[np.ndarray, np.ndarray]]]) -> Model:
+    """samples: language, and the n-grams of a profile with their shares."""
     languages = sorted({lang for lang, _ in samples})
     y = np.array([languages.index(lang) for lang, _ in samples], int)
-    x = np.stack([p for _, p in samples]) if samples else np.zeros((0, 1 << HASH_BITS), np.float32)
-    groups = families_of(np.stack([x[y == k].mean(0) for k in range(len(languages))])) if languages else []
+    x, every = Profiles([p for _, p in samples]), np.arange(len(y))
+    groups = families_of(np.stack([x.mean(np.flatnonzero(y == k)) for k in range(len(languages))])) if languages else []
     # rare n-grams weigh more: profiles are sums of few large and many small shares
-    scale = (1 / np.sqrt(x.mean(0) + 1e-6)).astype(np.float32) if len(x) else np.ones(x.shape[1], np.float32)
-    x *= scale
-    every, machines, pairs = np.arange(len(y)), [], []
+    if len(y):
+        x.scale = (1 / np.sqrt(x.mean(every) + 1e-6)).astype(np.float32)
+    machines, pairs = [], []
     for g in groups if len(groups) > 1 else []:
         machines.append(train_svm(x, every, np.where(np.isin(y, g), 1.0, -1.0)))
     for g in groups:
@@ -155,7 +178,7 @@ def fit(samples: list[tuple[str, np.ndarray]]) -> Model:
             rows = np.flatnonzero((y == a) | (y == b))
             pairs.append((len(machines), a, b))
             machines.append(train_svm(x, rows, np.where(y[rows] == a, 1.0, -1.0)))
-    weights = np.stack([w * scale for w, _ in machines], 1) if machines else np.zeros((1 << HASH_BITS, 0), np.float32)
+    weights = np.stack([w * x.scale for w, _ in machines], 1) if machines else np.zeros((1 << HASH_BITS, 0), np.float32)
     return Model(languages, groups, weights, np.array([b for _, b in machines]), pairs)
 
 
@@ -163,8 +186,8 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, held_out: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray]]:
-    """Language and profile of the sampled rows.
+def labelled_sample(docs: DataFrame, held_out: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, tuple[np.ndarray, np.ndarray]]]:
+    """Language of the sampled rows, and the n-grams of their profiles with their shares.
 
     Hashes are thinned per language first, by the language's row count, so the texts that are
     ranked number a few times the sample. Equal rows count once.
@@ -191,12 +214,8 @@ def labelled_sample(docs: DataFrame, held_out: Column, id_col: str, text_col: st
 
     found = thin.mapInArrow(profiles, "lang string, h long, grams binary, shares binary").dropDuplicates(["lang", "h"])
     kept = found.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "grams", "shares"))), 1, each).alias("sample"))
-    out = []
-    for r in sorted(kept.select("lang", F.explode("sample").alias("s")).select("lang", "s.*").collect(), key=lambda r: (r["lang"], r["h"])):
-        x = np.zeros(1 << HASH_BITS, np.float32)
-        x[np.frombuffer(r["grams"], np.uint16)] = np.frombuffer(r["shares"], np.float32)
-        out.append((r["lang"], x))
-    return out
+    found = kept.select("lang", F.explode("sample").alias("s")).select("lang", "s.*").collect()
+    return [(r["lang"], (np.frombuffer(r["grams"], np.uint16), np.frombuffer(r["shares"], np.float32))) for r in sorted(found, key=lambda r: (r["lang"], r["h"]))]
 
 
 def _predictor(model: Broadcast):  # noqa: ANN202

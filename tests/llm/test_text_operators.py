@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -396,6 +397,22 @@ def test_families_are_of_bounded_size():
         assert sorted(i for g in groups for i in g) == list(range(n)) and max(map(len, groups)) <= max(1, 2 * math.isqrt(n))
 
 
+def test_fit_spreads_few_profiles_at_once():
+    """The fit's memory does not hold all rows times all n-grams, and each row is what its text's profile is."""
+    rnd = np.random.default_rng(3)
+    texts = [bytes(rnd.integers(97 + 4 * (i % 3), 109 + 4 * (i % 3), 300, dtype=np.uint8)) for i in range(600)]
+    full = [language_id.profile(t) for t in texts[:40]]
+    rows = [(np.flatnonzero(p).astype(np.uint16), p[p > 0]) for p in map(language_id.profile, texts)]
+    few = language_id.Profiles(rows[:40])
+    assert (few[np.arange(40)] == np.stack(full)).all() and (few.mean(np.arange(40)) == np.stack(full).mean(0)).all()
+    tracemalloc.start()
+    model = language_id.fit([(f"l{i % 3}", row) for i, row in enumerate(rows)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 * (4 << language_id.HASH_BITS) / 4
+    assert np.mean([model.predict(t)[0] == f"l{i % 3}" for i, t in enumerate(texts)]) > 0.95
+
+
 def test_machine_comes_near_the_best_loss():
     """Against plain full-batch descent on the same loss, many steps of it."""
     rnd = np.random.default_rng(7)
