@@ -41,10 +41,12 @@ from quire.llm.common import checkpointed, id_bucket, whole_groups
 HOT, HEAD, CLASS = 100_000, 4096, 64
 #: Inputs for the words of a tail class, by their last two bytes; units; steps of a window; lanes of a batch.
 ENDINGS, UNITS, STEPS, LANES = 64, 32, 32, 512
-#: Tokens to a shard, rounds and step size of the training.
-SHARD_TOKENS, ROUNDS, RATE = 400_000, 4, 0.06
+#: Tokens to a shard, rounds and step size of the training. A round's part of a shard must fill its lanes: their longest document decides how many windows there are.
+SHARD_TOKENS, ROUNDS, RATE = 1_600_000, 4, 0.06
 #: Tokens scored together, words counted before they are handed on, models averaged at once.
 BATCH_TOKENS, FLUSH, AVERAGED = 1_500_000, 400_000, 8
+#: Steps of a window whose outputs are worked out at once when scoring: they fit a processor's cache.
+TILE = 8
 END, SEED = b"", 7
 #: The sum of squared gradients that the adaptive steps start from.
 FIRST_SQUARES = 1e-4
@@ -136,48 +138,52 @@ class Model:
     def recurrent(self) -> np.ndarray:
         return self.w["u"].T
 
-    def output(self, h: np.ndarray, ids: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each id from its state (of a tail word: of its class); with grad, also the loss's gradient by state."""
-        target = np.where(ids < HEAD, ids // CLASS, self.classes + (ids - HEAD) // ENDINGS)
-        prob, logp = softmax(h @ self.w["c"] + self.w["cb"], target)
-        dh = None
-        if grad is not None:
-            prob[np.arange(len(ids)), target] -= 1
-            grad["c"] += h.T @ prob
-            grad["cb"] += prob.sum(0)
-            dh = prob @ np.ascontiguousarray(self.w["c"].T)
-        # the head's words, those of a class in a row
+    def output(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, None]:
+        """Natural log-probability of each id from its state (of a tail word: of its class)."""
+        return self.outputs(np.concatenate((h.T, np.ones((1, len(ids)), np.float32))), ids)
+
+    def outputs(self, h: np.ndarray, ids: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """As output, from the states and a row of ones (units + 1 x ids); with grad, also the loss's gradient by state (units x ids). The biases' gradients are the last rows of grad's `c+` and `o+`."""
+        u, n = UNITS, len(ids)
+        target = np.where(ids < HEAD, ids // CLASS, self.classes + (ids - HEAD) // ENDINGS).astype(np.int16)
+        # classes in a row, those of the head first
         order = np.argsort(target, kind="stable")
-        bounds = np.searchsorted(target[order], np.arange(self.classes + 1)).tolist()
-        order = order[: bounds[-1]]
-        used = [(k, bounds[k], bounds[k + 1]) for k in range(self.classes) if bounds[k] < bounds[k + 1]]
-        hs, place = h[order], ids[order] % CLASS
-        inner = np.empty((len(order), CLASS), np.float32)
+        h, ids, target = np.take(h, order, axis=1), ids[order], target[order]
+        prob, sorted_logp = softmax(np.concatenate((self.w["c"].T, self.w["cb"][:, None]), 1) @ h, target, grad is not None)
+        bounds = np.searchsorted(target, np.arange(self.classes + 1)).tolist()
+        used, m = [(k, bounds[k], bounds[k + 1]) for k in range(self.classes) if bounds[k] < bounds[k + 1]], bounds[-1]
+        words = np.concatenate((self.w["o"].transpose(0, 2, 1), self.w["ob"][:, :, None]), 2)
+        inner, place = np.empty((CLASS, m), np.float32), ids[:m] % CLASS
+        for k, a, b in used:
+            np.matmul(words[k], h[:, a:b], out=inner[:, a:b])
+        inner, logs = softmax(inner, place, grad is not None)
+        sorted_logp[:m] += logs
+        logp = np.empty(n)
+        logp[order] = sorted_logp
+        if grad is None:
+            return logp, None
+        prob[target, np.arange(n)] -= 1
+        inner[place, np.arange(m)] -= 1
+        np.matmul(h, prob.T, out=grad["c+"])
+        sorted_dh, back = self.w["c"] @ prob, np.empty((u, m), np.float32)
         for k, a, b in used:
-            np.matmul(hs[a:b], self.w["o"][k], out=inner[a:b])
-            inner[a:b] += self.w["ob"][k]
-        prob, logs = softmax(inner, place)
-        logp[order] += logs
-        if grad is not None:
-            prob[np.arange(len(order)), place] -= 1
-            back = np.empty_like(hs)
-            for k, a, b in used:
-                d = prob[a:b]
-                grad["o"][k] += hs[a:b].T @ d
-                grad["ob"][k] += d.sum(0)
-                np.matmul(d, self.w["o"][k].T, out=back[a:b])
-            dh[order] += back
+            np.matmul(h[:, a:b], inner[:, a:b].T, out=grad["o+"][k])
+            np.matmul(self.w["o"][k], inner[:, a:b], out=back[:, a:b])
+        sorted_dh[:, :m] += back
+        dh = np.empty_like(sorted_dh)
+        dh[:, order] = sorted_dh
         return logp, dh
 
 
-def softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, in place of the logits, and the natural log-probability of each row's target."""
-    every = np.arange(len(target))
-    logits -= logits.max(1, keepdims=True) if len(logits) else 0
-    picked = logits[every, target].astype(np.float64)
+def softmax(logits: np.ndarray, target: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The natural log-probability of each column's target; if whole, also all probabilities, in place of the logits."""
+    if len(target):
+        logits -= logits.max(0)
+    picked = logits[target, np.arange(len(target))].astype(np.float64)
     np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], np.float32)
-    logits /= total[:, None]
+    total = np.ones(len(logits), np.float32) @ logits
+    if whole:
+        logits /= total
     return logits, picked - np.log(total)
 
 
@@ -198,20 +204,21 @@ def windows(docs: list[np.ndarray], most: int, mixed: bool = False) -> Iterator[
     if mixed:
         rnd = np.random.default_rng(SEED)
         dealt = [rnd.permutation(d).tolist() for d in dealt]
-    rows = [np.concatenate([docs[i] for i in d]) for d in dealt]
-    which = [np.repeat(d, [len(docs[i]) for i in d]) for d in dealt]
-    longest = max(map(len, rows), default=0)
-    for s in range(0, longest, STEPS):
-        live = sum(len(r) > s for r in rows)
-        ids, number = np.full((live, STEPS), -1, np.int32), np.full((live, STEPS), -1, np.int64)
-        before = np.full(live, -1, np.int64)
-        for k in range(live):
-            part = rows[k][s : s + STEPS]
-            ids[k, : len(part)] = part
-            number[k, : len(part)] = which[k][s : s + STEPS]
-            before[k] = which[k][s - 1] if s else -1
-        start = number != np.concatenate((before[:, None], number[:, :-1]), 1)
-        yield ids.T, number.T, start.T
+    if not docs:
+        return
+    sizes = np.array([len(d) for d in docs])
+    every = np.concatenate(dealt).astype(np.int64)
+    flat, which = np.concatenate([docs[i] for i in every.tolist()]), np.repeat(every, sizes[every])
+    length = np.array([sizes[d].sum() for d in dealt])
+    first = np.cumsum(length) - length
+    for s in range(0, int(length.max()), STEPS):
+        live = int((length > s).sum())
+        at = s + np.arange(STEPS)[:, None]
+        there = at < length[:live]
+        place = np.where(there, first[:live] + at, 0)
+        ids, number = np.where(there, flat[place], np.int32(-1)), np.where(there, which[place], -1)
+        before = which[first[:live] + s - 1] if s else np.full(live, -1)
+        yield ids, number, number != np.concatenate((before[None], number[:-1]))
 
 
 def score(model: Model, docs: list[np.ndarray]) -> np.ndarray:
@@ -219,43 +226,56 @@ def score(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     out, h = np.zeros(len(docs)), np.zeros((UNITS, min(LANES, len(docs))), np.float32)
     for ids, number, start in windows(docs, LANES):
         steps, live = ids.shape
-        states, h = np.empty((steps, UNITS, live), np.float32), h[:, :live].copy()
+        states, h = np.ones((steps, UNITS + 1, live), np.float32), h[:, :live].copy()
         gates, cand, recur = (np.empty((k * UNITS, live), np.float32) for k in (2, 1, 1))
         for t in range(steps):
             if start[t].any():
                 h[:, start[t]] = 0  # a fresh array of the step before
-            states[t] = h
+            states[t, :UNITS] = h
             h = model.step(h, np.ascontiguousarray(model.w["x"][np.maximum(ids[t], 0)].T), gates, cand, recur)
-        real = ids >= 0
-        logp, _ = model.output(states.transpose(0, 2, 1)[real], ids[real])
-        out += np.bincount(number[real], logp, len(docs))
+        for t in range(0, steps, TILE):
+            part = slice(t, t + TILE)
+            real = np.flatnonzero(ids[part] >= 0)
+            h_part = states[part].transpose(1, 0, 2).reshape(UNITS + 1, -1)
+            logp, _ = model.outputs(h_part if len(real) == h_part.shape[1] else h_part[:, real], ids[part].ravel()[real])
+            out += np.bincount(number[part].ravel()[real], logp, len(docs))
     return out
 
 
 def train(model: Model, docs: list[np.ndarray]) -> None:
     """One pass of truncated backpropagation over the documents, by adaptive gradient steps."""
-    squares = {k: np.full(v.shape, FIRST_SQUARES, np.float32) for k, v in model.w.items()}
     most, u = min(64, len(docs)), UNITS
+    count = most * STEPS  # a window with few lanes left takes a smaller step
+    # gradients are sums over a window; their means' squares are these over count * count
+    squares = {k: np.full(v.shape, FIRST_SQUARES * count * count, np.float32) for k, v in model.w.items()}
+    room = {k: np.empty_like(v) for k, v in model.w.items() if k != "x"}
     h = np.zeros((u, most), np.float32)
     for ids, _, start in windows(docs, most, mixed=True):
         grad, dx = gradient(model, h[:, : ids.shape[1]].copy(), ids, start)
         h = grad.pop("h")
-        count = most * STEPS  # a window with few lanes left takes a smaller step
         # inputs: the rows that the window used
-        real = ids >= 0
-        flat, d = ids[real], dx.transpose(0, 2, 1)[real]
+        real = np.flatnonzero(ids >= 0)
+        flat = ids.ravel()[real]
         order = np.argsort(flat, kind="stable")
         used, first = np.unique(flat[order], return_index=True)
-        g = np.add.reduceat(d[order], first) / count
+        rows = np.ascontiguousarray(dx.transpose(0, 2, 1)).reshape(-1, 3 * u)[real[order]]
+        g, ends = rows[first], np.append(first[1:], len(rows))
+        many = np.flatnonzero(ends - first > 1)
+        for k, a, b in zip(many.tolist(), first[many].tolist(), ends[many].tolist(), strict=True):
+            np.add.reduce(rows[a:b], 0, out=g[k])
         held = squares["x"][used] + g * g
         squares["x"][used] = held
-        model.w["x"][used] -= RATE * g / np.sqrt(held)
+        g *= RATE
+        g /= np.sqrt(held, out=held)
+        model.w["x"][used] -= g
         for k, g in grad.items():
-            g /= count
-            squares[k] += g * g
-            g /= np.sqrt(squares[k])
-            g *= RATE
-            model.w[k] -= np.where(model.filled, g, 0) if k == "ob" else g
+            step = room[k]
+            np.multiply(g, g, out=step)
+            squares[k] += step
+            np.sqrt(squares[k], out=step)
+            np.divide(g, step, out=step)
+            step *= RATE
+            model.w[k] -= np.where(model.filled, step, 0) if k == "ob" else step
 
 
 def gradient(model: Model, h: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -269,30 +289,39 @@ def gradient(model: Model, h: np.ndarray, ids: np.ndarray, start: np.ndarray) ->
             h[:, start[t]] = 0  # a fresh array of the step before
         states[t] = h
         h = model.step(h, inputs[t], gates[t], cand[t], recur[t])
-    real = ids >= 0
-    grad = {k: np.zeros_like(v) for k, v in model.w.items() if k != "x"}
-    _, dout = model.output(states.transpose(0, 2, 1)[real], ids[real], grad)
-    given = np.zeros((steps, live, u), np.float32)
-    given[real] = dout
-    given = np.ascontiguousarray(given.transpose(0, 2, 1))
+    real = np.flatnonzero(ids >= 0)
+    full = len(real) == ids.size
+    known = np.ones((u + 1, ids.size), np.float32)
+    known[:u] = states.transpose(1, 0, 2).reshape(u, -1)
+    classes, bias = model.w["o"].shape[0], len(model.w["cb"])
+    wide = {"c+": np.zeros((u + 1, bias), np.float32), "o+": np.zeros((classes, u + 1, CLASS), np.float32)}
+    _, given = model.outputs(known if full else known[:, real], ids.ravel()[real], wide)
+    if not full:
+        dout, given = given, np.zeros((u, ids.size), np.float32)
+        given[:, real] = dout
+    given = given.reshape(u, steps, live)
     z, r = gates[:, :u], gates[:, u:]
-    by_cand, by_update, by_reset = (1 - z) * (1 - cand * cand), (states - cand) * z * (1 - z), recur * r * (1 - r)
-    dx, d = np.empty((steps, 3 * u, live), np.float32), np.empty((3 * u, live), np.float32)
-    back = np.zeros_like(h)
+    by_cand = (1 - z) * (1 - cand * cand)
+    # what a step's gates and candidate take of the gradient by the state after it
+    shares = np.empty((steps, 3, u, live), np.float32)
+    np.multiply((states - cand) * z, 1 - z, out=shares[:, 0])
+    np.multiply(by_cand * r, recur * (1 - r), out=shares[:, 1])
+    np.multiply(by_cand, r, out=shares[:, 2])
+    by_state, passed = np.zeros((steps, u, live), np.float32), np.empty((u, live), np.float32)
+    d = np.empty((steps, 3, u, live), np.float32)
+    flat = d.reshape(steps, 3 * u, live)
     for t in range(steps - 1, -1, -1):
-        dn = dx[t, 2 * u :]
-        np.multiply(back, by_cand[t], out=dn)
-        np.multiply(back, by_update[t], out=d[:u])
-        np.multiply(dn, by_reset[t], out=d[u : 2 * u])
-        np.multiply(dn, r[t], out=d[2 * u :])
-        dx[t, : 2 * u] = d[: 2 * u]
-        grad["u"] += states[t] @ d.T
-        back *= z[t]
-        back += model.w["u"] @ d
-        back += given[t]
-        if starts[t]:
-            back[:, start[t]] = 0
-    return grad | {"h": h}, dx
+        np.multiply(shares[t], by_state[t], out=d[t])
+        if t:
+            before = by_state[t - 1]
+            np.matmul(model.w["u"], flat[t], out=before)
+            before += np.multiply(by_state[t], z[t], out=passed)
+            before += given[:, t]
+            if starts[t]:
+                before[:, start[t]] = 0
+    by_recur = np.matmul(states, flat.transpose(0, 2, 1)).sum(0)
+    np.multiply(by_cand, by_state, out=d[:, 2])
+    return {"u": by_recur, "c": wide["c+"][:u], "cb": wide["c+"][u], "o": wide["o+"][:, :u], "ob": wide["o+"][:, u], "h": h}, flat
 
 
 # --- over the corpus ---------------------------------------------------------
@@ -405,7 +434,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         model = shared.value
 
         def judge(part: list[tuple]) -> pa.RecordBatch:
-            ids, found = [], []
+            ids, found, rest, ends = [], [], ([], []), [0]
             for row, doc_id, held_out, text in part:
                 words = tokens(text)
                 got, ranks = model.ids(words)
@@ -413,14 +442,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 known = ranks[ranks >= 0]
                 logs = model.logs[known]
                 inner = float(logs[known >= HEAD].sum())
-                rest = Counter(words[i] for i in np.flatnonzero(ranks < 0).tolist())
+                tail = Counter(words[i] for i in np.flatnonzero(ranks < 0).tolist())
+                rest[0].extend(tail.keys())
+                rest[1].extend(tail.values())
+                ends.append(len(rest[0]))
                 shares = float(model.tail_logs[(got[got >= HEAD] - HEAD) // ENDINGS].sum())
-                found.append((row, doc_id, held_out, len(words), len(known), float(logs.sum()) - len(words) * log_all, inner - shares, [{"word": w, "f": f} for w, f in rest.items()]))
+                found.append((row, doc_id, held_out, len(words), len(known), float(logs.sum()) - len(words) * log_all, inner - shares))
             logs = score(model, ids) / np.log(10)
             cols = list(zip(*found, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("f", pa.int64())]))]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             cols[6] = (np.array(cols[6]) + logs).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
+            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rest[0], pa.binary()), pa.array(rest[1], pa.int64())], names=["word", "f"]))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), tails], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
 
         part, held = [], 0
         for row in chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "held_out", "text")), strict=True) for b in batches):

@@ -364,6 +364,34 @@ def test_network_trains_on_every_training_text(docs, monkeypatch):
     assert sum(seen) == 200 * 6
 
 
+def test_a_round_of_a_shard_fills_its_lanes():
+    """Windows cost nearly the same with few lanes as with all of them."""
+    rnd, docs, n = np.random.default_rng(6), [], 0
+    while n < lm.SHARD_TOKENS / lm.ROUNDS:
+        docs.append(np.zeros(1 + int(min(rnd.lognormal(5.65, 1.1), 9000)), np.int32))
+        n += len(docs[-1])
+    parts = list(lm.windows(docs, 64, mixed=True))
+    assert sum((ids >= 0).sum() for ids, _, _ in parts) == n > 0.6 * len(parts) * 64 * lm.STEPS
+
+
+def test_outputs_equal_plain_softmaxes():
+    """Of states and ids in one column each, in any order of the classes, tail words and empty places of a class among them."""
+    hot = [(b"w%d" % i, 9000 - i) for i in range(5000)]
+    model, rnd = lm.Model(hot[:100] + hot[4096:], 5.0), np.random.default_rng(8)
+    model.w = {k: (v + rnd.normal(size=v.shape) * 0.2).astype(np.float32) if k != "ob" else v for k, v in model.w.items()}
+    h, ids = rnd.normal(size=(60, lm.UNITS)).astype(np.float32), rnd.integers(0, 100, 60).astype(np.int32)
+    ids[::7] = lm.HEAD + 3
+    w = {k: v.astype(float) for k, v in model.w.items()}
+    for x, i, got in zip(h, ids.tolist(), model.output(h, ids)[0], strict=True):
+        outer = x @ w["c"] + w["cb"]
+        k = i // lm.CLASS if i < lm.HEAD else model.classes + (i - lm.HEAD) // lm.ENDINGS
+        plain = outer[k] - np.log(np.exp(outer).sum())
+        if i < lm.HEAD:
+            inner = x @ w["o"][k] + w["ob"][k]
+            plain += inner[i % lm.CLASS] - np.log(np.exp(inner).sum())
+        assert got == pytest.approx(plain, abs=1e-4)
+
+
 def test_tail_words_have_classes_that_follow_the_context():
     """Two tail words of different frequency alternate; the network learns which comes next."""
     hot = [(b"w%d" % i, 9000 - i) for i in range(9000)]
