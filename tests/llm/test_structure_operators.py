@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,6 +409,49 @@ def test_tail_words_have_classes_that_follow_the_context():
     assert lm.score(model, docs).sum() > 0.5 * before
 
 
+def test_tokens_of_odd_texts_are_those_of_plain_splitting():
+    odd = [b"", b" ", b"\n\n", b" a  b ", b"A\x0bB\x0cc\rd\te", b"x\x1cy\x1dz \x85 \xc2\xa0q", "\u00c9 \u00c0 \u00df".encode(), b"\xff\xfe bad", b"a\x00b", b"w2"]
+    model = lm.Model([(b"w%d" % i, 9000 - i) for i in range(5000)], 5.0)
+    for texts in (odd, odd[:1], []):
+        found, plain = lm.Tokens(pa.array(texts, pa.binary())), [[*t.lower().split(), b""] for t in texts]
+        words = found.words.to_pylist()
+        assert [words[i] for i in found.places.tolist()] == [w for ws in plain for w in ws] and found.sizes.tolist() == list(map(len, plain))
+    expected = [2, lm.HEAD + lm.ENDINGS + (48 * 31 + 48) % lm.ENDINGS, lm.HEAD, lm.HEAD + 120 * 31 % lm.ENDINGS, lm.HEAD + (121 * 31 + 120) % lm.ENDINGS]
+    assert model.ids([b"w2", b"w4500", b"", b"x", b"xy"])[0].tolist() == expected
+
+
+def test_texts_are_split_once_and_training_deals_ids(docs, monkeypatch):
+    """Shards were once dealt as texts, which training and scoring each split again."""
+    plain, seen = lm.checkpointed, []
+    monkeypatch.setattr(lm, "checkpointed", lambda df: seen.append(df.columns) or plain(df))
+    got = lm.score_documents(docs([(i, f"some words of text {i}") for i in range(40)])).collect()
+    assert len(got) == 40 and {r["n_tokens"] for r in got} == {6}
+    assert ["ids", "shard", "round"] in seen and not any("text" in columns for columns in seen)
+
+
+def test_a_scored_batch_fills_its_lanes():
+    rnd, docs, n = np.random.default_rng(6), [], 0
+    while n < lm.BATCH_TOKENS:
+        docs.append(np.zeros(1 + int(min(rnd.lognormal(5.65, 1.1), 9000)), np.int32))
+        n += len(docs[-1])
+    assert n > 0.8 * lm.STEPS * lm.LANES * sum(1 for _ in lm.windows(docs, lm.LANES))
+
+
+def test_outputs_of_extreme_states_equal_plain_softmaxes():
+    """Logits beyond the range of float32's exponentials, high and low ones."""
+    model, rnd = lm.Model([(b"w%d" % i, 9000 - i) for i in range(200)], 5.0), np.random.default_rng(8)
+    model.w = {k: (v + rnd.normal(size=v.shape)).astype(np.float32) if k != "ob" else v for k, v in model.w.items()}
+    for scale, moved in ((100.0, 0.0), (1.0, 300.0), (1.0, -300.0)):
+        h, ids = (scale * rnd.normal(size=(50, lm.UNITS))).astype(np.float32), rnd.integers(0, 200, 50).astype(np.int32)
+        w = {k: v.astype(float) for k, v in model.w.items()}
+        model.w["cb"] = (w["cb"] + moved).astype(np.float32)
+        for x, i, got in zip(h.astype(float), ids.tolist(), model.output(h, ids)[0], strict=True):
+            outer, inner = x @ w["c"] + w["cb"], x @ w["o"][i // lm.CLASS] + w["ob"][i // lm.CLASS]
+            plain = sum(v[k] - v.max() - np.log(np.exp(v - v.max()).sum()) for v, k in ((outer, i // lm.CLASS), (inner, i % lm.CLASS)))
+            assert got == pytest.approx(plain, rel=1e-3, abs=1e-2)
+        model.w["cb"] = w["cb"].astype(np.float32)
+
+
 def test_language_model_edges(docs):
     got = lm.score_documents(docs(EDGES)).collect()
     assert len(got) == len(EDGES) and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
