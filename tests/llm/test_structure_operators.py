@@ -429,6 +429,11 @@ def test_texts_are_split_once_and_training_deals_ids(docs, monkeypatch):
     assert ["ids", "shard", "round"] in seen and not any("text" in columns for columns in seen)
 
 
+def test_short_integer_ids_are_scored(docs):
+    rows = docs([(i, f"some words of text {i}") for i in range(5)])
+    assert sorted(r["doc_id"] for r in lm.score_documents(rows.withColumn("doc_id", F.col("doc_id").cast("int"))).collect()) == list(range(5))
+
+
 def test_a_scored_batch_fills_its_lanes():
     rnd, docs, n = np.random.default_rng(6), [], 0
     while n < lm.BATCH_TOKENS:
