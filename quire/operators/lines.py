@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from quire.functions.text import detrack, let, strip
-from quire.operators.glyph_join import PLAIN, collect_lines, median_of, with_taken_thresholds
+from quire.functions.text import let, strip
+from quire.operators import line_arrays
+from quire.operators.glyph_join import RUN_FIELDS, collect_lines
 
 #: Runs closer than this share of the larger em lie on one line, as tenths.
 SAME_LINE_TENTHS = 4
@@ -103,45 +107,84 @@ def scanned_pages(runs: DataFrame, least: int = SCANNED) -> DataFrame:
     return page_chars(runs).filter(F.col("chars") < least).select("doc_id", "page", "chars")
 
 
-def readable_runs(runs: DataFrame, least: int = SCANNED) -> DataFrame:
-    """The runs of all other pages, in the order in which lines are found in them."""
-    page = Window.partitionBy("doc_id", "page").orderBy("baseline_y", "x", "run_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return runs.withColumn("chars", F.sum(F.length(strip(F.col("str")))).over(page)).filter(F.col("chars") >= least).drop("chars")
+def page_warnings(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, code, message): pages that look scanned, pages with turned runs and pages with a line of uncertain spacing, but for letter-spaced ones; page 0 for a document's letter-spaced lines. pages: of `pages_read`."""
+    facts = pages.groupBy("doc_id").agg(F.collect_list(F.struct("page", "chars", "n_skewed", "unsure")).alias("pages"), F.sum("n_detracked").alias("n"))
+
+    def warning(page: Column, code: str, *message: Column) -> Column:
+        return F.struct(page.alias("page"), F.lit(code).alias("code"), F.concat(*message).alias("message"))
+
+    def of_page(p: Column) -> Column:
+        shown, read = (p["page"] + 1).cast("string"), p["chars"] >= SCANNED
+        return F.array_compact(F.array(
+            F.when(~read, warning(p["page"], "page-skipped", F.lit("Page "), shown, F.lit(" has no text; it may be a scan"))),
+            F.when(read & (p["n_skewed"] > 0), warning(p["page"], "rotated-text", p["n_skewed"].cast("string"), F.lit(" turned runs were left out of page "), shown)),
+            F.when(p["unsure"], warning(p["page"], "space-heuristic-uncertain", F.lit("The spaces of page "), shown, F.lit(" are uncertain"))),
+        ))
+
+    repaired = warning(F.lit(0), "letter-spacing", F.col("n").cast("string"), F.when(F.col("n") == 1, " line had").otherwise(" lines had"), F.lit(" letters set apart, which were joined"))
+    found = F.concat(F.flatten(F.transform("pages", of_page)), F.array_compact(F.array(F.when(F.col("n") > 0, repaired))))
+    return facts.select("doc_id", F.explode(found).alias("w")).select("doc_id", "w.*")
+
+
+#: Runs of pages that are worked on at once, but for a larger page.
+AT_ONCE = 200_000
+
+
+def _page_reader(fields: list[str]) -> Callable[..., Column]:
+    @F.arrow_udf(from_arrow_type(line_arrays.PAGE))
+    def read(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        """Pages in the order of their documents: what lines take over from those before goes on from page to page."""
+        taken: dict = {}
+        fonts: dict = {}
+        last, number = None, -1
+        for docs, pages, held in batches:
+            out = []
+            ends = held.offsets.to_numpy() - held.offsets[0].as_py()
+            values = docs.to_pylist()
+            at = 0
+            while at < len(docs):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + AT_ONCE, side="right")) - 1)
+                numbers = []
+                for value in values[at:to]:
+                    number += number < 0 or value != last
+                    last = value
+                    numbers.append(number)
+                runs = line_arrays.runs_of(held.slice(at, to - at), np.array(numbers), pages.slice(at, to - at), fonts)
+                found = line_arrays.assembled(runs, number + 1, taken).flatten()
+                out.append(found)
+                for key in [k for k in taken if k[0] != number]:
+                    del taken[key]
+                at = to
+            yield pa.concat_arrays(out) if out else pa.array([], line_arrays.PAGE)
+
+    # not deterministic, lest the order it reads in be thought of no use
+    return read.asNondeterministic()
+
+
+def pages_read(runs: DataFrame) -> DataFrame:
+    """One row per page: doc_id, page, chars, n_skewed, whether a line that was not letter-spaced is of uncertain spacing (`unsure`), `n_detracked`, and the `lines` of readable pages.
+
+    Runs are dealt once, by document, and collected by page; a document's pages are read in order.
+    """
+    fields = [c for c in (*RUN_FIELDS, "skewed") if c in runs.columns and c != "em_chars"]
+    pages = runs.repartition("doc_id").groupBy("doc_id", "page").agg(F.collect_list(F.struct(*fields)).alias("held")).sortWithinPartitions("doc_id", "page")
+    return pages.select("doc_id", F.col("page").alias("of_page"), _page_reader(fields)("doc_id", F.col("page").cast("long"), "held").alias("r")).select("doc_id", F.col("of_page").alias("page"), *[f"r.{c}" for c in ("chars", "n_skewed", "unsure", "n_detracked", "lines")])
+
+
+def lines_of_pages(pages: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The lines of `pages_read`, one a row. kinds: the types of their bounds."""
+    return pages.select("doc_id", "page", F.explode("lines").alias("l")).select("doc_id", "page", *[F.col(f"l.{c}").cast(kinds[c]).alias(c) if c in kinds else F.col(f"l.{c}") for c in line_arrays.LINE.names])
 
 
-def page_warnings(runs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, page, code, message): pages that look scanned, pages with turned runs and pages with a line of uncertain spacing, but for letter-spaced ones; page 0 for a document's letter-spaced lines."""
-    pages = page_chars(runs)
-    shown = (F.col("page") + 1).cast("string")
-    scanned = pages.filter(F.col("chars") < SCANNED).select("doc_id", "page", F.lit("page-skipped").alias("code"), F.concat(F.lit("Page "), shown, F.lit(" has no text; it may be a scan")).alias("message"))
-    turned = pages.filter((F.col("chars") >= SCANNED) & (F.col("n_skewed") > 0)).select("doc_id", "page", F.lit("rotated-text"), F.concat(F.col("n_skewed").cast("string"), F.lit(" turned runs were left out of page "), shown))
-    unsure = lines.filter(F.col("uncertain") & ~F.col("detracked")).select("doc_id", "page").distinct().select("doc_id", "page", F.lit("space-heuristic-uncertain"), F.concat(F.lit("The spaces of page "), shown, F.lit(" are uncertain")))
-    repaired = detracked_warning(lines).select("doc_id", F.lit(0).alias("page"), "code", "message")
-    return scanned.unionAll(turned).unionAll(unsure).unionAll(repaired)
+def bounds_of(runs: DataFrame) -> dict[str, str]:
+    """The types of the bounds of these runs' lines."""
+    return dict(runs.agg(*line_fact_columns(baseline=False)[:4]).dtypes)
 
 
 def assemble_lines(runs: DataFrame) -> DataFrame:
     """Lines of the readable pages: facts, modal em, text with the threshold it was joined at, whether that is uncertain, whether letters were set apart, the runs that are sup or sub, and the styles of its characters.
 
-    A line's runs are collected once; all windows have the document or its page as partition.
+    The pass over the pages loses Spark's track of the partitioning: lines, a tenth of the runs, are dealt once more, for all that follows.
     """
-    placed = cluster_lines(readable_runs(runs).filter("str <> ''"))
-    repaired = placed.withColumn("plain", detrack(F.col("str"))).withColumn("changed", F.col("plain") != F.col("str")).withColumn("em_chars", F.length("str")).withColumn("str", F.col("plain"))
-    # the modal em weighs runs as they were
-    facts = collect_lines(repaired, *line_fact_columns(baseline=False), F.bool_or("changed").alias("detracked"))
-    baselines = F.transform("runs", lambda r: r["baseline_y"].cast("double"))
-    level = F.get("runs", F.lit(0))["baseline_y"].cast("double")
-    lines = facts.withColumn("baseline_y", F.when(F.forall("runs", lambda r: r["baseline_y"] == level), level).otherwise(median_of(baselines))).withColumn("em", modal_em_of(F.col("runs"), lambda r: r["em_chars"]))
-    small = F.exists("runs", lambda r: r["em"] < F.col("em") * SCRIPT_SIZE)
-    marks = F.filter(F.transform("runs", lambda r: F.struct(r["run_no"].alias("run_no"), script_of(r, F.col("em"), F.col("baseline_y")).alias("script"))), lambda m: m["script"].isNotNull())
-    marked = lines.withColumn("scripts", F.when(small, marks).otherwise(F.array().cast("array<struct<run_no:int,script:string>>")))
-    flags = [(c, 2**k) for k, c in enumerate(("bold", "italic", "mono")) if c in runs.columns]
-
-    def code(r: Column) -> Column:
-        mask = sum((F.coalesce(r[c], F.lit(False)).cast("int") * bit for c, bit in flags), F.lit(0))
-        script = script_of(r, F.col("em"), F.col("baseline_y"))
-        return F.char(F.ascii(F.lit(PLAIN)) + mask + F.when(script == "sub", 8).when(script == "sup", 16).otherwise(0))
-
-    found = with_taken_thresholds(marked.withColumn("codes", F.transform("runs", code)))
-    # Spark loses track of the partitioning in the ordered pass: lines, a tenth of the runs, are dealt once more, for all that follows
-    return found.select(*[c for c in found.columns if c != "found"], "found.*").repartition("doc_id")
+    return lines_of_pages(pages_read(runs), bounds_of(runs)).repartition("doc_id")

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from quire.operators import headings, lines, paragraphs, toc
+from quire.plans import documents
 
 
 @dataclass
@@ -17,9 +18,13 @@ class Extracted:
     runs: DataFrame
     level_scope: tuple[str, ...] = ("doc_id", "page")
 
+    @cached_property
+    def pages(self) -> DataFrame:
+        return lines.pages_read(self.runs)
+
     @cached_property
     def assembled(self) -> DataFrame:
-        return lines.assemble_lines(self.runs)
+        return lines.lines_of_pages(self.pages, lines.bounds_of(self.runs)).repartition("doc_id")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -39,7 +44,27 @@ class Extracted:
 
     @cached_property
     def warnings(self) -> DataFrame:
-        return lines.page_warnings(self.runs, self.assembled)
+        return lines.page_warnings(self.pages)
+
+
+@dataclass
+class ExtractedDocuments(Extracted):
+    """What is read off documents that are laid out in a manner: `runs` are their texts, which go through without a row for each word."""
+
+    manner: str = "plain"
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return documents.document_pages(self.runs, self.manner)
+
+    @cached_property
+    def assembled(self) -> DataFrame:
+        return lines.lines_of_pages(self.pages, documents.BOUNDS).repartition("doc_id")
+
+
+def extract_documents(docs: DataFrame, manner: str = "plain") -> ExtractedDocuments:
+    """docs: doc_id, text."""
+    return ExtractedDocuments(docs, manner=manner)
 
 
 def extract(runs: DataFrame, level_scope: tuple[str, ...] = ("doc_id", "page")) -> Extracted:
