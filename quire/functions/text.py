@@ -24,8 +24,11 @@ LIST_MARKER = r"(?i)^(\d+[.)]|[a-z][.)]|\([a-z0-9]+\)|[•·▪◦‣–—*])\s
 
 
 def squeeze(text: Column) -> Column:
-    """Cell breaks and runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(text, "\x1f", " "), WS + "+", " "))
+    """Cell breaks and runs of white space become one space; none at the ends.
+
+    The pattern passes over printable ASCII by one comparison, and over single spaces, which stay.
+    """
+    return F.trim(F.regexp_replace(F.replace(text, F.lit("\x1f"), F.lit(" ")), rf"(?![!-~])(?:{WS}{{2,}}|(?! ){WS})", " "))
 
 
 def xml_escape(text: Column, attribute: bool = False) -> Column:
@@ -121,6 +124,13 @@ def joins_without_hyphen(left: Column, right: Column) -> Column:
     return (word != "") & (after != "") & ~F.lower(word).isin(HYPHEN_PREFIXES) & after.rlike(r"^\p{Ll}")
 
 
+def heals(last: Column, line: Column) -> Column:
+    """Whether a word that a line's end split goes on in the next line, white space aside."""
+    end = F.rtrim(last, F.lit(WS_CHARS + "\x1f"))
+    # few lines end in a hyphen, and the patterns are dear
+    return F.when(end.endswith("-") | end.endswith("\u2010") | end.endswith("\u00ad"), joins_without_hyphen(squeeze(last), squeeze(line))).otherwise(False)
+
+
 def join_lines(lines: Column) -> Column:
     """An array of lines as one text, split words joined; a fold, since a joined word may be split again.
 
@@ -132,7 +142,7 @@ def join_lines(lines: Column) -> Column:
 
     def step(s: Column, line: Column) -> Column:
         sep = F.when(s["last"].endswith("\x1f") | line.startswith("\x1f"), "").otherwise(" ")
-        joins = joins_without_hyphen(squeeze(s["last"]), squeeze(line))
+        joins = heals(s["last"], line)
         return F.when(joins, state(s["done"], F.concat(F.regexp_replace(s["last"], "[-\\u2010\\u00AD]\\z", ""), line))).otherwise(state(F.concat(s["done"], s["last"], sep), line))
 
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
@@ -148,7 +158,7 @@ def join_styles(lines: Column) -> Column:
 
     def step(s: Column, line: Column) -> Column:
         apart = F.when(s["last"].endswith("\x1f") | line["text"].startswith("\x1f"), "").otherwise("_")
-        joins = joins_without_hyphen(squeeze(s["last"]), squeeze(line["text"]))
+        joins = heals(s["last"], line["text"])
         healed = F.regexp_replace(s["last"], "[-\\u2010\\u00AD]\\z", "")
         return F.when(joins, state(F.concat(healed, line["text"]), s["done"], F.concat(F.left(s["styles"], F.length(healed)), line["styles"]))).otherwise(state(line["text"], F.concat(s["done"], s["styles"], apart), line["styles"]))
 

@@ -62,7 +62,8 @@ def detect_headings(lines: DataFrame, scope: tuple[str, ...] = ("doc_id", "page"
     found = candidates(lines).withColumn("depth", heading_depth(F.col("plain")))
     sizes = F.collect_set(F.when(F.col("candidate"), F.col("size"))).over(Window.partitionBy(*scope))
     numbered = F.count_if(F.col("candidate") & F.col("depth").isNotNull()).over(Window.partitionBy("doc_id")) >= LEAST_NUMBERED
-    both = found.withColumn("levels", level_of_sizes(sizes)).withColumn("numbered", numbered)
-    by_size = F.get(F.filter("levels", lambda v: v["em"] == F.col("size")), F.lit(0))["level"]
+    both = found.withColumn("sizes", sizes).withColumn("numbered", numbered)
+    # worked out for candidates only
+    by_size = F.get(F.filter(level_of_sizes(F.col("sizes")), lambda v: v["em"] == F.col("size")), F.lit(0))["level"]
     level = F.least(F.greatest(F.coalesce(F.when(F.col("numbered"), F.col("depth")), by_size, F.lit(1)), F.lit(1)), F.lit(LEVELS))
-    return both.withColumn("heading_level", F.when(F.col("candidate"), level).otherwise(0)).drop("size", "levels", "depth", "numbered", "candidate", "body")
+    return both.withColumn("heading_level", F.when(F.col("candidate"), level).otherwise(0)).drop("size", "sizes", "depth", "numbered", "candidate", "body")

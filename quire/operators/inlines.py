@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import ArrayType
 
 from quire.functions.text import WS, let, squeeze, xml_escape, xml_sanitize, xml_text
 
@@ -28,35 +33,50 @@ def merge_runs(runs: DataFrame, block: list[str], order: list[str]) -> DataFrame
 INLINE = "struct<t:string,s:string,b:boolean,i:boolean,code:boolean,sub:boolean,sup:boolean>"
 
 
+_BLANKS = re.compile(WS.replace("\\\\", "\\") + "+")
+_INLINE = pa.struct([("t", pa.string()), ("s", pa.string()), *[(c, pa.bool_()) for c in STYLES]])
+_STRETCH = re.compile(r"(?s)(.)\1*")
+
+
+def _stretches(text: str, styles: str) -> list[tuple[int, str]]:
+    """Mask and text of the inlines of a styled text."""
+    for pattern, put in ((r"(.)_(?=\1)", r"\1\1"), ("0_", "00"), ("_0", "00"), (r"(.)_", r"\1\1")):
+        styles = re.sub(pattern, put, styles)
+    out: list[tuple[int, str]] = []
+    spaced = True
+    for m in _STRETCH.finditer(styles):
+        piece = _BLANKS.sub(" ", text[m.start() : m.end()].replace("\x1f", " "))
+        if spaced and piece.startswith(" "):
+            piece = piece[1:]
+        if piece:
+            out.append((ord(m[1]) - 48, piece))
+            spaced = piece.endswith(" ")
+    if out:
+        out[-1] = (out[-1][0], out[-1][1].rstrip(" "))
+    return [p for p in out if p[1]]
+
+
+@F.arrow_udf(ArrayType(from_arrow_type(_INLINE)))
+def _cut(texts: pa.Array, styles: pa.Array) -> pa.Array:
+    ends, masks, said = [0], [], []
+    for text, codes in zip(texts.to_pylist(), styles.to_pylist(), strict=True):
+        for mask, piece in [] if text is None or codes is None else _stretches(text, codes):
+            masks.append(mask)
+            said.append(piece)
+        ends.append(len(said))
+    bits = np.array(masks, np.int64)
+    flags = [pa.array(np.ones(len(bits), bool), pa.bool_(), mask=(bits >> k & 1) == 0) for k in range(len(STYLES))]
+    each = pa.StructArray.from_arrays([pa.array(["text"] * len(said), pa.string()), pa.array(said, pa.string()), *flags], fields=list(_INLINE))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+
+
 def cut_inlines(text: Column, styles: Column) -> Column:
     """The inlines of a text: stretches of one style, white space squeezed as in the whole. styles: a code for each character, `_` for what was put between runs; null if there are none.
 
     A space between runs of one style has that style, else it stays plain if a side is, else it goes with what is before it.
     """
-    settled = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(styles, r"(.)_(?=\1)", "$1$1"), "0_", "00"), "_0", "00"), r"(.)_", "$1$1")
-
-    def cut(stretches: Column) -> Column:
-        start = F.struct(F.lit(1).alias("at"), F.lit(True).alias("spaced"), F.array().cast("array<struct<code:string,s:string>>").alias("out"))
-
-        def step(state: Column, stretch: Column) -> Column:
-            piece = F.regexp_replace(F.translate(F.substring(text, state["at"], F.length(stretch)), "\x1f", " "), WS + "+", " ")
-            kept = F.when(state["spaced"] & piece.startswith(" "), F.substr(piece, F.lit(2))).otherwise(piece)
-            grown = F.concat(state["out"], F.array(F.struct(F.left(stretch, F.lit(1)).alias("code"), kept.alias("s"))))
-            return F.struct((state["at"] + F.length(stretch)).alias("at"), F.when(kept == "", state["spaced"]).otherwise(kept.endswith(" ")).alias("spaced"), F.when(kept == "", state["out"]).otherwise(grown).alias("out"))
-
-        def ended(state: Column) -> Column:
-            n = F.size(state["out"])
-            whole = F.transform(state["out"], lambda p, k: F.struct(p["code"].alias("code"), F.when(k == n - 1, F.rtrim(p["s"])).otherwise(p["s"]).alias("s")))
-            return F.filter(whole, lambda p: p["s"] != "")
-
-        return F.aggregate(stretches, start, step, ended)
-
-    def inline(s: Column, mask: Column) -> Column:
-        return F.struct(F.lit("text").alias("t"), s.alias("s"), *[F.when(F.getbit(mask, F.lit(k)) == 1, True).alias(c) for k, c in enumerate(STYLES)])
-
-    several = F.transform(let(F.regexp_extract_all(settled, F.lit(r"(?s)((.)\2*)"), 1), cut), lambda p: inline(p["s"], F.ascii(p["code"]) - 48))
-    plain = let(squeeze(text), lambda s: F.filter(F.array(inline(s, F.lit(0))), lambda i: i["s"] != ""))
-    return F.when(styles.isNull(), plain).otherwise(several)
+    plain = F.struct(F.lit("text").alias("t"), squeeze(text).alias("s"), *[F.lit(None).cast("boolean").alias(c) for c in STYLES])
+    return F.when(styles.isNull(), let(plain, lambda i: F.filter(F.array(i), lambda v: v["s"] != ""))).otherwise(_cut(F.when(styles.isNotNull(), text), styles))
 
 
 def styled_markup(text: Column, styles: dict[str, Column]) -> Column:

@@ -20,7 +20,7 @@ def with_page_measures(lines: DataFrame) -> DataFrame:
     """Adds the page's leading and column edges, the line before in the document, and whether the page is set with indents."""
     page = Window.partitionBy("doc_id", "page")
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
-    before = F.struct("text", "x", "w", "em", "bold", "baseline_y", "heading_level", "page")
+    before = F.struct("plain", "x", "w", "em", "bold", "baseline_y", "heading_level", "page")
     near = lines.withColumn("plain", squeeze(F.col("text"))).withColumn("before", F.lag(before).over(order)).withColumn("gap", F.col("baseline_y") - F.col("before.baseline_y"))
     here = F.col("before.page") == F.col("page")
     sized = near.withColumn("left_edge", F.min("x").over(page)).withColumn("right_edge", F.max(F.col("x") + F.col("w")).over(page)).withColumn("leading", F.coalesce(F.median(F.when(here & (F.col("gap") > 0), F.col("gap"))).over(page), F.lit(0.0)))
@@ -33,7 +33,7 @@ def mark_breaks(lines: DataFrame) -> DataFrame:
     """Adds `breaks`: whether a line starts a block. lines: with heading_level."""
     both = with_page_measures(lines)
     em = F.coalesce(F.nullif("em", F.lit(0)), F.nullif("before.em", F.lit(0)), F.lit(1))
-    last = squeeze(F.col("before.text"))
+    last = F.col("before.plain")
     loose = (F.col("leading") > 0) & (F.col("gap") > F.col("leading") * LOOSE)
     ends_short = F.col("before.x") + F.col("before.w") < F.col("right_edge") - em * SHORT
     by_text = (
