@@ -19,26 +19,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from quire.plans.extract import extract
 
 PAGE_KEYS = ["doc_id", "page"]
 STATE = "pages array<int>, packed array<string>, n_pages int"
+#: Waiting pages are kept in RocksDB, on the executors' disks, with changes alone in the checkpoint: the default store holds them all in memory.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+}
 RELEASED = "doc_id long, page int, packed string, complete boolean, first boolean"
 
 
 def pages_of(runs: DataFrame) -> DataFrame:
     """One row per page: doc_id, page, n_pages of its document, and its runs packed as text."""
-    fields = F.struct(*[c for c in runs.columns if c not in PAGE_KEYS])
-    each = runs.groupBy(*PAGE_KEYS).agg(F.to_json(F.collect_list(fields)).alias("packed"))
+    fields = [c for c in runs.columns if c not in PAGE_KEYS]
+    # a list for each column: names and brackets of every run would be most of the text
+    held = F.collect_list(F.struct(*fields))
+    each = runs.groupBy(*PAGE_KEYS).agg(F.to_json(F.struct(*[held[c].alias(c) for c in fields])).alias("packed"))
     total = runs.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
     return each.join(total, "doc_id").select(*PAGE_KEYS, "n_pages", "packed")
 
 
 def runs_of(released: DataFrame, run_fields: StructType) -> DataFrame:
     """The runs of released pages. run_fields: their columns but for document and page."""
-    return released.select(*PAGE_KEYS, F.explode(F.from_json("packed", f"array<{run_fields.simpleString()}>")).alias("r")).select(*PAGE_KEYS, "r.*")
+    packed = StructType([StructField(f.name, ArrayType(f.dataType)) for f in run_fields])
+    columns = released.select(*PAGE_KEYS, F.from_json("packed", packed).alias("p"))
+    each = F.arrays_zip(*[F.col("p")[f.name] for f in run_fields]).cast(f"array<{run_fields.simpleString()}>")
+    return columns.select(*PAGE_KEYS, F.explode(each).alias("r")).select(*PAGE_KEYS, "r.*")
 
 
 def whole_documents(pages: DataFrame, patience: str | None = None) -> DataFrame:
@@ -92,7 +102,16 @@ def extract_stream(pages: DataFrame, run_fields: StructType, out: str, checkpoin
         finally:
             kept.unpersist()
 
-    return whole_documents(pages, patience).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    conf = pages.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        conf.set(k, v)
+    try:
+        # a query goes on with the settings it was started with
+        return whole_documents(pages, patience).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -50,3 +50,21 @@ def test_runs_survive_packing(spark):
 def test_a_stream_of_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert st_blocks(spark, str(tmp_path)).count() == 0
+
+
+def test_waiting_pages_lie_on_disk(spark, tmp_path, monkeypatch):
+    """The store of the query is RocksDB, and the session's settings are as before."""
+    import json
+
+    from quire.streaming import pages
+
+    monkeypatch.setattr(pages, "shared_folder", lambda s: f"{tmp_path}/shared")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    laid = spark.createDataFrame([(k, "a few words of a text\n" * 300) for k in range(5)], "doc_id long, text string")
+    laid.write.parquet(f"{tmp_path}/in/documents.parquet")
+    got = st_blocks(spark, f"{tmp_path}/in")
+    assert got.select("doc_id").distinct().count() == 5
+    assert spark.conf.get(provider, None) == before
+    with open(f"{tmp_path}/shared/state/offsets/0") as f:
+        assert json.loads(f.read().split("\n")[1])["conf"][provider].endswith("RocksDBStateStoreProvider")
